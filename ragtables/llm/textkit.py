@@ -63,6 +63,40 @@ def slices(batches, column: str, most: int = BATCH_BYTES):
             yield batch.slice(at)
 
 
+#: Everything but letters, digits and the bytes of characters beyond ASCII.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The byte spans as strings."""
+    raw = data.tobytes()
+    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def sum_by(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the sum of its values."""
+    return np.bincount(rows, values, n) if len(rows) else np.zeros(n)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method, the intercept last (not shrunk)."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    keep[-1] = 1e-3
+    for _ in range(rounds):
+        p = sigmoid(x @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+
 class _Powers:
     """Running powers of an odd base and of its inverse modulo 2**64."""
 
@@ -114,12 +148,15 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, lower
 
 
 class Words:
-    """Words of a batch of texts: byte spans, and for text d the words ptr[d]..ptr[d+1]."""
+    """Words of a batch of texts: byte spans, and for text d the words ptr[d]..ptr[d+1].
+
+    apart: which of the 256 byte values part words.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE):
         self.data, self.offsets = data, offsets
         if len(data):
-            inside = ~SPACE[data]
+            inside = ~apart[data]
             first = np.zeros(len(data) + 1, bool)
             first[offsets] = True  # a text begins here
             before = np.concatenate([[False], inside[:-1]])
