@@ -123,7 +123,7 @@ def _known(ids: np.ndarray, hashes: np.ndarray, homes: int, buckets: int, salt:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH) -> DataFrame:
     """docs with repeated passages cut out of the text, and n_words and n_removed."""
     spark = docs.sparkSession
-    buckets = homes = spread(spark)
+    buckets, homes = spread(spark, 1), spread(spark)
     docs = docs.drop("n_words", "n_removed")
     others = [c for c in docs.columns if c not in (id_col, text_col)]
 
