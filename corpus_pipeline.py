@@ -1,17 +1,46 @@
-"""A corpus pipeline: documents in, packed training sequences out."""
+"""A corpus pipeline: documents in, packed training sequences out.
+
+Each stage judges every row that its predecessor kept: toxic documents go, then
+those of poor quality, then all but one of each near-duplicate class, then
+passages that an earlier document has; what is left is tokenised and packed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragtables.llm import packing
+from ragtables.llm import neardup, packing, sitequality, substrings, toxicity
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def without_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sitequality.drop_poor(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out("doc_id")))
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.drop_near_duplicates(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(docs).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("toxicity", without_toxic),
+    ("quality classifier", without_poor),
+    ("MinHash near-dedup", without_near_duplicates),
+    ("substring dedup", without_repeats),
+    ("best-fit packing", packed),
+]
+
+#: Models, alignments and tokens have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
