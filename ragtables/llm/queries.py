@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup, outliers, packing, sitequality, substrings, toxicity
+from . import multiindex, neardup, outliers, packing, sitequality, substrings, toxicity, urltrust
 from .session import table
 
 
@@ -30,11 +31,19 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return sitequality.site_quality(docs, labels.where(~toxicity.held_out("doc_id")))
 
 
+def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltrust.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
