@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .textkit import mix, pack
 
 SAMPLE = 20_000
-SHARE = 0.65
+SHARE = 0.75
 BLOCK, QUERIES = 512, 128
 
 
