@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import multiindex, neardup, outliers, packing, sitequality, substrings, toxicity, urltrust
+from . import multiindex, neardup, outliers, packing, pieces, sitequality, substrings, toxicity, urltrust
 from .session import table
 
 
@@ -31,6 +31,13 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again: piece count, digest of the ids, digest of the decoded text."""
+    back = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    digest = F.sha2(F.array_join("ids", ",").cast("binary"), 256)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
