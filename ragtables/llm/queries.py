@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import multiindex, neardup, outliers, packing, pieces, sitequality, substrings, toxicity, urltrust
+from . import lm, multiindex, neardup, outliers, packing, pieces, sitequality, substrings, toxicity, urltrust
 from .session import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = toxicity.held_out("doc_id", 7)
+    scored = lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digest(substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
