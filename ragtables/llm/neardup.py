@@ -9,8 +9,9 @@ on an entry (or a band of several) meet in a bucket.
 No bucket is expanded into pairs. The text with the smallest id leads; texts
 whose sketch agrees with the leader's in at least half of the entries are paired
 with it and step back, the rest look for a next leader. This is done first
-inside each batch, so only leaders travel: copies in a third of all rows reduce
-to one row per batch and band. A leader and another text of its bucket that
+inside each batch of documents, where pairs are verified at once and joined to
+classes, so only leaders travel: copies in a third of all rows reduce to one row
+per batch and band, and to one node per batch in the graph of links. A leader and another text of its bucket that
 agree in an eighth of the entries are paired as well.
 
 Pairs are verified on the whole texts: similarity = 1 - edit distance over
@@ -25,10 +26,9 @@ gives no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import checkpointed
@@ -89,17 +89,19 @@ def sketches(words: Words, shingle: int = SHINGLE, hashes: int = HASHES) -> tupl
     return docs, out, prints
 
 
-_PAIR = "bucket int, kind int, a binary, b binary, exact binary, extra binary"
+_SENT = "bucket int, kind int, ids binary, roots binary, keys binary, prints binary, sketches binary"
+_FOUND = "kind int, a binary, b binary, ra binary, rb binary, equal binary"
 
 
 def _lead(key: np.ndarray, ids: np.ndarray, sketch, prints, depth: int = 0):
     """Leaders of each bucket key and the pairs found on the way.
 
-    sketch: short integer rows, one per entry. Returns positions of the leaders, and pairs (leader, other, equal texts).
+    sketch: short integer rows, one per entry. Returns positions of the leaders, rows (leader, other, equal texts)
+    of positions to pair, and rows (leader, other) where the other stepped back.
     A bucket in which many texts share little, such as one common passage, is divided by each further sketch
     entry in turn: texts that agree often enough to be paired agree in one of those, too.
     """
-    alive, leaders, pairs, rounds = np.lexsort((ids, key)), [], [], 0
+    alive, leaders, pairs, behind, rounds = np.lexsort((ids, key)), [], [], [], 0
     hashes = sketch.shape[1]
     while len(alive):
         k = key[alive]
@@ -115,8 +117,10 @@ def _lead(key: np.ndarray, ids: np.ndarray, sketch, prints, depth: int = 0):
                 for i in range(hashes):
                     sub = mix(mix(key[many] + np.uint64(i + 1)) ^ parts[:, i].astype(np.uint64))
                     _, size = np.unique(sub, return_inverse=True)
-                    x = np.bincount(size)[size] > 1
-                    pairs.append(_lead(sub[x], ids[many[x]], _Rows(sketch, many[x]), _Rows(prints, many[x]), depth + 1)[1])
+                    x = np.flatnonzero(np.bincount(size)[size] > 1)
+                    deeper = _lead(sub[x], ids[many[x]], _Rows(sketch, many[x]), _Rows(prints, many[x]), depth + 1)[1]
+                    deeper[:, :2] = many[x][deeper[:, :2]]
+                    pairs.append(deeper)
                 alive = alive[~crowd]
                 continue
         rounds += 1
@@ -127,26 +131,51 @@ def _lead(key: np.ndarray, ids: np.ndarray, sketch, prints, depth: int = 0):
             break
         agree = (sketch[lead] == sketch[others]).sum(1)
         equal = (prints[lead] == prints[others]).all(1)
-        tell = (agree >= hashes // 8) & (ids[lead] != ids[others]) | equal
-        pairs.append(np.stack([ids[lead[tell]], ids[others[tell]], equal[tell]], 1))
-        alive = others[agree < hashes // 2]
-    return np.concatenate(leaders) if leaders else np.zeros(0, np.int64), (np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64))
+        tell = (agree >= hashes // 8) | equal
+        pairs.append(np.stack([lead[tell], others[tell], equal[tell]], 1))
+        back = agree >= hashes // 2
+        behind.append(np.stack([lead[back], others[back]], 1))
+        alive = others[~back]
+    none = np.zeros((0, 3), np.int64)
+    return np.concatenate([none[:, 0], *leaders]), np.concatenate([none, *pairs]), np.concatenate([none[:, :2], *behind])
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["bucket", "kind", "a", "b", "exact", "extra"]
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+class _Forest:
+    """Union-find over the documents of a batch."""
 
+    def __init__(self, n: int):
+        self.up = list(range(n))
 
-def _pair_row(pairs: np.ndarray, bucket: int) -> tuple:
-    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-    return (bucket, 1, pack(pairs[:, 0]), pack(pairs[:, 1]), pack(pairs[:, 2]), b"")
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
 
+    def join(self, i: int, j: int) -> None:
+        self.up[self.root(j)] = self.root(i)
 
-def candidate_pairs(docs: DataFrame, id_col: str, text_col: str, *, shingle: int = SHINGLE, hashes: int = HASHES, per_band: int = PER_BAND) -> DataFrame:
-    """Rows (a, b, equal) with a < b: pairs to verify."""
-    buckets = spread(docs.sparkSession)
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two word sequences align to at least the similarity."""
+    longer = max(len(x), len(y))
+    most = int(np.floor((1 - similarity) * longer + 1e-9))
+    return longer > 0 and alignment_within(x, y, most) <= most
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    names = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(names)], names=[n for n, _ in names])
+
+
+def candidates(docs: DataFrame, id_col: str, text_col: str, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, hashes: int = HASHES, per_band: int = PER_BAND) -> DataFrame:
+    """Rows (known, a, b, ra, rb, equal).
+
+    known: a is a verified member of the class that b leads within one batch of documents. Else a and b are of different
+    batches and are to be verified (unless their texts are equal); ra and rb lead their classes in their batches.
+    """
+    buckets = spread(docs.sparkSession, 1)
     bands = hashes // per_band
 
     def sketch(batches):
@@ -156,6 +185,7 @@ def candidate_pairs(docs: DataFrame, id_col: str, text_col: str, *, shingle: int
             own, full, prints = sketches(words, shingle, hashes)
             if not len(own):
                 continue
+            tokens, ptr = words.hashes().view(np.int64), words.ptr
             ids, small = ids[own], (full & np.uint64(0xFFFF)).astype(np.uint16)
             key = np.empty((len(own), bands), np.uint64)
             for b in range(bands):
@@ -163,24 +193,40 @@ def candidate_pairs(docs: DataFrame, id_col: str, text_col: str, *, shingle: int
                 for j in range(per_band):
                     k = mix(k * np.uint64(0x9E3779B97F4A7C15) + full[:, b * per_band + j])
                 key[:, b] = k
+            # all bands at once: entries are (document, band)
             flat, at = key.ravel(), np.repeat(np.arange(len(own)), bands)
-            # leaders of all bands at once: entries are (document, band)
-            leaders, pairs = _lead(flat, ids[at], _Rows(small, at), _Rows(prints, at))
-            rows = [_pair_row(pairs, n % buckets)] if len(pairs) else []
+            leaders, pairs, behind = _lead(flat, ids[at], _Rows(small, at), _Rows(prints, at))
+            pairs[:, :2] = at[pairs[:, :2]]
+            forest = _Forest(len(own))
+            pairs = np.unique(pairs, axis=0)
+            for i, j, equal in pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist():
+                if forest.root(i) != forest.root(j):
+                    if equal or similar(tokens[ptr[own[i]] : ptr[own[i] + 1]], tokens[ptr[own[j]] : ptr[own[j] + 1]], similarity):
+                        forest.join(i, j)
+            root = np.array([forest.root(i) for i in range(len(own))])
+            first = np.full(len(own), np.iinfo(np.int64).max)
+            np.minimum.at(first, root, ids)
+            roots = first[root]
+            # who stepped back but is in another class after all goes on
+            apart = root[at[behind[:, 0]]] != root[at[behind[:, 1]]]
+            leaders = np.unique(np.concatenate([leaders, behind[apart, 1]]))
+            member = roots != ids
+            rows = [(n % buckets, 1, pack(ids[member]), pack(roots[member]), b"", b"", b"")] if member.any() else []
             k, d = flat[leaders], at[leaders]
             part = (k % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             edges = np.flatnonzero(np.diff(part[order], prepend=-1))
-            for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(order)]):
+            for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
                 x = order[i:j]
-                rows.append((int(part[order[i]]), 0, pack(ids[d[x]]), pack(k[x]), pack(prints[d[x]]), pack(small[d[x]])))
-            yield _rows(rows)
+                rows.append((int(part[order[i]]), 0, pack(ids[d[x]]), pack(roots[d[x]]), pack(k[x]), pack(prints[d[x]]), pack(small[d[x]])))
+            yield _batch(_SENT, rows)
 
     def meet(table: pa.Table) -> pa.Table:
-        out = [table.filter(pc.equal(table["kind"], 1))]
+        local = table.filter(pc.equal(table["kind"], 1))
+        rows = [(1, a, b, b"", b"", b"") for a, b in zip(local["ids"].to_pylist(), local["roots"].to_pylist(), strict=True)]
         fresh = table.filter(pc.equal(table["kind"], 0))
         if fresh.num_rows:
-            ids, key = unpack(fresh["a"], np.int64), unpack(fresh["b"], np.uint64)
+            ids, roots, key = unpack(fresh["ids"], np.int64), unpack(fresh["roots"], np.int64), unpack(fresh["keys"], np.uint64)
             order = np.argsort(key, kind="stable")
             s = key[order]
             many = np.zeros(len(s), bool)
@@ -188,20 +234,30 @@ def candidate_pairs(docs: DataFrame, id_col: str, text_col: str, *, shingle: int
             many[:-1] |= s[1:] == s[:-1]
             x = order[many]  # most keys have one text
             if len(x):
-                prints, small = unpack(fresh["exact"], np.uint64).reshape(-1, 2), unpack(fresh["extra"], np.uint16).reshape(-1, hashes)
-                _, pairs = _lead(key[x], ids[x], small[x], prints[x])
-                if len(pairs):
-                    out.append(pa.Table.from_batches([_rows([_pair_row(pairs, 0)])]))
-        return pa.concat_tables(out)
+                prints, small = unpack(fresh["prints"], np.uint64).reshape(-1, 2), unpack(fresh["sketches"], np.uint16).reshape(-1, hashes)
+                ids, roots = ids[x], roots[x]
+                pairs = _lead(key[x], ids, small[x], prints[x])[1]
+                i, j = pairs[:, 0], pairs[:, 1]
+                pairs = pairs[roots[i] != roots[j]]
+                i, j = pairs[:, 0], pairs[:, 1]
+                found = np.unique(np.stack([ids[i], ids[j], roots[i], roots[j], pairs[:, 2]], 1), axis=0)
+                rows.append((0, *(pack(c) for c in found.T)))
+        return pa.Table.from_batches([_batch(_FOUND, rows)])
 
     def expand(batches):
         for batch in batches:
-            a, b, e = unpack(batch.column("a"), np.int64), unpack(batch.column("b"), np.int64), unpack(batch.column("exact"), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(e > 0)], names=["a", "b", "equal"])
+            for row in batch.to_pylist():
+                a, b = np.frombuffer(row["a"], np.int64), np.frombuffer(row["b"], np.int64)
+                if row["kind"]:
+                    columns = [np.ones(len(a), bool), a, b, a, b, np.ones(len(a), bool)]
+                else:
+                    columns = [np.zeros(len(a), bool), a, b, np.frombuffer(row["ra"], np.int64), np.frombuffer(row["rb"], np.int64), np.frombuffer(row["equal"], np.int64) > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["known", "a", "b", "ra", "rb", "equal"])
 
     read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("__text"))
-    met = read.mapInArrow(sketch, _PAIR).groupBy("bucket").applyInArrow(meet, _PAIR)
-    return met.where("kind = 1").mapInArrow(expand, "a long, b long, equal boolean").groupBy("a", "b").agg(F.max("equal").alias("equal"))
+    met = read.mapInArrow(sketch, _SENT).groupBy("bucket").applyInArrow(meet, _FOUND)
+    rows = met.mapInArrow(expand, "known boolean, a long, b long, ra long, rb long, equal boolean")
+    return rows.groupBy("known", "a", "b", "ra", "rb").agg(F.max("equal").alias("equal"))
 
 
 class _Rows:
@@ -231,6 +287,11 @@ def alignment_within(x: np.ndarray, y: np.ndarray, most: int) -> int:
         return most + 1
     if not len(x):
         return gap
+    # words that only one side has each cost an edit: a bound that settles most unrelated pairs
+    a, b = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    if len(y) - int(np.minimum(a[1][at], b[1])[a[0][at] == b[0]].sum()) > most:
+        return most + 1
     few = min(most, 48)  # furthest-reaching diagonals while the distance is small
     n, m, reach = len(x), len(y), {0: 0}
     for d in range(few + 1):
@@ -293,57 +354,52 @@ def _banded(x: np.ndarray, y: np.ndarray, band: int) -> int:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose whole texts align to at least the similarity."""
+    """Links (a, b) between the batch classes of those pairs (a, b, ra, rb, equal) whose whole texts align."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def align(batches):
         for batch in slices(batches, "ta", 4 << 20):
             left, right = Words(*buffers(batch.column("ta"))), Words(*buffers(batch.column("tb")))
             x, y = left.hashes().view(np.int64), right.hashes().view(np.int64)
-            ok = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                u, v = x[left.ptr[i] : left.ptr[i + 1]], y[right.ptr[i] : right.ptr[i + 1]]
-                longer = max(len(u), len(v))
-                most = int(np.floor((1 - similarity) * longer + 1e-9))
-                ok[i] = longer > 0 and alignment_within(u, v, most) <= most
-            yield pa.RecordBatch.from_arrays([pc.filter(batch.column(c), pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
+            ok = [similar(x[left.ptr[i] : left.ptr[i + 1]], y[right.ptr[i] : right.ptr[i + 1]], similarity) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([pc.filter(batch.column(c), pa.array(ok, pa.bool_())) for c in ("ra", "rb")], names=["a", "b"])
 
-    open_pairs = pairs.where("not equal").select("a", "b")
-    with_texts = open_pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return pairs.where("equal").select("a", "b").unionByName(with_texts.mapInArrow(align, "a long, b long"))
+    left, right = (texts.select(F.col("id").alias(c), F.col("text").alias("t" + c)) for c in ("a", "b"))
+    with_texts = pairs.where("not equal").select("a", "b", "ra", "rb").join(left, "a").join(right, "b").select("ra", "rb", "ta", "tb")
+    return pairs.where("equal").select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(with_texts.mapInArrow(align, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, class_id): the smallest id of the connected component of each linked id.
 
-    Each round hangs every node and its neighbours below the smallest neighbour,
-    which shortens paths exponentially; it ends when nothing moves.
+    Each round hangs every node's larger neighbours, then its smaller ones and
+    itself, below the smallest neighbour, which shortens paths exponentially; it
+    ends when nothing moves.
     """
     edges = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # large star: larger neighbours go to the smallest one around (itself included)
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: smaller neighbours and the node itself go to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        new = checkpointed(small)
-        moved = new.join(edges, ["u", "v"], "left_anti").isEmpty() and edges.join(new, ["u", "v"], "left_anti").isEmpty()
-        edges = new
-        if moved:
+        low = F.least("u", F.min("v").over(Window.partitionBy("u")))
+        large = both.withColumn("m", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        edges = checkpointed(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
             break
-    roots = edges.select(F.col("v").alias("id"), F.col("v").alias("class_id"))
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("class_id")).unionByName(roots).groupBy("id").agg(F.min("class_id").alias("class_id"))
+        state = now
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("class_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY, shingle: int = SHINGLE, hashes: int = HASHES, per_band: int = PER_BAND) -> DataFrame:
     """For each document (id): class_id, the smallest id of its class, and whether it stays (is that one)."""
-    pairs = checkpointed(candidate_pairs(docs, id_col, text_col, shingle=shingle, hashes=hashes, per_band=per_band))
-    classes = components(verified(pairs, docs, id_col, text_col, similarity))
-    ids = docs.select(F.col(id_col))
-    label = F.coalesce("class_id", F.col(id_col).cast("long"))
-    return ids.join(classes, ids[id_col].cast("long") == classes["id"], "left").select(ids[id_col], label.alias("class_id"), F.coalesce(label == F.col(id_col), F.lit(True)).alias("kept"))
+    found = checkpointed(candidates(docs, id_col, text_col, similarity=similarity, shingle=shingle, hashes=hashes, per_band=per_band))
+    classes = components(verified(found.where("not known"), docs, id_col, text_col, similarity))
+    members = found.where("known").groupBy(F.col("a").alias("__m")).agg(F.min("b").alias("__root"))
+    ids = docs.select(F.col(id_col), F.col(id_col).cast("long").alias("__id")).join(members, F.col("__id") == F.col("__m"), "left")
+    ids = ids.withColumn("__root", F.coalesce("__root", "__id")).join(classes.withColumnRenamed("id", "__node"), F.col("__root") == F.col("__node"), "left")
+    label = F.coalesce("class_id", "__root")
+    return ids.select(id_col, label.alias("class_id"), F.coalesce(label == F.col("__id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
