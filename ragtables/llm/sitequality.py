@@ -27,7 +27,7 @@ from .session import checkpointed
 from .stats import shape, text_counts
 from .textkit import logistic, sigmoid, slices
 
-SAMPLE = 200_000
+SAMPLE = 40_000
 THRESHOLD = 0.5
 
 
@@ -42,7 +42,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = labels.count()
     if n > sample:
         labels = labels.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.lit(max(1, 1_000_000 * sample // n)))
-    known = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).join(labels, id_col).select("__text", "__y")
+    known = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(labels.limit(2 * sample)), id_col).select("__text", "__y")  # bounded by the sample
 
     def run(batches):
         for batch in slices(batches, "__text"):

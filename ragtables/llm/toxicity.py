@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .textkit import NOT_ALNUM, Words, buffers, logistic, mix, sigmoid, slices, span_hashes, spans, sum_by
 
-SAMPLE = 200_000
+SAMPLE = 40_000
 TERMS = 2000
 WINDOW = 25  # words to either side
 THRESHOLD = 0.3
@@ -49,46 +49,43 @@ class Trie:
 
 
 class LevenshteinAutomaton:
-    """Accepts what is at most `most` edits from the word. A state: pairs (place in the word, edits so far)."""
-
-    def __init__(self, word: str, most: int = 1):
-        self.word, self.most = word, most
-
-    def _closed(self, state: set) -> frozenset:
-        out = set(state)
-        for i, e in state:
-            while i < len(self.word) and e < self.most:  # a character of the word left out
-                i, e = i + 1, e + 1
-                out.add((i, e))
-        return frozenset(out)
-
-    def start(self) -> frozenset:
-        return self._closed({(0, 0)})
-
-    def step(self, state: frozenset, c: str) -> frozenset:
-        out = set()
-        for i, e in state:
-            if i < len(self.word) and self.word[i] == c:
-                out.add((i + 1, e))
-            if e < self.most:
-                out.add((i, e + 1))
-                if i < len(self.word):
-                    out.add((i + 1, e + 1))
-        return self._closed(out)
-
-    def accepts(self, state: frozenset) -> bool:
-        return any(i == len(self.word) for i, _ in state)
+    """Accepts what is at most one edit from the word.
+
+    A state is two sets of places in the word, as the bits of two integers: those reached without an edit, and with one.
+    """
+
+    def __init__(self, word: str):
+        self.at: dict[str, int] = {}
+        for i, c in enumerate(word):
+            self.at[c] = self.at.get(c, 0) | 1 << (i + 1)
+        self.full, self.end = (1 << (len(word) + 1)) - 1, 1 << len(word)
+
+    def start(self) -> tuple[int, int]:
+        return 1, 3 & self.full  # at once, or with the word's first character left out
+
+    def step(self, state: tuple[int, int], c: str) -> tuple[int, int]:
+        exact, edited = state
+        here = self.at.get(c, 0)
+        now = (exact << 1) & here
+        # go on after an edit; or c is added, stands for another, or the word's next character is left out
+        return now, (((edited << 1) & here) | exact | exact << 1 | now | now << 1) & self.full
+
+    def accepts(self, state: tuple[int, int]) -> bool:
+        return bool((state[0] | state[1]) & self.end)
 
     def intersect(self, trie: Trie) -> list[int]:
         """Numbers of the trie's terms that the automaton accepts."""
         found, todo = [], [(trie.root, self.start())]
         while todo:
             node, state = todo.pop()
-            if "" in node and self.accepts(state):
-                found.append(node[""])
             for c, child in node.items():
-                if c and (after := self.step(state, c)):
-                    todo.append((child, after))
+                if c == "":
+                    if self.accepts(state):
+                        found.append(child)
+                else:
+                    after = self.step(state, c)
+                    if after[0] | after[1]:
+                        todo.append((child, after))
         return found
 
 
@@ -231,14 +228,17 @@ class Model:
         return sigmoid(x @ self.coefficients[:-1] + self.coefficients[-1])
 
 
-def _lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, terms: int, least: int) -> Lexicon:
-    made = []
+LEAST = 15.0  # log-likelihood ratio from which a word stands out
+
+
+def _lexicon(counts: list[tuple[str, int, int]], toxic: int, clean: int, terms: int, least: float = LEAST) -> Lexicon:
+    made, share = [], toxic / max(1, toxic + clean)
     for word, t, c in counts:
-        if t >= least:
+        if t >= 2:
             odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
-            sure = odds / np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-            if odds > 1.2 and sure > 2.5:
-                made.append((-sure, word, odds))
+            ratio = 2 * (t * np.log(t / ((t + c) * share)) + (c * np.log(c / ((t + c) * (1 - share))) if c else 0))
+            if odds > 1.2 and ratio >= least:
+                made.append((-ratio, word, odds))
     made.sort()
     return Lexicon([w for _, w, _ in made[:terms]], np.array([o for *_, o in made[:terms]]))
 
@@ -249,8 +249,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = labels.count()
     if n > sample:
         labels = labels.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.lit(max(1, 1_000_000 * sample // n)))
+    labels = labels.limit(2 * sample)  # the sample is about this by its hash; the limit makes it a proven bound for the broadcast
     fold = F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(2)).cast("int")
-    known = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).join(labels, id_col).select("__text", "__y", fold.alias("__fold"))
+    known = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(labels), id_col).select("__text", "__y", fold.alias("__fold"))
 
     def count(batches):
         """For each word of a batch: in how many texts of each fold and label it is."""
@@ -273,10 +274,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sums = known.mapInArrow(count, "word string, t0 long, c0 long, t1 long, c1 long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")))
     # bounded: the terms that stand out most
     t, c = F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1")
-    odds = F.log((t + 0.5) / (both[1] + 1)) - F.log((c + 0.5) / (both[0] + 1))
-    top = sums.where((t >= 3) & (F.length("word") >= 3)).orderBy((odds / F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))).desc(), "word").limit(4 * terms).collect()
-    whole = _lexicon([(r["word"], r["t0"] + r["t1"], r["c0"] + r["c1"]) for r in top], both[1], both[0], terms, 3)
-    halves = [_lexicon([(r["word"], r[f"t{k}"], r[f"c{k}"]) for r in top], totals.get((k, 1), 0), totals.get((k, 0), 0), terms, 2) for k in (0, 1)]
+    ratio = t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0)
+    top = sums.where((t >= 3) & (F.length("word") >= 3) & (t > (t + c) * share)).orderBy(ratio.desc(), "word").limit(4 * terms).collect()
+    whole = _lexicon([(r["word"], r["t0"] + r["t1"], r["c0"] + r["c1"]) for r in top], both[1], both[0], terms)
+    halves = [_lexicon([(r["word"], r[f"t{k}"], r[f"c{k}"]) for r in top], totals.get((k, 1), 0), totals.get((k, 0), 0), terms, LEAST / 2) for k in (0, 1)]
 
     def figures(batches):
         for batch in slices(batches, "__text"):
