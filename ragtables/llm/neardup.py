@@ -12,7 +12,7 @@ with it and step back, the rest look for a next leader. This is done first
 inside each batch of documents, where pairs are verified at once and joined to
 classes, so only leaders travel: copies in a third of all rows reduce to one row
 per batch and band, and to one node per batch in the graph of links. A leader and another text of its bucket that
-agree in an eighth of the entries are paired as well.
+agree in a quarter of the entries, and in length, are paired as well.
 
 Pairs are verified on the whole texts: similarity = 1 - edit distance over
 words / words of the longer text >= 0.8, the distance by banded alignment. Equal
@@ -89,11 +89,11 @@ def sketches(words: Words, shingle: int = SHINGLE, hashes: int = HASHES) -> tupl
     return docs, out, prints
 
 
-_SENT = "bucket int, kind int, ids binary, roots binary, keys binary, prints binary, sketches binary"
+_SENT = "bucket int, kind int, ids binary, roots binary, keys binary, prints binary, sketches binary, sizes binary"
 _FOUND = "kind int, a binary, b binary, ra binary, rb binary, equal binary"
 
 
-def _lead(key: np.ndarray, ids: np.ndarray, sketch, prints, depth: int = 0):
+def _lead(key: np.ndarray, ids: np.ndarray, sketch, prints, sizes: np.ndarray, depth: int = 0, after: int = 0):
     """Leaders of each bucket key and the pairs found on the way.
 
     sketch: short integer rows, one per entry. Returns positions of the leaders, rows (leader, other, equal texts)
@@ -114,11 +114,11 @@ def _lead(key: np.ndarray, ids: np.ndarray, sketch, prints, depth: int = 0):
                 many = alive[crowd]
                 leaders.append(many)
                 parts = sketch[many]
-                for i in range(hashes):
+                for i in range(after, hashes):
                     sub = mix(mix(key[many] + np.uint64(i + 1)) ^ parts[:, i].astype(np.uint64))
                     _, size = np.unique(sub, return_inverse=True)
                     x = np.flatnonzero(np.bincount(size)[size] > 1)
-                    deeper = _lead(sub[x], ids[many[x]], _Rows(sketch, many[x]), _Rows(prints, many[x]), depth + 1)[1]
+                    deeper = _lead(sub[x], ids[many[x]], _Rows(sketch, many[x]), _Rows(prints, many[x]), sizes[many[x]], depth + 1, i + 1 if depth else 0)[1]
                     deeper[:, :2] = many[x][deeper[:, :2]]
                     pairs.append(deeper)
                 alive = alive[~crowd]
@@ -131,13 +131,14 @@ def _lead(key: np.ndarray, ids: np.ndarray, sketch, prints, depth: int = 0):
             break
         agree = (sketch[lead] == sketch[others]).sum(1)
         equal = (prints[lead] == prints[others]).all(1)
-        tell = (agree >= hashes // 8) | equal
+        a, b = sizes[lead], sizes[others]
+        tell = (agree >= hashes // 4) & (np.minimum(a, b) >= SIMILARITY * np.maximum(a, b)) | equal
         pairs.append(np.stack([lead[tell], others[tell], equal[tell]], 1))
         back = agree >= hashes // 2
         behind.append(np.stack([lead[back], others[back]], 1))
         alive = others[~back]
     none = np.zeros((0, 3), np.int64)
-    return np.concatenate([none[:, 0], *leaders]), np.concatenate([none, *pairs]), np.concatenate([none[:, :2], *behind])
+    return np.concatenate([none[:, 0], *leaders]), np.unique(np.concatenate([none, *pairs]), axis=0), np.concatenate([none[:, :2], *behind])
 
 
 class _Forest:
@@ -185,7 +186,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, *, similarity: float
             own, full, prints = sketches(words, shingle, hashes)
             if not len(own):
                 continue
-            tokens, ptr = words.hashes().view(np.int64), words.ptr
+            tokens, ptr, size = words.hashes().view(np.int64), words.ptr, words.counts[own]
             ids, small = ids[own], (full & np.uint64(0xFFFF)).astype(np.uint16)
             key = np.empty((len(own), bands), np.uint64)
             for b in range(bands):
@@ -195,7 +196,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, *, similarity: float
                 key[:, b] = k
             # all bands at once: entries are (document, band)
             flat, at = key.ravel(), np.repeat(np.arange(len(own)), bands)
-            leaders, pairs, behind = _lead(flat, ids[at], _Rows(small, at), _Rows(prints, at))
+            leaders, pairs, behind = _lead(flat, ids[at], _Rows(small, at), _Rows(prints, at), size[at])
             pairs[:, :2] = at[pairs[:, :2]]
             forest = _Forest(len(own))
             pairs = np.unique(pairs, axis=0)
@@ -211,14 +212,14 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, *, similarity: float
             apart = root[at[behind[:, 0]]] != root[at[behind[:, 1]]]
             leaders = np.unique(np.concatenate([leaders, behind[apart, 1]]))
             member = roots != ids
-            rows = [(n % buckets, 1, pack(ids[member]), pack(roots[member]), b"", b"", b"")] if member.any() else []
+            rows = [(n % buckets, 1, pack(ids[member]), pack(roots[member]), b"", b"", b"", b"")] if member.any() else []
             k, d = flat[leaders], at[leaders]
             part = (k % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             edges = np.flatnonzero(np.diff(part[order], prepend=-1))
             for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
                 x = order[i:j]
-                rows.append((int(part[order[i]]), 0, pack(ids[d[x]]), pack(roots[d[x]]), pack(k[x]), pack(prints[d[x]]), pack(small[d[x]])))
+                rows.append((int(part[order[i]]), 0, pack(ids[d[x]]), pack(roots[d[x]]), pack(k[x]), pack(prints[d[x]]), pack(small[d[x]]), pack(size[d[x]].astype(np.int64))))
             yield _batch(_SENT, rows)
 
     def meet(table: pa.Table) -> pa.Table:
@@ -235,8 +236,8 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, *, similarity: float
             x = order[many]  # most keys have one text
             if len(x):
                 prints, small = unpack(fresh["prints"], np.uint64).reshape(-1, 2), unpack(fresh["sketches"], np.uint16).reshape(-1, hashes)
-                ids, roots = ids[x], roots[x]
-                pairs = _lead(key[x], ids, small[x], prints[x])[1]
+                ids, roots, sizes = ids[x], roots[x], unpack(fresh["sizes"], np.int64)[x]
+                pairs = _lead(key[x], ids, small[x], prints[x], sizes)[1]
                 i, j = pairs[:, 0], pairs[:, 1]
                 pairs = pairs[roots[i] != roots[j]]
                 i, j = pairs[:, 0], pairs[:, 1]
@@ -292,7 +293,7 @@ def alignment_within(x: np.ndarray, y: np.ndarray, most: int) -> int:
     at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
     if len(y) - int(np.minimum(a[1][at], b[1])[a[0][at] == b[0]].sum()) > most:
         return most + 1
-    few = min(most, 48)  # furthest-reaching diagonals while the distance is small
+    few = min(most, 6)  # furthest-reaching diagonals while the distance is small
     n, m, reach = len(x), len(y), {0: 0}
     for d in range(few + 1):
         if d:
@@ -322,35 +323,39 @@ def alignment_within(x: np.ndarray, y: np.ndarray, most: int) -> int:
             return d
     if few == most:
         return most + 1
-    band = few
-    while True:  # rows of the matrix within a band that doubles
-        band = min(most, band * 2)
-        d = _banded(x, y, band)
+    band = 16
+    while True:  # a band around the diagonal that widens until the distance fits
+        band = min(most, band * 4)
+        d = _banded(x.tolist(), y.tolist(), band)
         if d <= band or band == most:
             return d if d <= most else most + 1
 
 
-def _banded(x: np.ndarray, y: np.ndarray, band: int) -> int:
-    """Edit distance if it is at most band (else a larger number): cell c of row i stands for y[: i - band + c]."""
-    n, m, width = len(x), len(y), 2 * band + 1
-    huge = n + m + 1
-    cells = np.arange(width)
-    row = np.where(cells >= band, cells - band, huge)
-    row[cells - band > m] = huge
-    padded = np.full(m + 2 * band + 2 + n, -1, np.int64)
-    ys = np.concatenate([np.full(band, -1, np.int64), y.astype(np.int64), padded])
-    for i in range(1, n + 1):
-        cost = row + (ys[i - 1 : i - 1 + width] != x[i - 1])
-        cost[:-1] = np.minimum(cost[:-1], row[1:] + 1)
-        j = i - band + cells
-        cost[(j < 0) | (j > m)] = huge
-        if i <= band:
-            cost[band - i] = min(cost[band - i], i)
-        row = np.minimum.accumulate(cost - cells) + cells
-        if row.min() > band:
-            return band + 1
-    c = m - n + band
-    return int(row[c]) if 0 <= c < width else huge
+def _banded(text: list[int], pattern: list[int], k: int) -> int:
+    """Edit distance inside the band |place in pattern - place in text| <= k: right if it is at most k, else too large.
+
+    The band's column is held as the bits of integers: where the distance rises or falls from one place of the pattern
+    to the next. Bit b stands for place i - k + b at step i, so the window moves along the diagonal.
+    """
+    at: dict[int, int] = {}
+    for j, c in enumerate(pattern, 1):
+        at[c] = at.get(c, 0) | 1 << (j + k)
+    width = 2 * k + 1
+    full, top = (1 << width) - 1, 1 << (width - 1)
+    fall = (1 << (k + 1)) - 1  # places before the pattern's start: one less each, so that its start costs i at step i
+    rise = full ^ fall
+    low = k  # the distance at bit 0
+    for i, c in enumerate(text, 1):
+        up, down = rise >> 1 | top, fall >> 1
+        here = at.get(c)
+        x = down if here is None else ((here >> i) & full) | down
+        same = (((x & up) + up) ^ up) | x
+        right, left = down | (full & ~(same | up)), up & same
+        right = (right << 1 | 1) & full
+        rise, fall = ((left << 1) | ~(same | right)) & full, right & same
+        low += 1 - (same & 1)
+    upto = (1 << (len(pattern) - len(text) + k + 1)) - 2
+    return low + (rise & upto).bit_count() - (fall & upto).bit_count()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
