@@ -34,7 +34,7 @@ from .session import checkpointed
 from .textkit import buffers, mix, ragged, slices
 
 GIANT, CHUNK = 32_768, 8_192  # characters
-BATCH = 2 << 20
+BATCH = 1 << 20
 MARK, LITERAL = 0x2581, 0x110000  # the blank's mark; a mark that the text itself has
 NEVER = -(1 << 60)
 _BASE = 0x9E3779B97F4A7C15
@@ -132,7 +132,7 @@ class Vocabulary:
         owners, ats, places = [], [], []
         for n in np.unique(size).tolist():
             who = np.flatnonzero(size == n)
-            for part in np.array_split(who, max(1, len(who) * n // 200_000)):
+            for part in np.array_split(who, max(1, len(who) * n // 32_768)):
                 place, back = self._lattice(chars, starts[part], n)
                 at, row = np.full(len(part), n), np.arange(len(part))
                 while len(row):
