@@ -51,7 +51,7 @@ _METRICS = rf"""{I.HITS}, {_ANSWERS}, {_CASES}, {A._GROUPS}, {A.supported(METRIC
     CASE WHEN refused THEN 1.0 WHEN n IS NULL THEN 0.0 ELSE backed / CAST(n AS DOUBLE) END AS citation_accuracy,
     CASE WHEN len(expected_answer_keywords) = 0 THEN CAST(refused = should_refuse AS DOUBLE) WHEN refused THEN 0.0 ELSE len(list_filter(expected_answer_keywords, lambda k: contains(lower(answer), lower(k)))) / CAST(len(expected_answer_keywords) AS DOUBLE) END AS answer_keyword_recall,
     refused = should_refuse AS refused_correctly, CAST(len(rel) AS INTEGER) AS retrieved_relevant, CAST(len(t) AS INTEGER) AS retrieved_total,
-    CASE WHEN len(expected_source_filenames) = 0 THEN 1.0 ELSE CAST(list_has_any(f, expected_source_filenames) AS DOUBLE) END AS source_accuracy, 0.0 AS redundancy FROM base)"""
+    CASE WHEN len(expected_source_filenames) = 0 THEN 1.0 ELSE CAST(list_has_any(f, expected_source_filenames) AS DOUBLE) END AS source_accuracy, CAST(0 AS DOUBLE) AS redundancy FROM base)"""
 
 
 def _metrics(spark, sf_dir):
@@ -125,7 +125,7 @@ def j14_compare_rewrite(spark, sf_dir):
 @register(
     f"""WITH {I.HITS}, runs AS (SELECT 'a' AS run, query_id AS case_id, chunk_id FROM hits UNION ALL SELECT 'b', query_id, chunk_id FROM hits WHERE NOT (CAST(query_id AS BIGINT) % 7 = 0 AND rank = 2)),
   s AS (SELECT run, case_id, array_to_string(list_sort(list(DISTINCT chunk_id)), ',') AS s FROM runs GROUP BY ALL), c AS (SELECT case_id, count(DISTINCT s) AS n, count(*) AS r FROM s GROUP BY 1)
-  SELECT count_if(n = 1 AND r = 2) AS agreements, count(*) AS total FROM c"""
+  SELECT CAST(count_if(n = 1 AND r = 2) AS BIGINT) AS agreements, count(*) AS total FROM c"""
 )
 def j15_run_agreement(spark, sf_dir):
     hits = I.hits(spark, sf_dir)
