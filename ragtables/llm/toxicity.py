@@ -34,6 +34,8 @@ TERMS = 2000
 WINDOW = 25  # words to either side
 THRESHOLD = 0.3
 _LONGEST = 26
+_TOGETHER = 16_384  # words whose neighbours are looked up at once
+_BATCH = 2 << 20
 
 
 class Trie:
@@ -161,16 +163,15 @@ class Lexicon:
             rest = fresh[~exact]
             size = (w.ends - w.starts)[first[rest]]
             rest = rest[(size >= self.fuzzy_from - 1) & (size <= 4 * _LONGEST)]
-            words = [x.lower() for x in spans(w.data, w.starts[first[rest]], w.ends[first[rest]])]
-            fit = [i for i, x in enumerate(words) if self.fuzzy_from - 1 <= len(x) < _LONGEST and not x.isdigit()]
-            rest, words = rest[fit], [words[i] for i in fit]
-            if words and len(self.near):
-                gaps, who = _gaps(words)
+            for part in np.array_split(rest, len(rest) // _TOGETHER + 1) if len(self.near) else ():
+                words = [x.lower() for x in spans(w.data, w.starts[first[part]], w.ends[first[part]])]
+                fit = [i for i, x in enumerate(words) if self.fuzzy_from - 1 <= len(x) < _LONGEST and not x.isdigit()]
+                gaps, who = _gaps([words[i] for i in fit])
                 for i in np.unique(who[np.isin(gaps, self.near)]).tolist():
-                    hits = LevenshteinAutomaton(words[i]).intersect(self.trie)
+                    hits = LevenshteinAutomaton(words[fit[i]]).intersect(self.trie)
                     if hits:
-                        code[rest[i]] = -1 - max((self.number[h] for h in hits), key=lambda t: self.weights[t])
-        if len(fresh) and len(self._seen) < 4_000_000:
+                        code[part[fit[i]]] = -1 - max((self.number[h] for h in hits), key=lambda t: self.weights[t])
+        if len(fresh) and len(self._seen) < 2_000_000:
             merged = np.concatenate([self._seen, new[fresh]])
             order = np.argsort(merged, kind="stable")
             self._seen, self._code = merged[order], np.concatenate([self._code, code[fresh]])[order]
@@ -255,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches):
         """For each word of a batch: in how many texts of each fold and label it is."""
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", _BATCH):
             y, part = batch.column("__y").to_numpy(zero_copy_only=False), batch.column("__fold").to_numpy(zero_copy_only=False)
             data, offsets = buffers(batch.column("__text"))
             w = Words(data, offsets, NOT_ALNUM)
@@ -280,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     halves = [_lexicon([(r["word"], r[f"t{k}"], r[f"c{k}"]) for r in top], totals.get((k, 1), 0), totals.get((k, 0), 0), terms, LEAST / 2) for k in (0, 1)]
 
     def figures(batches):
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", _BATCH):
             part = batch.column("__fold").to_numpy(zero_copy_only=False)
             x = np.stack([lexicon.features(batch.column("__text")) for lexicon in halves])[1 - part, np.arange(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("__y")], names=["x", "y"])
@@ -294,7 +295,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     frame = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches):
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", _BATCH):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(batch.column("__text")))], names=[id_col, "score"])
 
     return frame.mapInArrow(run, f"`{id_col}` {frame.schema[0].dataType.simpleString()}, score double")
@@ -316,7 +317,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     model = fit(docs, labels.where(~held_out(id_col)), id_col, text_col)
 
     def run(batches):
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, _BATCH):
             yield batch.filter(pa.array(model.score(batch.column(text_col)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
