@@ -70,7 +70,7 @@ def test_promotion(spark):
     rows = hits(spark, [("A", 0, "an overview", 0.9, None), ("A", 1, "m5.xlarge has 4 vCPUs", 0.4, None)])
     asked = spark.createDataFrame([("q", "vCPUs of M5.xlarge?")], "query_id string, query string")
     assert ids(promote.promote_hits(rows, rows, asked, 1)) == ["A:1"]
-    assert ids(promote.promote_hits(rows, rows, asked, 2)) == ["A:1", "A:0"]
+    assert ids(promote.promote_hits(rows, rows, asked, 2)) == ["A:0", "A:1"]
     family = hits(spark, [("A", 0, "an overview", 0.9, None), ("A", 1, "Memory optimized instances are designed for workloads", 0.4, None)])
     assert ids(promote.promote_hits(family, family, asked.withColumn("query", F.lit("for large memory jobs")), 1)) == ["A:1"]
     assert ids(promote.promote_hits(rows, rows, asked.withColumn("query", F.lit("anything")), 1)) == ["A:0"]
