@@ -180,7 +180,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, *, similarity: float
     bands = hashes // per_band
 
     def sketch(batches):
-        for n, batch in enumerate(slices(batches, "__text")):
+        for n, batch in enumerate(slices(batches, "__text", 4 << 20)):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             words = Words(*buffers(batch.column("__text")))
             own, full, prints = sketches(words, shingle, hashes)
