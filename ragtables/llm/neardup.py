@@ -12,7 +12,7 @@ with it and step back, the rest look for a next leader. This is done first
 inside each batch of documents, where pairs are verified at once and joined to
 classes, so only leaders travel: copies in a third of all rows reduce to one row
 per batch and band, and to one node per batch in the graph of links. A leader and another text of its bucket that
-agree in a quarter of the entries, and in length, are paired as well.
+agree in a third of the entries, and in length, are paired as well.
 
 Pairs are verified on the whole texts: similarity = 1 - edit distance over
 words / words of the longer text >= 0.8, the distance by banded alignment. Equal
@@ -132,7 +132,7 @@ def _lead(key: np.ndarray, ids: np.ndarray, sketch, prints, sizes: np.ndarray, d
         agree = (sketch[lead] == sketch[others]).sum(1)
         equal = (prints[lead] == prints[others]).all(1)
         a, b = sizes[lead], sizes[others]
-        tell = (agree >= hashes // 4) & (np.minimum(a, b) >= SIMILARITY * np.maximum(a, b)) | equal
+        tell = (agree >= hashes // 3) & (np.minimum(a, b) >= SIMILARITY * np.maximum(a, b)) | equal
         pairs.append(np.stack([lead[tell], others[tell], equal[tell]], 1))
         back = agree >= hashes // 2
         behind.append(np.stack([lead[back], others[back]], 1))
