@@ -53,7 +53,8 @@ def _spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) ->
     base = seeds.select("kind", "host", (F.lit(1 - damping) * F.col("weight")).alias("base"))
     now = base.select("kind", "host", F.col("base").alias("score"))
     for step in range(rounds):
-        sent = now.join(edges, (now["kind"] == edges["kind"]) & (now["host"] == edges["src"])).select(edges["kind"], F.col("dst").alias("host"), (F.lit(damping) * F.col("score") * F.col("share")).alias("score"))
+        held = now.select(F.col("kind").alias("k"), F.col("host").alias("h"), "score")
+        sent = held.join(edges, (F.col("k") == F.col("kind")) & (F.col("h") == F.col("src"))).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("score") * F.col("share")).alias("score"))
         now = sent.unionByName(base.select("kind", "host", F.col("base").alias("score"))).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if step % 4 == 3:
             now = checkpointed(now)
