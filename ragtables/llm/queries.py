@@ -61,5 +61,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: Windows of 13 words, the smallest document of each, and the words that no later window covers.
+_OP2 = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),
+  win AS (SELECT doc_id, unnest(range(1, len(l) - 11)) AS i, l FROM w WHERE len(l) >= 13),
+  seq AS (SELECT doc_id, i, array_to_string(l[i:i + 12], ' ') AS s FROM win),
+  late AS (SELECT doc_id, i FROM seq JOIN (SELECT s, min(doc_id) AS first FROM seq GROUP BY s) USING (s) WHERE first < doc_id),
+  gone AS (SELECT DISTINCT doc_id, i + k AS i FROM late, range(13) t(k)),
+  words AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS word FROM w),
+  marked AS (SELECT words.doc_id, words.i, word, gone.i IS NOT NULL AS removed FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.i = words.i),
+  sums AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE removed) AS r, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT removed) AS kept FROM marked GROUP BY doc_id)
+  SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN sums USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_substring_dedup": _OP2}
