@@ -48,7 +48,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, groups: tuple[str, ...
     frame = docs.select(F.col(id_col).alias("__id"), *(F.coalesce(F.col(g).cast("string"), F.lit("\x00")).alias(f"__g{i}") for i, g in enumerate(groups)), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches):
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", 2 << 20):
             c = text_counts(batch.column("__text"))
             x = shape(c)
             columns = batch.columns[:-1] + [pa.array(c[k]) for k in COUNTS] + [pa.ListArray.from_arrays(np.arange(0, x.size + 1, D, dtype=np.int32), x.ravel())]

@@ -45,7 +45,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(labels.limit(2 * sample)), id_col).select("__text", "__y")  # bounded by the sample
 
     def run(batches):
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", 2 << 20):
             yield pa.RecordBatch.from_arrays([pa.array(list(_figures(batch.column("__text"))), pa.list_(pa.float64())), batch.column("__y")], names=["x", "y"])
 
     rows = known.mapInArrow(run, "x array<double>, y int").toPandas()
@@ -62,7 +62,7 @@ def evidence(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str, text
     frame = docs.select(F.col(id_col).alias("__id"), name(host_col).alias("host"), name(path_col).alias("path"), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches):
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", 2 << 20):
             p = sigmoid(_figures(batch.column("__text")) @ weights[:-1] + weights[-1]) if len(weights) else np.full(batch.num_rows, share)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.clip(p, 1e-6, 1 - 1e-6))], names=["__id", "host", "path", "p"])
 
