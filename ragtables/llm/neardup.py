@@ -6,13 +6,19 @@ runs are kept in the order in which the text has them, so the sketch follows
 edit similarity and not only the sets. Texts that agree
 on an entry (or a band of several) meet in a bucket.
 
-No bucket is expanded into pairs. The text with the smallest id leads; texts
-whose sketch agrees with the leader's in at least half of the entries are paired
-with it and step back, the rest look for a next leader. This is done first
+The text with the smallest id leads its bucket and is paired with every other
+text there, however few entries they share, unless the counts of their words in
+64 classes rule the similarity out: a word that one side has more often costs an
+edit, so no pair is lost by that. Texts whose sketch agrees with the leader's in
+at least half of the entries step back, the rest look for a next leader, until
+none is left. This is done first
 inside each batch of documents, where pairs are verified at once and joined to
 classes, so only leaders travel: copies in a third of all rows reduce to one row
-per batch and band, and to one node per batch in the graph of links. A leader and another text of its bucket that
-agree in a third of the entries, and in length, are paired as well.
+per batch and band, and to one node per batch in the graph of links.
+
+Between batches, pairs that agree in a third of the entries are verified first.
+The others travel packed and are verified unless the first have already put
+both texts into one class, where a further link changes nothing.
 
 Pairs are verified on the whole texts: similarity = 1 - edit distance over
 words / words of the longer text >= 0.8, the distance by banded alignment. Equal
@@ -36,7 +42,7 @@ from .textkit import Words, buffers, mix, pack, slices, spread, unpack, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
 HASHES, PER_BAND = 24, 1
-ROUNDS, CROWD = 12, 48  # leaders tried in a bucket before a crowd is divided
+BINS = 64  # classes of words that are counted per text
 
 
 def sketches(words: Words, shingle: int = SHINGLE, hashes: int = HASHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,41 +95,37 @@ def sketches(words: Words, shingle: int = SHINGLE, hashes: int = HASHES) -> tupl
     return docs, out, prints
 
 
-_SENT = "bucket int, kind int, ids binary, roots binary, keys binary, prints binary, sketches binary, sizes binary"
-_FOUND = "kind int, a binary, b binary, ra binary, rb binary, equal binary"
+_SENT = "bucket int, kind int, ids binary, roots binary, keys binary, prints binary, sketches binary, sizes binary, bins binary"
+_FOUND = "kind int, part int, a binary, b binary, ra binary, rb binary, equal binary"
+_WEAK = "part int, a binary, b binary, ra binary, rb binary, ca binary"
+
+
+def word_bins(hashes: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """Per text how often it has words of each class, at most 255 (a bound on both sides cannot raise a difference)."""
+    n = len(ptr) - 1
+    at = np.repeat(np.arange(n), np.diff(ptr)) * BINS + (hashes >> np.uint64(58)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n * BINS), 255).astype(np.uint8).reshape(n, BINS)
+
+
+def within_counts(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether rows of word counts leave an edit distance of `most` possible: words on one side only cost an edit each."""
+    d = x.astype(np.int16) - y
+    more = np.maximum(d, 0).sum(1)
+    return np.maximum(more, more - d.sum(1)) <= most
 
 
-def _lead(key: np.ndarray, ids: np.ndarray, sketch, prints, sizes: np.ndarray, depth: int = 0, after: int = 0):
+def _lead(key: np.ndarray, ids: np.ndarray, sketch, prints, sizes: np.ndarray, bins, similarity: float):
     """Leaders of each bucket key and the pairs found on the way.
 
-    sketch: short integer rows, one per entry. Returns positions of the leaders, rows (leader, other, equal texts)
-    of positions to pair, and rows (leader, other) where the other stepped back.
-    A bucket in which many texts share little, such as one common passage, is divided by each further sketch
-    entry in turn: texts that agree often enough to be paired agree in one of those, too.
+    sketch: short integer rows, one per entry; bins: word counts. Returns positions of the leaders, rows (leader, other,
+    equal texts, little agreement) of positions to pair, and rows (leader, other) where the other stepped back.
     """
-    alive, leaders, pairs, behind, rounds = np.lexsort((ids, key)), [], [], [], 0
+    alive, leaders, pairs, behind = np.lexsort((ids, key)), [], [], []
     hashes = sketch.shape[1]
     while len(alive):
         k = key[alive]
         new = np.ones(len(alive), bool)
         new[1:] = k[1:] != k[:-1]
-        if rounds >= ROUNDS and depth < 2:
-            group = np.cumsum(new) - 1
-            crowd = np.bincount(group)[group] > CROWD
-            if crowd.any():
-                many = alive[crowd]
-                leaders.append(many)
-                parts = sketch[many]
-                for i in range(after, hashes):
-                    sub = mix(mix(key[many] + np.uint64(i + 1)) ^ parts[:, i].astype(np.uint64))
-                    _, size = np.unique(sub, return_inverse=True)
-                    x = np.flatnonzero(np.bincount(size)[size] > 1)
-                    deeper = _lead(sub[x], ids[many[x]], _Rows(sketch, many[x]), _Rows(prints, many[x]), sizes[many[x]], depth + 1, i + 1 if depth else 0)[1]
-                    deeper[:, :2] = many[x][deeper[:, :2]]
-                    pairs.append(deeper)
-                alive = alive[~crowd]
-                continue
-        rounds += 1
         lead = alive[np.flatnonzero(new)][np.cumsum(new) - 1]
         leaders.append(alive[new])
         lead, others = lead[~new], alive[~new]
@@ -132,12 +134,16 @@ def _lead(key: np.ndarray, ids: np.ndarray, sketch, prints, sizes: np.ndarray, d
         agree = (sketch[lead] == sketch[others]).sum(1)
         equal = (prints[lead] == prints[others]).all(1)
         a, b = sizes[lead], sizes[others]
-        tell = (agree >= hashes // 3) & (np.minimum(a, b) >= SIMILARITY * np.maximum(a, b)) | equal
-        pairs.append(np.stack([lead[tell], others[tell], equal[tell]], 1))
-        back = agree >= hashes // 2
+        most = np.floor((1 - similarity) * np.maximum(a, b) + 1e-9)
+        tell = (np.abs(a - b) <= most) | equal
+        for i in range(0, len(tell), 1 << 16):
+            x = i + np.flatnonzero(tell[i : i + (1 << 16)])
+            tell[x] = within_counts(bins[lead[x]], bins[others[x]], most[x])
+        pairs.append(np.stack([lead[tell], others[tell], equal[tell], (agree < hashes // 3)[tell] & ~equal[tell]], 1))
+        back = (agree >= hashes // 2) & tell
         behind.append(np.stack([lead[back], others[back]], 1))
         alive = others[~back]
-    none = np.zeros((0, 3), np.int64)
+    none = np.zeros((0, 4), np.int64)
     return np.concatenate([none[:, 0], *leaders]), np.unique(np.concatenate([none, *pairs]), axis=0), np.concatenate([none[:, :2], *behind])
 
 
@@ -171,10 +177,11 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, hashes: int = HASHES, per_band: int = PER_BAND) -> DataFrame:
-    """Rows (known, a, b, ra, rb, equal).
+    """Packed rows (kind, part, a, b, ra, rb, equal).
 
-    known: a is a verified member of the class that b leads within one batch of documents. Else a and b are of different
-    batches and are to be verified (unless their texts are equal); ra and rb lead their classes in their batches.
+    kind 1: a is a verified member of the class that b leads within one batch of documents. Else a and b are of different
+    batches and are to be verified (unless their texts are equal); ra and rb lead their classes in their batches. Kind 0
+    are pairs of texts that agree in a third of their sketches, kind 2 the others, in parts by ra.
     """
     buckets = spread(docs.sparkSession, 1)
     bands = hashes // per_band
@@ -186,7 +193,8 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, *, similarity: float
             own, full, prints = sketches(words, shingle, hashes)
             if not len(own):
                 continue
-            tokens, ptr, size = words.hashes().view(np.int64), words.ptr, words.counts[own]
+            tokens, ptr, size = words.hashes(), words.ptr, words.counts[own]
+            tokens, bins = tokens.view(np.int64), word_bins(tokens, ptr)[own]
             ids, small = ids[own], (full & np.uint64(0xFFFF)).astype(np.uint16)
             key = np.empty((len(own), bands), np.uint64)
             for b in range(bands):
@@ -196,11 +204,11 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, *, similarity: float
                 key[:, b] = k
             # all bands at once: entries are (document, band)
             flat, at = key.ravel(), np.repeat(np.arange(len(own)), bands)
-            leaders, pairs, behind = _lead(flat, ids[at], _Rows(small, at), _Rows(prints, at), size[at])
+            leaders, pairs, behind = _lead(flat, ids[at], _Rows(small, at), _Rows(prints, at), size[at], _Rows(bins, at), similarity)
             pairs[:, :2] = at[pairs[:, :2]]
             forest = _Forest(len(own))
             pairs = np.unique(pairs, axis=0)
-            for i, j, equal in pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist():
+            for i, j, equal, _ in pairs[np.lexsort((pairs[:, 3], -pairs[:, 2]))].tolist():
                 if forest.root(i) != forest.root(j):
                     if equal or similar(tokens[ptr[own[i]] : ptr[own[i] + 1]], tokens[ptr[own[j]] : ptr[own[j] + 1]], similarity):
                         forest.join(i, j)
@@ -212,19 +220,19 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, *, similarity: float
             apart = root[at[behind[:, 0]]] != root[at[behind[:, 1]]]
             leaders = np.unique(np.concatenate([leaders, behind[apart, 1]]))
             member = roots != ids
-            rows = [(n % buckets, 1, pack(ids[member]), pack(roots[member]), b"", b"", b"", b"")] if member.any() else []
+            rows = [(n % buckets, 1, pack(ids[member]), pack(roots[member]), b"", b"", b"", b"", b"")] if member.any() else []
             k, d = flat[leaders], at[leaders]
             part = (k % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             edges = np.flatnonzero(np.diff(part[order], prepend=-1))
             for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
                 x = order[i:j]
-                rows.append((int(part[order[i]]), 0, pack(ids[d[x]]), pack(roots[d[x]]), pack(k[x]), pack(prints[d[x]]), pack(small[d[x]]), pack(size[d[x]].astype(np.int64))))
+                rows.append((int(part[order[i]]), 0, pack(ids[d[x]]), pack(roots[d[x]]), pack(k[x]), pack(prints[d[x]]), pack(small[d[x]]), pack(size[d[x]].astype(np.int64)), pack(bins[d[x]])))
             yield _batch(_SENT, rows)
 
     def meet(table: pa.Table) -> pa.Table:
         local = table.filter(pc.equal(table["kind"], 1))
-        rows = [(1, a, b, b"", b"", b"") for a, b in zip(local["ids"].to_pylist(), local["roots"].to_pylist(), strict=True)]
+        rows = [(1, 0, a, b, b"", b"", b"") for a, b in zip(local["ids"].to_pylist(), local["roots"].to_pylist(), strict=True)]
         fresh = table.filter(pc.equal(table["kind"], 0))
         if fresh.num_rows:
             ids, roots, key = unpack(fresh["ids"], np.int64), unpack(fresh["roots"], np.int64), unpack(fresh["keys"], np.uint64)
@@ -237,14 +245,35 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, *, similarity: float
             if len(x):
                 prints, small = unpack(fresh["prints"], np.uint64).reshape(-1, 2), unpack(fresh["sketches"], np.uint16).reshape(-1, hashes)
                 ids, roots, sizes = ids[x], roots[x], unpack(fresh["sizes"], np.int64)[x]
-                pairs = _lead(key[x], ids, small[x], prints[x], sizes)[1]
+                bins = unpack(fresh["bins"], np.uint8).reshape(-1, BINS)[x]
+                pairs = _lead(key[x], ids, small[x], prints[x], sizes, bins, similarity)[1]
                 i, j = pairs[:, 0], pairs[:, 1]
                 pairs = pairs[roots[i] != roots[j]]
                 i, j = pairs[:, 0], pairs[:, 1]
-                found = np.unique(np.stack([ids[i], ids[j], roots[i], roots[j], pairs[:, 2]], 1), axis=0)
-                rows.append((0, *(pack(c) for c in found.T)))
+                found = np.unique(np.stack([pairs[:, 3], ids[i], ids[j], roots[i], roots[j], pairs[:, 2]], 1), axis=0)
+                rows.append((0, 0, *(pack(c) for c in found[found[:, 0] == 0, 1:].T)))
+                found = found[found[:, 0] == 1, 1:]
+                rows += [(2, part, *(pack(c) for c in x.T)) for part, x in _parts(found[:, 2], found, buckets)]
         return pa.Table.from_batches([_batch(_FOUND, rows)])
 
+    read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("__text"))
+    return read.mapInArrow(sketch, _SENT).groupBy("bucket").applyInArrow(meet, _FOUND)
+
+
+def _parts(key: np.ndarray, rows: np.ndarray, parts: int):
+    """(part, its rows) by the remainder of the key."""
+    if not len(key):
+        return
+    part = key % parts
+    order = np.argsort(part, kind="stable")
+    edges = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+        yield int(part[order[i]]), rows[order[i:j]]
+
+
+def expanded(found: DataFrame) -> DataFrame:
+    """Rows (known, a, b, ra, rb, equal) of the packed rows of kind 0 and 1."""
+
     def expand(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -255,12 +284,39 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, *, similarity: float
                     columns = [np.zeros(len(a), bool), a, b, np.frombuffer(row["ra"], np.int64), np.frombuffer(row["rb"], np.int64), np.frombuffer(row["equal"], np.int64) > 0]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["known", "a", "b", "ra", "rb", "equal"])
 
-    read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("__text"))
-    met = read.mapInArrow(sketch, _SENT).groupBy("bucket").applyInArrow(meet, _FOUND)
-    rows = met.mapInArrow(expand, "known boolean, a long, b long, ra long, rb long, equal boolean")
+    rows = found.where("kind < 2").mapInArrow(expand, "known boolean, a long, b long, ra long, rb long, equal boolean")
     return rows.groupBy("known", "a", "b", "ra", "rb").agg(F.max("equal").alias("equal"))
 
 
+def between(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (a, b, ra, rb, equal) of the packed rows of kind 2 whose classes are not yet one. classes: id, class_id."""
+    parts = spread(found.sparkSession, 1)
+    known = classes.select("id", "class_id", F.pmod("id", F.lit(parts)).cast("int").alias("part")).groupBy("part")
+    names = ("a", "b", "ra", "rb", "ca")
+
+    def labels(nodes: np.ndarray, table: pa.Table) -> np.ndarray:
+        if not table.num_rows:
+            return nodes
+        ids, to = (table[c].to_numpy() for c in ("id", "class_id"))
+        order = np.argsort(ids)
+        at = order[np.minimum(np.searchsorted(ids, nodes, sorter=order), len(ids) - 1)]
+        return np.where(ids[at] == nodes, to[at], nodes)
+
+    def first(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = np.unique(np.stack([unpack(left[c], np.int64) for c in names[:4]], 1), axis=0) if left.num_rows else np.zeros((0, 4), np.int64)
+        rows = np.hstack([rows, labels(rows[:, 2], right)[:, None]])
+        return pa.Table.from_batches([_batch(_WEAK, [(part, *(pack(c) for c in x.T)) for part, x in _parts(rows[:, 3], rows, parts)])])
+
+    def second(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b, ra, rb, ca = (unpack(left[c], np.int64) for c in names)
+        apart = labels(rb, right) != ca
+        return pa.table({n: c[apart] for n, c in zip(names, (a, b, ra, rb), strict=False)})
+
+    weak = found.where("kind = 2").select("part", "a", "b", "ra", "rb").groupBy("part")
+    half = weak.cogroup(known).applyInArrow(first, _WEAK).groupBy("part")
+    return half.cogroup(known).applyInArrow(second, "a long, b long, ra long, rb long").distinct().withColumn("equal", F.lit(False))
+
+
 class _Rows:
     """Rows of an array by an index, without the repeated copy."""
 
@@ -398,8 +454,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY, shingle: int = SHINGLE, hashes: int = HASHES, per_band: int = PER_BAND) -> DataFrame:
     """For each document (id): class_id, the smallest id of its class, and whether it stays (is that one)."""
-    found = checkpointed(candidates(docs, id_col, text_col, similarity=similarity, shingle=shingle, hashes=hashes, per_band=per_band))
+    packed = checkpointed(candidates(docs, id_col, text_col, similarity=similarity, shingle=shingle, hashes=hashes, per_band=per_band))
+    found = checkpointed(expanded(packed))
     classes = components(verified(found.where("not known"), docs, id_col, text_col, similarity))
+    more = verified(between(packed, classes), docs, id_col, text_col, similarity)
+    classes = components(more.unionByName(classes.select(F.col("id").alias("a"), F.col("class_id").alias("b"))))
     members = found.where("known").groupBy(F.col("a").alias("__m")).agg(F.min("b").alias("__root"))
     ids = docs.select(F.col(id_col), F.col(id_col).cast("long").alias("__id")).join(members, F.col("__id") == F.col("__m"), "left")
     ids = ids.withColumn("__root", F.coalesce("__root", "__id")).join(classes.withColumnRenamed("id", "__node"), F.col("__root") == F.col("__node"), "left")
