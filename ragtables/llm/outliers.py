@@ -28,13 +28,16 @@ from .session import checkpointed
 from .stats import shape, text_counts
 from .textkit import slices
 
-#: Standard deviations below which a dimension is not trusted: most texts have no symbol and no repeated line.
-FLOOR = (0.7, 0.15, 0.15, 0.2, 0.12, 0.08, 0.12, 0.12)
+#: Standard deviations that rank the rows for the first step.
+START = (1.4, 0.3, 0.3, 0.4, 0.24, 0.16, 0.24, 0.24)
+#: Added to every spread against a singular covariance (most texts have no symbol and no repeated line): about what one
+#: symbol, line or repeated run adds to a short text. An extreme of any one dimension is still beyond the limit.
+FLOOR = (0.2, 0.05, 0.1, 0.15, 0.07, 0.04, 0.06, 0.06)
 D = len(FLOOR)
 CORE = 0.75
 STEPS = 2
 PRIOR = 60.0  # rows that the estimate over all counts as
-TAIL = 5.5  # normal deviate of the chi-square limit: about two in 10^8 under normality
+TAIL = 3.5  # normal deviate of the chi-square limit: about two in 10,000 under normality
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -113,7 +116,7 @@ def _central(n: float, s) -> tuple[np.ndarray, np.ndarray]:
 def estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, m, w): robust mean and whitening triangle per group, from rows with x."""
     middle = rows.groupBy(*keys).agg(F.array(*(F.percentile_approx(F.col("x")[i], 0.5) for i in range(D))).alias("m"))
-    spread = np.diag(np.square(2 * np.array(FLOOR)))
+    spread = np.diag(np.square(START))
     now = middle.withColumn("w", F.array(*map(F.lit, _triangle(spread).tolist())))
     for step in range(STEPS + 1):
         far = rows.join(now, keys).select(*keys, "x", _distance().alias("d"))

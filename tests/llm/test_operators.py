@@ -112,6 +112,29 @@ def test_outliers(spark, odd, empty, sf_dir):
     assert kept[1] > 0.97 and kept.get(0, 0) < kept[1]
 
 
+def test_outliers_of_one_dimension(spark):
+    r = random.Random(6)
+    new = lambda low=3, high=8: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(low, high)))
+    line = lambda n=12: " ".join(w + "." * (r.random() < 0.12) for w in [new().title(), *(new() for _ in range(n - 1))])
+    clean = lambda: "\n".join(line() for _ in range(r.randint(6, 11)))
+    few, run, single = [new() for _ in range(20)], [new() for _ in range(9)], [new() for _ in range(20)] * 4
+    r.shuffle(single)
+    planted = {
+        "long": "\n".join(line() for _ in range(3000)),
+        "letters": re.sub(r"[a-z]+", lambda m: m.group() * 6, clean()),
+        "symbols": clean().replace(" ", " # "),
+        "lines": "\n".join(single),
+        "repeated": " ".join([*run, *line(82).split(" "), *run]),
+        "distinct": " ".join(r.choice(few) for _ in range(100)),
+        "capitals": clean().upper(),
+        "stops": clean().replace(" ", "!? "),
+    }
+    rows = [(f"clean{i}", clean(), "en", "s") for i in range(300)] + [(k, t, "en", "s") for k, t in planted.items()]
+    got = {x["doc_id"]: x for x in outliers.quality_rules(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")).collect()}
+    assert [k for k in planted if got[k]["base_failed"]] == [] and [k for k in planted if got[k]["kept"]] == []
+    assert sum(x["kept"] for k, x in got.items() if k.startswith("clean")) >= 297
+
+
 def test_packing(spark, odd, empty):
     from tokenizers import Tokenizer
 
