@@ -16,6 +16,8 @@ from ..params import Params
 
 #: Queries whose vectors are held by every task at once; more are searched in rounds of this many.
 QUERY_BLOCK = 8192
+#: Terms that every task tests at once; more are tested in rounds of this many.
+TERM_BLOCK = 100_000
 DIGITS = 6  # scores are rounded to this, so that equal texts tie however they were summed
 
 
@@ -174,18 +176,28 @@ def dense_rank_of_keyword(queries: DataFrame, chunks: DataFrame, depth: int = 10
 def term_presence(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, chunks): number of chunks that contain each term, ignoring case; terms that are nowhere count 0.
 
-    The terms are probes, collected in bounded number; every chunk is tested against all of them where it is read.
+    The terms are probes: blocks of about TERM_BLOCK of them, dealt by hash, are tested one after the other, each against
+    every chunk where it is read.
     """
-    listed = [r["term"] for r in terms.select("term").distinct().limit(100_000).collect()]
-    lower = [t.lower() for t in listed]
+    spark, asked = chunks.sparkSession, terms.select("term").distinct()
+    blocks = max(1, -(-asked.count() // TERM_BLOCK))
+    texts, found = chunks.select(F.lower("text").alias("text")), None
+    for i in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i).collect()  # at most about TERM_BLOCK rows
+        part = texts.mapInArrow(_counter(spark.sparkContext.broadcast([r["term"] for r in rows])), "term string, chunks long")
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy("term").agg(F.sum("chunks").alias("chunks"))
+    return asked.join(found, "term", "left").select("term", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"))
+
 
+def _counter(listed):
     def count(batches):
+        lower = [t.lower() for t in listed.value]
         n = np.zeros(len(lower), np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 for i, t in enumerate(lower):
                     n[i] += text is not None and t in text
-        yield pa.RecordBatch.from_arrays([pa.array(listed, pa.string()), pa.array(n)], names=["term", "chunks"])
+        yield pa.RecordBatch.from_arrays([pa.array(listed.value, pa.string()), pa.array(n)], names=["term", "chunks"])
 
-    found = chunks.select(F.lower("text").alias("text")).mapInArrow(count, "term string, chunks long").groupBy("term").agg(F.sum("chunks").alias("chunks"))
-    return terms.select("term").distinct().join(found, "term", "left").select("term", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"))
+    return count

@@ -121,3 +121,12 @@ def test_knn_equals_brute_force(spark):
     for q in asked.collect():
         best = sorted(rows, key=lambda c: (-round(float(np.dot(q["vector"], c[3])), 6), c[1], c[2]))[:5]
         assert [got[q["query_id"], k + 1] for k in range(5)] == [c[0] for c in best]
+
+
+def test_more_terms_than_a_block(spark):
+    r = random.Random(3)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(470))
+    terms = {text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1)} | {"0"}
+    assert len(terms) > 100_000
+    got = search.term_presence(spark.createDataFrame([(text,), (None,)], "text string"), spark.createDataFrame([(t,) for t in sorted(terms)], "term string"))
+    assert {(x["chunks"], x["count"]) for x in got.groupBy("chunks").count().collect()} == {(1, len(terms) - 1), (0, 1)}
