@@ -184,7 +184,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if not len(starts):
                 continue
             ids = t.ids[np.searchsorted(t.words.ptr, starts, side="right") - 1]
-            h, g = windows(t.hashes, length)[starts], windows(t.hashes, length, 1)[starts]
+            h, g = windows(t.hashes, length)[starts], windows(t.words.hashes(seed=1), length, 1)[starts]
             order, first, run = _runs(h, g, ids)
             h, g, ids = (x[order[first]] for x in (h, g, ids))
             new = np.ones(len(h), bool)

@@ -8,11 +8,13 @@ maximal run of bytes other than the six ASCII white-space characters.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WINDOW_BYTES = 1 << 20  # bytes hashed at once: bounds the scratch memory of one task
+LONG = 256  # bytes beyond which a span is fingerprinted by itself
 BATCH_BYTES = 8 << 20  # texts handled together
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
@@ -23,9 +25,9 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> _S)
-    x = x * _M1
+    x *= _M1
     x ^= x >> _S
-    x = x * _M2
+    x *= _M2
     x ^= x >> _S
     return x
 
@@ -97,54 +99,37 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-class _Powers:
-    """Running powers of an odd base and of its inverse modulo 2**64."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) <= n:
-            size = max(n + 1, WINDOW_BYTES + 1)
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                p = np.full(size, base, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-        return self.up, self.down
-
-
-_POWERS = {0: _Powers(0x9E3779B97F4A7C15), 1: _Powers(0xD1B54A32D192ED03)}
-_TABLES: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def _table(seed: int, lower: bool) -> np.ndarray:
-    if (seed, lower) not in _TABLES:
-        t = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D + 2 * seed))
-        if lower:
-            t[65:91] = t[97:123]
-        _TABLES[seed, lower] = t
-    return _TABLES[seed, lower]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SEEDS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15))
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, lower: bool = False, seed: int = 0) -> np.ndarray:
-    """64-bit fingerprints of the byte spans [start, end); starts ascend. Equal bytes, equal fingerprint."""
-    out = np.empty(len(starts), np.uint64)
-    table, powers = _table(seed, lower), _POWERS[seed]
-    i = 0
-    while i < len(starts):
-        lo = starts[i]
-        j = max(i + 1, int(np.searchsorted(starts, lo + WINDOW_BYTES)))
-        while j > i + 1 and ends[j - 1] - lo > 2 * WINDOW_BYTES:
-            j -= 1
-        hi = int(ends[i:j].max())
-        up, down = powers.upto(hi - lo)
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(table[data[lo:hi]] * up[: hi - lo], out=sums[1:])
-        a, b = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
-        i = j
-    return mix(out)
+    """64-bit fingerprints of the byte spans [start, end). Equal bytes, equal fingerprint, wherever they stand.
+
+    Eight bytes at a time are mixed into what came before, so no sum of powers is there to cancel out; spans of more than
+    LONG bytes, of which there are few, go through BLAKE2 one by one. Fingerprints of different seeds are independent.
+    """
+    if lower:
+        data = _LOWER[data]
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + _SEEDS[seed])
+    if not len(starts):
+        return out
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix(out ^ (eight[starts] & _KEEP[np.minimum(size, 8)]))
+    at, live = 8, np.flatnonzero((size > 8) & (size <= LONG))
+    while len(live):
+        left = size[live] - at
+        out[live] = mix(out[live] ^ (eight[starts[live] + at] & _KEEP[np.minimum(left, 8)]))
+        at += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]], digest_size=8, salt=bytes([seed])).digest(), "little")
+    return out
 
 
 class Words:
@@ -184,6 +169,7 @@ def windows(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     step = np.uint64(0x9E3779B97F4A7C15 if seed == 0 else 0xC2B2AE3D27D4EB4F)
     for k in range(size):
+        out ^= out >> np.uint64(29)  # so that the whole is no polynomial in the step
         out *= step
         out += hashes[k : k + n]
     return mix(out)

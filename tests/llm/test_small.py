@@ -28,11 +28,24 @@ def test_words():
     assert len({x for x, t in zip(low.tolist(), got) if t.lower() == "same"}) == 1
 
 
-def test_hashes_do_not_depend_on_the_window(monkeypatch):
-    text = pa.array([" ".join(random.Random(1).choice(["alpha", "be", "c" * 40]) for _ in range(500))])
-    whole = textkit.Words(*textkit.buffers(text)).hashes()
-    monkeypatch.setattr(textkit, "WINDOW_BYTES", 64)
-    assert (textkit.Words(*textkit.buffers(text)).hashes() == whole).all()
+def thue_morse(n, a="a", b="b"):
+    """Two words of n letters that sums of letter values times powers of any base modulo 2^64 take for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+def test_hashes_tell_words_apart():
+    r = random.Random(1)
+    listed = [w for n in (64, 256, 1024, 2048, 4096, 8192) for w in thue_morse(n)]
+    listed += ["".join(r.choice("ab") for _ in range(r.randint(1, 40))) for _ in range(3000)]
+    listed += [chr(97 + i % 26) * (i // 26 + 1) for i in range(26 * 300)]
+    spots = [" ".join(listed), "  x " + "\n".join(listed[::-1])]  # the same words elsewhere in the bytes
+    for seed in (0, 1):
+        seen = {}
+        for w in (textkit.Words(*textkit.buffers(pa.array([t]))) for t in spots):
+            for h, x in zip(w.hashes(seed=seed).tolist(), textkit.spans(w.data, w.starts, w.ends), strict=True):
+                assert seen.setdefault(h, x) == x
+        assert len(seen) == len({*listed, "x"})
 
 
 def test_slices_keep_all_rows():
