@@ -9,8 +9,14 @@ A giant document is split into chunks that are solved apart. For each chunk a
 transfer matrix says what it is worth to enter s characters behind its left edge
 and to leave t characters behind its right edge (a piece may hang over by less
 than the longest piece). Such matrices combine associatively by max-plus
-products; the scan over a document's small matrices gives the states at all
-edges, and each chunk is then traced back independently between its two states.
+products: first those of each block of chunks into one, then the blocks of a
+document give the states at their edges, and these give the states at all edges
+inside each block. Each chunk is then traced back independently between its two.
+
+Among cuttings of the same worth the one with the longer last piece is taken (then
+the longer one before it, and so on). Beside each matrix goes the order in which
+its entries come under this rule, which combines associatively, too; so a document
+gets the same pieces whether it is split or not.
 
 A model of unigram type keeps its scores; other models (merges) get the logarithm
 of a Zipf law over the rank. Characters outside the vocabulary become their UTF-8
@@ -23,7 +29,8 @@ table gives no rows.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import checkpointed
-from .textkit import buffers, mix, ragged, slices
+from .textkit import buffers, mix, ragged, slices, span_hashes
 
 GIANT, CHUNK = 32_768, 8_192  # characters
+BLOCK = 64  # chunks whose matrices are combined before those of the whole document are
 BATCH = 1 << 20
+IDS = 1 << 18  # ids decoded at once
 MARK, LITERAL = 0x2581, 0x110000  # the blank's mark; a mark that the text itself has
 NEVER = -(1 << 60)
 _BASE = 0x9E3779B97F4A7C15
@@ -47,6 +56,20 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@dataclass
+class Transfer:
+    worth: np.ndarray  # [s, t]
+    order: np.ndarray  # [s, t]: place of the entry s among those for t
+
+    def packed(self) -> bytes:
+        return self.worth.astype("<i8").tobytes() + self.order.astype(np.uint8).tobytes()
+
+    @staticmethod
+    def unpacked(raw: bytes) -> Transfer:
+        side = int(round((len(raw) // 9) ** 0.5))
+        return Transfer(np.frombuffer(raw, "<i8", side * side).reshape(side, side), np.frombuffer(raw, np.uint8, offset=8 * side * side).reshape(side, side).astype(np.int64))
+
+
 class _Powers:
     up = down = np.ones(1, np.uint64)
 
@@ -192,10 +215,7 @@ class Vocabulary:
         cut[at] = True
         edges = np.flatnonzero(cut)
         starts, ends = edges[:-1], edges[1:]
-        up, down = _powers(len(chars))
-        sums = np.zeros(len(chars) + 1, np.uint64)
-        np.cumsum(mix(chars.astype(np.uint64) + np.uint64(1)) * up[: len(chars)], out=sums[1:])
-        _, first, code = np.unique(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), return_index=True, return_inverse=True)
+        first, code = self._distinct(chars, starts, ends)
         flat, count = self.solve(chars, starts[first], ends[first])
         begin = np.cumsum(count) - count
         return flat[ragged(begin[code], count[code])], np.concatenate([[0], np.cumsum(count[code])])[np.searchsorted(starts, at)]
@@ -209,24 +229,59 @@ class Vocabulary:
         keep[edge[:-1][np.diff(edge) > 0]] = False
         return data[keep], np.concatenate([[0], np.cumsum(keep)])[edge]
 
-    def transfer(self, chars: np.ndarray, n: int) -> np.ndarray:
-        """Max-plus matrix [s, t] of a chunk: its n characters, then those that a piece may hang over to."""
-        most = self.longest
+    def transfers(self, chars: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[Transfer]:
+        """Max-plus matrices [s, t] of chunks: the size[d] characters of each, then those that a piece may hang over to."""
+        most, none = self.longest, np.zeros(0, np.int64)
         cut = self.cuts(chars)
-        inner = np.flatnonzero(cut[: n + 1])
-        if not len(inner):
-            return self._worth(chars, n, np.arange(most))
-        a, b = int(inner[0]), int(inner[-1])
-        head = self._worth(chars[:a], a, np.arange(most))[:, 0]
-        tail = self._worth(chars[b:], n - b, np.zeros(1, np.int64))[0]
-        middle = 0
-        if b > a:
-            edges = inner
-            starts, ends = edges[:-1], edges[1:]
-            flat, count = self.solve(chars, starts, ends)
-            middle = int(self._scores()[flat].sum())
-        out = head[:, None] + middle + tail[None, :]
-        return np.where((head[:, None] <= NEVER // 2) | (tail[None, :] <= NEVER // 2), NEVER, out)
+        cut[at[:-1]] = ~self.joins[chars[at[:-1]]]  # what stands before a chunk is not to be seen here
+        cut[at[-1]] = False
+        places = np.flatnonzero(cut)
+        lo, end = np.searchsorted(places, at[:-1]), at[:-1] + size
+        hi = np.where(end < at[1:], np.searchsorted(places, end, side="right"), np.searchsorted(places, end))
+        # units between two cuts of one chunk, each distinct one solved once
+        edge = np.zeros(len(places) + 1, np.int64)
+        some = hi > lo
+        np.add.at(edge, lo[some], 1)
+        np.add.at(edge, hi[some] - 1, -1)
+        unit = np.flatnonzero(np.cumsum(edge[:-1]) > 0) if len(places) else none
+        worth = np.zeros(len(places) + 1, np.int64)
+        if len(unit):
+            first, code = self._distinct(chars, places[unit], places[unit + 1])
+            flat, count = self.solve(chars, places[unit][first], places[unit + 1][first])
+            total = np.concatenate([[0], np.cumsum(self._scores()[flat])])
+            stop = np.cumsum(count)
+            worth[unit] = (total[stop] - total[stop - count])[code]
+        before = np.concatenate([[0], np.cumsum(worth)])
+        entries, out = np.arange(most), [None] * len(size)
+        heads, tails = [None] * len(size), [None] * len(size)
+
+        def fill(target: list, who: np.ndarray, starts: np.ndarray, n: np.ndarray, total: np.ndarray, entries: np.ndarray) -> None:
+            for key in np.unique(np.stack([n, total], 1), axis=0):
+                same = np.flatnonzero((n == key[0]) & (total == key[1]))
+                for part in np.array_split(same, -(-len(same) * int(key[1] + 1) * most // (1 << 21))):
+                    for d, x in zip(who[part].tolist(), zip(*self._worth(chars, starts[part], int(key[0]), int(key[1]), entries), strict=True), strict=True):
+                        target[d] = x
+
+        reach = np.minimum(np.diff(at), size + most - 1)
+        who = np.flatnonzero(some)
+        a, b = (places[lo[who]], places[hi[who] - 1]) if len(who) else (none, none)
+        fill(heads, who, at[who], a - at[who], a - at[who], entries)
+        fill(tails, who, b, end[who] - b, at[who] + reach[who] - b, entries[:1])
+        for d in who.tolist():
+            head, rank = heads[d][0][:, 0], heads[d][1][:, 0]
+            tail = tails[d][0][0]
+            m = head[:, None] + (before[hi[d] - 1] - before[lo[d]]) + tail[None, :]
+            m = np.where((head[:, None] <= NEVER // 2) | (tail[None, :] <= NEVER // 2), NEVER, m)
+            out[d] = Transfer(m, np.repeat(rank[:, None], most, 1))
+        who = np.flatnonzero(~some)
+        fill(out, who, at[who], size[who], reach[who], entries)
+        return [x if isinstance(x, Transfer) else Transfer(*x) for x in out]
+
+    def _distinct(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each distinct span stands first, and the number of the distinct span that each span is."""
+        keys = span_hashes(np.ascontiguousarray(chars).view(np.uint8), starts * 4, ends * 4)
+        _, first, code = np.unique(keys, return_index=True, return_inverse=True)
+        return first, code
 
     def _scores(self) -> np.ndarray:
         if not hasattr(self, "_by_id"):
@@ -234,30 +289,39 @@ class Vocabulary:
             self._by_id[self.ids] = self.score
         return self._by_id
 
-    def _worth(self, chars: np.ndarray, n: int, entries: np.ndarray) -> np.ndarray:
-        """Best scores from each entry to the places n, n + 1, ... where the last piece begins before n (or there is none)."""
-        most = self.longest
-        total = min(len(chars), n + most - 1)
-        best = np.full((total + most + 1, len(entries)), NEVER, np.int64)
-        for j, s in enumerate(entries.tolist()):
-            if s <= total:
-                best[s, j] = 0
-        end = np.repeat(np.arange(1, total + 1), most)
-        size = np.tile(np.arange(1, most + 1), total)
+    def _worth(self, chars: np.ndarray, starts: np.ndarray, n: int, total: int, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of spans of `total` characters: best scores [span, entry, t] from each entry to place n + t, where the last piece
+        begins before n (or there is none), and the order of the entries for each t."""
+        most, e, rows = self.longest, len(entries), np.arange(len(starts))
+        end, size = np.repeat(np.arange(1, total + 1), most), np.tile(np.arange(1, most + 1), total)
         ok = (size <= end) & (end - size < n)
-        score = np.full(total * most, NEVER, np.int64)
-        if ok.any():
-            score[ok], _ = self.edges(chars, (end - size)[ok], size[ok])
-        score = score.reshape(total, most)
-        for i in range(1, total + 1):
-            m = min(i, most)
-            options = score[i - 1, :m, None] + best[i - m : i][::-1]
-            best[i] = np.maximum(best[i], options.max(0))
-        out = np.full((len(entries), most), NEVER, np.int64)
-        for t in range(most):
-            if n + t <= total:
-                out[:, t] = np.where(best[n + t] > NEVER // 2, best[n + t], NEVER)
-        return out
+        end, size = end[ok], size[ok]
+        score = np.full((len(starts), total, most), NEVER, np.int64)
+        if len(end):
+            own = chars[ragged(starts, np.full(len(starts), total))]
+            at = (rows * total)[:, None] + (end - size)[None, :]
+            score[:, end - 1, size - 1] = self.edges(own, at.ravel(), np.broadcast_to(size, at.shape).ravel())[0].reshape(at.shape)
+        best = np.full((len(starts), total + 1, e), NEVER, np.int64)
+        order = np.zeros((len(starts), total + 1, e), np.int64)
+        for i in range(total + 1):
+            key = np.full((len(starts), e), 1 << 20, np.int64)
+            if i:
+                m = min(i, most)
+                options = score[:, i - 1, :m, None] + best[:, i - m : i][:, ::-1]
+                pick = m - 1 - options[:, ::-1].argmax(1)  # among equals the longest
+                best[:, i] = np.maximum(np.take_along_axis(options, pick[:, None], 1)[:, 0], NEVER)
+                if e > 1:
+                    key = np.where(best[:, i] > NEVER // 2, (most - pick) * 64 + order[rows[:, None], i - 1 - pick, np.arange(e)], key)
+            if i < most and (entries == i).any():
+                j = int(np.flatnonzero(entries == i)[0])
+                best[:, i, j], key[:, j] = 0, -1  # a path that begins here came over the edge by a longer piece
+            if e > 1:
+                order[:, i] = key.argsort(1, kind="stable").argsort(1, kind="stable")
+        worth, ranks = np.full((len(starts), e, most), NEVER, np.int64), np.zeros((len(starts), e, most), np.int64)
+        upto = min(most, total - n + 1)
+        worth[:, :, :upto] = best[:, n : n + upto].transpose(0, 2, 1)
+        ranks[:, :, :upto] = order[:, n : n + upto].transpose(0, 2, 1)
+        return np.where(worth > NEVER // 2, worth, NEVER), ranks
 
 
 def _fingerprint(chars: np.ndarray) -> np.uint64:
@@ -282,22 +346,28 @@ def characters(column: pa.Array, prefix: np.ndarray | None = None) -> tuple[np.n
     return np.insert(chars, at[:-1][ahead], MARK).astype(np.uint32), at + np.concatenate([[0], np.cumsum(ahead)])
 
 
-def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus product of two transfer matrices."""
-    return np.maximum((a[:, :, None] + b[None, :, :]).max(1), NEVER)
+def combine(a: Transfer, b: Transfer) -> Transfer:
+    """Max-plus product, and the order of the entries: that of the middle states, then that of the entries to them."""
+    options = a.worth[:, :, None] + b.worth[None, :, :]
+    worth = options.max(1)
+    middle = np.where(options == worth[:, None, :], b.order[None, :, :], 1 << 20).argmin(1)  # [s, u]
+    key = np.take_along_axis(b.order, middle, 0) * 64 + np.take_along_axis(a.order, middle, 1)
+    key = np.where(worth > NEVER // 2, key, 1 << 20)
+    return Transfer(np.where(worth > NEVER // 2, worth, NEVER), key.argsort(0, kind="stable").argsort(0, kind="stable"))
 
 
-def edge_states(matrices: list[np.ndarray]) -> list[int]:
-    """States at all chunk edges of the best path from state 0 to state 0."""
-    ahead = np.full((1, len(matrices[0])), NEVER, np.int64)
-    ahead[0, 0] = 0
+def edge_states(transfers: list[Transfer], enter: int = 0, leave: int = 0) -> list[int]:
+    """States at all edges of the best path from one state to another."""
+    ahead = np.full(len(transfers[0].worth), NEVER, np.int64)
+    ahead[enter] = 0
     prefixes = [ahead]
-    for m in matrices[:-1]:
-        ahead = combine(ahead, m)
+    for x in transfers[:-1]:
+        ahead = np.maximum((ahead[:, None] + x.worth).max(0), NEVER)
         prefixes.append(ahead)
-    states = [0]
-    for m, p in zip(matrices[::-1], prefixes[::-1], strict=True):
-        states.append(int((p[0] + m[:, states[-1]]).argmax()))
+    states = [leave]
+    for x, p in zip(transfers[::-1], prefixes[::-1], strict=True):
+        total = p + x.worth[:, states[-1]]
+        states.append(int(np.where(total == total.max(), x.order[:, states[-1]], 1 << 20).argmin()))
     return states[::-1]
 
 
@@ -314,33 +384,46 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, m
 
     def split(batches):
         over = vocabulary(path).longest - 1
-        for batch in batches:
+        for batch in slices(batches, "__text", BATCH):
             for i, text in enumerate(batch.column("__text").to_pylist()):
-                rows = [(k, text[a : a + chunk + over], min(chunk, len(text) - a), a + chunk >= len(text)) for k, a in enumerate(range(0, len(text), chunk))]
-                columns = [batch.column(0).take(pa.array([i] * len(rows), pa.int64())), batch.column("__row").take(pa.array([i] * len(rows), pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.int32(), pa.bool_()), strict=True)], names=["__id", "row", "part", "text", "size", "last"])
-
-    chunks = frame.where(F.length("__text") > giant).withColumn("__row", F.monotonically_increasing_id()).mapInArrow(split, f"__id {kind}, row long, part int, text string, size int, last boolean")
+                for at in range(0, len(text), BATCH // 2):
+                    rows = [(a // chunk, text[a : a + chunk + over], min(chunk, len(text) - a), a + chunk >= len(text)) for a in range(-(-at // chunk) * chunk, min(at + BATCH // 2, len(text)), chunk)]
+                    if rows:
+                        same = pa.array([i] * len(rows), pa.int64())
+                        columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.int32(), pa.bool_()), strict=True)]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column("__row").take(same), *columns], names=["__id", "row", "part", "text", "size", "last"])
+
+    giants = frame.where(F.length("__text") > giant).withColumn("__row", F.monotonically_increasing_id())
+    chunks = giants.mapInArrow(split, f"__id {kind}, row long, part int, text string, size int, last boolean")
     chunks = checkpointed(chunks.repartition("row", "part"))
 
     def matrices(batches):
-        v = vocabulary(path)
-        for batch in batches:
-            out = []
-            for part, text, size, last in zip(*(batch.column(c).to_pylist() for c in ("part", "text", "size", "last")), strict=True):
-                chars, _ = characters(pa.array([text]), np.array([part == 0]))
-                m = v.transfer(chars, size + (part == 0))
-                if last:
-                    m[:, 1:] = NEVER
-                out.append(m.astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("part"), pa.array(out, pa.binary())], names=["row", "part", "m"])
-
-    def scan(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["part"].to_numpy())
+        for batch in slices(batches, "text", BATCH):
+            first, last = batch.column("part").to_numpy() == 0, batch.column("last").to_numpy(zero_copy_only=False)
+            out = vocabulary(path).transfers(*characters(batch.column("text"), first), batch.column("size").to_numpy().astype(np.int64) + first)
+            for d in np.flatnonzero(last).tolist():
+                out[d].worth[:, 1:] = NEVER
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("part"), pa.array(batch.column("part").to_numpy() // BLOCK), pa.array([x.packed() for x in out], pa.binary())], names=["row", "part", "block", "m"])
+
+    def ordered(table: pa.Table, by: str) -> tuple[np.ndarray, list[Transfer]]:
+        order = np.argsort(table[by].to_numpy())
         raw = table["m"].to_pylist()
-        side = int(round((len(raw[0]) // 8) ** 0.5))
-        states = edge_states([np.frombuffer(raw[i], "<i8").reshape(side, side) for i in order])
-        return pa.table({"row": table["row"], "part": pa.array(np.arange(len(order)), pa.int32()), "s": pa.array(states[:-1], pa.int32()), "t": pa.array(states[1:], pa.int32())})
+        return table[by].to_numpy()[order], [Transfer.unpacked(raw[i]) for i in order]
+
+    def fold(table: pa.Table) -> pa.Table:
+        """The product of a block's matrices."""
+        return pa.table({"row": table["row"][:1], "block": table["block"][:1], "m": pa.array([reduce(combine, ordered(table, "part")[1]).packed()], pa.binary())})
+
+    def across(table: pa.Table) -> pa.Table:
+        """States at the edges of a document's blocks, of which a text of 2 GB has 4096."""
+        blocks, transfers = ordered(table, "block")
+        states = np.array(edge_states(transfers), np.int32)
+        return pa.table({"row": table["row"], "block": pa.array(blocks), "enter": pa.array(states[:-1]), "leave": pa.array(states[1:])})
+
+    def within(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts, transfers = ordered(left, "part")
+        states = np.array(edge_states(transfers, right["enter"][0].as_py(), right["leave"][0].as_py()), np.int32)
+        return pa.table({"row": left["row"], "part": pa.array(parts), "s": pa.array(states[:-1]), "t": pa.array(states[1:])})
 
     def trace(batches):
         for batch in slices(batches, "text", BATCH):
@@ -352,7 +435,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, m
             ids, edge = vocabulary(path).encode(chars[ragged(a, own)], np.concatenate([[0], np.cumsum(own)]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "__id", "part")), pa.ListArray.from_arrays(edge.astype(np.int32), ids.astype(np.int32))], names=["row", "__id", "part", "ids"])
 
-    states = chunks.select("row", "part", "text", "size", "last").mapInArrow(matrices, "row long, part int, m binary").groupBy("row").applyInArrow(scan, "row long, part int, s int, t int")
+    made = checkpointed(chunks.select("row", "part", "text", "size", "last").mapInArrow(matrices, "row long, part int, block int, m binary"))
+    blocks = made.groupBy("row", "block").applyInArrow(fold, "row long, block int, m binary")
+    edges = blocks.groupBy("row").applyInArrow(across, "row long, block int, enter int, leave int")
+    states = made.groupBy("row", "block").cogroup(edges.groupBy("row", "block")).applyInArrow(within, "row long, part int, s int, t int")
     traced = chunks.join(states, ["row", "part"]).mapInArrow(trace, f"row long, __id {kind}, part int, ids array<int>")
     joined = traced.groupBy("row").agg(F.first("__id").alias(id_col), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])).alias("ids"))
     return frame.where(F.length("__text") <= giant).mapInArrow(whole, f"`{id_col}` {kind}, ids array<int>").unionByName(joined.select(id_col, "ids"))
@@ -364,7 +450,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *,
     frame = encoded.select(F.col(id_col), F.coalesce(ids_col, F.array().cast("array<int>")).alias("ids"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "ids", IDS):
             ids = batch.column("ids")
             at = ids.offsets.to_numpy().astype(np.int64)
             data, edge = vocabulary(path).decode(ids.flatten().to_numpy().astype(np.int64), at - at[0])

@@ -52,9 +52,10 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches, column: str, most: int = BATCH_BYTES):
-    """Record batches cut so that the texts of each hold at most `most` bytes (or one text)."""
+    """Record batches cut so that the texts (or lists) of each hold at most `most` bytes (or entries), or one text."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        length = pc.list_value_length if pa.types.is_list(batch.column(column).type) else pc.binary_length
+        sizes = pc.fill_null(length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         at, total = 0, 0
         for i, n in enumerate(sizes.tolist()):
             if i > at and total + n > most:

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,10 +227,24 @@ def test_components(spark):
 def test_pieces(spark, odd, empty):
     back = pieces.decode(pieces.encode(odd, giant=500, chunk=97)).collect()
     assert Counter((r["doc_id"], r["text"]) for r in back) == Counter((r["doc_id"], r["text"] or "") for r in odd.collect())
+    whole = Counter((r["doc_id"], tuple(r["ids"])) for r in pieces.encode(odd, giant=10**9).collect())
+    assert whole == Counter((r["doc_id"], tuple(r["ids"])) for r in back)
+    assert pieces.encode(empty).count() == 0
+
+
+def test_giant_texts_get_the_same_pieces(spark, sf_dir):
+    """Beyond GIANT characters at the default sizes, with and without places to cut at, and as the query gives them."""
+    r = random.Random(2)
+    texts = ["x" * 70_000, "".join(r.choice("aathein") for _ in range(70_000)), " ".join(r.choice(["the", "ining", "é", "aaa"]) for _ in range(30_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    split, whole = ({r["doc_id"]: list(r["ids"]) for r in pieces.encode(df, giant=g).collect()} for g in (pieces.GIANT, 10**9))
+    assert split == whole and {r["doc_id"]: r["text"] for r in pieces.decode(pieces.encode(df)).collect()} == dict(enumerate(texts))
     v = pieces.vocabulary(pieces.default_model())
-    whole = {r["doc_id"]: int(v._scores()[np.array(r["ids"], int)].sum()) for r in pieces.encode(odd).collect() if r["doc_id"] is not None}
-    split = {r["doc_id"]: int(v._scores()[np.array(r["ids"], int)].sum()) for r in back if r["doc_id"] is not None}
-    assert whole == split and pieces.encode(empty).count() == 0
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for row in queries.queries()["op7_piece_scan"](spark, sf_dir).collect():
+        ids, _ = v.encode(*pieces.characters(pa.array([docs[row["doc_id"]]])))
+        assert row["n_pieces"] == len(ids) and row["ids_sha256"] == hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256(docs[row["doc_id"]].encode()).hexdigest()
 
 
 def test_multi_index(spark):

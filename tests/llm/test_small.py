@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -159,41 +160,62 @@ def test_statistics():
         assert tuple(int(c[k][i]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
 
 
-def best_score(v, chars):
-    best = [0] + [pieces.NEVER] * len(chars)
+def one_pass(v, chars):
+    """Ids by one pass over all characters, the longest last piece among equals."""
+    best, back = [0], [None]
     for i in range(1, len(chars) + 1):
+        options = []
         for k in range(1, min(v.longest, i) + 1):
-            s, _ = v.edges(chars[i - k : i], np.array([0]), np.array([k]))
-            best[i] = max(best[i], best[i - k] + int(s[0]))
-    return best[-1]
-
-
-@pytest.mark.parametrize("letters", ["abcthe   inerona\n▁é0019.,x中", "aathein"])
+            s, p = v.edges(chars[i - k : i], np.array([0]), np.array([k]))
+            options.append((best[i - k] + int(s[0]), k, int(p[0])))
+        best.append(max(options)[0])
+        back.append(max(options)[1:])
+    out, i = [], len(chars)
+    while i:
+        k, p = back[i]
+        c = chars[i - k]
+        out += [v.ids[p]] if p >= 0 else [v.byte_ids[b] for b in chr(pieces.MARK if c == pieces.LITERAL else c).encode()][::-1]
+        i -= k
+    return out[::-1], best[-1]
+
+
+@pytest.mark.parametrize("letters", ["abcthe   inerona\n▁é0019.,x中", "aathein", "x", "xxxxxy"])
 def test_scan_equals_one_pass(letters):
     v, r = pieces.vocabulary(pieces.default_model()), random.Random(1)
-    for _ in range(15):
-        x = "".join(r.choice(letters) for _ in range(r.randint(1, 60)))
+    for _ in range(25):
+        x = "".join(r.choice(letters) for _ in range(r.randint(1, 90)))
         chars, at = pieces.characters(pa.array([x]))
         ids, edge = v.encode(chars, at)
-        assert int(v._scores()[ids].sum()) == best_score(v, chars)
+        want, best = one_pass(v, chars)
+        assert ids.tolist() == want and int(v._scores()[ids].sum()) == best
         assert v.decode(ids, edge)[0].tobytes().decode() == x
         size, rows = r.choice([3, 7, 20, 40]), []
-        parts = [(pieces.characters(pa.array([x[a : a + size + v.longest - 1]]), np.array([a == 0]))[0], min(size, len(x) - a) + (a == 0)) for a in range(0, len(x), size)]
-        matrices = [v.transfer(c, n) for c, n in parts]
-        matrices[-1][:, 1:] = pieces.NEVER
-        s = pieces.edge_states(matrices)
-        for k, (c, n) in enumerate(parts):
-            part = c[s[k] : n + s[k + 1]]
+        begin = range(0, len(x), size)
+        first = np.array([a == 0 for a in begin])
+        c, at = pieces.characters(pa.array([x[a : a + size + v.longest - 1] for a in begin]), first)
+        n = np.array([min(size, len(x) - a) for a in begin]) + first
+        made = v.transfers(c, at, n)
+        made[-1].worth[:, 1:] = pieces.NEVER
+        s = pieces.edge_states(made)
+        edge = r.randint(1, len(made))  # the same by two blocks
+        blocks = [reduce(pieces.combine, b) for b in (made[:edge], made[edge:]) if b]
+        outer = pieces.edge_states(blocks)
+        inner = pieces.edge_states(made[:edge], 0, outer[1])
+        if len(blocks) > 1:
+            inner += pieces.edge_states(made[edge:], outer[1], 0)[1:]
+        assert inner == s
+        for k in range(len(n)):
+            part = c[at[k] + s[k] : at[k] + n[k] + s[k + 1]]
             rows += v.encode(part, np.array([0, len(part)]))[0].tolist()
-        rows = np.array(rows)
-        assert int(v._scores()[rows].sum()) == best_score(v, chars)
-        assert v.decode(rows, np.array([0, len(rows)]))[0].tobytes().decode() == x
+        assert rows == want
 
 
 def test_products_are_associative():
     r = np.random.default_rng(1)
-    a, b, c = (r.integers(-9, 9, (4, 4)) for _ in range(3))
-    assert (pieces.combine(pieces.combine(a, b), c) == pieces.combine(a, pieces.combine(b, c))).all()
+    for _ in range(50):
+        a, b, c = (pieces.Transfer(r.integers(-3, 3, (4, 4)), r.permuted(np.tile(np.arange(4)[:, None], 4), axis=0)) for _ in range(3))
+        x, y = pieces.combine(pieces.combine(a, b), c), pieces.combine(a, pieces.combine(b, c))
+        assert (x.worth == y.worth).all() and (x.order == y.order).all()
 
 
 def test_walk_visits_cells_in_order():
