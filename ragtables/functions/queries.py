@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..params import AFTER, BEFORE, IDENTIFIER, LEADING_WORDS, QUESTION_WORDS, RULES, Rule
+from ..params import AFTER, BEFORE, IDENTIFIER, LEADING_WORDS, QUESTION_WORDS, RULES, SPACES, Rule
 from .text import strip
 
 
 def normalize_query(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    return strip(F.regexp_replace(c, f"[{SPACES}]+", " "))
 
 
 def keyword_variant(query: Column) -> Column:

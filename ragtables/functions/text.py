@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..params import SPACE_CHARACTERS, SPACES
+
 
 def strip(c: Column) -> Column:
-    """c without white space at its edges (all kinds, not only blanks)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """c without white space at its edges (all kinds that Unicode has, not only blanks)."""
+    return F.btrim(c, F.lit(SPACE_CHARACTERS))
 
 
 def clean_text(c: Column) -> Column:
@@ -26,7 +28,7 @@ def clean_text(c: Column) -> Column:
 
 def normalize_ws(c: Column) -> Column:
     """Lower case, words joined by single blanks."""
-    return strip(F.regexp_replace(F.lower(c), r"\s+", " "))
+    return strip(F.regexp_replace(F.lower(c), f"[{SPACES}]+", " "))
 
 
 def normalize_words(c: Column) -> Column:
@@ -43,7 +45,7 @@ def words(c: Column) -> Column:
 def split_sentences(c: Column) -> Column:
     """Sentences of all paragraphs, in order, without empty ones."""
     paragraphs = F.split(c, "\n\n")
-    parts = F.flatten(F.transform(paragraphs, lambda p: F.split(strip(p), r"(?<=[.!?])\s+")))
+    parts = F.flatten(F.transform(paragraphs, lambda p: F.split(strip(p), rf"(?<=[.!?])[{SPACES}]+")))
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
@@ -61,4 +63,4 @@ def contains_ci(text: Column, part: Column) -> Column:
 def word_count(c: Column) -> Column:
     """Number of words between white space."""
     t = strip(c)
-    return F.when(t == "", 0).otherwise(F.size(F.split(t, r"\s+")))
+    return F.when(t == "", 0).otherwise(F.size(F.split(t, f"[{SPACES}]+")))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_ws, strip
-from ..params import FAILED_INTRO, INTRO, REFUSAL, SYSTEM
+from ..params import FAILED_INTRO, INTRO, REFUSAL, SPACES, SYSTEM
 
 
 def group_hits(hits: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def group_hits(hits: DataFrame) -> DataFrame:
 
 
 def _sentences(c: Column) -> Column:
-    return F.filter(F.split(strip(c), r"(?<=[.!?])\s+"), lambda s: s != "")
+    return F.filter(F.split(strip(c), rf"(?<=[.!?])[{SPACES}]+"), lambda s: s != "")
 
 
 LEAST, MOST = 40, 600

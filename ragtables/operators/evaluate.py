@@ -11,7 +11,7 @@ from ..functions.citations import numbers, strip_citations
 from ..functions.text import contains_ci, strip
 from ..functions.vectors import dot
 from ..params import METRIC_STOPWORDS, REFUSAL
-from .validate import support
+from .validate import claims, support
 
 METRICS = ("precision_at_k", "recall_at_k", "citation_accuracy", "answer_keyword_recall", "source_accuracy", "redundancy")
 
@@ -48,9 +48,12 @@ def answer_keyword_recall(answer: Column, keywords: Column, should_refuse: Colum
     return F.when(F.size(keywords) == 0, (is_refusal(answer) == should_refuse).cast("double")).when(is_refusal(answer), 0.0).otherwise(found)
 
 
-def citation_accuracy(answer: Column, texts: Column, stopwords: Sequence[str] = METRIC_STOPWORDS) -> Column:
-    """Share of citation groups that a cited text backs; 1 for refusals and without hits, 0 without groups."""
-    n, backed = support(answer, F.transform(texts, F.lower), stopwords)
+def citation_accuracy(answer: Column, texts: Column, groups: Column | None = None, stopwords: Sequence[str] = METRIC_STOPWORDS) -> Column:
+    """Share of citation groups that a cited text backs; 1 for refusals and without hits, 0 without groups.
+
+    texts: lower case. groups: the answer's claims, where a column holds them.
+    """
+    n, backed = support(claims(answer, stopwords) if groups is None else groups, texts)
     return F.when(is_refusal(answer) | (F.size(texts) == 0), 1.0).otherwise(F.coalesce(_share(backed, n), F.lit(0.0)))
 
 
@@ -85,13 +88,14 @@ def score_cases(cases: DataFrame, answers: DataFrame, hits: DataFrame, redundant
     rows = cases.join(answers.select(F.col("query_id").alias("id"), "answer"), "id").join(got.withColumnRenamed("query_id", "id"), "id", "left")
     rows = rows.withColumns({"__t": F.coalesce(F.transform("h", lambda x: x["text"]), _none()), "__f": F.coalesce(F.transform("h", lambda x: x["filename"]), _none())})
     rows = rows.join(redundant.select(F.col("query_id").alias("id"), "redundancy"), "id", "left") if redundant is not None else rows.withColumn("redundancy", F.lit(0.0))
+    rows = rows.withColumns({"__low": F.transform("__t", F.lower), "__g": claims(F.col("answer"), METRIC_STOPWORDS)})
     answer, texts, refuse, keys = F.col("answer"), F.col("__t"), F.col("should_refuse"), F.col("relevant_keywords")
     return rows.select(
         F.col("id").alias("case_id"),
         precision_at_k(texts, keys).alias("precision_at_k"),
         recall_at_k(texts, keys, refuse).alias("recall_at_k"),
         hallucination_flag(answer, texts, refuse, F.col("forbidden_answer_keywords")).alias("hallucination"),
-        citation_accuracy(answer, texts).alias("citation_accuracy"),
+        citation_accuracy(answer, F.col("__low"), F.col("__g")).alias("citation_accuracy"),
         answer_keyword_recall(answer, F.col("expected_answer_keywords"), refuse).alias("answer_keyword_recall"),
         refused_correctly(answer, refuse).alias("refused_correctly"),
         F.size(F.filter(texts, lambda t: is_relevant(t, keys))).alias("retrieved_relevant"),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import word_count
-from ..params import AFTER, BEFORE, REFERENTIAL
+from ..functions.text import strip, word_count
+from ..params import AFTER, BEFORE, REFERENTIAL, SPACES
 
 ROLES = ("user", "assistant")
 
@@ -76,5 +76,5 @@ def delete_conversations(turns: DataFrame, ids: DataFrame) -> tuple[DataFrame, D
 
 def parse_standalone(output: Column, query: Column) -> Column:
     """First line of an external rewriter's output, blanks collapsed; the query itself if that is empty."""
-    line = F.regexp_replace(F.split(F.regexp_replace(output, r"^\s+", ""), r"\r\n|\r|\n")[0], r"\s+", " ")
-    return F.coalesce(F.nullif(F.trim(line), F.lit("")), query)
+    line = F.regexp_replace(F.split(strip(output), r"\r\n|\r|\n")[0], f"[{SPACES}]+", " ")
+    return F.coalesce(F.nullif(strip(line), F.lit("")), query)

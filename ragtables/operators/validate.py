@@ -12,29 +12,36 @@ from ..functions.text import word_count
 from ..params import DISCLAIMER, VALIDATION_STOPWORDS
 
 
-def support(answer: Column, texts: Column, stopwords: Sequence[str]) -> tuple[Column, Column]:
-    """Number of citation groups, and of those that a cited text backs. texts: lower case, by marker."""
-    groups = citation_groups(answer)
-    backed = F.filter(groups, lambda g: group_supported(claim_tokens(g["claim"], stopwords), g["markers"], texts))
-    return F.size(groups), F.size(backed)
+def claims(answer: Column, stopwords: Sequence[str]) -> Column:
+    """array<struct<tokens, markers>> of the citation groups. To be held in a column: what looks at it does so many times."""
+    return F.transform(citation_groups(answer), lambda g: F.struct(claim_tokens(g["claim"], stopwords).alias("tokens"), g["markers"].alias("markers")))
+
+
+def support(groups: Column, texts: Column) -> tuple[Column, Column]:
+    """Number of claims, and of those that a cited text backs. groups: see claims; texts: lower case, by marker, held in a column."""
+    return F.size(groups), F.size(F.filter(groups, lambda g: group_supported(g["tokens"], g["markers"], texts)))
 
 
 def validated(answers: DataFrame, min_support: float = 0.5, stopwords: Sequence[str] = VALIDATION_STOPWORDS) -> DataFrame:
     """answers (answer, texts: passages by marker) with passed, support, invalid_markers, notes. Needs no other row."""
-    texts = F.transform(F.coalesce("texts", F.array().cast("array<string>")), F.lower)
-    n, backed = support(F.col("answer"), texts, stopwords)
-    marks = F.flatten(F.transform(citation_groups(F.col("answer")), lambda g: g["markers"]))
-    rows = answers.withColumns({"__n": n, "__b": backed, "__hits": F.size(texts), "__words": word_count(F.col("answer")), "invalid_markers": F.filter(marks, lambda m: (m < 1) | (m > F.size(texts)))})
+    rows = answers.withColumns({
+        "__groups": claims(F.col("answer"), stopwords),
+        "__texts": F.transform(F.coalesce("texts", F.array().cast("array<string>")), F.lower),
+    })
+    n, backed = support(F.col("__groups"), F.col("__texts"))
+    marks = F.flatten(F.transform("__groups", lambda g: g["markers"]))
+    rows = rows.withColumns({"__n": n, "__b": backed, "__hits": F.size("__texts"), "__words": word_count(F.col("answer"))})
+    rows = rows.withColumn("invalid_markers", F.filter(marks, lambda m: (m < 1) | (m > F.col("__hits"))))
     bare = F.col("__n") == 0
-    claims = bare & (F.col("__hits") > 0) & (F.col("__words") > 12)
-    rows = rows.withColumn("support", F.when(claims, 0.0).when(bare, 1.0).otherwise(F.col("__b") / F.greatest("__n", F.lit(1))))
+    uncited = bare & (F.col("__hits") > 0) & (F.col("__words") > 12)
+    rows = rows.withColumn("support", F.when(uncited, 0.0).when(bare, 1.0).otherwise(F.col("__b") / F.greatest("__n", F.lit(1))))
     weak = ~bare & (F.col("support") < min_support)
     notes = F.array(
-        F.when(claims, "Answer makes claims but contains no [n] citations."),
+        F.when(uncited, "Answer makes claims but contains no [n] citations."),
         F.when(F.size("invalid_markers") > 0, F.concat(F.lit("Answer cites passages that do not exist: ["), F.array_join(F.transform(F.array_sort(F.array_distinct("invalid_markers")), lambda x: x.cast("string")), ", "), F.lit("]."))),
         F.when(weak, F.concat(F.lit("Only "), F.bround(F.col("support") * 100).cast("int"), F.lit("% of citations are supported by their sources."))),
     )
-    return rows.withColumns({"passed": ~claims & ~weak & (F.size("invalid_markers") == 0), "notes": F.filter(notes, lambda x: x.isNotNull())}).drop("__n", "__b", "__hits", "__words")
+    return rows.withColumns({"passed": ~uncited & ~weak & (F.size("invalid_markers") == 0), "notes": F.filter(notes, lambda x: x.isNotNull())}).drop("__groups", "__texts", "__n", "__b", "__hits", "__words")
 
 
 def with_texts(answers: DataFrame, hits: DataFrame, marker_col: str = "rank") -> DataFrame:

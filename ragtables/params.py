@@ -20,6 +20,10 @@ class Rule:
 WORD = r"[\p{L}\p{N}_]"
 BEFORE, AFTER = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 
+#: The characters that count as white space (one class for all engines), and the same one by one.
+SPACES = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE_CHARACTERS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 #: Words that a keyword variant of a query leaves out.
 QUESTION_WORDS = (
     "what which who whom whose when where why how is are was were do does did can could should would will "

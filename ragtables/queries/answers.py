@@ -22,12 +22,27 @@ def g1_group_hits(spark, sf_dir):
     return context.group_hits(I.hits(spark, sf_dir)).select("query_id", "rank", "doc_rank", "pos", "marker")
 
 
-@register()
+#: shown(query_id, ..., marker, shown): the text without what the hit before it in the same document already gave
+_SHOWN = rf"""before AS (SELECT *, lag(text) OVER w AS prev, lag(chunk_index) OVER w AS prev_index FROM grouped WINDOW w AS (PARTITION BY query_id, document_id ORDER BY pos)),
+  cut AS (SELECT *, {I.sentences("prev")}[-5:] AS last, {I.sentences("text")} AS mine FROM before),
+  fresh AS (SELECT *, {I.strip("array_to_string(list_filter(mine, lambda s, i: len(list_filter(mine[:i], lambda t: NOT list_contains(last, t))) > 0), ' ')")} AS rest FROM cut),
+  started AS (SELECT *, {I.strip("prev")} AS p, CASE WHEN chunk_index = prev_index + 1 AND len(last) > 0 AND len(mine) > 0 AND rest <> '' THEN rest ELSE text END AS start FROM fresh),
+  ends AS (SELECT *, {I.strip("start")} AS c FROM started),
+  twice AS (SELECT *, CASE WHEN length(c) >= 40 AND contains(p, left(c, 40)) THEN list_max(list_filter(range(40, least(600, length(p), length(c)) + 1), lambda n: right(p, n) = left(c, n))) END AS n FROM ends),
+  shown AS (SELECT *, CASE WHEN prev IS NULL THEN text WHEN {I.ws("prev")} = {I.ws("text")} THEN ''
+    WHEN n IS NULL OR regexp_replace(substring(c, CAST(n AS INTEGER) + 1), '^[{I.SPACES}]+', '') = '' THEN start ELSE regexp_replace(substring(c, CAST(n AS INTEGER) + 1), '^[{I.SPACES}]+', '') END AS shown FROM twice)"""
+_CONTEXT = rf"""lines_of AS (SELECT *, '[' || marker || '] (' || CASE WHEN page IS NOT NULL THEN 'p.' || page ELSE 'chunk ' || chunk_index END || ')' || chr(10)
+    || CASE WHEN {I.strip("shown")} = '' THEN '(See preceding passage [' || (marker - 1) || '] for full text.)' ELSE shown END AS line FROM shown),
+  blocks AS (SELECT query_id, doc_rank, '### Source: ' || arg_min(filename, marker) || chr(10) || string_agg(line, chr(10) ORDER BY marker) AS block FROM lines_of GROUP BY ALL),
+  contexts AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY doc_rank) AS context FROM blocks GROUP BY query_id)"""
+
+
+@register(f"WITH {I.HITS}, {_GROUPED}, {_SHOWN} SELECT query_id, CAST(marker AS INTEGER) AS marker, shown FROM shown")
 def g2_trim_overlap(spark, sf_dir):
     return context.trim_overlap(context.group_hits(I.hits(spark, sf_dir))).select("query_id", "marker", "shown")
 
 
-@register()
+@register(f"WITH {I.HITS}, {_GROUPED}, {_SHOWN}, {_CONTEXT} SELECT query_id, context FROM contexts")
 def g3_grouped_context(spark, sf_dir):
     return context.build_grouped_context(I.hits(spark, sf_dir))
 
@@ -97,9 +112,14 @@ _GROUPS = r"""marked AS (SELECT query_id, regexp_extract_all(answer, '(?s)(.+?)\
   grp AS (SELECT query_id, generate_subscripts(c, 1) AS g, string_split(unnest(c), chr(10))[-1] AS claim, list_transform(string_split(unnest(m), ','), lambda x: CAST(trim(x) AS INTEGER)) AS markers FROM marked)"""
 
 
-@register(f"WITH {I.ANSWERS}, {_GROUPS} SELECT query_id, CAST(g - 1 AS INTEGER) AS position, claim, array_to_string(markers, ',') AS markers FROM grp")
+_ALL = "answers AS (SELECT CAST(doc_id AS VARCHAR) AS query_id, replace(replace(text, '. ', ' [1]. '), ', ', ' [2, 90] ') AS answer FROM documents)"
+
+
+@register(f"WITH {_ALL}, {_GROUPS} SELECT query_id, CAST(g - 1 AS INTEGER) AS position, claim, array_to_string(markers, ',') AS markers FROM grp")
 def h1_citation_groups(spark, sf_dir):
-    rows = I.answers(spark, sf_dir).select("query_id", F.posexplode(C.citation_groups(F.col("answer"))).alias("position", "g"))
+    marked = F.replace(F.replace("text", F.lit(". "), F.lit(" [1]. ")), F.lit(", "), F.lit(" [2, 90] "))
+    docs = I.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("query_id"), marked.alias("answer"))
+    rows = docs.select("query_id", F.posexplode(C.citation_groups(F.col("answer"))).alias("position", "g"))
     return rows.select("query_id", "position", "g.claim", F.array_join(F.transform("g.markers", lambda m: m.cast("string")), ",").alias("markers"))
 
 
@@ -123,14 +143,14 @@ def supported(stop) -> str:
   bad AS (SELECT query_id, list(m ORDER BY m) AS invalid FROM (SELECT DISTINCT query_id, m FROM (SELECT query_id, unnest(markers) AS m FROM tok) LEFT JOIN cnt USING (query_id) WHERE m < 1 OR m > coalesce(hits, 0)) GROUP BY 1)"""
 
 
-_WORDS = rf"CASE WHEN {I.strip('answer')} = '' THEN 0 ELSE len(regexp_split_to_array({I.strip('answer')}, '\s+')) END"
-_CHECK = rf"""WITH {I.HITS}, {I.ANSWERS}, {_GROUPS}, {supported(VALIDATION_STOPWORDS)},
-  v AS (SELECT a.query_id, answer, n, coalesce(hits, 0) AS hits, coalesce(invalid, []) AS invalid, n IS NULL AND coalesce(hits, 0) > 0 AND {_WORDS} > 12 AS claims,
+_WORDS = rf"CASE WHEN {I.strip('answer')} = '' THEN 0 ELSE len(regexp_split_to_array({I.strip('answer')}, '[{I.SPACES}]+')) END"
+_VERDICT = rf"""v AS (SELECT a.query_id, answer, n, coalesce(hits, 0) AS hits, coalesce(invalid, []) AS invalid, n IS NULL AND coalesce(hits, 0) > 0 AND {_WORDS} > 12 AS claims,
     CASE WHEN n IS NULL THEN 1.0 ELSE backed / CAST(n AS DOUBLE) END AS share FROM answers a LEFT JOIN sup USING (query_id) LEFT JOIN cnt USING (query_id) LEFT JOIN bad USING (query_id)),
   checked AS (SELECT query_id, answer, CASE WHEN claims THEN 0.0 ELSE share END AS support, NOT claims AND len(invalid) = 0 AND share >= 0.5 AS passed, array_to_string(invalid, ',') AS invalid,
     array_to_string(list_filter([CASE WHEN claims THEN 'Answer makes claims but contains no [n] citations.' END,
       CASE WHEN len(invalid) > 0 THEN 'Answer cites passages that do not exist: [' || array_to_string(invalid, ', ') || '].' END,
       CASE WHEN n IS NOT NULL AND share < 0.5 THEN 'Only ' || CAST(CAST(round_even(share * 100, 0) AS INTEGER) AS VARCHAR) || '% of citations are supported by their sources.' END], lambda x: x IS NOT NULL), ' / ') AS notes FROM v)"""
+_CHECK = f"WITH {I.HITS}, {I.ANSWERS}, {_GROUPS}, {supported(VALIDATION_STOPWORDS)}, {_VERDICT}"
 
 
 def _checked(spark, sf_dir):
@@ -169,7 +189,13 @@ def g10_assemble_results(spark, sf_dir):
     return context.assemble_results(gate, answers, validate.apply_validation(validate.validate_answers(answers, hits)))
 
 
-@register()
+_BATCH = f"""WITH {I.HITS}, {_GROUPED}, {_SHOWN}, {_CONTEXT}, asked AS (SELECT query_id, arg_min(text, rank) AS query FROM hits GROUP BY 1),
+  prompts AS (SELECT query_id, 'CONTEXT:' || chr(10) || context || chr(10) || chr(10) || 'QUESTION: ' || query || chr(10) || chr(10) || 'Answer with inline [n] citations.' AS prompt FROM contexts JOIN asked USING (query_id)),
+  answers AS (SELECT query_id, {_q(INTRO)} || {_INNER} AS answer FROM prompts), {_GROUPS},
+  byno AS (SELECT query_id, marker AS rank, text FROM grouped), {supported(VALIDATION_STOPWORDS).replace("JOIN hits h", "JOIN byno h")}, {_VERDICT}"""
+
+
+@register(f"{_BATCH} SELECT query_id, answer || CASE WHEN passed THEN '' ELSE chr(10) || chr(10) || {_DISC} END AS answer, 'extractive' AS provider, passed AS grounded FROM checked")
 def batch_answers(spark, sf_dir):
     """Whole answer jobs over the hits, without any completion."""
     hits = I.hits(spark, sf_dir)

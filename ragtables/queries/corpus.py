@@ -20,14 +20,44 @@ def _doubled(spark, sf_dir):
     return rows.unionByName(again)
 
 
-@register()
+_PATH = "'/in/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.MD' ELSE '.txt' END"
+
+
+@register(f"SELECT sha256({_PATH}) AS document_id, substring({_PATH}, 5) AS filename, CAST(NULL AS INTEGER) AS page, '\ufffd' || text AS text FROM documents WHERE doc_id % 3 <> 2")
 def a1_text_pages(spark, sf_dir):
-    """The decoding rule over documents with broken bytes in front, as file rows."""
+    """The decoding rule over documents as file rows, with broken bytes and a genuine replacement character in front; a third are no text files."""
     d = I.table(spark, sf_dir, "documents")
-    rows = d.select(F.concat(F.lit("/in/"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".MD").when(F.col("doc_id") % 3 == 1, ".txt").otherwise(".pdf")).alias("path"), F.concat(F.unhex(F.lit("FF")), F.col("text").cast("binary")).alias("content"))
+    rows = d.select(F.concat(F.lit("/in/"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".MD").when(F.col("doc_id") % 3 == 1, ".txt").otherwise(".pdf")).alias("path"), F.concat(F.unhex(F.lit("FFEFBFBDE282")), F.col("text").cast("binary")).alias("content"))
     return files.text_pages(rows)
 
 
+@register(
+    """WITH p AS (SELECT '/in/' || doc_id || '.pdf' AS path, string_split(text, chr(10)) AS l FROM documents)
+  SELECT sha256(path) AS document_id, substring(path, 5) AS filename, CAST(generate_subscripts(l, 1) AS INTEGER) AS page, unnest(l) AS text FROM p"""
+)
+def a2_read_pages(spark, sf_dir):
+    """Documents as files whose pages a caller's extractor finds: here, their lines."""
+    d = I.table(spark, sf_dir, "documents")
+    rows = d.select(F.concat(F.lit("/in/"), "doc_id", F.lit(".pdf")).alias("path"), F.col("text").cast("binary").alias("content"))
+    return files.read_pages(rows, lambda content: content.decode().split("\n"))
+
+
+@register(
+    """SELECT 'benchmark' AS dataset, CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS position, CAST(item_id AS VARCHAR) AS id, text AS query,
+  CASE WHEN item_id % 2 = 0 THEN string_split(text, ' ')[1] ELSE '' END AS keywords, item_id % 3 = 0 AS should_refuse, CASE WHEN item_id % 5 = 0 THEN 7 END AS top_k, 'auto' AS mode FROM benchmark"""
+)
+def a6_read_eval_dataset(spark, sf_dir):
+    """The benchmark as the JSON file of a question set, written and read back with its defaults."""
+    b, path = I.table(spark, sf_dir, "benchmark"), shared_folder(spark, "cases")
+    case = F.struct(
+        F.col("item_id").alias("n"), F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"),
+        F.when(F.col("item_id") % 2 == 0, F.array(F.split("text", " ")[0])).alias("relevant_keywords"), F.when(F.col("item_id") % 3 == 0, True).alias("should_refuse"), F.when(F.col("item_id") % 5 == 0, 7).alias("top_k"),
+    )
+    b.agg(F.to_json(F.struct(F.lit("benchmark").alias("name"), F.array_sort(F.collect_list(case)).alias("cases"))).alias("value")).write.text(path)  # a question set is one file
+    cases = files.read_eval_dataset(spark, path)
+    return cases.select("dataset", "position", "id", "query", F.array_join("relevant_keywords", ",").alias("keywords"), "should_refuse", "top_k", "mode")
+
+
 @register(
     f"""WITH {I.PAGES}, g AS (SELECT document_id, filename, max(length({I.strip("coalesce(text, '')")})) AS n FROM (SELECT document_id, filename, CASE WHEN CAST(document_id AS BIGINT) % 40 = 3 THEN ' ' || chr(10) ELSE text END AS text FROM pages_in) GROUP BY ALL)
   SELECT document_id, filename, CASE WHEN filename LIKE '%.xls' THEN 'unsupported type' ELSE 'no text' END AS reason FROM g WHERE filename LIKE '%.xls' OR n = 0"""
@@ -39,8 +69,6 @@ def a3_split_rejects(spark, sf_dir):
 
 @register("SELECT CAST(vec_id AS VARCHAR) AS chunk_id, CAST(label AS VARCHAR) AS document_id, CAST(vec_id AS INTEGER) AS chunk_index, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings")
 def a4_write_and_read_chunks(spark, sf_dir):
-
-
     path = shared_folder(spark, "chunks")
     rows = I.vectors(spark, sf_dir).select("chunk_id", "document_id", F.lit("f").alias("filename"), "chunk_index", F.lit(None).cast("int").alias("page"), F.lit("").alias("text"), F.col("vector").cast("array<double>").alias("vector"))
     tables.write_chunks(rows, path, mode="overwrite")

@@ -25,22 +25,14 @@ def i1_recent_turns(spark, sf_dir):
 
 
 _REF = r"(?:^|[^\p{L}\p{N}_])(?:" + "|".join(REFERENTIAL) + r")(?:$|[^\p{L}\p{N}_])"
-_NEEDS = rf"coalesce(has > 0, false) AND (regexp_matches(text, '{_REF}', 'i') OR (CASE WHEN {I.strip('text')} = '' THEN 0 ELSE len(regexp_split_to_array({I.strip('text')}, '\s+')) END) < 6)"
-_SHORT = r"CASE WHEN turn % 4 = 2 THEN array_to_string(string_split(text, ' ')[1:3], ' ') ELSE text END"
-
-
-def _shortened(spark, sf_dir):
-    """Some turns cut to three words, so that they lean on others."""
-    return _turns(spark, sf_dir).withColumn("text", F.when(F.col("turn") % 4 == 2, F.array_join(F.slice(F.split("text", " "), 1, 3), " ")).otherwise(F.col("text")))
-
+_NEEDS = rf"coalesce(has > 0, false) AND (regexp_matches(text, '{_REF}', 'i') OR (CASE WHEN {I.strip('text')} = '' THEN 0 ELSE len(regexp_split_to_array({I.strip('text')}, '[{I.SPACES}]+')) END) < 6)"
 
 @register(
-    f"""WITH {_TURNS}, s AS (SELECT conv_id, turn, role, {_SHORT} AS text FROM turns),
-  w AS (SELECT *, count(*) OVER f AS has, last_value(CASE WHEN role = 'user' AND text <> '' THEN text END IGNORE NULLS) OVER f AS said FROM s WINDOW f AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {N} PRECEDING AND 1 PRECEDING))
+    f"""WITH {_TURNS}, w AS (SELECT *, count(*) OVER f AS has, last_value(CASE WHEN role = 'user' AND text <> '' THEN text END IGNORE NULLS) OVER f AS said FROM turns WINDOW f AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {N} PRECEDING AND 1 PRECEDING))
   SELECT conv_id, turn, {_NEEDS} AS needs_context, CASE WHEN {_NEEDS} AND said IS NOT NULL THEN said || ' — follow-up: ' || text ELSE text END AS standalone FROM w WHERE role = 'user'"""
 )
 def i2_i3_contextualize(spark, sf_dir):
-    return memory.contextualize(_shortened(spark, sf_dir), N).select("conv_id", "turn", "needs_context", "standalone")
+    return memory.contextualize(_turns(spark, sf_dir), N).select("conv_id", "turn", "needs_context", "standalone")
 
 
 @register(f"WITH {_TURNS} SELECT conv_id, turn, coalesce(array_to_string(list({_LABEL}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), chr(10)), '') AS block FROM turns")
@@ -81,7 +73,7 @@ def i6_delete_report(spark, sf_dir):
 _OUT = "CASE WHEN turn % 3 = 0 THEN '  ' || chr(10) ELSE chr(10) || '  ' || replace(text, ' ', '  ') || chr(10) || 'more' END"
 
 
-@register(rf"""SELECT conv_id, turn, coalesce(nullif({I.strip(r"regexp_replace(string_split(regexp_replace(" + _OUT + r", '^\s+', ''), chr(10))[1], '\s+', ' ', 'g')")}, ''), text) AS query FROM conversations""")
+@register(rf"""SELECT conv_id, turn, coalesce(nullif({I.strip("regexp_replace(string_split(" + I.strip(_OUT) + ", chr(10))[1], '[" + I.SPACES + "]+', ' ', 'g')")}, ''), text) AS query FROM conversations""")
 def i7_parse_standalone(spark, sf_dir):
     output = F.when(F.col("turn") % 3 == 0, "  \n").otherwise(F.concat(F.lit("\n  "), F.replace("text", F.lit(" "), F.lit("  ")), F.lit("\nmore")))
     return I.table(spark, sf_dir, "conversations").select("conv_id", "turn", memory.parse_standalone(output, F.col("text")).alias("query"))

@@ -15,24 +15,22 @@ _R = A._q(REFUSAL)
 
 
 def _cases(spark, sf_dir):
-    """A case per three documents: keywords of the second document, some to refuse, some with a source."""
-    d = I.table(spark, sf_dir, "documents").where("doc_id % 3 = 1")
-    n = F.floor(F.col("doc_id") / 3)
-    w = F.split("text", " ")
+    """A case per three documents: keywords of their texts, some to refuse, some with a source."""
+    d, n, w = I.trios(spark, sf_dir), F.col("n"), F.split("text", " ")
     none = F.array().cast("array<string>")
     return d.select(
         n.cast("string").alias("id"), F.element_at(w, 1).alias("query"),
-        F.when(n % 4 == 3, none).otherwise(F.array(F.upper(F.get(w, F.lit(0))), F.concat(F.get(w, F.lit(0)), F.lit("zzz")), F.get(F.reverse(w), F.lit(0)))).alias("relevant_keywords"),
+        F.when(n % 4 == 3, none).otherwise(F.array(F.lower(F.get(w, F.lit(0))), F.concat(F.get(w, F.lit(0)), F.lit("zzz")), F.get(F.reverse(w), F.lit(0)))).alias("relevant_keywords"),
         F.when(n % 3 == 2, none).otherwise(F.array(F.get(w, F.lit(0)), F.lit("the"))).alias("expected_answer_keywords"),
         F.array(F.lit("qqqq"), F.get(w, F.lit(0))).alias("forbidden_answer_keywords"),
         (n % 5 == 0).alias("should_refuse"),
-        F.when(n % 2 == 0, F.array(F.concat(F.lit("doc"), F.when(n % 4 == 0, F.col("doc_id")).otherwise(F.lit(-1)), F.lit(".txt")))).otherwise(none).alias("expected_source_filenames"),
+        F.when(n % 2 == 0, F.array(F.concat(F.lit("doc"), F.when(n % 4 == 0, 3 * n + 1).otherwise(F.lit(-1)), F.lit(".txt")))).otherwise(none).alias("expected_source_filenames"),
     )
 
 
-_CASES = """cases AS (SELECT CAST(n AS VARCHAR) AS id, CASE WHEN n % 4 = 3 THEN [] ELSE [upper(w[1]), w[1] || 'zzz', w[-1]] END AS relevant_keywords, CASE WHEN n % 3 = 2 THEN [] ELSE [w[1], 'the'] END AS expected_answer_keywords,
-  ['qqqq', w[1]] AS forbidden_answer_keywords, n % 5 = 0 AS should_refuse, CASE WHEN n % 2 = 0 THEN ['doc' || CASE WHEN n % 4 = 0 THEN doc_id ELSE -1 END || '.txt'] ELSE [] END AS expected_source_filenames
-  FROM (SELECT doc_id, doc_id // 3 AS n, string_split(text, ' ') AS w FROM documents WHERE doc_id % 3 = 1))"""
+_CASES = """cases AS (SELECT CAST(n AS VARCHAR) AS id, CASE WHEN n % 4 = 3 THEN [] ELSE [lower(w[1]), w[1] || 'zzz', w[-1]] END AS relevant_keywords, CASE WHEN n % 3 = 2 THEN [] ELSE [w[1], 'the'] END AS expected_answer_keywords,
+  ['qqqq', w[1]] AS forbidden_answer_keywords, n % 5 = 0 AS should_refuse, CASE WHEN n % 2 = 0 THEN ['doc' || CASE WHEN n % 4 = 0 THEN 3 * n + 1 ELSE -1 END || '.txt'] ELSE [] END AS expected_source_filenames
+  FROM (SELECT n, string_split(text, ' ') AS w FROM trios))"""
 
 
 def _answers(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import search
 from ..operators.chunking import with_chunk_id
-
+from ..params import SPACES
 
 
 
@@ -70,10 +70,8 @@ CATALOGUE = "catalogue AS (SELECT CAST(doc_id AS VARCHAR) AS id, 'file' || (doc_
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of a query per three documents: their lines, interleaved, with falling scores."""
-    d = table(spark, sf_dir, "documents")
     rows = lines(spark, sf_dir).withColumn("query_id", F.floor(F.col("document_id").cast("long") / 3).cast("string"))
     w = Window.partitionBy("query_id").orderBy("chunk_index", F.col("document_id").cast("long"))
-    del d
     ranked = rows.withColumn("rank", F.row_number().over(w))
     return ranked.select("query_id", "rank", "chunk_id", "document_id", "filename", "chunk_index", (F.when(F.col("document_id").cast("long") % 3 == 1, F.col("chunk_index") % 4 + 1)).cast("int").alias("page"), "text", (1.0 / F.col("rank")).alias("score"))
 
@@ -87,14 +85,25 @@ HITS = (
 )
 
 
+def trios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n, text): three documents each, their texts one below the other."""
+    d = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 3).alias("n")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d"))
+    return d.select("n", F.array_join(F.transform("d", lambda x: x["text"]), "\n").alias("text"))
+
+
+TRIOS = "trios AS (SELECT doc_id // 3 AS n, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1)"
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers with citations: the text of a query's first document, marks put in."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 = 0")
-    text = F.when(F.col("doc_id") % 4 == 1, F.col("text")).otherwise(F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(" [1]. ")), F.lit(", "), F.lit(" [2, 90] ")))
-    return d.select(F.floor(F.col("doc_id") / 3).cast("string").alias("query_id"), text.alias("answer"))
+    """An answer to each query of the hits: the texts of its documents, to three in four of them with marks put in."""
+    text = F.when(F.col("n") % 4 == 1, F.col("text")).otherwise(F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(" [1]. ")), F.lit(", "), F.lit(" [2, 90] ")))
+    return trios(spark, sf_dir).select(F.col("n").cast("string").alias("query_id"), text.alias("answer"))
 
 
-ANSWERS = "answers AS (SELECT CAST(doc_id // 3 AS VARCHAR) AS query_id, CASE WHEN doc_id % 4 = 1 THEN text ELSE replace(replace(text, '. ', ' [1]. '), ', ', ' [2, 90] ') END AS answer FROM documents WHERE doc_id % 3 = 0)"
+ANSWERS = (
+    TRIOS
+    + ", answers AS (SELECT CAST(n AS VARCHAR) AS query_id, CASE WHEN n % 4 = 1 THEN text ELSE replace(replace(text, '. ', ' [1]. '), ', ', ' [2, 90] ') END AS answer FROM trios)"
+)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,11 +135,11 @@ QUESTIONS = "questions AS (SELECT CAST(item_id AS VARCHAR) AS query_id, CASE ite
 
 
 def strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return rf"regexp_replace({x}, '^[{SPACES}]+|[{SPACES}]+$', '', 'g')"
 
 
 def ws(x: str) -> str:
-    return strip(rf"regexp_replace(lower({x}), '\s+', ' ', 'g')")
+    return strip(rf"regexp_replace(lower({x}), '[{SPACES}]+', ' ', 'g')")
 
 
 def norm(x: str) -> str:
@@ -141,6 +150,12 @@ def words(x: str) -> str:
     return f"CASE WHEN {norm(x)} = '' THEN []::VARCHAR[] ELSE string_split({norm(x)}, ' ') END"
 
 
+def sentences(x: str) -> str:
+    """The parts of x behind ., ! or ? and white space, without empty ones."""
+    marked = rf"regexp_replace({x}, '([.!?])[{SPACES}]+', '\1' || chr(1), 'g')"
+    return rf"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: {strip('s')}), lambda s: s <> '')"
+
+
 def embedded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.embed(lines(spark, sf_dir))
 

@@ -81,11 +81,11 @@ def d7_pool_size(spark, sf_dir):
     return search.pool_size(q).select("item_id", "pool_k")
 
 
-@register("SELECT CAST(vec_id AS VARCHAR) AS chunk_id, round(CAST(embedding[1] AS DOUBLE), 9) AS first FROM embeddings WHERE vec_id % 11 = 0")
+@register("SELECT CAST(vec_id AS VARCHAR) AS chunk_id, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings WHERE vec_id % 11 = 0")
 def d8_vectors_for(spark, sf_dir):
     rows = I.vectors(spark, sf_dir)
     ids = rows.where("chunk_index % 11 = 0").select("chunk_id").union(rows.where("chunk_index = 0").select(F.lit("nowhere")))
-    return search.vectors_for(ids, rows).select("chunk_id", F.round(F.col("vector")[0].cast("double"), 9).alias("first"))
+    return search.vectors_for(ids, rows).select("chunk_id", F.round(F.aggregate(F.transform("vector", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 _PROBE = "CASE WHEN CAST(query_id AS BIGINT) % 5 = 0 THEN 'no such thing' ELSE string_split(lower(passage), ' ')[2] END"
@@ -184,7 +184,19 @@ def f6_missing_vector_fallback(spark, sf_dir):
     return diversity.mmr_select(pool.withColumn("vector", F.when(F.col("rank") != 9, F.col("vector"))), 4).select("query_id", "rank", "chunk_id")
 
 
-@register()
+#: Texts go one by one behind those kept; {kept, x}: ranks and words of the kept ones, the next one
+def _deduped(hits: str, keys: str = "query_id") -> str:
+    """uniq(keys, rank): the hits that dedupe_by_text keeps."""
+    row = "STRUCT(rank INTEGER, w VARCHAR[], bag VARCHAR[])"
+    near = "len(y.bag) > 0 AND len(x.x.bag) > 0 AND CAST(len(list_intersect(y.bag, x.x.bag)) AS DOUBLE) / (len(y.bag) + len(x.x.bag) - len(list_intersect(y.bag, x.x.bag))) >= 0.85"
+    return f"""forms AS (SELECT {keys}, CAST(rank AS INTEGER) AS rank, {I.words("text")} AS w FROM {hits}),
+  ordered AS (SELECT {keys}, list({{'rank': rank, 'w': w, 'bag': list_distinct(w)}} ORDER BY rank) AS l FROM forms GROUP BY ALL),
+  uniq AS (SELECT {keys}, unnest(list_reduce(list_transform(l, lambda r: {{'kept': []::{row}[], 'x': r}}), lambda a, x: {{
+      'kept': CASE WHEN len(list_filter(a.kept, lambda y: y.w = x.x.w OR ({near}))) > 0 THEN a.kept ELSE list_append(a.kept, x.x) END, 'x': x.x}},
+    {{'kept': []::{row}[], 'x': CAST(NULL AS {row})}}).kept).rank AS rank FROM ordered)"""
+
+
+@register(f"WITH {I.HITS}, {_deduped('hits')}, n AS (SELECT query_id, rank AS old, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS rank FROM uniq) SELECT query_id, n.rank, chunk_id FROM n JOIN hits USING (query_id) WHERE hits.rank = n.old")
 def f7_dedupe_by_text(spark, sf_dir):
     return diversity.dedupe_by_text(I.hits(spark, sf_dir)).select("query_id", "rank", "chunk_id")
 

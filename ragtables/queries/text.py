@@ -42,15 +42,10 @@ def b3_normalize_words(spark, sf_dir):
     return I.table(spark, sf_dir, "documents").select("doc_id", T.normalize_words(F.col("text")).alias("normal"))
 
 
-def _sentences(x: str) -> str:
-    marked = rf"regexp_replace({x}, '([.!?])\s+', '\1' || chr(1), 'g')"
-    return rf"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: {I.strip('s')}), lambda s: s <> '')"
-
-
 @register(
     rf"""WITH p AS (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS t FROM documents),
   q AS (SELECT doc_id, generate_subscripts(t, 1) AS k, unnest(t) AS para FROM p),
-  s AS (SELECT doc_id, k, {_sentences(I.strip("para"))} AS l FROM q),
+  s AS (SELECT doc_id, k, {I.sentences(I.strip("para"))} AS l FROM q),
   u AS (SELECT doc_id, k, generate_subscripts(l, 1) AS j, unnest(l) AS sentence FROM s)
   SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1 AS INTEGER) AS position, sentence FROM u"""
 )
@@ -59,9 +54,29 @@ def b4_split_sentences(spark, sf_dir):
     return I.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.split_sentences(text)).alias("position", "sentence"))
 
 
-@register()
+#: Sentences go one by one behind what is held; {out, held, s}: closed chunks, sentences of the open one, the next sentence.
+_HELD = "array_to_string(a.held, ' ')"
+_CLOSED = f"list_concat(a.out, CASE WHEN len(a.held) > 0 THEN [{_HELD}] ELSE []::VARCHAR[] END)"
+_TAIL = "list_filter(a.held, lambda s, i: length(array_to_string(a.held[i:], ' ')) <= 120)"
+_FULL = f"len(a.held) > 0 AND length({_HELD}) + length(x.s) + 2 > 800"
+_PIECES = "list_transform(range(0, length(x.s), 680), lambda i: substring(x.s, CAST(i AS INTEGER) + 1, 800))"
+CHUNKED = rf"""cleaned AS (SELECT document_id, filename, {_clean("text")} AS text FROM pages_in WHERE text IS NOT NULL),
+  paras AS (SELECT document_id, filename, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: {I.strip("p")}), lambda p: p <> '') AS p FROM cleaned WHERE text <> ''),
+  sents AS (SELECT document_id, filename, flatten(list_transform(p, lambda q: {I.sentences("q")})) AS l FROM paras),
+  folded AS (SELECT document_id, filename, list_reduce(list_transform(l, lambda s: {{'out': []::VARCHAR[], 'held': []::VARCHAR[], 's': s}}), lambda a, x: {{
+      'out': CASE WHEN length(x.s) > 800 THEN list_concat({_CLOSED}, {_PIECES}) WHEN {_FULL} THEN {_CLOSED} ELSE a.out END,
+      'held': CASE WHEN length(x.s) > 800 THEN {_TAIL} WHEN {_FULL} THEN list_append({_TAIL}, x.s) ELSE list_append(a.held, x.s) END, 's': ''}},
+    {{'out': []::VARCHAR[], 'held': []::VARCHAR[], 's': ''}}) AS a FROM sents WHERE len(l) > 0),
+  packed AS (SELECT document_id, filename, {_CLOSED} AS l FROM folded)"""
+#: The chunks of documents that are not rejected, numbered, without later repeats inside a document
+INGESTED = f"""{I.PAGES}, {CHUNKED}, numbered AS (SELECT document_id, filename, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS chunk_index, CAST(NULL AS INTEGER) AS page, unnest(l) AS text FROM packed),
+  chunks AS (SELECT document_id || ':' || n.chunk_index AS chunk_id, document_id, filename, n.chunk_index, page, text FROM numbered n
+    WHERE NOT EXISTS (SELECT 1 FROM numbered e WHERE e.document_id = n.document_id AND e.chunk_index < n.chunk_index AND {I.ws("e.text")} = {I.ws("n.text")}))"""
+
+
+@register(f"WITH {I.PAGES}, {CHUNKED} SELECT document_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS position, unnest(l) AS text FROM packed")
 def b5_chunk_pages(spark, sf_dir):
-    """Packed chunks of every page; held against a plain restatement in the tests."""
+    """Packed chunks of every page."""
     packed = chunking.chunk_pages(I.pages(spark, sf_dir))
     return packed.select("document_id", F.posexplode("chunks").alias("position", "text"))
 
@@ -91,13 +106,13 @@ def b9_document_stats(spark, sf_dir):
     return chunking.document_stats(I.lines(spark, sf_dir))
 
 
-@register()
+@register(f"WITH {INGESTED} SELECT chunk_id, document_id, filename, chunk_index, page, text FROM chunks")
 def ingest_chunk_table(spark, sf_dir):
     """Cleaned, packed, numbered chunks of all documents without repeats."""
     return chunk_table(I.pages(spark, sf_dir))
 
 
-_COLLAPSED = I.strip(r"regexp_replace(query, '\s+', ' ', 'g')")
+_COLLAPSED = I.strip(rf"regexp_replace(query, '[{I.SPACES}]+', ' ', 'g')")
 
 
 @register(f"WITH {I.QUESTIONS} SELECT query_id, {_COLLAPSED} AS normal FROM questions")
@@ -134,21 +149,23 @@ def e4_e5_e6_rule_variants(spark, sf_dir):
     return I.questions(spark, sf_dir).select("query_id", Q.rule_variant(q, taxonomy).alias("taxonomy"), Q.rule_variant(q, family).alias("family"), Q.rule_variant(q, spec).alias("specification"))
 
 
-@register(
-    rf"""WITH {I.QUESTIONS}, every AS (SELECT query_id, list_filter([query, {_SPEC}, {_FAM}, {_TAX}, {_KEYWORD_VARIANT}, {_STRIPPED_VARIANT}], lambda x: x IS NOT NULL AND x <> '') AS l,
+#: variants(query_id, variant_no, variant) of the questions
+VARIANTS = rf"""every AS (SELECT query_id, list_filter([query, {_SPEC}, {_FAM}, {_TAX}, {_KEYWORD_VARIANT}, {_STRIPPED_VARIANT}], lambda x: x IS NOT NULL AND x <> '') AS l,
     4 + CAST({_SPEC} IS NOT NULL AS INTEGER) + CAST({_FAM} IS NOT NULL AS INTEGER) + CAST({_TAX} IS NOT NULL AS INTEGER) AS most
     FROM (SELECT query_id, {_COLLAPSED} AS query FROM questions)),
   u AS (SELECT query_id, most, generate_subscripts(l, 1) AS k, unnest(l) AS variant FROM every),
   o AS (SELECT query_id, most, min(k) AS k, arg_min(variant, k) AS variant FROM u GROUP BY query_id, most, lower(variant)),
-  r AS (SELECT query_id, most, variant, row_number() OVER (PARTITION BY query_id ORDER BY k) AS n FROM o)
-  SELECT query_id, CAST(n - 1 AS INTEGER) AS variant_no, variant FROM r WHERE n <= most"""
-)
+  o_n AS (SELECT query_id, most, variant, row_number() OVER (PARTITION BY query_id ORDER BY k) AS n FROM o),
+  variants AS (SELECT query_id, CAST(n - 1 AS INTEGER) AS variant_no, variant FROM o_n WHERE n <= most)"""
+
+
+@register(f"WITH {I.QUESTIONS}, {VARIANTS} SELECT query_id, variant_no, variant FROM variants")
 def e7_rewrite_queries(spark, sf_dir):
     return rewrite.rewrite_queries(I.questions(spark, sf_dir)).select("query_id", "variant_no", "variant")
 
 
 _UNMARKED = I.strip(r"regexp_replace(x, '^\s*(?:\d+[.)]|[-*])\s*', '')")
-_PARAPHRASE = I.strip(rf"""regexp_replace(regexp_replace({_UNMARKED}, '^"+|"+$', '', 'g'), '\s+', ' ', 'g')""")
+_PARAPHRASE = I.strip(rf"""regexp_replace(regexp_replace({_UNMARKED}, '^"+|"+$', '', 'g'), '[{I.SPACES}]+', ' ', 'g')""")
 
 
 @register(

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +20,17 @@ def _suffix(path):
 
 
 def decode_text(content):
-    """UTF-8 bytes as text; what is no UTF-8 is dropped (and so is a replacement character of the file itself)."""
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+    """UTF-8 bytes as text; what is no UTF-8 is dropped.
+
+    A replacement character that the file itself has is spelt otherwise, until those of the repair are gone.
+    """
+    text, spelt = content.cast("string"), (("\ufdd0", "\ufdd0a"), ("\ufffd", "\ufdd0b"))
+    for plain, other in spelt:
+        text = F.replace(text, F.lit(plain), F.lit(other))
+    text = F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
+    for plain, other in spelt[::-1]:
+        text = F.replace(text, F.lit(other), F.lit(plain))
+    return text
 
 
 def text_pages(files: DataFrame) -> DataFrame:
@@ -41,12 +51,14 @@ def read_pages(df: DataFrame, extractor: Callable | None = None) -> DataFrame:
     if extractor is None:
         return df.select("document_id", "filename", "page", F.coalesce("text", F.lit("")).alias("text"))
 
-    @F.udf("array<string>")
-    def pages(content):
-        return [t or "" for t in extractor(bytes(content))]
+    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for document, name, content in batch.itertuples(index=False):  # a file at a time: its pages are the output
+                texts = [t or "" for t in extractor(bytes(content))]
+                yield pd.DataFrame({"document_id": document, "filename": name, "page": range(1, len(texts) + 1), "text": texts})
 
-    files = df.select(F.sha2(F.col("path").cast("binary"), 256).alias("document_id"), F.regexp_extract("path", _NAME, 1).alias("filename"), F.posexplode(pages("content")).alias("pos", "text"))
-    return files.select("document_id", "filename", (F.col("pos") + 1).alias("page"), "text")
+    files = df.select(F.sha2(F.col("path").cast("binary"), 256).alias("document_id"), F.regexp_extract("path", _NAME, 1).alias("filename"), "content")
+    return files.mapInPandas(pages, PAGES)
 
 
 _WORDS = T.ArrayType(T.StringType())
