@@ -27,10 +27,11 @@ def i1_recent_turns(spark, sf_dir):
 _REF = r"(?:^|[^\p{L}\p{N}_])(?:" + "|".join(REFERENTIAL) + r")(?:$|[^\p{L}\p{N}_])"
 _NEEDS = rf"coalesce(has > 0, false) AND (regexp_matches(text, '{_REF}', 'i') OR (CASE WHEN {I.strip('text')} = '' THEN 0 ELSE len(regexp_split_to_array({I.strip('text')}, '[{I.SPACES}]+')) END) < 6)"
 
-@register(
-    f"""WITH {_TURNS}, w AS (SELECT *, count(*) OVER f AS has, last_value(CASE WHEN role = 'user' AND text <> '' THEN text END IGNORE NULLS) OVER f AS said FROM turns WINDOW f AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {N} PRECEDING AND 1 PRECEDING))
+CONTEXTUALIZED = f"""WITH {_TURNS}, w AS (SELECT *, count(*) OVER f AS has, last_value(CASE WHEN role = 'user' AND text <> '' THEN text END IGNORE NULLS) OVER f AS said FROM turns WINDOW f AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {N} PRECEDING AND 1 PRECEDING))
   SELECT conv_id, turn, {_NEEDS} AS needs_context, CASE WHEN {_NEEDS} AND said IS NOT NULL THEN said || ' — follow-up: ' || text ELSE text END AS standalone FROM w WHERE role = 'user'"""
-)
+
+
+@register(CONTEXTUALIZED)
 def i2_i3_contextualize(spark, sf_dir):
     return memory.contextualize(_turns(spark, sf_dir), N).select("conv_id", "turn", "needs_context", "standalone")
 

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from ..operators import evaluate, search
 from ..params import METRIC_STOPWORDS, REFUSAL, Params
 from ..plans import evaluation, retrieve
+from ..sources import files
+from ..sources.tables import shared_folder
 from . import answers as A
 from . import inputs as I
+from . import search as S
+from . import text as T
 
 QUERIES, ORACLES, register = I.registry()
 _R = A._q(REFUSAL)
@@ -103,23 +107,60 @@ def j12_merge_reports(spark, sf_dir):
     return _rounded(evaluate.merge_reports(old, rows.where("cast(case_id as bigint) % 3 = 0"), _cases(spark, sf_dir))[1])
 
 
-@register()
+_COMBOS = ", ".join(f"(CAST({w} AS DOUBLE), CAST({c} AS DOUBLE))" for w, c in evaluation.COMBOS)
+
+@register(
+    f"""WITH RECURSIVE {S._RETRIEVAL}, control AS (SELECT query_id, CAST(CASE WHEN CAST(query_id AS BIGINT) % 5 = 0 THEN 5 ELSE 3 END AS INTEGER) AS k, w, cap FROM questions, (VALUES {_COMBOS}) c(w, cap)), {S.selected("picked", "pool", "control")}, {S.FINAL},
+  pair AS (SELECT a.query_id, a.w, a.cap, a.rank AS i, b.rank AS j, list_inner_product(u.v, t.v) AS s FROM final a JOIN final b ON b.query_id = a.query_id AND b.w = a.w AND b.cap = a.cap AND a.rank < b.rank JOIN dense u ON u.chunk_id = a.chunk_id JOIN dense t ON t.chunk_id = b.chunk_id),
+  keys AS (SELECT query_id, list_transform(string_split(passage, ' ')[1:4], lambda x: lower(x)) AS kw FROM questions),
+  per AS (SELECT query_id, w, cap, count(chunk_id) AS n, count_if(len(list_filter(kw, lambda k: contains(lower(text), k))) > 0) AS rel, coalesce(string_agg(lower(text), chr(10)), '') AS ctx, any_value(kw) AS kw
+    FROM control JOIN keys USING (query_id) LEFT JOIN final USING (query_id, w, cap) GROUP BY ALL),
+  red AS (SELECT query_id, w, cap, max(s) AS r FROM pair GROUP BY ALL)
+  SELECT w AS lambda, cap, round(avg(CASE WHEN n = 0 THEN 0.0 ELSE rel / CAST(n AS DOUBLE) END), 6) AS precision, round(avg(len(list_filter(kw, lambda k: contains(ctx, k))) / CAST(len(kw) AS DOUBLE)), 6) AS recall,
+    round(avg(coalesce(r, 0.0)), 6) AS redundancy, round(avg(n), 6) AS hits FROM per LEFT JOIN red USING (query_id, w, cap) GROUP BY ALL"""
+)
 def j13_sweep_mmr(spark, sf_dir):
-    """Diversity parameters over the benchmark questions; the words of a passage are its keywords."""
+    """Diversity parameters over the benchmark questions; the words of a passage are its keywords, and a fifth wants five hits."""
     q = I.questions(spark, sf_dir)
-    cases = q.select(F.col("query_id").alias("id"), "query", F.slice(F.split("passage", " "), 1, 4).alias("relevant_keywords"), F.lit(False).alias("should_refuse"))
+    own = F.when(F.col("query_id").cast("long") % 5 == 0, 5)
+    cases = q.select(F.col("query_id").alias("id"), "query", F.slice(F.split("passage", " "), 1, 4).alias("relevant_keywords"), F.lit(False).alias("should_refuse"), own.alias("top_k"))
     pool = retrieve.pool(q.select("query_id", "query"), I.embedded_lines(spark, sf_dir), Params(min_score=0.3))
     report = evaluation.sweep_mmr(cases, pool)
     return report.select("lambda", "cap", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "redundancy", "hits")))
 
 
-@register()
+def _side(name: str, variants: str) -> str:
+    """Pool and selection with these variants, reranked by the query itself, and what is told of them."""
+    return f"""{S.pooled(f"raw_{name}", variants)}, {S.reranked(f"pool_{name}", f"raw_{name}", "questions", "query")}, {S.selected(f"sel_{name}", f"pool_{name}", "control")},
+  pair_{name} AS (SELECT a.query_id, a.rank AS i, b.rank AS j, list_inner_product(u.v, t.v) AS s FROM sel_{name} a JOIN sel_{name} b ON b.query_id = a.query_id AND a.rank < b.rank JOIN dense u ON u.chunk_id = a.chunk_id JOIN dense t ON t.chunk_id = b.chunk_id),
+  told_{name} AS (SELECT query_id, any_value(p.n) AS pool_{name}, count_if(contains(lower(text), keyword)) AS keyword_hits_{name}, list(chunk_id ORDER BY rank) AS list_{name} FROM sel_{name} JOIN asked USING (query_id) JOIN (SELECT query_id, count(*) AS n FROM pool_{name} GROUP BY 1) p USING (query_id) GROUP BY 1),
+  red_{name} AS (SELECT query_id, max(s) AS r_{name} FROM pair_{name} GROUP BY 1)"""
+
+
+@register(
+    f"""WITH RECURSIVE {I.QUESTIONS}, {I.LINES}, {T.VARIANTS}, {S._LINE_VECTORS}, plain AS (SELECT query_id, 0 AS variant_no, {T._COLLAPSED} AS variant FROM questions), asked AS (SELECT query_id, string_split(lower(passage), ' ')[2] AS keyword FROM questions),
+  control AS (SELECT query_id, 3 AS k, CAST(0.6 AS DOUBLE) AS w, CAST(1.01 AS DOUBLE) AS cap FROM questions), {_side("off", "plain")}, {_side("on", "variants")}
+  SELECT query_id, coalesce(list_off, []) <> coalesce(list_on, []) AS changed, CAST(len(list_filter(coalesce(list_on, []), lambda x: NOT list_contains(coalesce(list_off, []), x))) AS BIGINT) AS new_chunks,
+    pool_off, keyword_hits_off, CASE WHEN list_off IS NOT NULL THEN round(coalesce(r_off, 0.0), 6) END AS redundancy_off, pool_on, keyword_hits_on, CASE WHEN list_on IS NOT NULL THEN round(coalesce(r_on, 0.0), 6) END AS redundancy_on
+  FROM told_off FULL JOIN told_on USING (query_id) LEFT JOIN red_off USING (query_id) LEFT JOIN red_on USING (query_id)"""
+)
 def j14_compare_rewrite(spark, sf_dir):
     q = I.questions(spark, sf_dir).select("query_id", "query", F.split(F.lower("passage"), " ")[1].alias("keyword"))
     rows = evaluation.compare_rewrite(q, I.embedded_lines(spark, sf_dir), Params(min_score=0.3))
     return rows.withColumns({c: F.round(c, 6) for c in ("redundancy_off", "redundancy_on")})
 
 
+@register(f"WITH {_METRICS}, r AS (SELECT count(*) AS num_cases, avg(precision_at_k) AS p FROM metrics) SELECT num_cases, round(p, 9) AS mean_precision, case_id, round(recall_at_k, 9) AS recall_at_k, hallucination, retrieved_total FROM metrics, r")
+def a7_write_report(spark, sf_dir):
+    """A report with its case metrics as a JSON file, written and read back."""
+    metrics, path = _metrics(spark, sf_dir), shared_folder(spark, "report")
+    files.write_report(evaluate.build_report(metrics, _cases(spark, sf_dir)), metrics, path)
+    case = "case_id string, recall_at_k double, hallucination boolean, retrieved_total int"
+    back = spark.read.schema(f"num_cases long, precision_at_k double, cases array<struct<{case.replace(' ', ':').replace(',:', ',')}>>").json(path)
+    rows = back.select("num_cases", F.round("precision_at_k", 9).alias("mean_precision"), F.explode("cases").alias("c")).select("num_cases", "mean_precision", "c.*")
+    return rows.withColumn("recall_at_k", F.round("recall_at_k", 9))
+
+
 @register(
     f"""WITH {I.HITS}, runs AS (SELECT 'a' AS run, query_id AS case_id, chunk_id FROM hits UNION ALL SELECT 'b', query_id, chunk_id FROM hits WHERE NOT (CAST(query_id AS BIGINT) % 7 = 0 AND rank = 2)),
   s AS (SELECT run, case_id, array_to_string(list_sort(list(DISTINCT chunk_id)), ',') AS s FROM runs GROUP BY ALL), c AS (SELECT case_id, count(DISTINCT s) AS n, count(*) AS r FROM s GROUP BY 1)

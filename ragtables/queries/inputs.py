@@ -33,7 +33,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per document."""
-    d = table(spark, sf_dir, "documents")
+    return as_pages(table(spark, sf_dir, "documents"))
+
+
+def as_pages(d: DataFrame) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("doc"), "doc_id", F.when(F.col("doc_id") % 50 == 7, ".xls").otherwise(".txt")).alias("filename"), F.lit(None).cast("int").alias("page"), "text")
 
 

@@ -9,6 +9,7 @@ from ..operators import diversity, promote, rerank, rewrite, search
 from ..params import Params
 from ..plans import retrieve
 from . import inputs as I
+from .text import VARIANTS
 
 QUERIES, ORACLES, register = I.registry()
 
@@ -189,8 +190,8 @@ def _deduped(hits: str, keys: str = "query_id") -> str:
     """uniq(keys, rank): the hits that dedupe_by_text keeps."""
     row = "STRUCT(rank INTEGER, w VARCHAR[], bag VARCHAR[])"
     near = "len(y.bag) > 0 AND len(x.x.bag) > 0 AND CAST(len(list_intersect(y.bag, x.x.bag)) AS DOUBLE) / (len(y.bag) + len(x.x.bag) - len(list_intersect(y.bag, x.x.bag))) >= 0.85"
-    return f"""forms AS (SELECT {keys}, CAST(rank AS INTEGER) AS rank, {I.words("text")} AS w FROM {hits}),
-  ordered AS (SELECT {keys}, list({{'rank': rank, 'w': w, 'bag': list_distinct(w)}} ORDER BY rank) AS l FROM forms GROUP BY ALL),
+    return f"""forms AS (SELECT {keys}, CAST(rank AS INTEGER) AS rank, {I.words("text")} AS form FROM {hits}),
+  ordered AS (SELECT {keys}, list({{'rank': rank, 'w': form, 'bag': list_distinct(form)}} ORDER BY rank) AS l FROM forms GROUP BY ALL),
   uniq AS (SELECT {keys}, unnest(list_reduce(list_transform(l, lambda r: {{'kept': []::{row}[], 'x': r}}), lambda a, x: {{
       'kept': CASE WHEN len(list_filter(a.kept, lambda y: y.w = x.x.w OR ({near}))) > 0 THEN a.kept ELSE list_append(a.kept, x.x) END, 'x': x.x}},
     {{'kept': []::{row}[], 'x': CAST(NULL AS {row})}}).kept).rank AS rank FROM ordered)"""
@@ -225,14 +226,67 @@ def f11_retrieval_gate(spark, sf_dir):
     return promote.retrieval_gate(hits, queries).select("query_id", "refuse", F.round("best", 9).alias("best"))
 
 
-@register()
+#: The lines as normalised hashed words
+_LINE_VECTORS = f"""vc AS (WITH texts AS (SELECT chunk_id AS id, text FROM lines), {I.EMBED} SELECT id, b, x FROM vec),
+  dense AS (SELECT id AS chunk_id, list(coalesce(x, 0.0) ORDER BY b) AS v FROM (SELECT DISTINCT id FROM vc) CROSS JOIN (SELECT CAST(range AS INTEGER) AS b FROM range(64)) LEFT JOIN vc USING (id, b) GROUP BY id)"""
+
+
+def pooled(name: str = "pool", variants: str = "variants") -> str:
+    """name(query_id, rank, chunk_id, document_id, chunk_index, text, score): the fused candidates of the variants, not reranked."""
+    p = f"{name}_"
+    return f"""{p}q AS (WITH texts AS (SELECT query_id || '#' || variant_no AS id, variant AS text FROM {variants}), {I.EMBED} SELECT id, b, x FROM vec),
+  {p}s AS (SELECT q.id, c.id AS chunk_id, round(sum(q.x * c.x), 6) + 0.0 AS score FROM {p}q q JOIN vc c USING (b) GROUP BY ALL HAVING round(sum(q.x * c.x), 6) >= 0.3),
+  {p}r AS (SELECT id, chunk_id, document_id, chunk_index, text, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, document_id, chunk_index) AS n FROM {p}s JOIN lines USING (chunk_id)),
+  {p}f AS (SELECT split_part(id, '#', 1) AS query_id, chunk_id, document_id, chunk_index, text, max(score) AS score FROM {p}r WHERE n <= 20 GROUP BY ALL),
+  {name} AS (SELECT query_id, {_RANK}, chunk_id, document_id, chunk_index, text, score FROM {p}f)"""
+
+
+def reranked(name: str, pool: str, variants: str, variant: str = "variant") -> str:
+    """name: the pool by the best share of a variant's words that a text has."""
+    best = f"SELECT query_id, rank AS old, chunk_id, document_id, chunk_index, text, max({_overlap(variant, 'text')}) AS score FROM {pool} JOIN {variants} USING (query_id) GROUP BY ALL"
+    return f"{name} AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) AS INTEGER) AS rank, chunk_id, document_id, chunk_index, text, score FROM ({best}))"
+
+
+def selected(name: str, pool: str, control: str) -> str:
+    """name(query_id, w, cap, k, rank, chunk_id, text, score): k diverse hits for each row of control(query_id, k, w, cap). Needs WITH RECURSIVE."""
+    p = f"{name}_"
+    return f"""{p}rel AS (SELECT query_id, rank, CASE WHEN hi - lo < 1e-9 THEN 1.0 ELSE (score - lo) / (hi - lo) END AS rel FROM {pool} JOIN (SELECT query_id, min(score) AS lo, max(score) AS hi FROM {pool} GROUP BY 1) USING (query_id)),
+  {p}sim AS (SELECT a.query_id, a.rank AS x, b.rank AS y, round(list_inner_product(u.v, t.v), 9) AS s FROM {pool} a JOIN {pool} b USING (query_id) JOIN dense u ON u.chunk_id = a.chunk_id JOIN dense t ON t.chunk_id = b.chunk_id),
+  {p}step(query_id, w, cap, k, n, sel, pick) AS (
+    SELECT query_id, w, cap, k, 0, []::INTEGER[], NULL::INTEGER FROM {control}
+    UNION ALL
+    SELECT query_id, w, cap, k, n + 1, list_append(sel, x), x FROM (
+      SELECT t.query_id, t.w, t.cap, t.k, t.n, t.sel, r.rank AS x, row_number() OVER (PARTITION BY t.query_id, t.w, t.cap ORDER BY t.w * r.rel - (1 - t.w) * coalesce(max(s.s), 0.0) DESC, r.rank) AS best
+      FROM {p}step t JOIN {p}rel r ON r.query_id = t.query_id AND NOT list_contains(t.sel, r.rank)
+      LEFT JOIN {p}sim s ON s.query_id = t.query_id AND s.x = r.rank AND list_contains(t.sel, s.y)
+      WHERE t.n < t.k GROUP BY t.query_id, t.w, t.cap, t.k, t.n, t.sel, r.rank, r.rel HAVING coalesce(max(s.s), 0.0) < t.cap) WHERE best = 1),
+  {name} AS (SELECT t.query_id, w, cap, k, CAST(n AS INTEGER) AS rank, chunk_id, document_id, chunk_index, text, score FROM {p}step t JOIN {pool} p ON p.query_id = t.query_id AND p.rank = t.pick WHERE n > 0)"""
+
+
+_KEYS = "query_id, w, cap"
+#: final(query_id, w, cap, rank, chunk_id, ...): the selected hits without repeats of text, and a match of the query's kind in front
+FINAL = rf"""{_deduped("picked", _KEYS)},
+  once AS (SELECT {_KEYS}, k, CAST(row_number() OVER (PARTITION BY {_KEYS} ORDER BY picked.rank) AS INTEGER) AS rank, chunk_id FROM uniq JOIN picked USING ({_KEYS}, rank)),
+  kinds AS (SELECT query_id, regexp_extract_all(lower(query), '(?:^|[^\p{{L}}\p{{N}}_])([a-z]\d+[a-z]?\.[a-z][a-z0-9]*)', 1) AS ids, regexp_matches(query, 'memory[- ]?(?:intensive|optimized)|(?:large|high)\s+(?:memory|ram)', 'i') AS family FROM questions),
+  fits AS (SELECT query_id, chunk_id, rank FROM pool JOIN kinds USING (query_id) WHERE len(list_filter(ids, lambda i: contains(lower(text), i))) > 0
+    OR (family AND contains(lower(text), 'memory optimized') AND contains(lower(text), 'designed') AND (contains(lower(text), 'workload') OR contains(lower(text), 'data sets in memory')))),
+  settled AS (SELECT DISTINCT {_KEYS} FROM once JOIN fits USING (query_id, chunk_id) WHERE once.rank <= k),
+  lead AS (SELECT {_KEYS}, k, arg_min(chunk_id, rank) AS first FROM control JOIN fits USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM settled s WHERE s.query_id = control.query_id AND s.w = control.w AND s.cap = control.cap) GROUP BY ALL),
+  moved AS (SELECT {_KEYS}, once.k, CASE WHEN first IS NULL THEN rank ELSE rank + 1 END AS rank, chunk_id FROM once LEFT JOIN lead USING ({_KEYS}) WHERE rank <= once.k AND (first IS NULL OR chunk_id <> first)),
+  final AS (SELECT {_KEYS}, CAST(m.rank AS INTEGER) AS rank, chunk_id, document_id, chunk_index, text, score FROM (SELECT {_KEYS}, rank, chunk_id FROM moved WHERE rank <= k UNION ALL SELECT {_KEYS}, 1, first FROM lead) m
+    JOIN (SELECT query_id, chunk_id, document_id, chunk_index, text, score FROM pool) USING (query_id, chunk_id))"""
+_RETRIEVAL = f"{I.QUESTIONS}, {I.LINES}, {VARIANTS}, {_LINE_VECTORS}, {pooled('fused')}, {reranked('pool', 'fused', 'variants')}"
+_ONE = "control AS (SELECT query_id, 3 AS k, CAST(0.6 AS DOUBLE) AS w, CAST(0.85 AS DOUBLE) AS cap FROM questions)"
+
+
+@register(f"WITH RECURSIVE {_RETRIEVAL}, {_ONE}, {selected('picked', 'pool', 'control')}, {FINAL} SELECT query_id, rank, chunk_id, document_id, chunk_index, round(score, 6) AS score FROM final")
 def f12_retrieve(spark, sf_dir):
     """The whole retrieval of the benchmark questions over all lines."""
     found = retrieve.retrieve(I.questions(spark, sf_dir).select("query_id", "query"), I.embedded_lines(spark, sf_dir), Params(min_score=0.3))
     return found.select("query_id", "rank", "chunk_id", "document_id", "chunk_index", F.round("score", 6).alias("score"))
 
 
-@register()
+@register(f"WITH {_RETRIEVAL} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM pool")
 def multi_query_pool(spark, sf_dir):
     """Fused candidate pools over rewritten queries (E7, D6, F2)."""
     asked = rewrite.rewrite_queries(I.questions(spark, sf_dir).select("query_id", "query")).select("query_id", "variant")
