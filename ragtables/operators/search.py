@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -14,8 +15,11 @@ from pyspark.sql import functions as F
 from ..functions.text import contains_ci, words
 from ..params import Params
 
-#: Queries whose vectors are held by every task at once; more are searched in rounds of this many.
+#: Queries whose vectors are held by every task at once; more are packed and joined.
 QUERY_BLOCK = 8192
+PACKED = 1024  # rows of a packed block
+CELLS = 1 << 21  # scores held at once
+_NEVER = np.iinfo(np.int64).min
 #: Terms that every task tests at once; more are tested in rounds of this many.
 TERM_BLOCK = 100_000
 DIGITS = 6  # scores are rounded to this, so that equal texts tie however they were summed
@@ -23,22 +27,17 @@ DIGITS = 6  # scores are rounded to this, so that equal texts tie however they w
 
 def hash_encoder(dim: int = 64) -> Callable[[pd.Series], pd.Series]:
     """Signed counts of hashed words: the default, which needs no model. Takes word arrays, gives double arrays."""
-    known: dict[str, tuple[int, int]] = {}
 
     def place(word: str) -> tuple[int, int]:
-        if word not in known:
-            if len(known) > 1_000_000:
-                known.clear()
-            digest = hashlib.md5(word.encode()).hexdigest()
-            known[word] = int(digest[:8], 16) % dim, 1 - 2 * (int(digest[8], 16) % 2)
-        return known[word]
+        digest = hashlib.md5(word.encode()).hexdigest()
+        return int(digest[:8], 16) % dim, 1 - 2 * (int(digest[8], 16) % 2)
 
     def encode(texts: pd.Series) -> pd.Series:
-        out = np.zeros((len(texts), dim))
-        for row, text in enumerate(texts):
-            for word in text:
-                at, sign = place(word)
-                out[row, at] += sign
+        out, row = np.zeros((len(texts), dim)), np.repeat(np.arange(len(texts)), texts.map(len))
+        if len(row):
+            code, listed = pd.factorize(np.concatenate(texts.to_list()))  # each distinct word is hashed once a batch
+            at, sign = np.array([place(w) for w in listed]).T
+            np.add.at(out, (row, at[code]), sign[code])
         return pd.Series(list(out))
 
     return encode
@@ -74,64 +73,109 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int | None = None, *, k_col: s
     """Exact best chunks by inner product: (query_id, rank, chunk_id, document_id, chunk_index, score, keep...).
 
     queries: query_id, vector, optional scope (array of document ids; null or empty: all) and k_col. Scopes are
-    applied before ranking. Every task holds a bounded block of query vectors and scans its chunks in batches with a
-    matrix product; only its best rows per query are shuffled. Ties: document_id, then chunk_index.
+    applied before ranking. Up to QUERY_BLOCK queries are held by every task, which scans its chunks in batches with a
+    matrix product; only its best rows per query are shuffled. More queries are packed into blocks, as the chunks are,
+    and meet them in a join; they do not pass through the driver. Ties: document_id, then chunk_index.
     """
     spark = queries.sparkSession
     scoped = "scope" in queries.columns
     want = F.col(k_col).cast("int") if k_col else F.lit(k)
     asked = queries.select("query_id", "vector", want.alias("k"), *(["scope"] if scoped else []))
-    n = asked.count()
-    block = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(max(1, -(-n // QUERY_BLOCK))))
     fields = ["chunk_id", "document_id", "chunk_index", *keep]
     source = chunks.where("vector is not null").select(*fields, *(["vector"] if "vector" not in fields else []))
-    kinds = [f"query_id {asked.schema['query_id'].dataType.simpleString()}", "k int", *(f"{c} {source.schema[c].dataType.simpleString()}" for c in fields), "score double"]
-    found = None
-    for i in range(max(1, -(-n // QUERY_BLOCK))):
-        rows = asked.where(block == i).toPandas()  # at most about QUERY_BLOCK rows
-        part = source.mapInArrow(_scanner(spark.sparkContext.broadcast(rows), fields, scoped, not_self), ", ".join(kinds))
-        found = part if found is None else found.unionByName(part)
+    kinds = ", ".join([f"query_id {asked.schema['query_id'].dataType.simpleString()}", "k int", *(f"{c} {source.schema[c].dataType.simpleString()}" for c in fields), "score double"])
+    few = asked.limit(QUERY_BLOCK + 1).toArrow()
+    if few.num_rows <= QUERY_BLOCK:
+        held = spark.sparkContext.broadcast(_packed(few))
+
+        def scan(batches):
+            wanted = _Queries(held.value, fields, not_self)
+            for batch in batches:
+                yield from wanted.best(batch)
+
+        found = source.mapInArrow(scan, kinds)
+    else:
+        found = _in_blocks(asked, source).mapInArrow(lambda batches: _meet(batches, fields, not_self), kinds)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "chunk_index")
     return found.withColumn("rank", F.row_number().over(best)).where("rank <= k").select("query_id", "rank", *fields, "score")
 
 
-def _scanner(rows, fields: list[str], scoped: bool, not_self: bool):
-    def run(batches):
-        q = rows.value
-        if not len(q):
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()
+
+
+def _in_blocks(asked: DataFrame, source: DataFrame) -> DataFrame:
+    """Rows (q, c): every block of packed queries beside every block of packed chunks. The chunks are shuffled once."""
+    shards = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def blocks(batches):
+        for n, batch in enumerate(batches):
+            for i in range(0, batch.num_rows, PACKED):
+                yield pa.RecordBatch.from_arrays([pa.array([(n * 31 + i // PACKED) % shards], pa.int32()), pa.array([_packed(pa.Table.from_batches([batch.slice(i, PACKED)]))], pa.binary())], names=["shard", "packed"])
+
+    packed = "shard int, packed binary"
+    left = asked.mapInArrow(blocks, packed).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("packed").alias("q"))
+    right = source.mapInArrow(blocks, packed).select("shard", F.col("packed").alias("c"))
+    return left.join(right, "shard").select("q", "c")
+
+
+def _meet(batches, fields: list[str], not_self: bool):
+    for batch in batches:
+        for q, c in zip(batch.column("q"), batch.column("c"), strict=True):
+            wanted = _Queries(q.as_buffer(), fields, not_self)
+            for part in _unpacked(c.as_buffer()).to_batches():
+                yield from wanted.best(part)
+
+
+class _Queries:
+    """A block of queries against batches of chunks."""
+
+    def __init__(self, raw, fields: list[str], not_self: bool):
+        table = _unpacked(raw)
+        self.fields, self.not_self, self.ids = fields, not_self, table["query_id"].combine_chunks()
+        self.k = table["k"].to_numpy().astype(np.int64)
+        self.vectors = np.array(table["vector"].to_pylist(), np.float64).reshape(len(self.k), -1)
+        self.scopes = table["scope"].to_pylist() if "scope" in table.column_names else []
+        self.names = self.ids.to_pylist() if not_self else []
+
+    def best(self, batch: pa.RecordBatch):
+        """The batch's best rows for each query."""
+        n, most = batch.num_rows, int(self.k.max(initial=0))
+        if not n or not most:
             return
-        vectors = np.stack(q["vector"].to_numpy()).astype(np.float64)
-        scopes = [set(s) if scoped and s is not None and len(s) else None for s in (q["scope"] if scoped else [None] * len(q))]
-        ids, ks = q["query_id"].to_numpy(), q["k"].to_numpy()
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            score = np.round(vectors @ flat.reshape(batch.num_rows, -1).T, DIGITS) + 0.0
-            documents = np.array(batch.column("document_id").to_pylist(), object)
-            index = batch.column("chunk_index").to_numpy(zero_copy_only=False)
-            chunk = np.array(batch.column("chunk_id").to_pylist(), object) if not_self else None
-            rank = np.empty(batch.num_rows, np.int64)
-            rank[np.lexsort((index, documents.astype(str)))] = np.arange(batch.num_rows)
-            who, at = [], []
-            for j in range(len(q)):
-                s = score[j]
-                usable = np.arange(len(s))
-                if scopes[j] is not None:
-                    usable = np.flatnonzero([d in scopes[j] for d in documents])
-                if not_self:
-                    usable = usable[chunk[usable] != ids[j]]
-                if len(usable) > ks[j]:
-                    edge = np.partition(s[usable], len(usable) - ks[j])[len(usable) - ks[j]]
-                    usable = usable[s[usable] >= edge]
-                    usable = usable[np.lexsort((rank[usable], -s[usable]))][: ks[j]]
-                who.append(np.full(len(usable), j))
-                at.append(usable)
-            who, at = np.concatenate(who), np.concatenate(at)
-            out = table.take(pa.array(at)).select(fields)
-            columns = [pa.array(ids[who].tolist()), pa.array(ks[who].astype(np.int32)), *(out[c].combine_chunks() for c in fields), pa.array(score[who, at])]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "k", *fields, "score"])
-
-    return run
+        vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+        code, documents = pd.factorize(np.array(batch.column("document_id").to_pylist(), object), sort=True)
+        order = np.lexsort((batch.column("chunk_index").to_numpy(zero_copy_only=False), code))
+        behind = np.empty(n, np.int64)
+        behind[order] = np.arange(n)[::-1]  # what a row has over the rows that come after it in a tie
+        number = {d: i for i, d in enumerate(documents)}
+        chunk = {c: i for i, c in enumerate(batch.column("chunk_id").to_pylist())} if self.not_self else {}
+        step = max(1, CELLS // n)
+        for i in range(0, len(self.k), step):
+            score = np.round(self.vectors[i : i + step] @ vectors.T, DIGITS) + 0.0
+            key = np.rint(score * 10**DIGITS).astype(np.int64) * n + behind
+            for j, scope in enumerate(self.scopes[i : i + step]):
+                if scope:
+                    key[j, ~np.isin(code, [number[d] for d in scope if d in number])] = _NEVER
+            for j, name in enumerate(self.names[i : i + step]):
+                if name in chunk:
+                    key[j, chunk[name]] = _NEVER
+            top = np.argpartition(key, n - most, 1)[:, n - most :] if most < n else np.broadcast_to(np.arange(n), key.shape)
+            held = np.take_along_axis(key, top, 1)
+            first = np.argsort(-held, 1)
+            top, held = np.take_along_axis(top, first, 1), np.take_along_axis(held, first, 1)
+            who, place = np.nonzero((held > _NEVER) & (np.arange(top.shape[1]) < self.k[i : i + step, None]))
+            at = top[who, place]
+            taken = batch.take(pa.array(at))
+            columns = [self.ids.take(pa.array(who + i)), pa.array(self.k[who + i].astype(np.int32)), *(taken.column(c) for c in self.fields), pa.array(score[who, at])]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "k", *self.fields, "score"])
 
 
 def pool_size(queries: DataFrame, params: Params = Params()) -> DataFrame:
@@ -192,12 +236,23 @@ def term_presence(chunks: DataFrame, terms: DataFrame) -> DataFrame:
 
 def _counter(listed):
     def count(batches):
-        lower = [t.lower() for t in listed.value]
-        n = np.zeros(len(lower), np.int64)
+        lower: dict[str, list[int]] = {}
+        for i, t in enumerate(listed.value):
+            lower.setdefault(t.lower(), []).append(i)
+        found, texts, whole = ahocorasick.Automaton(), 0, [i for t, at in lower.items() if not t for i in at]
+        for t, at in lower.items():
+            if t:
+                found.add_word(t, at)
+        found.make_automaton()
+        n = np.zeros(len(listed.value), np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                for i, t in enumerate(lower):
-                    n[i] += text is not None and t in text
+                if text is not None:
+                    texts += 1
+                    if len(found):
+                        for at in {id(x): x for _, x in found.iter(text)}.values():  # each term once a text
+                            n[at] += 1
+        n[whole] = texts
         yield pa.RecordBatch.from_arrays([pa.array(listed.value, pa.string()), pa.array(n)], names=["term", "chunks"])
 
     return count

@@ -12,6 +12,7 @@ from ..functions.text import contains_ci
 from ..functions.vectors import dot
 from ..operators import diversity, evaluate, promote, rerank
 from ..params import Params
+from ..sources.tables import checkpointed
 from . import retrieve
 
 COMBOS = ((0.7, 1.01), (0.7, 0.95), (0.7, 0.90), (0.7, 0.85), (0.5, 0.90), (0.5, 0.85), (0.6, 0.88))
@@ -28,7 +29,8 @@ def sweep_mmr(cases: DataFrame, candidates: DataFrame, combos: Sequence[tuple[fl
     key = F.concat_ws("\x1f", "query_id", F.col("c.lambda").cast("string"), F.col("c.cap").cast("string"))
     asked = cases.select(F.col("id").alias("query_id"), "query", "relevant_keywords", "should_refuse", "k").withColumn("c", each).withColumn("query_id", key)
     pools = candidates.join(cases.select(F.col("id").alias("query_id"), "k"), "query_id").withColumn("c", each).withColumn("query_id", key).select("*", "c.*").drop("c")
-    hits = diversity.mmr_select(pools, k_col="k", lambda_col="lambda", cap_col="cap").drop("lambda", "cap", "k")
+    pools = checkpointed(pools)
+    hits = checkpointed(diversity.mmr_select(pools, k_col="k", lambda_col="lambda", cap_col="cap").drop("lambda", "cap", "k"))
     hits = promote.promote_hits(diversity.dedupe_by_text(hits, params.dedupe_jaccard), pools.select(*hits.columns), asked, k_col="k")
     got = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text", "vector"))).alias("h"))
     rows = asked.join(got, "query_id", "left")
@@ -50,9 +52,9 @@ def compare_rewrite(queries: DataFrame, chunks: DataFrame, params: Params = Para
     k = k or params.top_k
 
     def final(on: bool) -> tuple[DataFrame, DataFrame]:
-        pool = retrieve.pool(queries.select("query_id", "query"), chunks, replace(params, rewrite=on, rerank=False))
+        pool = checkpointed(retrieve.pool(queries.select("query_id", "query"), chunks, replace(params, rewrite=on, rerank=False)))
         hits = rerank.rerank(pool, queries)
-        return pool, diversity.mmr_select(hits, k, params.mmr_lambda, 1.01)
+        return pool, checkpointed(diversity.mmr_select(hits, k, params.mmr_lambda, 1.01))
 
     tables = []
     for name, on in (("off", False), ("on", True)):

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, chunking, dedup, search
 from ..params import Params
+from ..sources.tables import checkpointed
 
 
 def chunk_table(pages: DataFrame, params: Params = Params()) -> DataFrame:
     """Cleaned, packed, numbered chunks without repeats inside a document."""
-    packed = chunking.chunk_pages(pages, params.chunk_size, params.chunk_overlap)
+    packed = checkpointed(chunking.chunk_pages(pages, params.chunk_size, params.chunk_overlap))  # read for the counts and for the texts
     return dedup.drop_duplicate_chunks(chunking.number_chunks(packed))
 
 

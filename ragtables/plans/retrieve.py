@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import diversity, promote, rerank, rewrite, search
 from ..params import Params
+from ..sources.tables import checkpointed
 
 
 def pool(queries: DataFrame, chunks: DataFrame, params: Params = Params(), *, encoder: Callable | None = None, prefix: str = "", scorer: Callable = rerank.token_overlap) -> DataFrame:
@@ -35,10 +36,10 @@ def select(candidates: DataFrame, queries: DataFrame, params: Params = Params(),
     if diverse and params.mmr:
         hits = diversity.mmr_select(hits.join(asked.select("query_id", "k"), "query_id"), lambda_=params.mmr_lambda, dedup_threshold=params.mmr_cap, k_col="k").select(*candidates.columns)
     if diverse:
-        hits = diversity.dedupe_by_text(hits, params.dedupe_jaccard)
+        hits = diversity.dedupe_by_text(checkpointed(hits), params.dedupe_jaccard)
     return promote.promote_hits(hits, candidates, asked, k_col="k")
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, params: Params = Params(), *, diverse: bool = True, **options) -> DataFrame:
     """Final hits of every query: query_id, rank, chunk_id, document_id, filename, chunk_index, page, text, score, vector."""
-    return select(pool(queries, chunks, params, **options), queries, params, diverse=diverse)
+    return select(checkpointed(pool(queries, chunks, params, **options)), queries, params, diverse=diverse)

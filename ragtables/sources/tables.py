@@ -22,7 +22,22 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNKS + ", bucket int").parquet(path).drop("bucket")
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set in a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return base or tempfile.mkdtemp(prefix="ragtables-")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: below spark.checkpoint.dir, or a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ragtables-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written below the shared folder: made once, and not again for each of its readers or after a lost executor."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_base(df.sparkSession))
+    return df.checkpoint(eager=True)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from ragtables.functions.citations import citation_groups
@@ -140,3 +142,14 @@ def test_memory(spark):
     prompts = spark.createDataFrame([("q", "p")], "query_id string, prompt string")
     history = spark.createDataFrame([("q", [("user", "a"), ("assistant", "b")])], "query_id string, history array<struct<role:string,content:string>>")
     assert [m["role"] for m in context.build_messages(prompts, history).first()["messages"]] == ["system", "user", "assistant", "user"]
+
+
+def test_citation_groups_take_one_pass(spark):
+    """A text without marks, and one behind its last mark, is not searched from every place."""
+    long = "some words " * 100_000
+    rows = [("none", long), ("late", "first [1] " + long), ("quirk", "claim one [1][2][3] next thing [4] rest"), ("bare", "[1]"), ("grouped", "x\ny [ 1 , 20 ]"), ("open", "a [1, b [2"), ("empty", ""), ("null", None)]
+    began = time.time()
+    got = {r["id"]: r["g"] and [(g["claim"], g["markers"]) for g in r["g"]] for r in spark.createDataFrame(rows, "id string, t string").select("id", citation_groups(F.col("t")).alias("g")).collect()}
+    assert time.time() - began < 20
+    assert got["none"] == [] and got["late"] == [("first ", [1])] and got["quirk"] == [("claim one ", [1]), ("[2]", [3]), (" next thing ", [4])]
+    assert got["bare"] == got["open"] == got["empty"] == [] and got["grouped"] == [("y ", [1, 20])] and got["null"] is None

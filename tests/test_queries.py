@@ -35,6 +35,5 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in sql.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["a1_text_pages", "b5_chunk_pages", "f7_dedupe_by_text", "g3_grouped_context", "batch_answers"])
-def test_query_has_rows(spark, sf_dir, name):
-    assert Q.queries()[name](spark, sf_dir).count() > 0
+def test_every_query_has_a_twin():
+    assert set(Q.queries()) == set(Q.oracle_sql())

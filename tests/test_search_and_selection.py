@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ragtables.operators import catalog, diversity, promote, rerank, search
 from ragtables.params import Params
 from ragtables.plans import retrieve
+from ragtables.queries import inputs
 
 HITS = "query_id string, rank int, chunk_id string, document_id string, filename string, chunk_index int, page int, text string, score double, vector array<double>"
 
@@ -130,3 +131,24 @@ def test_more_terms_than_a_block(spark):
     assert len(terms) > 100_000
     got = search.term_presence(spark.createDataFrame([(text,), (None,)], "text string"), spark.createDataFrame([(t,) for t in sorted(terms)], "term string"))
     assert {(x["chunks"], x["count"]) for x in got.groupBy("chunks").count().collect()} == {(1, len(terms) - 1), (0, 1)}
+
+
+def test_blocks_of_queries_find_the_same(spark, sf_dir, monkeypatch):
+    """More queries than a task holds are packed and joined: the hits are the same, scopes, own k and ties included."""
+    chunks, asked = inputs.vectors(spark, sf_dir), inputs.vector_queries(spark, sf_dir).withColumn("n", (F.col("query_id").cast("int") % 7).cast("int"))
+    chunks = chunks.unionByName(chunks.where("chunk_index % 3 = 0").withColumns({"chunk_id": F.concat("chunk_id", F.lit("b")), "chunk_index": F.col("chunk_index") + 9000}))
+    found = []
+    for block in (search.QUERY_BLOCK, 5):
+        monkeypatch.setattr(search, "QUERY_BLOCK", block)
+        found.append(sorted(map(tuple, search.knn(asked, chunks, k_col="n", not_self=True).collect()), key=repr))
+    assert found[0] == found[1] and len(found[0]) > 50
+
+
+def test_term_presence_equals_brute_force(spark, monkeypatch):
+    texts = ["The cat sat", "a CATALOGUE of cats", "", None, "dog", "Straße und straße"]
+    terms = ["cat", "Cat", "", "at", "dog", "none", "straße", "c"]
+    want = {t: sum(x is not None and t.lower() in x.lower() for x in texts) for t in terms}
+    chunks, rows = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(t,) for t in terms], "term string")
+    for block in (search.TERM_BLOCK, 2):
+        monkeypatch.setattr(search, "TERM_BLOCK", block)
+        assert {r["term"]: r["chunks"] for r in search.term_presence(chunks, rows).collect()} == want

@@ -20,11 +20,11 @@ def folder():
 
 def test_text_files(spark):
     d = folder()
-    for name, data in (("a.TXT", b"caf\xc3\xa9 \xff!"), ("b.md", b"# x"), ("c.pdf", b"%PDF")):
+    for name, data in (("a.TXT", b"caf\xc3\xa9 \xff!\xef\xbf\xbd\xe2\x82 \xef\xb7\x90b"), ("b.md", b"# x"), ("c.pdf", b"%PDF")):
         with open(f"{d}/{name}", "wb") as f:
             f.write(data)
     got = {r["filename"]: r["text"] for r in files.read_text_documents(spark, d).collect()}
-    assert got == {"a.TXT": "café !", "b.md": "# x"}
+    assert got == {"a.TXT": "café !\ufffd \ufdd0b", "b.md": "# x"}
     paged = files.read_pages(spark.read.format("binaryFile").load(f"{d}/b.md"), lambda b: [b.decode(), None])
     assert [(r["page"], r["text"]) for r in paged.orderBy("page").collect()] == [(1, "# x"), (2, "")]
 

@@ -112,3 +112,9 @@ def test_rewriting(spark):
     assert any("memory optimized" in g for g in variants("Which suits memory-intensive workloads?"))
     assert one(spark, "1. one\n- \"two\"\n\n* three", Q.parse_paraphrases) == ["one", "two", "three"]
     assert one(spark, "is m5.xlarge or M5.XLARGE or r6i.metal bigger", Q.extract_identifiers) == ["m5.xlarge", "r6i.metal"]
+
+
+def test_white_space_beyond_ascii(spark):
+    assert one(spark, "  no-break edge　", T.strip) == "no-break edge"
+    assert one(spark, "A  b\u001cC ", T.normalize_ws) == "a b c"
+    assert one(spark, "One. Two", T.split_sentences) == ["One.", "Two"] and one(spark, "a b", T.word_count) == 2
