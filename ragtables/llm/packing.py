@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .session import checkpointed
 from .textkit import buffers, ragged, slices, span_hashes, spread
@@ -53,6 +54,16 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def added_tokens(path: str) -> tuple[tuple[bytes, int], ...]:
+    """Texts that are one token wherever they stand; what is before and behind them is encoded apart."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in found):
+        raise ValueError("added tokens that depend on what is around them")
+    return tuple((t["content"].encode(), t["id"]) for t in found)
+
+
 @lru_cache(maxsize=2)
 def _token_bytes(path: str) -> np.ndarray:
     ranks = encoder(path)._mergeable_ranks
@@ -89,6 +100,29 @@ def _pieces_apart(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 def token_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, and where each text's ids begin."""
+    raw, special = data.tobytes(), []
+    for content, i in added_tokens(path):
+        at = raw.find(content)
+        while at >= 0:
+            whole = np.searchsorted(offsets, at, side="right") == np.searchsorted(offsets, at + len(content))
+            if whole:  # not across two texts
+                special.append((at, at + len(content), i))
+            at = raw.find(content, at + (len(content) if whole else 1))
+    if not special:
+        return _ordinary_ids(data, offsets, path)
+    special.sort()
+    edges = np.array([e for x in special for e in x[:2]])
+    parts = np.unique(np.concatenate([offsets, edges]))  # every part a text of its own
+    apart = np.zeros(len(data), bool)
+    for a, b, _ in special:
+        apart[a:b] = True
+    ids, at = _ordinary_ids(data[~apart], parts - np.concatenate([[0], np.cumsum(apart)])[parts], path)
+    begin = at[np.searchsorted(parts, [a for a, _, _ in special])]
+    ids = np.insert(ids, begin, np.array([i for _, _, i in special], ids.dtype))
+    return ids, at[np.searchsorted(parts, offsets)] + np.searchsorted([b for _, b, _ in special], offsets, side="right")
+
+
+def _ordinary_ids(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = _pieces_apart(data, offsets)
     if not len(starts):
         return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
@@ -153,12 +187,33 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, c
     return frame.mapInArrow(run, f"`{id_col}` {kind}, {_PIECES}" + ", ids array<int>" * with_ids)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Which lengths share a sequence, and how many such sequences there are."""
+Plan = list[tuple[tuple[int, ...], int]]  # lengths that share a sequence, and how many such sequences there are
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """Which lengths share a sequence: of several plans the one with the fewest sequences.
+
+    They differ in how many pieces may fill a gap exactly (up to three), how long a piece begins a sequence, and whether
+    long or short ones come first. The last of them fills nothing exactly and is plain best-fit decreasing.
+    """
+    least = -(-sum(n * k for n, k in counts.items()) // capacity)
+    best, fewest = [], None
+    for most, part, upward in ((3, 3, True), (3, 2, True), (3, 2, False), (3, capacity, True), (2, 2, False), (1, 2, False), (0, 2, False)):
+        made = _plan(counts, capacity, most, -(-capacity // part), upward)
+        used = sum(times for _, times in made)
+        if fewest is None or used < fewest:
+            best, fewest = made, used
+        if fewest == least:
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int, begun: int, upward: bool) -> Plan:
+    """Exact fills by up to `most` pieces of sequences begun by lengths from `begun` on, then best fit."""
     c = np.zeros(capacity + 1, np.int64)
     for n, k in counts.items():
         c[n] += k
-    made: list[tuple[tuple[int, ...], int]] = []
+    made: Plan = []
 
     def use(*lengths: int) -> None:
         need = Counter(lengths)
@@ -168,30 +223,31 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
             for n, k in need.items():
                 c[n] -= k * times
 
-    def pairs(total: int, most: int) -> np.ndarray:
+    def pairs(total: int, largest: int) -> np.ndarray:
         """The larger lengths of the pairs at hand with this sum, largest first."""
-        a = np.arange((total + 1) // 2, min(total - 1, most) + 1)
+        a = np.arange((total + 1) // 2, min(total - 1, largest) + 1)
         return a[(c[a] > 0) & (c[total - a] > 0)][::-1]
 
-    use(capacity)
-    for big in range(capacity - 1, capacity // 2 - 1, -1):
-        gap = capacity - big
-        if c[big]:
+    def fill(big: int, gap: int, others: int) -> None:
+        """As often as the counts allow: big and that many others that take the gap exactly, the largest ones first."""
+        if others == 1 and gap <= big:
             use(big, gap)
-        if c[big]:
-            for a in pairs(gap, gap).tolist():
+        for a in pairs(gap, big).tolist() if others == 2 else ():
+            if c[big]:
                 use(big, a, gap - a)
-                if not c[big]:
-                    break
-        if c[big]:
-            for a in (np.flatnonzero(c[1 : gap - 1]) + 1)[::-1].tolist():
-                for b in pairs(gap - a, a).tolist() if c[a] else ():
+        for a in (np.flatnonzero(c[1 : min(gap - 2, big) + 1]) + 1)[::-1].tolist() if others == 3 else ():
+            for b in pairs(gap - a, a).tolist() if c[a] else ():
+                if c[big] and c[a]:
                     use(big, a, b, gap - a - b)
-                    if not c[big] or not c[a]:
-                        break
-                if not c[big]:
-                    break
-    open_at: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by room left
+            if not c[big]:
+                break
+
+    use(capacity)
+    for others in range(1, most + 1):  # fills by fewer pieces first: they spare the small ones
+        for big in range(begun, capacity) if upward else range(capacity - 1, begun - 1, -1):
+            if c[big]:
+                fill(big, capacity - big, others)
+    open_at: dict[int, Plan] = {}  # by room left
     for n in range(capacity, 0, -1):
         left = int(c[n])
         while left:
@@ -222,15 +278,29 @@ def place(rows: DataFrame, id_col: str = "doc_id", *, capacity: int = CAPACITY)
             taken[n] += times
             at += n
         base += times
-    slots = spark.createDataFrame(slots, "length long, lo long, times long, base long, offset long")
+    # one array per figure, ordered by length and first rank; bounded by the capacity, not by the rows
+    length, lo, _, base_of, offset_of = np.array(sorted(slots), np.int64).reshape(-1, 5).T
+    held, names = spark.sparkContext.broadcast((length, lo, base_of, offset_of)), rows.columns
+
+    def locate(batches):
+        length, lo, base_of, offset_of = held.value
+        first, stop = (np.searchsorted(length, np.arange(capacity + 1), side=s) for s in ("left", "right"))
+        for batch in batches:
+            n, rank = batch.column("length").to_numpy(), batch.column("__rank").to_numpy()
+            slot = np.empty(len(n), np.int64)
+            for each in np.unique(n).tolist():
+                x = np.flatnonzero(n == each)
+                slot[x] = first[each] + np.searchsorted(lo[first[each] : stop[each]], rank[x], side="right") - 1
+            columns = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(base_of[slot] + rank - lo[slot]), pa.array(offset_of[slot])], names=[*names, "sequence_id", "offset"])
+
     # ranks within a length without bringing a common length into one task: by salt, then shifted
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(spread(spark, 1))))
     shift = salted.groupBy("length", "__salt").count().select("length", "__salt", (F.sum("count").over(Window.partitionBy("length").orderBy("__salt")) - F.col("count")).alias("__shift"))
     ranked = salted.withColumn("__in", F.row_number().over(Window.partitionBy("length", "__salt").orderBy(id_col, "piece")) - 1)
     ranked = ranked.join(shift, ["length", "__salt"]).withColumn("__rank", F.col("__in") + F.col("__shift"))
-    # the slots are bounded by the capacity, not by the rows
-    placed = ranked.join(F.broadcast(slots), "length").where("__rank >= lo and __rank < lo + times")
-    return placed.select(*rows.columns, (F.col("base") + F.col("__rank") - F.col("lo")).alias("sequence_id"), "offset")
+    kinds = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.mapInArrow(locate, kinds)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, end: int = END, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:

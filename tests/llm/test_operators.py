@@ -140,7 +140,6 @@ def test_packing(spark, odd, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     got = packing.pack_documents(odd, with_ids=True).collect()
     texts = Counter((r["doc_id"], tuple(t.encode(r["text"] or "", add_special_tokens=False).ids) + (2,)) for r in odd.collect())
     places, longest = {}, 0
@@ -163,6 +162,36 @@ def test_packing(spark, odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_takes_no_more_sequences_than_best_fit(spark, sf_dir):
+    """And ids, cuts and places of the whole query are those of the tokenizer and of the contract."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    for d in (sf_dir, sf_dir.replace("sf0.001", "sf0.01")):
+        texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+        rows = queries.queries()["op4_best_fit_packing"](spark, d).collect()
+        full = {}
+        for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+            assert r["offset"] == full.get(r["sequence_id"], 0)
+            full[r["sequence_id"]] = r["offset"] + r["length"]
+        assert max(full.values()) <= 1024
+        open_rooms = []
+        for n in sorted((r["length"] for r in rows), reverse=True):  # plain best-fit decreasing
+            fits = [x for x in open_rooms if x >= n]
+            if fits:
+                open_rooms.remove(min(fits))
+            open_rooms.append((min(fits) if fits else 1024) - n)
+        assert -(-sum(full.values()) // 1024) <= len(full) <= len(open_rooms)
+        own = {}
+        for r in rows:
+            own.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+        for i, x in texts.items():
+            ids = np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4")
+            edge = len(ids) % 1024 if len(ids) > 1024 else len(ids)
+            cuts = sorted({0, edge, *range(edge, len(ids) + 1, 1024)})
+            assert sorted(own[i]) == [(k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
 def test_toxicity(spark, odd, labels, empty, sf_dir):
     got = toxicity.toxic_documents(odd, labels)
     assert got.count() == odd.count() and got.where("score is null or score < 0 or score > 1").count() == 0

@@ -66,8 +66,8 @@ def test_tokens_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
-    texts = [x or "" for x in ODD] + ["a  b \n\nc\td  ", " end \n", "<|endoftext|> x", "Ünïcödé têxt and\nmore"]
+    texts = [x or "" for x in ODD] + ["a  b \n\nc\td  ", " end \n", "<|endoftext|> x", "Ünïcödé têxt and\nmore", "<|endoftext|><|endoftext|>", "a <|endoftext|> b\n<|endoftext|>\n", "<|endo", "ftext|> over the edge", "<|endoftext|"]
+    texts += ["|>", " x", *(("y" * n) + "<|endoftext|> z" for n in range(3))]
     ids, at = packing.token_ids(*textkit.buffers(pa.array(texts)), packing.default_tokenizer())
     for i, x in enumerate(texts):
         assert ids[at[i] : at[i + 1]].tolist() == t.encode(x, add_special_tokens=False).ids
