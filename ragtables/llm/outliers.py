@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import checkpointed
+from .session import beside_group, checkpointed
 from .stats import shape, text_counts
 from .textkit import slices
 
@@ -117,16 +117,16 @@ def estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, m, w): robust mean and whitening triangle per group, from rows with x."""
     middle = rows.groupBy(*keys).agg(F.array(*(F.percentile_approx(F.col("x")[i], 0.5) for i in range(D))).alias("m"))
     spread = np.diag(np.square(START))
-    now = middle.withColumn("w", F.array(*map(F.lit, _triangle(spread).tolist())))
+    now = checkpointed(middle.withColumn("w", F.array(*map(F.lit, _triangle(spread).tolist()))))
     for step in range(STEPS + 1):
-        far = rows.join(now, keys).select(*keys, "x", _distance().alias("d"))
+        far = beside_group(rows, now, keys, "x").select(*keys, "x", _distance().alias("d"))
         if step < STEPS:
-            limit = far.groupBy(*keys).agg(F.percentile_approx("d", CORE).alias("limit"))
+            limit = checkpointed(far.groupBy(*keys).agg(F.percentile_approx("d", CORE).alias("limit")))
+            near = beside_group(far, limit, keys, "x").where("d <= limit")
             scale = 1.6  # what the spread of the nearest three quarters falls short of
         else:
-            limit = far.select(*keys).distinct().withColumn("limit", F.lit(chi_square(3.0)))
-            scale = 1.05
-        now = checkpointed(_estimates(_moments(far.join(limit, keys).where("d <= limit"), keys), keys, scale))
+            near, scale = far.where(F.col("d") <= chi_square(3.0)), 1.05
+        now = checkpointed(_estimates(_moments(near, keys), keys, scale))
     return now
 
 
@@ -136,6 +136,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = checkpointed(measured(docs, id_col, text_col, groups).withColumn("base_failed", (n < 10) | (100 * repeated > 20 * n)))
     keys = [f"__g{i}" for i in range(len(groups))]
     now = estimates(rows.where("not base_failed"), keys)
-    judged = rows.join(now, keys, "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    judged = beside_group(rows, now, keys, "x", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi_square(tail))
     return judged.select(F.col("__id").alias(id_col), *COUNTS, "base_failed", kept.alias("kept"), "distance")

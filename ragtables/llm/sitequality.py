@@ -20,10 +20,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import checkpointed
+from .session import beside_group, checkpointed
 from .stats import shape, text_counts
 from .textkit import logistic, sigmoid, slices
 
@@ -56,17 +56,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def evidence(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str, text_col: str, host_col: str, path_col: str) -> DataFrame:
-    """(id, host, path, p): what each text says by itself."""
+    """(id, host, path, h, p): what each text says by itself; h is a fingerprint of text, host and path."""
     weights, share = model
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
-    frame = docs.select(F.col(id_col).alias("__id"), name(host_col).alias("host"), name(path_col).alias("path"), F.col(text_col).cast("string").alias("__text"))
+    frame = docs.select(F.col(id_col).alias("__id"), name(host_col).alias("host"), name(path_col).alias("path"), _print(text_col, host_col, path_col).alias("h"), F.col(text_col).cast("string").alias("__text"))
 
     def run(batches):
         for batch in slices(batches, "__text", 2 << 20):
             p = sigmoid(_figures(batch.column("__text")) @ weights[:-1] + weights[-1]) if len(weights) else np.full(batch.num_rows, share)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.clip(p, 1e-6, 1 - 1e-6))], names=["__id", "host", "path", "p"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.clip(p, 1e-6, 1 - 1e-6))], names=["__id", "host", "path", "h", "p"])
 
-    return frame.mapInArrow(run, f"__id {frame.schema[0].dataType.simpleString()}, host string, path string, p double")
+    return frame.mapInArrow(run, f"__id {frame.schema[0].dataType.simpleString()}, host string, path string, h long, p double")
+
+
+def _print(text_col: str, host_col: str, path_col: str) -> Column:
+    return F.xxhash64(*(F.col(c).cast("string") for c in (text_col, host_col, path_col)))
 
 
 def posteriors(rows: DataFrame) -> DataFrame:
@@ -94,13 +98,20 @@ def posteriors(rows: DataFrame) -> DataFrame:
 
 def site_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", *, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """Per row: id, evidence, host_mean, path_mean, score, predicted (1: good)."""
+    rows = _judged(docs, labels, id_col, text_col, host_col, path_col, threshold=threshold, sample=sample)
+    return rows.select(F.col("__id").alias(id_col), F.col("p").alias("evidence"), "host_mean", "path_mean", "score", "predicted")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, *, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     rows = checkpointed(evidence(docs, fit(docs, labels, id_col, text_col, sample=sample), id_col, text_col, host_col, path_col))
     logit = lambda c: F.log(F.col(c) / (1 - F.col(c)))
     score = 1 / (1 + F.exp(-(logit("p") + logit("path_mean") - logit("prior"))))
-    return rows.join(checkpointed(posteriors(rows)), ["host", "path"]).select(F.col("__id").alias(id_col), F.col("p").alias("evidence"), "host_mean", "path_mean", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    beside = beside_group(rows, checkpointed(posteriors(rows)), ["host", "path"], "h")
+    return beside.withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", **options) -> DataFrame:
-    """docs without those that are predicted poor."""
-    poor = site_quality(docs, labels, id_col, text_col, host_col, path_col, **options).where("predicted = 0").select(id_col)
-    return docs.join(poor, id_col, "left_anti").select(*docs.columns)
+    """docs without those that are predicted poor. Rows are judged each, also those without an id or with the same one:
+    a verdict follows from text, host and path."""
+    poor = _judged(docs, labels, id_col, text_col, host_col, path_col, **options).where("predicted = 0").select(F.col("__id").alias("__poor"), F.col("h").alias("__h"))
+    return docs.join(poor, F.col(id_col).eqNullSafe(F.col("__poor")) & (_print(text_col, host_col, path_col) == F.col("__h")), "left_anti")

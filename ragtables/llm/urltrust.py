@@ -5,8 +5,11 @@ with the rule's; the longest fitting rule decides. For the other urls the links
 between hosts decide: personalised PageRank carries trust along links from hosts
 whose urls are allowed, and distrust against the links from hosts whose urls are
 blocked (whoever links to a bad host is suspect). A seed weighs as the share of its
-urls that the rules allow or block. A host is blocked if its distrust exceeds its
-trust by more than half of what a fully blocked host has by itself.
+urls that the rules allow or block. The same walk from all hosts alike tells how much
+could arrive at a host: what does arrive counts as a share of that, so that one of
+many hosts that link to a popular blocked one is judged like its only one. A host is
+blocked if its distrust (its own share of blocked urls, or that which arrives) is more
+than half, and more than its trust.
 
 Everything is DataFrame functions. Links are the absolute references in the pages'
 HTML; where there are none between hosts, only the seeds themselves have scores.
@@ -21,15 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import checkpointed
+from .session import checkpointed, salted_join
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
-ROUNDS = 12
+ROUNDS = 40  # at most
+GROWTH = 1e-3  # of all scores in four rounds, below which the walk ends
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)\shref\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>]+)"""
-SALTS = 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -48,46 +51,60 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
-def _spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
-    """(kind, host, score): personalised PageRank of both kinds at once; edges: kind, src, dst, share."""
-    base = seeds.select("kind", "host", (F.lit(1 - damping) * F.col("weight")).alias("base"))
-    now = base.select("kind", "host", F.col("base").alias("score"))
+def _spread(edges: DataFrame, base: DataFrame, rounds: int, damping: float) -> DataFrame:
+    """(kind, host, score, plain): both walks, from the seeds and from all hosts; edges: kind, src, dst, share; base: kind, host, score, plain."""
+    now, before = base, None
     for step in range(rounds):
-        held = now.select(F.col("kind").alias("k"), F.col("host").alias("h"), "score")
-        sent = held.join(edges, (F.col("k") == F.col("kind")) & (F.col("h") == F.col("src"))).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("score") * F.col("share")).alias("score"))
-        now = sent.unionByName(base.select("kind", "host", F.col("base").alias("score"))).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        # a busy host's links are dealt to several tasks
+        met = salted_join(edges, now.withColumnRenamed("host", "src"), ["kind", "src"], "dst")
+        sent = met.select("kind", F.col("dst").alias("host"), *((F.lit(damping) * F.col(c) * F.col("share")).alias(c) for c in ("score", "plain")))
+        now = sent.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("plain").alias("plain"))
         if step % 4 == 3:
             now = checkpointed(now)
+            total = now.agg(F.sum("plain")).first()[0]
+            if before is not None and total - before <= GROWTH * total:
+                break
+            before = total
     return now
 
 
 def host_scores(urls: DataFrame, links: DataFrame, *, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust). urls: host, ruled (verdict or null); links: src, dst, both hosts."""
+    """(host, trust, distrust, trusted, distrusted): scores, and shares of what could arrive or the host's own share of urls.
+
+    urls: host, ruled (verdict or null); links: src, dst, both hosts.
+    """
     shares = urls.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad"))
     kinds = F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("good").alias("k")), F.struct(F.lit("distrust").alias("kind"), F.col("bad").alias("k"))))
-    seeds = checkpointed(shares.select("host", "n", kinds.alias("s")).where("s.k > 0").select("s.kind", "host", (F.col("s.k") / F.col("n")).alias("weight")))
+    own = shares.select("host", "n", kinds.alias("s")).where("s.k > 0").select("s.kind", "host", (F.col("s.k") / F.col("n")).alias("weight"))
     pairs = checkpointed(links.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").count().select("src", "dst"))
     if pairs.isEmpty():
-        now = seeds.select("kind", "host", ((1 - damping) * F.col("weight")).alias("score"))
+        base = own.select("kind", "host", "weight", (F.lit(1 - damping) * F.col("weight")).alias("score"), F.lit(1 - damping).alias("plain"))
+        now = base.withColumns({"s0": F.col("score"), "p0": F.col("plain")})
     else:
         both = pairs.select(F.lit("trust").alias("kind"), "src", "dst").unionByName(pairs.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst")))
         degree = both.groupBy("kind", "src").agg((1 / F.count("*")).alias("share"))
-        now = _spread(checkpointed(both.join(degree, ["kind", "src"])), seeds, rounds, damping)
-    one = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)).alias(kind)
-    return now.groupBy("host").agg(one("trust"), one("distrust"))
+        ends = both.select("kind", F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("weight"))
+        nodes = ends.unionByName(own).groupBy("kind", "host").agg(F.max("weight").alias("weight"))
+        base = checkpointed(nodes.select("kind", "host", "weight", (F.lit(1 - damping) * F.col("weight")).alias("score"), F.lit(1 - damping).alias("plain")))
+        edges = checkpointed(salted_join(both, degree, ["kind", "src"], "dst"))
+        now = _spread(edges, base.drop("weight"), rounds, damping)
+        now = now.join(base.select("kind", "host", "weight", F.col("score").alias("s0"), F.col("plain").alias("p0")), ["kind", "host"])
+    arrived = F.when(F.col("plain") - F.col("p0") > 1e-12, (F.col("score") - F.col("s0")) / (F.col("plain") - F.col("p0"))).otherwise(0.0)
+    now = now.withColumn("share", F.greatest("weight", arrived))
+    one = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.col(c)).otherwise(0.0))
+    return now.groupBy("host").agg(one("trust", "score").alias("trust"), one("distrust", "score").alias("distrust"), one("trust", "share").alias("trusted"), one("distrust", "share").alias("distrusted"))
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(id, host, path, rule, verdict, trust, distrust) of every row."""
+    """(id, host, path, rule, verdict, trust, distrust, trusted, distrusted) of every row."""
     host, path = host_and_path(F.col(url_col).cast("string"))
     urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     urls = urls.withColumns({"rule": rule, "ruled": ruled})
-    links = pages.where(F.contains(F.col(html_col), F.lit("//"))).select(host.alias("src"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col(html_col), F.lit(_LINK), F.lit(1)), lambda x: F.translate(F.regexp_replace(x, r"^[^@]*@|:\d*$", ""), _UPPER, _LOWER)))).alias("dst"))
+    links = pages.where(F.contains(F.col(html_col), F.lit("//"))).select(host.alias("src"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col(html_col), F.lit(_LINK), F.lit(1)), lambda x: F.translate(x, _UPPER, _LOWER)))).alias("dst"))
     scores = host_scores(urls.select("host", "ruled"), links, rounds=rounds, damping=damping)
-    # a busy host is dealt to several tasks: its scores are repeated for each salt
-    salted = scores.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    judged = urls.withColumn("salt", F.pmod(F.xxhash64("path", id_col), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    bad = F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) > 0.5 * (1 - damping)
+    judged = salted_join(urls, scores, ["host"], F.struct("path", id_col), "left")
+    bad = F.coalesce((F.col("distrusted") > 0.5) & (F.col("distrusted") > F.col("trusted")), F.lit(False))
     verdict = F.coalesce("ruled", F.when(bad, "block").otherwise("allow"))
-    return judged.select(id_col, "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    figures = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust", "trusted", "distrusted")]
+    return judged.select(id_col, "host", "path", "rule", verdict.alias("verdict"), *figures)

@@ -247,6 +247,56 @@ def test_near_duplicates_of_little_agreement(spark):
         assert sum(got[1000 + i] == i for i in range(60)) >= 58 and all(got[i] == i for i in range(60))
 
 
+def word_distance(x, y, most):
+    """Plain edit distance over words, or most + 1."""
+    if abs(len(x) - len(y)) > most or sum((Counter(x) - Counter(y)).values()) > most or sum((Counter(y) - Counter(x)).values()) > most:
+        return most + 1
+    row = np.arange(len(y) + 1)
+    y = np.array(y)
+    for i, w in enumerate(x, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (y != w))
+        new = np.concatenate([[i], best])
+        new = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))  # insertions
+        row = new
+        if row.min() > most:
+            return most + 1
+    return int(row[-1])
+
+
+def test_near_duplicates_by_edit_similarity(spark, sf_dir):
+    """Of all pairs of whole texts that align to 0.8, the share in one class."""
+    d = sf_dir.replace("sf0.001", "sf0.01")
+    docs = {r["doc_id"]: words(r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    classes = {r["doc_id"]: r["class_id"] for r in queries.queries()["op6_order_minhash"](spark, d).collect()}
+    listed, found, together = sorted((len(w), i) for i, w in docs.items() if w), 0, 0
+    for k, (n, a) in enumerate(listed):
+        for m, b in listed[k + 1 :]:
+            if n < 0.8 * m - 1e-9:
+                break
+            most = math.floor(0.2 * m + 1e-9)
+            if word_distance(docs[a], docs[b], most) <= most:
+                found += 1
+                together += classes[a] == classes[b]
+    assert found > 100 and together >= 0.95 * found
+
+
+def test_who_steps_back_in_vain_is_looked_at_again(spark):
+    """B agrees with A in most entries and is not like it (A is much longer); C is like B and shares few entries with it."""
+    r = random.Random(12)
+    b = [f"v{i}" for i in range(120)]
+    a = b + [f"tail{i % 3}" for i in range(60)]
+    found = 0
+    for seed in range(6):
+        r.seed(seed)
+        gone = set(r.sample(range(120), 8))
+        c = [f"new{seed}_{i}" if i in gone else w for i, w in enumerate(b)]
+        df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))], "doc_id long, text string").repartitionByRange(3, "doc_id")
+        got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(df).collect()}
+        assert got[1] == 1 and got[2] == 2
+        found += got[3] == 2
+    assert found >= 5
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
     got = {r["id"]: r["class_id"] for r in neardup.components(links).collect()}
@@ -313,6 +363,8 @@ def test_site_quality(spark, odd, labels, empty, sf_dir):
     assert sitequality.site_quality(empty, labels).count() == 0
     assert sitequality.site_quality(odd, labels.where("false")).where("abs(score - 0.5) > 1e-9").count() == 0
     assert sitequality.drop_poor(odd, labels).columns == odd.columns
+    scored = sitequality.site_quality(odd, labels).groupBy("predicted").count().collect()  # rows without an id, or with the same one, go each by their own verdict
+    assert sitequality.drop_poor(odd, labels).count() == dict(scored).get(1, 0)
     larger = sf_dir.replace("sf0.001", "sf0.01")
     truth = spark.read.parquet(f"{larger}/labels.parquet")
     rows = queries.queries()["op9_site_quality"](spark, larger).join(truth, "doc_id").where(toxicity.held_out("doc_id"))
@@ -342,6 +394,17 @@ def test_urls(spark):
     assert urltrust.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_linkers_of_a_popular_blocked_host(spark):
+    """All that link to blocked hosts only are blocked, however many they are; others stay. A port belongs to the host, in links too."""
+    link = lambda *hosts: "".join(f'<a href="http://{h}/x">' for h in hosts)
+    rows = [(0, "http://bad.net/q", ""), (1, "http://w.org/fr/1", link("good1.com", "good2.com"))]
+    rows += [(10 + i, f"http://farm{i}.com/", link("BAD.net")) for i in range(8)]
+    rows += [(30 + i, f"http://mixed{i}.com/", link("bad.net", "good1.com", "good2.com", "other.com")) for i in range(3)]
+    rows += [(40, "http://good1.com/", link("good2.com")), (41, "http://good2.com/", link("good1.com", "other.com")), (42, "http://other.com/", ""), (43, "http://port.com/", link("bad.net:8080"))]
+    got = {r["page_id"]: r["verdict"] for r in urltrust.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k for k, v in got.items() if v == "block"} == {0, *range(10, 18)}
+
+
 def test_pagerank_equals_iteration(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("b", "a")]
     urls = spark.createDataFrame([("a", "allow"), ("c", "block"), ("c", None), ("b", None)], "host string, ruled string")
