@@ -6,13 +6,17 @@ import numpy as np
 
 WIDTH, CONTEXT, FRESH = 16, 16, 32  # model width; words seen before, and scored, by a window
 SPAN = CONTEXT + FRESH
+GROUPS, MEMBERS = 32, 64  # a class is a member of a group: its probability is that of the group times its own in there
+SMALL, LARGE, SMALL_STEPS = 16, 64, 200  # windows a step, and how many steps are small
+RATE = 0.015
 _LATER = np.triu(np.full((SPAN, SPAN), -1e9, np.float32), 1)
 
 
 def initial(inputs: int, outputs: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
-    """Parameters for `inputs` ids; outputs: counts of the classes to predict, which set the bias."""
+    """Parameters for `inputs` ids; outputs: counts of the GROUPS * MEMBERS classes to predict, which set the biases."""
     r = np.random.default_rng(seed)
-    p = {"E": r.normal(0, 0.3, (inputs, WIDTH)), "P": r.normal(0, 0.05, (SPAN, WIDTH)), "Q": r.normal(0, 0.25, (WIDTH, WIDTH)), "K": r.normal(0, 0.25, (WIDTH, WIDTH)), "V": r.normal(0, 0.25, (WIDTH, WIDTH)), "O": r.normal(0, 0.1, (WIDTH, len(outputs))), "B": np.log((outputs + 1) / (outputs + 1).sum())}
+    outputs = outputs.reshape(GROUPS, MEMBERS) + 0.5
+    p = {"E": r.normal(0, 0.3, (inputs, WIDTH)), "P": r.normal(0, 0.05, (SPAN, WIDTH)), "Q": r.normal(0, 0.25, (WIDTH, WIDTH)), "K": r.normal(0, 0.25, (WIDTH, WIDTH)), "V": r.normal(0, 0.25, (WIDTH, WIDTH)), "O": r.normal(0, 0.1, (WIDTH, GROUPS)), "B": np.log(outputs.sum(1) / outputs.sum()), "M": r.normal(0, 0.1, (GROUPS, WIDTH, MEMBERS)), "C": np.log(outputs / outputs.sum(1, keepdims=True))}
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
@@ -45,12 +49,6 @@ def forward(p: dict, ids: np.ndarray, real: np.ndarray):
     return x, q, k, v, s, h
 
 
-def log_probabilities(p: dict, h: np.ndarray) -> np.ndarray:
-    z = h @ p["O"] + p["B"]
-    z -= z.max(-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(-1, keepdims=True))
-
-
 def score(p: dict, flat: np.ndarray, begin: np.ndarray, lengths: np.ndarray, targets: np.ndarray, block: int = 256) -> np.ndarray:
     """Natural log-probability of each target given the inputs up to its place; all sequences one after the other."""
     out = np.zeros(len(flat), np.float64)
@@ -60,55 +58,114 @@ def score(p: dict, flat: np.ndarray, begin: np.ndarray, lengths: np.ndarray, tar
         ids, real = gather(flat, begin, lengths, w, f)
         h = forward(p, ids, real)[-1][:, CONTEXT:]
         fresh = real[:, CONTEXT:]
-        at = (begin[w] + f)[:, None] + np.arange(FRESH)
-        z = h[fresh] @ p["O"]
-        z += p["B"]
-        top = z.max(1)
-        z -= top[:, None]
-        chosen = z[np.arange(len(z)), targets[at[fresh]]]
-        np.exp(z, out=z)
-        out[at[fresh]] = chosen - np.log(z.sum(1))
+        at = ((begin[w] + f)[:, None] + np.arange(FRESH))[fresh]
+        out[at] = log_probabilities(p, h[fresh], targets[at])
+    return out
+
+
+def _chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-probability of one entry of each row of z, which then holds the exponentials."""
+    z -= z.max(1, keepdims=True)
+    chosen = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    return chosen - np.log(z.sum(1))
+
+
+def _by_group(targets: np.ndarray):
+    """Groups and the rows whose class is in each."""
+    group = targets // MEMBERS
+    order = np.argsort(group, kind="stable")
+    edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    for g in range(GROUPS):
+        if edges[g] < edges[g + 1]:
+            yield g, order[edges[g] : edges[g + 1]]
+
+
+def log_probabilities(p: dict, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    z = h @ p["O"]
+    z += p["B"]
+    out = _chosen(z, targets // MEMBERS).astype(np.float64)
+    for g, rows in _by_group(targets):
+        z = h[rows] @ p["M"][g]
+        z += p["C"][g]
+        out[rows] += _chosen(z, targets[rows] % MEMBERS)
     return out
 
 
 def gradients(p: dict, ids: np.ndarray, real: np.ndarray, targets: np.ndarray) -> tuple[dict, float]:
-    """Gradients of the mean loss over the scored places."""
+    """Gradients of the mean loss over all places."""
     x, q, k, v, a, h = forward(p, ids, real)
-    fresh = real.copy()
-    fresh[:, :CONTEXT] = False
-    n = max(1, int(fresh.sum()))
-    hf, tf = h[fresh], targets[fresh]
-    lp = log_probabilities(p, hf)
-    dz = np.exp(lp)
-    dz[np.arange(len(tf)), tf] -= 1
-    dz /= n
-    g = {"O": hf.T @ dz, "B": dz.sum(0)}
+    n = np.float32(max(1, int(real.sum())))
+    hf, tf = h[real], targets[real]
+    z = hf @ p["O"]
+    z += p["B"]
+    loss = -float(_chosen(z, tf // MEMBERS).sum())
+
+    def slope(z: np.ndarray, at: np.ndarray) -> None:
+        z /= z.sum(1, keepdims=True)
+        z[np.arange(len(z)), at] -= 1
+        z /= n
+
+    slope(z, tf // MEMBERS)
+    g = {"O": hf.T @ z, "B": z.sum(0), "M": np.zeros_like(p["M"]), "C": np.zeros_like(p["C"])}
+    df = z @ p["O"].T
+    for i, rows in _by_group(tf):
+        own = hf[rows]
+        z = own @ p["M"][i]
+        z += p["C"][i]
+        loss -= float(_chosen(z, tf[rows] % MEMBERS).sum())
+        slope(z, tf[rows] % MEMBERS)
+        g["M"][i], g["C"][i] = own.T @ z, z.sum(0)
+        df[rows] += z @ p["M"][i].T
     dh = np.zeros_like(h)
-    dh[fresh] = dz @ p["O"].T
-    dx, dv, da = dh.copy(), a.transpose(0, 2, 1) @ dh, dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    dh[real] = df
+    dv, da = a.transpose(0, 2, 1) @ dh, dh @ v.transpose(0, 2, 1)
+    da -= (da * a).sum(2, keepdims=True)
+    da *= a
+    da *= np.float32(WIDTH**-0.5)
+    dq, dk, dx = da @ k, da.transpose(0, 2, 1) @ q, dh
     flat = x.reshape(-1, WIDTH)
     for name, d in (("Q", dq), ("K", dk), ("V", dv)):
         g[name] = flat.T @ d.reshape(-1, WIDTH)
-        dx += d @ p[name].T
+        dx = dx + d @ p[name].T
+    dx *= real[:, :, None]
     g["P"] = dx.sum(0)
+    order = np.argsort(ids.ravel(), kind="stable")
+    own = ids.ravel()[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     g["E"] = np.zeros_like(p["E"])
-    np.add.at(g["E"], ids[real], dx[real])
-    return g, float(-lp[np.arange(len(tf)), tf].mean()) if len(tf) else 0.0
-
-
-def train(p: dict, ids: np.ndarray, real: np.ndarray, targets: np.ndarray, rate: float = 0.01, seed: int = 5) -> dict[str, np.ndarray]:
-    """One pass of Adam over the windows, in a fixed random order."""
-    p = {k: v.copy() for k, v in p.items()}
-    m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    size = int(np.clip(len(ids) // 100, 8, 64))
-    order = np.random.default_rng(seed).permutation(len(ids))
-    for step, i in enumerate(range(0, len(order), size), 1):
-        x = order[i : i + size]
-        g, _ = gradients(p, ids[x], real[x], targets[x])
-        for k in p:
-            m[k] += 0.1 * (g[k] - m[k])
-            s[k] += 0.01 * (g[k] * g[k] - s[k])
-            p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return p
+    g["E"][own[first]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], first, axis=0)
+    return g, loss / float(n)
+
+
+class Training:
+    """Adam over windows that come piece by piece; small steps first, so that little text is enough to begin with."""
+
+    def __init__(self, p: dict[str, np.ndarray], seed: int = 5):
+        self.p = {k: v.copy() for k, v in p.items()}
+        self.m, self.s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+        self.random, self.step, self.seen = np.random.default_rng(seed), 0, 0
+
+    def windows(self, flat: np.ndarray, targets: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> None:
+        """One pass over all windows of these sequences: side by side, so that every place is a target once."""
+        n = -(-lengths // SPAN)
+        seq = np.repeat(np.arange(len(lengths)), n)
+        first = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * SPAN
+        order, at = self.random.permutation(len(seq)), 0
+        while at < len(order):
+            x = order[at : at + (SMALL if self.step < SMALL_STEPS else LARGE)]
+            at += len(x)
+            place = first[x][:, None] + np.arange(SPAN)
+            real = place < lengths[seq[x]][:, None]
+            place = np.where(real, begin[seq[x]][:, None] + place, begin[seq[x]][:, None])
+            self.update(np.where(real, flat[place], 0), real, targets[place])
+
+    def update(self, ids: np.ndarray, real: np.ndarray, targets: np.ndarray) -> None:
+        g, _ = gradients(self.p, ids, real, targets)
+        self.step += 1
+        self.seen += len(ids)
+        rate = RATE / (1 + self.step / 400)
+        for k in self.p:
+            self.m[k] += 0.1 * (g[k] - self.m[k])
+            self.s[k] += 0.01 * (g[k] * g[k] - self.s[k])
+            self.p[k] -= (rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.s[k] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)

@@ -2,15 +2,17 @@
 
 The model reads a text as words. Each word begins with a subword of a public
 vocabulary (its longest prefix there), and a causal self-attention model over
-these subword ids predicts the class of the next one: frequent ids have a class
-each, the rest share one. Within a class a word has the probability that the
+these subword ids predicts the next one, by a two-level softmax over groups and their
+members: the 2046 most frequent ids have a class each, the rest share one. Within a class a word has the probability that the
 corpus counts give it, mixed with a spelling model (bytes given the three before)
 that also covers words never seen. Windows of 48 words overlap by 16, so each
 word and the end is scored once, with 16 to 47 words in view.
 
 Learning covers all training rows: id, spelling and word counts are sums over the
-corpus; attention weights are trained in every task on one window of each of its
-training texts and averaged, two rounds of it.
+corpus; attention weights are trained on all windows of all training texts. The texts
+are dealt by a hash to shards of about SHARD bytes; each shard takes one pass from the
+same start, and the weights of the shards are averaged by two exchanges. So neither
+the partitions of the input nor those of a shuffle decide what is learned.
 
 Word counts are looked up by groups of documents ("homes"): each home sends the
 fingerprints of its distinct words to buckets, which add them up and answer with
@@ -27,6 +29,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -34,26 +37,28 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .packing import default_tokenizer, encoder
-from .textkit import Words, buffers, mix, pack, ragged, slices, span_hashes, spread, sum_by, unpack
+from .textkit import Words, buffers, pack, ragged, slices, spread, sum_by, unpack
 
-INPUTS, CLASSES = 4096, 128  # ids with an embedding of their own; classes to predict
-ROUNDS = 2
+INPUTS, CLASSES = 4096, attention.GROUPS * attention.MEMBERS  # ids with an embedding of their own; classes to predict
+SHARD = 32 << 20  # bytes of training text that one model sees before the models are averaged
 _LONGEST = 8
 _CONTEXTS = (16384, 4096, 256, 1)  # rows of the spelling tables
-_BACK = 3.0  # weight of the shorter context
+_BACK = 10.0  # weight of the shorter context
 _END = np.uint64(0xE0DE0DE0DE0DE0D1)
-_REGISTERS = 512  # of the distinct-word sketch of each class
+_REGISTERS, _RANKS = 64, 59  # of the distinct-word sketch of each class, and how many leading zeros a 58-bit rest can have, plus one
 
 
 @lru_cache(maxsize=2)
-def leading(path: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Fingerprints (sorted) and ids of the subwords that can begin a word, and the number of ids."""
+def leading(path: str) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """Subwords that can begin a word, by their size: their bytes as one number (ascending) and ids; and the number of ids."""
     tokens = sorted({t[1:].lower() for t in encoder(path)._mergeable_ranks if t[:1] == b" " and 0 < len(t[1:].strip()) <= _LONGEST and b" " not in t[1:]} | {bytes([b]) for b in range(33, 256)} | {bytes([b]) for b in range(9)} | {bytes([b]) for b in range(14, 32)})
-    size = np.array([len(t) for t in tokens])
-    ends = np.cumsum(size)
-    h = span_hashes(np.frombuffer(b"".join(tokens), np.uint8), ends - size, ends, lower=True)
-    order = np.argsort(h)
-    return h[order], order, len(tokens)
+    out = []
+    for n in range(1, _LONGEST + 1):
+        ids = np.array([i for i, t in enumerate(tokens) if len(t) == n], np.int64)
+        values = np.array([int.from_bytes(tokens[i], "little") for i in ids], np.uint64)
+        order = np.argsort(values)
+        out.append((values[order], ids[order]))
+    return out, len(tokens)
 
 
 class Vocabulary:
@@ -69,16 +74,26 @@ class Vocabulary:
         self.bytes = data[ragged(w.starts[first], size)]
         low = (self.bytes >= 65) & (self.bytes <= 90)
         self.bytes = np.where(low, self.bytes + 32, self.bytes).astype(np.uint8)
-        keys, ids, _ = leading(path)
+        table, _ = leading(path)
+        padded = np.zeros(len(self.bytes) + 8, np.uint8)
+        padded[: len(self.bytes)] = self.bytes
+        eight = np.ndarray((len(self.bytes) + 1,), "<u8", padded, strides=(1,))[self.start]
         self.ids, self.lead = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
         left = np.arange(len(size))
         for n in range(_LONGEST, 0, -1):
-            x = left[size[left] >= n]
-            h = span_hashes(self.bytes, self.start[x], self.start[x] + n, lower=True)
-            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = keys[k] == h
-            self.ids[x[hit]], self.lead[x[hit]] = ids[k[hit]], n
-            left = left[self.lead[left] == 0]
+            values, ids = table[n - 1]
+            if len(values):
+                x = left[size[left] >= n]
+                own = eight[x] & np.uint64((1 << 8 * n) - 1)
+                k = np.minimum(np.searchsorted(values, own), len(values) - 1)
+                hit = values[k] == own
+                self.ids[x[hit]], self.lead[x[hit]] = ids[k[hit]], n
+                left = left[self.lead[left] == 0]
+
+    def texts_with(self) -> np.ndarray:
+        """In how many of the texts each word occurs."""
+        own = pd.unique(self.words.docs() * np.int64(max(len(self.keys), 1)) + self.code)
+        return np.bincount(own % max(len(self.keys), 1), minlength=len(self.keys))
 
     def spelling(self) -> tuple[list[np.ndarray], np.ndarray]:
         """For each byte behind the leading subword, and for the word's end: cells of the spelling tables (given three, two
@@ -101,7 +116,8 @@ class Vocabulary:
 class Model:
     path: str
     rank: np.ndarray  # id -> input row (0: start of text)
-    classes: np.ndarray  # id -> class; the last class is the end
+    classes: np.ndarray  # id -> class
+    end: int  # class of the end
     within: np.ndarray  # id -> natural log of its share in its class
     totals: np.ndarray  # tokens per class
     spell: list[np.ndarray]  # counts of the spelling tables
@@ -117,7 +133,7 @@ class Model:
         ids = v.ids[v.code]
         doc = v.words.docs()
         at = np.arange(len(ids)) + doc
-        inputs, targets = np.zeros(int(length.sum()), np.int64), np.full(int(length.sum()), len(self.totals) - 1, np.int64)
+        inputs, targets = np.zeros(int(length.sum()), np.int64), np.full(int(length.sum()), self.end, np.int64)
         inputs[at + 1] = self.rank[ids]
         targets[at] = self.classes[ids]
         return inputs, targets, begin, length
@@ -130,30 +146,30 @@ class Model:
             p = (counts_of[cell] + _BACK * p) / (rows[cell // 256] + _BACK)
         spelled = self.within[v.ids] + sum_by(word, np.log(p), len(v.keys))
         total, new = np.maximum(self.totals[self.classes[v.ids]], 1), self.novel[self.classes[v.ids]]
-        return np.log((1 - new) * counts / total + new * np.exp(np.maximum(spelled, -600)))
+        return np.logaddexp(np.log(np.maximum((1 - new) * counts / total, 1e-300)), np.log(new) + spelled)
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str, training) -> DataFrame:
     return docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), (F.coalesce(training, F.lit(False)) & F.col(id_col).isNotNull()).alias("__train"))
 
 
-_PART = "n double, p binary, s binary"
+_PART = "shard long, n double, p binary, s binary"
 
 
-def _average(rows: DataFrame, shape: dict[str, tuple]) -> tuple[dict[str, np.ndarray], np.ndarray] | None:
-    """Mean of packed parameters, by weight, and union of sketches, in two levels so that no task reads them all."""
+def _average(rows: DataFrame, shards: int, shape: dict[str, tuple]) -> tuple[dict[str, np.ndarray], np.ndarray] | None:
+    """Mean of packed parameters, by weight, and union of sketches: first of about the root of the shards each, then of these."""
 
-    def mean(batches):
-        total, weight, sketch = None, 0.0, None
-        for batch in batches:
-            for n, p, s in zip(batch.column("n").to_pylist(), batch.column("p"), batch.column("s"), strict=True):
-                x, s = np.frombuffer(p.as_buffer(), np.float32).astype(np.float64) * n, np.frombuffer(s.as_buffer(), np.uint8)
-                total, weight = x if total is None else total + x, weight + n
-                sketch = s if sketch is None else np.maximum(sketch, s)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary()), pa.array([sketch.tobytes()], pa.binary())], names=["n", "p", "s"])
+    def mean(table: pa.Table) -> pa.Table:
+        total, weight, sketch = 0.0, 0.0, None
+        for i in np.argsort(table["shard"].to_numpy()).tolist():  # the same sum in whatever order they come
+            n, p, s = table["n"][i].as_py(), table["p"][i].as_buffer(), table["s"][i].as_buffer()
+            total, weight, s = total + np.frombuffer(p, np.float32).astype(np.float64) * n, weight + n, np.frombuffer(s, np.uint8)
+            sketch = s if sketch is None else np.maximum(sketch, s)
+        return _part(table["shard"][0].as_py() // group, weight, total / weight, sketch)
 
-    few = rows.repartition(16).mapInArrow(mean, _PART).coalesce(1).mapInArrow(mean, _PART).collect()
+    group = max(1, round(shards**0.5))
+    some = rows.withColumn("some", F.floor(F.col("shard") / group)).groupBy("some").applyInArrow(mean, _PART)
+    few = some.withColumn("some", F.lit(0)).groupBy("some").applyInArrow(mean, _PART).collect()
     if not few:
         return None
     flat, out, at = np.frombuffer(few[0]["p"], np.float32), {}, 0
@@ -163,6 +179,10 @@ def _average(rows: DataFrame, shape: dict[str, tuple]) -> tuple[dict[str, np.nda
     return out, np.frombuffer(few[0]["s"], np.uint8).reshape(CLASSES, _REGISTERS)
 
 
+def _part(shard: int, n: float, p: np.ndarray, sketch: np.ndarray) -> pa.Table:
+    return pa.table({"shard": pa.array([shard], pa.int64()), "n": [float(n)], "p": pa.array([p.astype(np.float32).tobytes()], pa.binary()), "s": pa.array([sketch.tobytes()], pa.binary())})
+
+
 def _novelty(sketch: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """Per class d / (n + d) with n words and about d distinct ones (Witten and Bell), d by the sketch."""
     m = sketch.shape[1]
@@ -172,20 +192,22 @@ def _novelty(sketch: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return np.clip(d / np.maximum(totals + d, 1), 1e-4, 0.6)
 
 
-def fit(read: DataFrame, path: str, rounds: int = ROUNDS) -> Model:
+def fit(read: DataFrame, path: str, shard: int = SHARD) -> Model:
     """The model of the training rows of `read` (__id, __text, __train)."""
-    n_ids = leading(path)[2]
-    known = read.where("__train").select("__text")
+    n_ids = leading(path)[1]
+    known = read.where("__train").select("__id", "__text")
 
     def statistics(batches):
-        ids, texts = np.zeros(n_ids, np.int64), np.zeros(1, np.int64)
+        ids, texts = np.zeros(n_ids, np.int64), np.zeros(2, np.int64)  # number and bytes
         cells = [np.zeros(c * 256, np.int64) for c in _CONTEXTS]
         for batch in slices(batches, "__text"):
             v = Vocabulary(batch.column("__text"), path)
-            np.add.at(ids, v.ids[v.code], 1)
-            for total, cell in zip(cells, v.spelling()[0], strict=True):
-                total += np.bincount(cell, minlength=len(total))
-            texts += batch.num_rows
+            ids += np.bincount(v.ids[v.code], minlength=n_ids)
+            at, word = v.spelling()
+            texts_with = v.texts_with()[word]  # a word counts once a text: neither as often as it is said, nor once a batch
+            for total, cell in zip(cells, at, strict=True):
+                np.add.at(total, cell, texts_with)
+            texts += (batch.num_rows, len(v.words.data))
         for kind, x in enumerate((ids, texts, *cells)):
             at = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(x[at])], names=["kind", "at", "n"])
@@ -197,39 +219,39 @@ def fit(read: DataFrame, path: str, rounds: int = ROUNDS) -> Model:
         x[part["at"].to_numpy()] = part["n"].to_numpy()
         return x
 
-    ids, texts = dense(0, n_ids), dense(1, 1)
+    ids, (texts, size) = dense(0, n_ids), dense(1, 2)
     spell = [dense(2 + i, c * 256).astype(np.float32) for i, c in enumerate(_CONTEXTS)]
     seen = [x.reshape(-1, 256).sum(1) for x in spell]
     order = np.argsort(-ids, kind="stable")
     rank, classes = np.zeros(n_ids, np.int64), np.zeros(n_ids, np.int64)
     rank[order] = np.minimum(np.arange(n_ids) + 1, INPUTS - 1)
+    # classes by falling counts, so that a group has members of like weight: the most frequent ids, all others, the end
     classes[order] = np.minimum(np.arange(n_ids), CLASSES - 2)
-    totals = np.append(np.bincount(classes, ids, CLASSES - 1), texts)
-    members = np.bincount(classes, minlength=CLASSES - 1)
+    weight = np.append(np.bincount(classes, ids, CLASSES - 1), texts)
+    number = np.empty(CLASSES, np.int64)
+    number[np.argsort(-weight, kind="stable")] = np.arange(CLASSES)
+    classes, end = number[classes], int(number[-1])
+    totals = np.zeros(CLASSES)
+    totals[number] = weight
+    members = np.bincount(classes, minlength=CLASSES)
     within = np.log((ids + 0.5) / (totals[classes] + 0.5 * members[classes]))
-    model = Model(path, rank, classes, within, totals, spell, seen, np.full(CLASSES, 0.1), attention.initial(INPUTS, totals))
+    model = Model(path, rank, classes, end, within, totals, spell, seen, np.full(CLASSES, 0.1), attention.initial(INPUTS, totals))
     shape = {k: v.shape for k, v in model.weights.items()}
-    for turn in range(rounds):
-
-        def local(batches, model=model, turn=turn):
-            ids, real, targets, sketch = [], [], [], np.zeros((CLASSES, _REGISTERS), np.uint8)
-            for batch in slices(batches, "__text"):
-                v = Vocabulary(batch.column("__text"), path)
-                x, y, begin, length = model.sequences(v)
-                rest = (v.keys // np.uint64(_REGISTERS)).astype(np.float64)
-                np.maximum.at(sketch, (model.classes[v.ids], (v.keys % np.uint64(_REGISTERS)).astype(np.int64)), (56 - np.floor(np.log2(rest + 1))).astype(np.uint8))
-                first = mix(np.arange(len(length), dtype=np.uint64) + np.uint64(turn * 7919)) % (-(-length // attention.FRESH)).astype(np.uint64)
-                first = first.astype(np.int64) * attention.FRESH
-                i, r = attention.gather(x, begin, length, np.arange(len(length)), first)
-                t, _ = attention.gather(y, begin, length, np.arange(len(length)), first)
-                ids.append(i.astype(np.int16))
-                real.append(r)
-                targets.append(t.astype(np.int16))
-            if ids:
-                p = attention.train(model.weights, *(np.concatenate(x) if x[0].dtype == bool else np.concatenate(x).astype(np.int64) for x in (ids, real, targets)), rate=0.01 / (1 + turn))
-                yield pa.RecordBatch.from_arrays([pa.array([float(sum(map(len, ids)))]), pa.array([b"".join(p[k].tobytes() for k in shape)], pa.binary()), pa.array([sketch.tobytes()], pa.binary())], names=["n", "p", "s"])
-
-        model.weights, sketch = _average(known.mapInArrow(local, _PART), shape) or (model.weights, np.zeros((CLASSES, _REGISTERS), np.uint8))
+    shards = max(1, -(-int(size) // shard))
+
+    def local(table: pa.Table) -> pa.Table:
+        training, sketch = attention.Training(model.weights), np.zeros((CLASSES, _REGISTERS), np.uint8)
+        key = table["key"].to_numpy()
+        for batch in slices(table.take(pa.array(np.argsort(key, kind="stable"))).to_batches(), "__text", 2 << 20):
+            v = Vocabulary(batch.column("__text"), path)
+            x, y, begin, length = model.sequences(v)
+            rest = (v.keys // np.uint64(_REGISTERS)).astype(np.float64)
+            np.maximum.at(sketch, (model.classes[v.ids], (v.keys % np.uint64(_REGISTERS)).astype(np.int64)), np.maximum(_RANKS - np.floor(np.log2(rest + 1)), 1).astype(np.uint8))
+            training.windows(x, y, begin, length)
+        return _part(table["shard"][0].as_py(), training.seen, np.concatenate([training.p[k].ravel() for k in shape]), sketch)
+
+    dealt = known.withColumn("key", F.xxhash64("__id", "__text")).select(F.pmod("key", F.lit(shards)).alias("shard"), "key", "__text")
+    model.weights, sketch = _average(dealt.groupBy("shard").applyInArrow(local, _PART), shards, shape) or (model.weights, np.zeros((CLASSES, _REGISTERS), np.uint8))
     model.novel = _novelty(sketch, totals)
     return model
 

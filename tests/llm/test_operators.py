@@ -66,6 +66,19 @@ def test_lm(spark, odd, empty):
     assert {r["train_tokens"] for r in nothing} == {0} and all(math.isfinite(r["score"]) for r in nothing)
 
 
+def test_lm_learns_alike_however_rows_are_dealt(spark, odd):
+    def scores(df):
+        return sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], round(r["score"], 4)) for r in lm.score_documents(df, F.col("doc_id") % 3 != 0).collect())
+
+    assert scores(odd.repartition(1)) == scores(odd.repartition(5))
+
+
+def test_lm_is_better_than_its_base_on_held_out_texts(spark):
+    rows = queries.queries()["op1_lm_scoring"](spark, "/root/testdata/sf0.1").where("held_out")
+    got = rows.agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    assert got[0] > got[1] + 0.1
+
+
 def brute_removal(rows, size=13):
     first = {}
     for i, t in rows:

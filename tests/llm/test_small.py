@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ragtables.llm import multiindex, neardup, packing, pieces, stats, substrings, textkit, toxicity
+from ragtables.llm import attention, multiindex, neardup, packing, pieces, stats, substrings, textkit, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 ODD = ["", None, "one", " lead  and\ttrail \n", "é中 x\xa0y​z", "a\n\nb\r\nc", "x" * 5000, "Same Same same", "it's 'll don't 12 3.5 #tag\n \n- x"]
@@ -224,3 +224,36 @@ def test_walk_visits_cells_in_order():
     cells = multiindex.walk(left, right, np.ones(30, int), 30)
     sums = [left[c // 6] + right[c % 6] for c in cells]
     assert sorted(cells) == list(range(30)) and sums == sorted(sums)
+
+
+def test_attention_gradients_equal_differences():
+    r = np.random.default_rng(3)
+    classes = attention.GROUPS * attention.MEMBERS
+    p = {k: v.astype(np.float64) for k, v in attention.initial(30, r.integers(0, 9, classes)).items()}
+    ids, targets = r.integers(0, 30, (3, attention.SPAN)), r.integers(0, classes, (3, attention.SPAN))
+    real = np.arange(attention.SPAN) < np.array([[attention.SPAN], [20], [1]])
+    g, _ = attention.gradients(p, ids, real, targets)
+    for k in p:
+        for at in [tuple(r.integers(0, n) for n in p[k].shape) for _ in range(4)] + [np.unravel_index(np.abs(g[k]).argmax(), p[k].shape)]:
+            old, loss = p[k][at], []
+            for step in (1e-4, -1e-4):
+                p[k][at] = old + step
+                loss.append(attention.gradients(p, ids, real, targets)[1])
+            p[k][at] = old
+            assert abs((loss[0] - loss[1]) / 2e-4 - g[k][at]) < 1e-3 * max(1, abs(g[k][at]))
+
+
+def test_attention_scores_each_place_once():
+    r = np.random.default_rng(4)
+    classes = attention.GROUPS * attention.MEMBERS
+    p = attention.initial(30, r.integers(0, 9, classes))
+    lengths = np.array([1, 50, 200])
+    begin = np.cumsum(lengths) - lengths
+    flat, targets = r.integers(0, 30, lengths.sum()), r.integers(0, classes, lengths.sum())
+    got = attention.score(p, flat, begin, lengths, targets)
+    assert (got < 0).all()
+    for b, n in zip(begin, lengths):  # a text scores the same alone
+        assert np.allclose(attention.score(p, flat[b : b + n], np.array([0]), np.array([n]), targets[b : b + n]), got[b : b + n], atol=1e-5)
+    every = np.arange(classes)
+    total = attention.log_probabilities(p, np.repeat(r.normal(size=(1, attention.WIDTH)), classes, 0), every)
+    assert abs(np.exp(total).sum() - 1) < 1e-6
