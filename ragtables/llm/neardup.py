@@ -13,7 +13,7 @@ edit, so no pair is lost by that. Texts whose sketch agrees with the leader's in
 at least half of the entries step back, the rest look for a next leader, until
 none is left. Who stepped back but turns out not to be in the leader's class goes
 on all the same: inside a batch as one more leader, between batches by a second
-look at every text that shares a bucket with it. This is done first
+look at every class that has a text in one of its buckets. This is done first
 inside each batch of documents, where pairs are verified at once and joined to
 classes, so only leaders travel: copies in a third of all rows reduce to one row
 per batch and band, and to one node per batch in the graph of links.
@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import checkpointed, salted_join
+from .session import FEW, checkpointed, salted_join
 from .textkit import Words, buffers, mix, pack, slices, spread, unpack, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -488,14 +488,21 @@ def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def second_look(docs: DataFrame, strays: DataFrame, members: DataFrame, classes: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """Pairs (a, b, ra, rb, equal) of each stray (id) with every text of another class in its buckets."""
-    keys = checkpointed(keyed(docs, id_col, text_col, **options))
-    few = keys.join(strays, "id", "left_semi").select("key", F.col("id").alias("b"))
-    pairs = keys.join(few, "key").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
-    for c in ("a", "b"):
-        root = members.select(F.col("__m").alias(c), F.col("__root").alias(f"r{c}"))
-        pairs = pairs.join(root, c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
-    return _apart(pairs, classes).select("a", "b", "ra", "rb", F.lit(False).alias("equal"))
+    """Pairs (a, b, ra, rb, equal) of each stray (id) with every other class in its buckets: with the class's first text there.
+
+    Only the buckets of strays are looked into, and what is in them is reduced to classes before it meets the strays.
+    """
+    few = F.broadcast if strays.count() <= FEW else (lambda x: x)
+    mine = docs.withColumn("__b", F.col(id_col).cast("long")).join(few(strays), F.col("__b") == F.col("id"), "left_semi").drop("__b")
+    own = checkpointed(keyed(mine, id_col, text_col, **options).withColumnRenamed("id", "b"))
+    met = keyed(docs, id_col, text_col, **options).join(few(own.select("key").distinct()), "key", "left_semi")
+    met = met.join(members, F.col("id") == F.col("__m"), "left").withColumn("ra", F.coalesce("__root", "id")).drop("__m", "__root")
+    met = checkpointed(met.join(classes.withColumnRenamed("id", "ra"), "ra", "left").withColumn("ca", F.coalesce("class_id", "ra")).groupBy("key", "ca").agg(F.min(F.struct("id", "ra")).alias("x")))
+    label = members.select(F.col("__m").alias("b"), F.col("__root").alias("rb"))
+    own = own.join(label, "b", "left").withColumn("rb", F.coalesce("rb", "b"))
+    own = own.join(classes.select(F.col("id").alias("rb"), F.col("class_id").alias("cb")), "rb", "left").withColumn("cb", F.coalesce("cb", "rb"))
+    pairs = own.join(met, "key").where("ca <> cb").select(F.col("x.id").alias("a"), "b", F.col("x.ra").alias("ra"), "rb")
+    return pairs.distinct().withColumn("equal", F.lit(False))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY, shingle: int = SHINGLE, hashes: int = HASHES, per_band: int = PER_BAND) -> DataFrame:
