@@ -11,9 +11,9 @@ text there, however few entries they share, unless the counts of their words in
 64 classes rule the similarity out: a word that one side has more often costs an
 edit, so no pair is lost by that. Texts whose sketch agrees with the leader's in
 at least half of the entries step back, the rest look for a next leader, until
-none is left. Who stepped back but turns out not to be in the leader's class goes
-on all the same: inside a batch as one more leader, between batches by a second
-look at every class that has a text in one of its buckets. This is done first
+none is left. Who stepped back but is not verified into the leader's class goes on
+inside a batch as one more leader; between batches it is compared through that leader
+only, as comparing it with all others there grows with the square of a crowd. This is done first
 inside each batch of documents, where pairs are verified at once and joined to
 classes, so only leaders travel: copies in a third of all rows reduce to one row
 per batch and band, and to one node per batch in the graph of links.
@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import FEW, checkpointed, salted_join
+from .session import checkpointed, salted_join
 from .textkit import Words, buffers, mix, pack, slices, spread, unpack, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -98,7 +98,7 @@ def sketches(words: Words, shingle: int = SHINGLE, hashes: int = HASHES) -> tupl
 
 
 _SENT = "bucket int, kind int, ids binary, roots binary, keys binary, prints binary, sketches binary, sizes binary, bins binary"
-_FOUND = "kind int, part int, a binary, b binary, ra binary, rb binary, equal binary, behind binary"
+_FOUND = "kind int, part int, a binary, b binary, ra binary, rb binary, equal binary"
 _WEAK = "part int, a binary, b binary, ra binary, rb binary, ca binary"
 
 
@@ -178,36 +178,8 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(names)], names=[n for n, _ in names])
 
 
-def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("__text"))
-
-
-def bucket_keys(sketch: np.ndarray, per_band: int) -> np.ndarray:
-    """A key per text and band of entries."""
-    key = np.empty((len(sketch), sketch.shape[1] // per_band), np.uint64)
-    for b in range(key.shape[1]):
-        k = np.full(len(sketch), b + 1, np.uint64)
-        for j in range(per_band):
-            k = mix(k * np.uint64(0x9E3779B97F4A7C15) + sketch[:, b * per_band + j])
-        key[:, b] = k
-    return key
-
-
-def keyed(docs: DataFrame, id_col: str, text_col: str, *, shingle: int = SHINGLE, hashes: int = HASHES, per_band: int = PER_BAND) -> DataFrame:
-    """(key, id) for each band of each text."""
-
-    def run(batches):
-        for batch in slices(batches, "__text", 4 << 20):
-            own, full, _ = sketches(Words(*buffers(batch.column("__text"))), shingle, hashes)
-            key = bucket_keys(full, per_band)
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[own], key.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], names=["key", "id"])
-
-    return _read(docs, id_col, text_col).mapInArrow(run, "key long, id long")
-
-
 def candidates(docs: DataFrame, id_col: str, text_col: str, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, hashes: int = HASHES, per_band: int = PER_BAND) -> DataFrame:
-    """Packed rows (kind, part, a, b, ra, rb, equal, behind: b stepped back behind a).
+    """Packed rows (kind, part, a, b, ra, rb, equal).
 
     kind 1: a is a verified member of the class that b leads within one batch of documents. Else a and b are of different
     batches and are to be verified (unless their texts are equal); ra and rb lead their classes in their batches. Kind 0
@@ -226,7 +198,12 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, *, similarity: float
             tokens, ptr, size = words.hashes(), words.ptr, words.counts[own]
             tokens, bins = tokens.view(np.int64), word_bins(tokens, ptr)[own]
             ids, small = ids[own], (full & np.uint64(0xFFFF)).astype(np.uint16)
-            key = bucket_keys(full, per_band)
+            key = np.empty((len(own), bands), np.uint64)
+            for b in range(bands):
+                k = np.full(len(own), b + 1, np.uint64)
+                for j in range(per_band):
+                    k = mix(k * np.uint64(0x9E3779B97F4A7C15) + full[:, b * per_band + j])
+                key[:, b] = k
             # all bands at once: entries are (document, band)
             flat, at = key.ravel(), np.repeat(np.arange(len(own)), bands)
             leaders, pairs, behind = _lead(flat, ids[at], _Rows(small, at), _Rows(prints, at), size[at], _Rows(bins, at), similarity)
@@ -257,7 +234,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, *, similarity: float
 
     def meet(table: pa.Table) -> pa.Table:
         local = table.filter(pc.equal(table["kind"], 1))
-        rows = [(1, 0, a, b, b"", b"", b"", b"") for a, b in zip(local["ids"].to_pylist(), local["roots"].to_pylist(), strict=True)]
+        rows = [(1, 0, a, b, b"", b"", b"") for a, b in zip(local["ids"].to_pylist(), local["roots"].to_pylist(), strict=True)]
         fresh = table.filter(pc.equal(table["kind"], 0))
         if fresh.num_rows:
             ids, roots, key = unpack(fresh["ids"], np.int64), unpack(fresh["roots"], np.int64), unpack(fresh["keys"], np.uint64)
@@ -271,17 +248,18 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, *, similarity: float
                 prints, small = unpack(fresh["prints"], np.uint64).reshape(-1, 2), unpack(fresh["sketches"], np.uint16).reshape(-1, hashes)
                 ids, roots, sizes = ids[x], roots[x], unpack(fresh["sizes"], np.int64)[x]
                 bins = unpack(fresh["bins"], np.uint8).reshape(-1, BINS)[x]
-                _, pairs, behind = _lead(key[x], ids, small[x], prints[x], sizes, bins, similarity)
-                behind = np.isin(pairs[:, 0] * len(ids) + pairs[:, 1], behind[:, 0] * len(ids) + behind[:, 1])
+                pairs = _lead(key[x], ids, small[x], prints[x], sizes, bins, similarity)[1]
                 i, j = pairs[:, 0], pairs[:, 1]
-                found = np.stack([pairs[:, 3], ids[i], ids[j], roots[i], roots[j], pairs[:, 2], behind], 1)
-                found = np.unique(found[roots[i] != roots[j]], axis=0)
+                pairs = pairs[roots[i] != roots[j]]
+                i, j = pairs[:, 0], pairs[:, 1]
+                found = np.unique(np.stack([pairs[:, 3], ids[i], ids[j], roots[i], roots[j], pairs[:, 2]], 1), axis=0)
                 rows.append((0, 0, *(pack(c) for c in found[found[:, 0] == 0, 1:].T)))
                 found = found[found[:, 0] == 1, 1:]
                 rows += [(2, part, *(pack(c) for c in x.T)) for part, x in _parts(found[:, 2], found, buckets)]
         return pa.Table.from_batches([_batch(_FOUND, rows)])
 
-    return _read(docs, id_col, text_col).mapInArrow(sketch, _SENT).groupBy("bucket").applyInArrow(meet, _FOUND)
+    read = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("__text"))
+    return read.mapInArrow(sketch, _SENT).groupBy("bucket").applyInArrow(meet, _FOUND)
 
 
 def _parts(key: np.ndarray, rows: np.ndarray, parts: int):
@@ -296,20 +274,20 @@ def _parts(key: np.ndarray, rows: np.ndarray, parts: int):
 
 
 def expanded(found: DataFrame) -> DataFrame:
-    """Rows (known, a, b, ra, rb, equal, behind) of the packed rows of kind 0 and 1."""
+    """Rows (known, a, b, ra, rb, equal) of the packed rows of kind 0 and 1."""
 
     def expand(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 a, b = np.frombuffer(row["a"], np.int64), np.frombuffer(row["b"], np.int64)
                 if row["kind"]:
-                    columns = [np.ones(len(a), bool), a, b, a, b, np.ones(len(a), bool), np.zeros(len(a), bool)]
+                    columns = [np.ones(len(a), bool), a, b, a, b, np.ones(len(a), bool)]
                 else:
-                    columns = [np.zeros(len(a), bool), a, b, *(np.frombuffer(row[c], np.int64) for c in ("ra", "rb")), *(np.frombuffer(row[c], np.int64) > 0 for c in ("equal", "behind"))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["known", "a", "b", "ra", "rb", "equal", "behind"])
+                    columns = [np.zeros(len(a), bool), a, b, np.frombuffer(row["ra"], np.int64), np.frombuffer(row["rb"], np.int64), np.frombuffer(row["equal"], np.int64) > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["known", "a", "b", "ra", "rb", "equal"])
 
-    rows = found.where("kind < 2").mapInArrow(expand, "known boolean, a long, b long, ra long, rb long, equal boolean, behind boolean")
-    return rows.groupBy("known", "a", "b", "ra", "rb").agg(F.max("equal").alias("equal"), F.max("behind").alias("behind"))
+    rows = found.where("kind < 2").mapInArrow(expand, "known boolean, a long, b long, ra long, rb long, equal boolean")
+    return rows.groupBy("known", "a", "b", "ra", "rb").agg(F.max("equal").alias("equal"))
 
 
 def between(found: DataFrame, classes: DataFrame) -> DataFrame:
@@ -480,31 +458,6 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("class_id"))
 
 
-def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs (ra, rb, ...) whose roots are not in one class. classes: id, class_id."""
-    for c in ("ra", "rb"):
-        pairs = pairs.join(classes.select(F.col("id").alias(c), F.col("class_id").alias(f"__{c}")), c, "left").withColumn(f"__{c}", F.coalesce(f"__{c}", c))
-    return pairs.where("__ra <> __rb").drop("__ra", "__rb")
-
-
-def second_look(docs: DataFrame, strays: DataFrame, members: DataFrame, classes: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """Pairs (a, b, ra, rb, equal) of each stray (id) with every other class in its buckets: with the class's first text there.
-
-    Only the buckets of strays are looked into, and what is in them is reduced to classes before it meets the strays.
-    """
-    few = F.broadcast if strays.count() <= FEW else (lambda x: x)
-    mine = docs.withColumn("__b", F.col(id_col).cast("long")).join(few(strays), F.col("__b") == F.col("id"), "left_semi").drop("__b")
-    own = checkpointed(keyed(mine, id_col, text_col, **options).withColumnRenamed("id", "b"))
-    met = keyed(docs, id_col, text_col, **options).join(few(own.select("key").distinct()), "key", "left_semi")
-    met = met.join(members, F.col("id") == F.col("__m"), "left").withColumn("ra", F.coalesce("__root", "id")).drop("__m", "__root")
-    met = checkpointed(met.join(classes.withColumnRenamed("id", "ra"), "ra", "left").withColumn("ca", F.coalesce("class_id", "ra")).groupBy("key", "ca").agg(F.min(F.struct("id", "ra")).alias("x")))
-    label = members.select(F.col("__m").alias("b"), F.col("__root").alias("rb"))
-    own = own.join(label, "b", "left").withColumn("rb", F.coalesce("rb", "b"))
-    own = own.join(classes.select(F.col("id").alias("rb"), F.col("class_id").alias("cb")), "rb", "left").withColumn("cb", F.coalesce("cb", "rb"))
-    pairs = own.join(met, "key").where("ca <> cb").select(F.col("x.id").alias("a"), "b", F.col("x.ra").alias("ra"), "rb")
-    return pairs.distinct().withColumn("equal", F.lit(False))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY, shingle: int = SHINGLE, hashes: int = HASHES, per_band: int = PER_BAND) -> DataFrame:
     """For each document (id): class_id, the smallest id of its class, and whether it stays (is that one)."""
     packed = checkpointed(candidates(docs, id_col, text_col, similarity=similarity, shingle=shingle, hashes=hashes, per_band=per_band))
@@ -513,12 +466,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = verified(between(packed, classes), docs, id_col, text_col, similarity)
     classes = components(more.unionByName(classes.select(F.col("id").alias("a"), F.col("class_id").alias("b"))))
     members = found.where("known").groupBy(F.col("a").alias("__m")).agg(F.min("b").alias("__root"))
-    strays = checkpointed(_apart(found.where("behind"), classes).select(F.col("b").alias("id")).distinct())
-    if not strays.isEmpty():
-        options = {"shingle": shingle, "hashes": hashes, "per_band": per_band}
-        again = second_look(docs, strays, members, classes, id_col, text_col, **options)
-        links = verified(again, docs, id_col, text_col, similarity)
-        classes = components(links.unionByName(classes.select(F.col("id").alias("a"), F.col("class_id").alias("b"))))
     ids = docs.select(F.col(id_col), F.col(id_col).cast("long").alias("__id")).join(members, F.col("__id") == F.col("__m"), "left")
     ids = ids.withColumn("__root", F.coalesce("__root", "__id")).join(classes.withColumnRenamed("id", "__node"), F.col("__root") == F.col("__node"), "left")
     label = F.coalesce("class_id", "__root")

@@ -293,23 +293,6 @@ def test_near_duplicates_by_edit_similarity(spark, sf_dir):
     assert found > 100 and together >= 0.95 * found
 
 
-def test_who_steps_back_in_vain_is_looked_at_again(spark):
-    """B agrees with A in most entries and is not like it (A is much longer); C is like B and shares few entries with it."""
-    r = random.Random(12)
-    b = [f"v{i}" for i in range(120)]
-    a = b + [f"tail{i % 3}" for i in range(60)]
-    found = 0
-    for seed in range(6):
-        r.seed(seed)
-        gone = set(r.sample(range(120), 8))
-        c = [f"new{seed}_{i}" if i in gone else w for i, w in enumerate(b)]
-        df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))], "doc_id long, text string").repartitionByRange(3, "doc_id")
-        got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(df).collect()}
-        assert got[1] == 1 and got[2] == 2
-        found += got[3] == 2
-    assert found >= 5
-
-
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
     got = {r["id"]: r["class_id"] for r in neardup.components(links).collect()}
