@@ -1,4 +1,4 @@
-"""Evaluation runs: sweeps of diversity parameters, and rewriting on against off."""
+"""Evaluation runs: whole sets of labelled questions, sweeps of diversity parameters, and rewriting on against off."""
 
 from __future__ import annotations
 
@@ -10,14 +10,40 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_ci
 from ..functions.vectors import dot
-from ..operators import diversity, evaluate, promote, rerank
+from ..operators import catalog, context, diversity, evaluate, promote, rerank
 from ..params import Params
 from ..sources.tables import checkpointed
-from . import retrieve
+from . import answer, retrieve
 
 COMBOS = ((0.7, 1.01), (0.7, 0.95), (0.7, 0.90), (0.7, 0.85), (0.5, 0.90), (0.5, 0.85), (0.6, 0.88))
 
 
+def run_cases(
+    cases: DataFrame, chunks: DataFrame, registry: DataFrame, completions: DataFrame, params: Params = Params(), *, primary: str = "extractive", **options
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, report, missing) of a set of labelled questions (sources.files.CASE), from their scopes to the report.
+
+    results: case_id, query, answer, provider, grounded, all metrics, notes. missing: cases that name files which the
+    registry lacks; these are not run. completions: query_id = case id, see operators.context.select_answer. A case may
+    bring its own top_k and, where its mode is not auto, its own primary provider. A refused case has no hits.
+    """
+    ids, missing = catalog.resolve_document_ids(cases, registry)
+    missing = checkpointed(missing)
+    cases = checkpointed(cases.join(missing, cases["id"] == missing["case_id"], "left_anti").join(ids.withColumnRenamed("case_id", "id"), "id", "left"))
+    own = F.when(F.col("mode") != "auto", F.col("mode")).cast("string") if "mode" in cases.columns else F.lit(None).cast("string")
+    top_k = F.col("top_k") if "top_k" in cases.columns else F.lit(None)
+    asked = cases.select(F.col("id").alias("query_id"), "query", top_k.cast("int").alias("top_k"), F.col("document_ids").alias("scope"), own.alias("primary"))
+    hits = checkpointed(retrieve.retrieve(asked, chunks, params, **options))
+    answers = checkpointed(answer.answer(asked, hits, completions, params, primary=primary))
+    # an answer cites its passages by marker
+    shown = hits.join(answers.where("provider <> 'none'"), "query_id", "left_semi")
+    shown = context.group_hits(shown).drop("rank").withColumnRenamed("marker", "rank")
+    metrics = checkpointed(evaluate.score_cases(cases, answers, shown, evaluate.redundancy(shown)))
+    told = answers.withColumnRenamed("query_id", "case_id").join(cases.select(F.col("id").alias("case_id"), "query"), "case_id")
+    results = told.select("case_id", "query", "answer", "provider", "grounded").join(metrics, "case_id").join(evaluate.case_notes(metrics, cases), "case_id")
+    return results, evaluate.build_report(metrics, cases), missing
+
+
 def sweep_mmr(cases: DataFrame, candidates: DataFrame, combos: Sequence[tuple[float, float]] = COMBOS, params: Params = Params()) -> DataFrame:
     """Per (lambda, cap): mean precision, recall, redundancy and hits over answerable cases. candidates: pools by query_id = case id.
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ragtables.functions.citations import citation_groups
 from ragtables.operators import context, evaluate, memory, validate
-from ragtables.params import DISCLAIMER, REFUSAL
-from ragtables.plans import answer
+from ragtables.params import DISCLAIMER, REFUSAL, Params
+from ragtables.plans import answer, converse, evaluation, ingest
+from ragtables.sources.files import CASE, with_case_defaults
 from tests.test_search_and_selection import hits
 
 
@@ -153,3 +154,54 @@ def test_citation_groups_take_one_pass(spark):
     assert time.time() - began < 20
     assert got["none"] == [] and got["late"] == [("first ", [1])] and got["quirk"] == [("claim one ", [1]), ("[2]", [3]), (" next thing ", [4])]
     assert got["bare"] == got["open"] == got["empty"] == [] and got["grouped"] == [("y ", [1, 20])] and got["null"] is None
+
+
+def small_corpus(spark):
+    rows = [("1", "regions.txt", None, "Every region holds three availability zones. Zones are isolated buildings."), ("2", "prices.txt", None, "A reserved price lasts one year. Reserved prices are paid monthly.")]
+    chunks, registry, _ = ingest.ingest(spark.createDataFrame(rows, "document_id string, filename string, page int, text string"))
+    return chunks.cache(), registry.withColumn("uploaded_at", F.lit(1))
+
+
+def test_evaluation_run(spark):
+    """Scope, retrieval, answer, metrics, notes and report of a whole set."""
+    chunks, registry = small_corpus(spark)
+    none = []
+    rows = [
+        ("zones", "How many availability zones has a region?", ["three"], ["three"], none, False, none, ["regions.txt"], None, None),
+        ("scoped", "How many availability zones has a region?", ["three"], none, none, False, ["prices.txt"], ["regions.txt"], 1, None),
+        ("refuse", "xylophone quartz", none, none, none, True, None, none, None, None),
+        ("lost", "anything", none, none, none, False, ["gone.txt"], none, None, None),
+        ("remote", "How long does a reserved price last?", ["one year"], ["one year"], ["ten"], False, none, none, 1, "openai"),
+    ]
+    cases = with_case_defaults(spark.createDataFrame(rows, CASE))
+    done = spark.createDataFrame([("zones", "openai", "unused [1]."), ("remote", "openai", "A reserved price lasts one year [1].")], "query_id string, provider string, answer string")
+    results, report, missing = evaluation.run_cases(cases, chunks, registry, done, Params(min_score=0.1))
+    got = {r["case_id"]: r for r in results.collect()}
+    assert set(got) == {"zones", "scoped", "refuse", "remote"} and [tuple(r) for r in missing.collect()] == [("lost", ["gone.txt"])]
+    assert got["zones"]["provider"] == "extractive" and got["zones"]["recall_at_k"] == 1.0 and got["zones"]["source_accuracy"] == 1.0
+    assert got["remote"]["provider"] == "openai" and got["remote"]["grounded"] and got["remote"]["citation_accuracy"] == 1.0 and got["remote"]["notes"] == []
+    assert got["scoped"]["source_accuracy"] == 0.0 and got["scoped"]["retrieved_total"] <= 1 and "Not all expected retrieval keywords found in top-k." in got["scoped"]["notes"]
+    assert got["refuse"]["answer"] == REFUSAL and got["refuse"]["retrieved_total"] == 0 and got["refuse"]["refused_correctly"]
+    r = report.first()
+    assert r["num_cases"] == 4 and r["refusal_accuracy"] == 1.0 and abs(r["recall_at_k"] - sum(x["recall_at_k"] for x in got.values()) / 4) < 1e-9
+    results, report, missing = evaluation.run_cases(cases.limit(0), chunks, registry, done)
+    assert results.count() == missing.count() == 0 and report.first()["num_cases"] == 0
+
+
+def test_conversation_run(spark):
+    """A follow-up is searched with what was said before, answered as asked, and remembered."""
+    chunks, _ = small_corpus(spark)
+    held = turns(spark, [("system", "be kind"), ("user", "How many availability zones has a region?"), ("assistant", "Three [1].")])
+    asked = spark.createDataFrame([(1, "are they isolated?"), (2, "xylophone quartz glissando over seven seas")], "conv_id long, query string")
+    questions, hits, messages = converse.prepare(held, asked, chunks, Params(min_score=0.1))
+    q = {r["query_id"]: r for r in questions.collect()}
+    assert q[1]["standalone"] == "How many availability zones has a region? — follow-up: are they isolated?" and q[1]["turn"] == 3
+    assert q[2]["standalone"] == q[2]["query"] and q[2]["turn"] == 0
+    sent = {r["query_id"]: r["messages"] for r in messages.collect()}
+    assert [m["role"] for m in sent[1]] == ["system", "user", "assistant", "user"] and "QUESTION: are they isolated?" in sent[1][-1]["content"]
+    done = spark.createDataFrame([(1, "openai", "Zones are isolated buildings [1].")], "query_id long, provider string, answer string")
+    answers, after = converse.conclude(held, questions, hits, done, Params(), primary="openai")
+    a = {r["query_id"]: r for r in answers.collect()}
+    assert a[1]["answer"].startswith("Zones are isolated") and a[1]["grounded"] and (a[2]["answer"], a[2]["provider"]) == (REFUSAL, "none")
+    assert [(r["turn"], r["role"]) for r in after.where("conv_id = 1").orderBy("turn").collect()][-2:] == [(3, "user"), (4, "assistant")]
+    assert [r["text"] for r in after.where("conv_id = 2").orderBy("turn").collect()] == [q[2]["query"], REFUSAL]
