@@ -2,17 +2,21 @@
 
 The two halves of the vectors are quantised apart, so K centroids a side give K*K
 cells. A query walks the cells by the sum of its two half distances with a heap,
-until the cells it has passed hold the wanted share of all vectors, and all
-entries of these cells are reranked by their exact distance. Vectors and queries
-travel in packed blocks of bounded size, joined by cell, so a crowded cell (or a
-vector that a third of all rows repeat) is many blocks and not one large task.
+until the cells it has passed hold the wanted share of all vectors and at least
+k besides those of its own id, and all entries of these cells are reranked by
+their exact distance. Vectors and queries travel in packed blocks of bounded
+size, and each block of queries meets each block of its cell by a key of cell and
+block, so a crowded cell (or a vector that a third of all rows repeat) is many
+tasks.
 
 Centroids are fitted on at most `sample` vectors; every vector is indexed.
 
 Defined results: vectors that are null, zero, of another dimension than most, or
 hold a null or non-finite component, and rows without an id, take no part; ties
 go to the smaller id; rows that share an id are each a candidate, but for the
-query of that id; an empty table gives no rows.
+query of that id; a query gets all candidates where there are fewer than k; an
+empty table gives no rows; only id and vector are read, so other columns cannot
+clash.
 """
 
 from __future__ import annotations
@@ -117,6 +121,7 @@ def neighbours(vectors: DataFrame, queries: F.Column, id_col: str = "vec_id", ve
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(part), batch.column("id"), pa.array([row.tobytes() for row in v], pa.binary())], names=["cell", "part", "id", "v"])
 
     asked = rows.where(queries)
+    own = asked.groupBy("id").agg(F.count("*").alias("own"))  # rows of a query's id: they are no candidates of it
     parts = max(1, -(-asked.count() // QUERIES))
 
     def visits(batches):
@@ -125,17 +130,19 @@ def neighbours(vectors: DataFrame, queries: F.Column, id_col: str = "vec_id", ve
             left = ((v[:, None, :half] - c1) ** 2).sum(2)
             right = ((v[:, None, half:] - c2) ** 2).sum(2)
             part = (mix(ids.astype(np.uint64) + np.uint64(5)) % np.uint64(parts)).astype(np.int32)
+            most = batch.column("own").to_numpy(zero_copy_only=False) + k
             for i in range(len(ids)):
-                to = walk(left[i], right[i], held, int(np.ceil(share * n)))
+                to = walk(left[i], right[i], held, max(int(np.ceil(share * n)), int(most[i])))
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([part[i]] * len(to), pa.int32()), pa.array([ids[i]] * len(to), pa.int64()), pa.array([v[i].tobytes()] * len(to), pa.binary())], names=["cell", "part", "id", "v"])
 
     def block(table: pa.Table) -> pa.Table:
         ids = table["id"].combine_chunks().to_numpy()
-        return pa.table({"cell": table["cell"][:1], "ids": pa.array([pack(ids)], pa.binary()), "vs": pa.array([b"".join(table["v"].to_pylist())], pa.binary())})
+        of_cell = max(1, -(-int(held[table["cell"][0].as_py()]) // BLOCK))
+        return pa.table({"cell": table["cell"][:1], "part": table["part"][:1], "parts": pa.array([of_cell], pa.int32()), "ids": pa.array([pack(ids)], pa.binary()), "vs": pa.array([b"".join(table["v"].to_pylist())], pa.binary())})
 
-    kind, packed = "cell int, part int, id long, v binary", "cell int, ids binary, vs binary"
-    stored = rows.mapInArrow(entries, kind).groupBy("cell", "part").applyInArrow(block, packed)
-    asking = asked.mapInArrow(visits, kind).groupBy("cell", "part").applyInArrow(block, packed)
+    kind, packed = "cell int, part int, id long, v binary", "cell int, part int, parts int, ids binary, vs binary"
+    stored = rows.mapInArrow(entries, kind).groupBy("cell", "part").applyInArrow(block, packed).select("cell", "part", "ids", "vs")
+    asking = asked.join(own, "id").select("id", "v", "own").mapInArrow(visits, kind).groupBy("cell", "part").applyInArrow(block, packed)
 
     def best(q: np.ndarray, v: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((v, far, q))
@@ -159,7 +166,8 @@ def neighbours(vectors: DataFrame, queries: F.Column, id_col: str = "vec_id", ve
                 out = best(*(np.concatenate(x) for x in zip(out, (qi[a], vi[b], exact), strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["query_id", "vec_id", "score"])
 
-    pairs = asking.select("cell", F.col("ids").alias("qids"), F.col("vs").alias("qvs")).join(stored, "cell").drop("cell")
+    asking = asking.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("ids").alias("qids"), F.col("vs").alias("qvs"))
+    pairs = asking.join(stored, ["cell", "part"]).drop("cell", "part")
     found = pairs.mapInArrow(rerank, "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

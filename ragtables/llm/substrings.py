@@ -18,7 +18,7 @@ not flood a bucket.
 Defined results: a null or empty text has no words and is kept as it is; rows
 without an id are kept unchanged and are no evidence; rows that share an id
 count as one document; an empty table gives no rows; result columns replace
-input columns of the same name.
+input columns of the same name (counts gives the names of the two counts).
 """
 
 from __future__ import annotations
@@ -78,6 +78,8 @@ def _key(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def _by(part: np.ndarray):
     """Positions of the entries of each part."""
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
     edges = np.flatnonzero(np.diff(part[order], prepend=-1))
     for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
@@ -120,11 +122,11 @@ def _known(ids: np.ndarray, hashes: np.ndarray, homes: int, buckets: int, salt:
     return [((h * 31 + salt) % buckets, h, pack(ids[x]), pack(hashes[x]), b"") for h, x in _by(_home(ids, homes))] if len(ids) else []
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH) -> DataFrame:
-    """docs with repeated passages cut out of the text, and n_words and n_removed."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
+    """docs with repeated passages cut out of the text, and how many words it had and lost, in columns named by counts."""
     spark = docs.sparkSession
     buckets, homes = spread(spark, 1), spread(spark)
-    docs = docs.drop("n_words", "n_removed")
+    docs = docs.drop(*counts)
     others = [c for c in docs.columns if c not in (id_col, text_col)]
 
     def anchors(batches):
@@ -208,7 +210,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows = _known(ids[late], h[late], homes, buckets, 0)
         return pa.concat_tables([known, pa.Table.from_batches([_rows(rows)])])
 
-    schema = T.StructType([*[f if f.name != text_col else T.StructField(text_col, T.StringType()) for f in docs.schema], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([*[f if f.name != text_col else T.StructField(text_col, T.StringType()) for f in docs.schema], *(T.StructField(c, T.LongType()) for c in counts)])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -236,7 +238,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 new = pa.Array.from_buffers(pa.large_string(), len(removed), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(keep)])[w.offsets].astype(np.int64)), pa.py_buffer(w.data[keep])])
                 texts = pa.compute.if_else(pa.array(removed > 0), new, texts.cast(pa.large_string())).cast(pa.string())
             columns = {c: batch.column("__row").field(others.index(c)) if others else None for c in others}
-            columns |= {id_col: column, text_col: texts, "n_words": pa.array(w.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
+            columns |= {id_col: column, text_col: texts, counts[0]: pa.array(w.counts, pa.int64()), counts[1]: pa.array(removed, pa.int64())}
             out.append(pa.RecordBatch.from_arrays([columns[f.name] for f in schema], names=[f.name for f in schema]))
         return pa.Table.from_batches(out)
 
