@@ -3,6 +3,14 @@
 Each stage judges every row that its predecessor kept: toxic documents go, then
 those of poor quality, then all but one of each near-duplicate class, then
 passages that an earlier document has; what is left is tokenised and packed.
+
+Defined results: null and empty texts are judged like others (their scores decide)
+and are near-duplicates of none; a row without an id is kept by the stages that
+need one to tell documents apart; rows that share an id are one document where
+repeats are cut; ties go to the smaller id; texts of any length are taken whole; an
+empty table gives no rows. All columns of the documents pass through the first four
+stages under their names and unchanged, whatever they are called, but for the text
+and a column n_chars where passages were cut.
 """
 
 from __future__ import annotations
@@ -27,9 +35,9 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substrings.remove_repeats(docs)
+    cut = substrings.remove_repeats(docs, counts=("__words", "__removed"))
     if "n_chars" in docs.columns:  # the count follows the text
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
 
 
