@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
@@ -10,19 +10,28 @@ from ..functions.text import clean_text
 SUFFIXES = (".pdf", ".txt", ".md")
 
 
+def _supported(suffixes: tuple[str, ...]) -> Column:
+    return F.coalesce(F.lower(F.regexp_extract("filename", r"(\.[^.]*)$", 1)).isin(*suffixes), F.lit(False))
+
+
+def split_by_type(pages: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[DataFrame, DataFrame]:
+    """Pages of files that can be read, and (document_id, filename, reason) of the others. No text is looked at."""
+    other = pages.where(~_supported(suffixes)).select("document_id", "filename").distinct()
+    return pages.where(_supported(suffixes)), other.select("document_id", "filename", F.lit("unsupported type").alias("reason"))
+
+
 def split_rejects(pages: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[DataFrame, DataFrame]:
     """Pages of usable documents, and (document_id, filename, reason) of the others."""
-    suffix = F.lower(F.regexp_extract("filename", r"(\.[^.]*)$", 1))
     whole = pages.groupBy("document_id", "filename").agg(F.max(F.length(clean_text(F.coalesce("text", F.lit(""))))).alias("longest"))
-    reason = F.when(~suffix.isin(*suffixes), "unsupported type").when(F.col("longest") == 0, "no text")
+    reason = F.when(~_supported(suffixes), "unsupported type").when(F.col("longest") == 0, "no text")
     rejects = whole.select("document_id", "filename", reason.alias("reason")).where("reason is not null")
     return pages.join(rejects.select("document_id", "filename"), ["document_id", "filename"], "left_anti"), rejects
 
 
-def without_unique_chunks(pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Documents of which no chunk was kept, as rejects."""
-    empty = pages.select("document_id", "filename").distinct().join(chunks.select("document_id"), "document_id", "left_anti")
-    return empty.select("document_id", "filename", F.lit("no unique chunk").alias("reason"))
+def without_chunks(names: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Documents (document_id, filename) of which there is no chunk, as rejects."""
+    empty = names.join(chunks.select("document_id"), "document_id", "left_anti")
+    return empty.select("document_id", "filename", F.lit("no text").alias("reason"))
 
 
 def delete_documents(chunks: DataFrame, registry: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

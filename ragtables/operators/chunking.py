@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, split_sentences
+from ..sources.tables import checkpointed
+from .numbering import numbered
+
+FEW = 100_000  # starts that are broadcast once they are counted
 
 
 def hard_windows(text: Column, size: int, overlap: int) -> Column:
@@ -63,12 +67,21 @@ def chunk_pages(pages: DataFrame, chunk_size: int = 800, chunk_overlap: int = 12
 
 
 def number_chunks(packed: DataFrame) -> DataFrame:
-    """One row per chunk with a running chunk_index over the pages of its document. Only counts are shuffled by document."""
-    counts = packed.select("document_id", F.coalesce("page", F.lit(0)).alias("page0"), F.size("chunks").cast("long").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("document_id").orderBy("page0").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.withColumn("start", before).select(F.col("document_id").alias("d"), F.col("page0").alias("p"), "start")
-    rows = packed.join(starts, (F.col("document_id") == F.col("d")) & (F.coalesce("page", F.lit(0)) == F.col("p")))
-    rows = rows.select("document_id", "filename", "page", "start", F.posexplode("chunks").alias("pos", "text"))
+    """One row per chunk with a running chunk_index over the pages of its document.
+
+    Pages come in order of their number, null ones as page 0, then by file name and content; pages that share all of
+    these are numbered one after the other. What is sorted are counts by row, in ranges that may split a document; texts
+    are shuffled once, by row, and only if many documents have more than one page.
+    """
+    page = F.coalesce("page", F.lit(0))
+    rows = checkpointed(packed).withColumn("__row", F.monotonically_increasing_id())  # stable, as the rows are written
+    slim = rows.select("__row", "document_id", page.alias("page0"), "filename", F.xxhash64("chunks").alias("content"), F.size("chunks").cast("long").alias("n"))
+    several = slim.groupBy(F.col("document_id").alias("__several")).count().where("count > 1")
+    slim = slim.join(several, F.col("document_id").eqNullSafe(F.col("__several")), "left_semi")
+    order = [F.col(c).asc_nulls_first() for c in ("page0", "filename", "content", "__row")]
+    starts = checkpointed(numbered(slim, order, within=("document_id",), sums={"start": "n"}).select("__row", "start"))
+    rows = rows.join(F.broadcast(starts) if starts.count() <= FEW else starts, "__row", "left")
+    rows = rows.select("document_id", "filename", "page", F.coalesce("start", F.lit(0)).alias("start"), F.posexplode("chunks").alias("pos", "text"))
     return with_chunk_id(rows.select("document_id", "filename", (F.col("start") + F.col("pos")).cast("int").alias("chunk_index"), "page", "text"))
 
 

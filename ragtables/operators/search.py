@@ -1,103 +1,102 @@
-"""Embedding and exact top-k search for whole tables of queries."""
+"""Exact top-k search for whole tables of queries."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
-import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_ci, words
+from ..functions.spans import bytes_of
 from ..params import Params
+from ..sources.tables import BUCKETS, bucket_of, checkpointed
+from .encode import check_dimension, embed, embed_queries, hash_encoder  # noqa: F401  (search includes how vectors are made)
+from .terms import TermIndex, term_presence, text_slices  # noqa: F401
 
 #: Queries whose vectors are held by every task at once; more are packed and joined.
 QUERY_BLOCK = 8192
+SCOPE_BLOCK = 1 << 20  # document ids in the scopes of these queries, in all
 PACKED = 1024  # rows of a packed block
 CELLS = 1 << 21  # scores held at once
-_NEVER = np.iinfo(np.int64).min
-#: Terms that every task tests at once; more are tested in rounds of this many.
-TERM_BLOCK = 100_000
+FEW = 100_000  # ids of hits that are broadcast once they are counted
 DIGITS = 6  # scores are rounded to this, so that equal texts tie however they were summed
+_UNIT = 10**DIGITS
+_NEVER = np.iinfo(np.int64).min
+IDS = ("chunk_id", "document_id", "chunk_index")
 
 
-def hash_encoder(dim: int = 64) -> Callable[[pd.Series], pd.Series]:
-    """Signed counts of hashed words: the default, which needs no model. Takes word arrays, gives double arrays."""
+def knn(queries: DataFrame, chunks: DataFrame, k: int | None = None, *, k_col: str | None = None, keep: tuple[str, ...] = (), not_self: bool = False) -> DataFrame:
+    """Exact best chunks by inner product: (query_id, rank, chunk_id, document_id, chunk_index, score, keep...).
 
-    def place(word: str) -> tuple[int, int]:
-        digest = hashlib.md5(word.encode()).hexdigest()
-        return int(digest[:8], 16) % dim, 1 - 2 * (int(digest[8], 16) % 2)
+    queries: query_id, vector, optional scope (array of document ids; null or empty: all) and k_col. Scopes are
+    applied before ranking. Every task holds up to QUERY_BLOCK queries and, for each, the ids of its best k chunks so far;
+    they are merged batch by batch and leave the task once, at its end, so at most tasks x queries x k slim rows are
+    shuffled, however many batches there are. More queries are packed into blocks, as the chunks are, and meet them in a
+    join; they do not pass through the driver. The columns in `keep` are fetched for the final hits alone, in a second
+    read of the chunks: if their vectors are computed, they should be stored first. A chunk is named by chunk_id,
+    document_id and chunk_index; of rows that share all three, each is a hit, with what one of them has in `keep`.
+    Ties: document_id, then chunk_index. Chunks read with their bucket (sources.tables) are only scored for the queries
+    whose scope may be in it.
+    """
+    want = F.col(k_col).cast("int") if k_col else F.lit(k)
+    asked = queries.select("query_id", "vector", want.alias("k"), *_scope(queries, chunks))
+    source = chunks.where("vector is not null").select(*IDS, "vector", *(["bucket"] if "bucket" in chunks.columns else []))
+    kinds = ", ".join([f"query_id {asked.schema['query_id'].dataType.simpleString()}", "k int", *(f"{c} {source.schema[c].dataType.simpleString()}" for c in IDS), "score double"])
+    found = beside_queries(asked, source, lambda table, batches: _best(table, batches, not_self), kinds)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "chunk_index")
+    hits = found.withColumn("rank", F.row_number().over(best)).where("rank <= k")
+    if not k_col:
+        hits = hits.where(F.col("rank") <= k)  # a limit that the window can apply by group
+    hits = hits.select("query_id", "rank", *IDS, "score")
+    others = [c for c in keep if c not in IDS]
+    return fetched(hits, chunks, others).select("query_id", "rank", *IDS, *others, "score") if others else hits
 
-    def encode(texts: pd.Series) -> pd.Series:
-        out, row = np.zeros((len(texts), dim)), np.repeat(np.arange(len(texts)), texts.map(len))
-        if len(row):
-            code, listed = pd.factorize(np.concatenate(texts.to_list()))  # each distinct word is hashed once a batch
-            at, sign = np.array([place(w) for w in listed]).T
-            np.add.at(out, (row, at[code]), sign[code])
-        return pd.Series(list(out))
 
-    return encode
+def fetched(hits: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:
+    """hits with further columns of their chunks. Only the chunks of hits are shuffled or computed upon."""
+    hits = checkpointed(hits)
+    names = hits.select(*IDS).distinct()
+    small = (lambda df: F.broadcast(df)) if names.count() <= FEW else (lambda df: df)
 
+    def same(a: str, b: str) -> F.Column:
+        return F.expr(" and ".join(f"{a}.{c} <=> {b}.{c}" for c in IDS))
 
-def embed(df: DataFrame, text_col: str = "text", encoder: Callable | None = None, *, dim: int = 64) -> DataFrame:
-    """df with a normalised `vector`. encoder: made once per worker process; takes word arrays."""
-    make = encoder or hash_encoder
+    rows = chunks.select(*IDS, *columns).alias("c").join(small(names.alias("n")), same("c", "n"), "left_semi")
+    rows = rows.groupBy(*IDS).agg(F.first(F.struct(*columns)).alias("__kept"))
+    return hits.alias("h").join(rows.alias("r"), same("h", "r")).select("h.*", "r.__kept.*")
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = make(dim)
-        for batch in batches:
-            v = np.stack(encode(batch).to_numpy()).astype(np.float64) if len(batch) else np.zeros((0, dim))
-            n = np.sqrt((v * v).sum(1, keepdims=True))
-            yield pd.Series(list(v / np.where(n == 0, 1e-12, n)))
 
-    return df.withColumn("vector", run(words(F.coalesce(text_col, F.lit("")))))
+def _scope(queries: DataFrame, chunks: DataFrame) -> list:
+    """The scope of the queries, without repeats, and the buckets that it is in if the chunks have theirs."""
+    if "scope" not in queries.columns:
+        return []
+    scope = F.when(F.size("scope") > 0, F.array_sort(F.array_distinct("scope")))
+    buckets = [F.array_distinct(F.transform(scope, lambda d: bucket_of(d, BUCKETS))).alias("buckets")] if "bucket" in chunks.columns else []
+    return [scope.alias("scope"), *buckets]
 
 
-def embed_queries(queries: DataFrame, query_col: str = "query", encoder: Callable | None = None, *, prefix: str = "", dim: int = 64) -> DataFrame:
-    """Query side: the same with an instruction in front, for encoders that need one."""
-    return embed(queries.withColumn("__q", F.concat(F.lit(prefix), F.col(query_col))), "__q", encoder, dim=dim).drop("__q")
+def beside_queries(asked: DataFrame, source: DataFrame, work: Callable[[pa.Table, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kinds: str) -> DataFrame:
+    """work(queries, batches of the source) in tasks that cover every query and row of the source together exactly once.
 
+    Few queries with few ids in their scopes are held by every task; others meet the source block by block.
+    """
+    size = asked.agg(F.count("*").alias("n"), F.sum(F.size("scope") if "scope" in asked.columns else F.lit(0)).alias("scoped")).first()
+    if size["n"] <= QUERY_BLOCK and (size["scoped"] or 0) <= SCOPE_BLOCK:
+        held = source.sparkSession.sparkContext.broadcast(_packed(asked.toArrow()))
+        return source.mapInArrow(lambda batches: work(_unpacked(held.value), batches), kinds)
 
-def check_dimension(chunks: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
-    """Chunks whose vector has the dimension, and those to reject (null vectors, too)."""
-    fits = F.coalesce(F.size("vector") == dim, F.lit(False))
-    return chunks.where(fits), chunks.where(~fits)
+    def meet(batches):
+        rows = ((n, q, c) for b in batches for n, q, c in zip(*(b.column(x) for x in ("n", "q", "c")), strict=True))
+        for _, run in groupby(rows, lambda r: r[0].as_py()):  # blocks of chunks that meet the same queries
+            first = next(run)
+            chunks = (part for c in ([first[2]], (r[2] for r in run)) for x in c for part in _unpacked(x.as_buffer()).to_batches())
+            yield from work(_unpacked(first[1].as_buffer()), chunks)
 
-
-def knn(queries: DataFrame, chunks: DataFrame, k: int | None = None, *, k_col: str | None = None, keep: tuple[str, ...] = (), not_self: bool = False) -> DataFrame:
-    """Exact best chunks by inner product: (query_id, rank, chunk_id, document_id, chunk_index, score, keep...).
-
-    queries: query_id, vector, optional scope (array of document ids; null or empty: all) and k_col. Scopes are
-    applied before ranking. Up to QUERY_BLOCK queries are held by every task, which scans its chunks in batches with a
-    matrix product; only its best rows per query are shuffled. More queries are packed into blocks, as the chunks are,
-    and meet them in a join; they do not pass through the driver. Ties: document_id, then chunk_index.
-    """
-    spark = queries.sparkSession
-    scoped = "scope" in queries.columns
-    want = F.col(k_col).cast("int") if k_col else F.lit(k)
-    asked = queries.select("query_id", "vector", want.alias("k"), *(["scope"] if scoped else []))
-    fields = ["chunk_id", "document_id", "chunk_index", *keep]
-    source = chunks.where("vector is not null").select(*fields, *(["vector"] if "vector" not in fields else []))
-    kinds = ", ".join([f"query_id {asked.schema['query_id'].dataType.simpleString()}", "k int", *(f"{c} {source.schema[c].dataType.simpleString()}" for c in fields), "score double"])
-    few = asked.limit(QUERY_BLOCK + 1).toArrow()
-    if few.num_rows <= QUERY_BLOCK:
-        held = spark.sparkContext.broadcast(_packed(few))
-
-        def scan(batches):
-            wanted = _Queries(held.value, fields, not_self)
-            for batch in batches:
-                yield from wanted.best(batch)
-
-        found = source.mapInArrow(scan, kinds)
-    else:
-        found = _in_blocks(asked, source).mapInArrow(lambda batches: _meet(batches, fields, not_self), kinds)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "chunk_index")
-    return found.withColumn("rank", F.row_number().over(best)).where("rank <= k").select("query_id", "rank", *fields, "score")
+    return _in_blocks(asked, source).mapInArrow(meet, kinds)
 
 
 def _packed(table: pa.Table) -> bytes:
@@ -112,7 +111,7 @@ def _unpacked(raw) -> pa.Table:
 
 
 def _in_blocks(asked: DataFrame, source: DataFrame) -> DataFrame:
-    """Rows (q, c): every block of packed queries beside every block of packed chunks. The chunks are shuffled once."""
+    """Rows (n, q, c): every block q of packed queries, by number, beside every block of packed chunks. The chunks are shuffled once."""
     shards = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def blocks(batches):
@@ -121,61 +120,129 @@ def _in_blocks(asked: DataFrame, source: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([(n * 31 + i // PACKED) % shards], pa.int32()), pa.array([_packed(pa.Table.from_batches([batch.slice(i, PACKED)]))], pa.binary())], names=["shard", "packed"])
 
     packed = "shard int, packed binary"
-    left = asked.mapInArrow(blocks, packed).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("packed").alias("q"))
+    left = checkpointed(asked.mapInArrow(blocks, packed).select(F.monotonically_increasing_id().alias("n"), F.col("packed").alias("q")))
+    left = left.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "n", "q")
     right = source.mapInArrow(blocks, packed).select("shard", F.col("packed").alias("c"))
-    return left.join(right, "shard").select("q", "c")
+    return left.join(right, "shard").select("n", "q", "c")
+
+
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
+def _behind(batch: pa.RecordBatch) -> np.ndarray:
+    """How many rows of the batch come after each one in a tie."""
+    order = pc.sort_indices(pa.table({c: batch.column(c) for c in IDS[1:]}), sort_keys=[(c, "ascending") for c in IDS[1:]]).to_numpy()
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))[::-1]
+    return out
+
 
+def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products in units of the last digit that counts."""
+    return np.rint(np.round(q @ v.T, DIGITS) * _UNIT).astype(np.int64)
 
-def _meet(batches, fields: list[str], not_self: bool):
+
+def _best(table: pa.Table, batches: Iterator[pa.RecordBatch], not_self: bool) -> Iterator[pa.RecordBatch]:
+    held = _Running(table, not_self)
     for batch in batches:
-        for q, c in zip(batch.column("q"), batch.column("c"), strict=True):
-            wanted = _Queries(q.as_buffer(), fields, not_self)
-            for part in _unpacked(c.as_buffer()).to_batches():
-                yield from wanted.best(part)
-
-
-class _Queries:
-    """A block of queries against batches of chunks."""
-
-    def __init__(self, raw, fields: list[str], not_self: bool):
-        table = _unpacked(raw)
-        self.fields, self.not_self, self.ids = fields, not_self, table["query_id"].combine_chunks()
-        self.k = table["k"].to_numpy().astype(np.int64)
-        self.vectors = np.array(table["vector"].to_pylist(), np.float64).reshape(len(self.k), -1)
-        self.scopes = table["scope"].to_pylist() if "scope" in table.column_names else []
-        self.names = self.ids.to_pylist() if not_self else []
-
-    def best(self, batch: pa.RecordBatch):
-        """The batch's best rows for each query."""
-        n, most = batch.num_rows, int(self.k.max(initial=0))
-        if not n or not most:
+        held.add(batch)
+    yield from held.rows()
+
+
+class _Running:
+    """The best rows seen so far for a block of queries: ids and scores."""
+
+    def __init__(self, table: pa.Table, not_self: bool):
+        self.ids = table["query_id"].combine_chunks()
+        n = len(self.ids)
+        self.k = table["k"].to_numpy(zero_copy_only=False).astype(np.int64) if n else np.zeros(0, np.int64)
+        self.vectors = _matrix(table["vector"], n) if n else np.zeros((0, 0))
+        self.most = int(self.k.max(initial=0))
+        self.floor = np.full(n, _NEVER)  # the score of the k-th row, once k are held
+        self.held, self.fresh, self.waiting = None, [], 0
+        self.own = pc.cast(self.ids, pa.string()).to_pylist() if not_self else []
+        self.scope, self.scopes, self.buckets = np.full(n, -1), [], None
+        if "scope" in table.column_names:
+            known: dict[tuple, int] = {}
+            for i, ids in enumerate(table["scope"].to_pylist()):
+                if ids:
+                    self.scope[i] = known.setdefault(tuple(ids), len(known))
+            self.scopes = [pa.array(ids) for ids in known]  # equal scopes are looked up once a batch
+        if "buckets" in table.column_names:
+            self.buckets = np.ones((n, BUCKETS), bool)
+            for i, b in enumerate(table["buckets"].to_pylist()):
+                if b:
+                    self.buckets[i] = np.isin(np.arange(BUCKETS), b)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        n = batch.num_rows
+        mine = np.arange(len(self.k))
+        if self.buckets is not None and n:
+            mine = np.flatnonzero(self.buckets[:, np.unique(batch.column("bucket").to_numpy(zero_copy_only=False))].any(1))
+        if not n or not self.most or not len(mine):
             return
-        vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-        code, documents = pd.factorize(np.array(batch.column("document_id").to_pylist(), object), sort=True)
-        order = np.lexsort((batch.column("chunk_index").to_numpy(zero_copy_only=False), code))
-        behind = np.empty(n, np.int64)
-        behind[order] = np.arange(n)[::-1]  # what a row has over the rows that come after it in a tie
-        number = {d: i for i, d in enumerate(documents)}
-        chunk = {c: i for i, c in enumerate(batch.column("chunk_id").to_pylist())} if self.not_self else {}
+        vectors, behind = _matrix(batch.column("vector"), n), _behind(batch)
+        outside = {c: ~pc.is_in(batch.column("document_id"), value_set=self.scopes[c].cast(batch.column("document_id").type)).to_numpy(zero_copy_only=False) for c in np.unique(self.scope[mine]).tolist() if c >= 0}
+        chunk = {c: i for i, c in enumerate(batch.column("chunk_id").to_pylist())} if self.own else {}
         step = max(1, CELLS // n)
-        for i in range(0, len(self.k), step):
-            score = np.round(self.vectors[i : i + step] @ vectors.T, DIGITS) + 0.0
-            key = np.rint(score * 10**DIGITS).astype(np.int64) * n + behind
-            for j, scope in enumerate(self.scopes[i : i + step]):
-                if scope:
-                    key[j, ~np.isin(code, [number[d] for d in scope if d in number])] = _NEVER
-            for j, name in enumerate(self.names[i : i + step]):
-                if name in chunk:
-                    key[j, chunk[name]] = _NEVER
-            top = np.argpartition(key, n - most, 1)[:, n - most :] if most < n else np.broadcast_to(np.arange(n), key.shape)
-            held = np.take_along_axis(key, top, 1)
-            first = np.argsort(-held, 1)
-            top, held = np.take_along_axis(top, first, 1), np.take_along_axis(held, first, 1)
-            who, place = np.nonzero((held > _NEVER) & (np.arange(top.shape[1]) < self.k[i : i + step, None]))
-            at = top[who, place]
-            taken = batch.take(pa.array(at))
-            columns = [self.ids.take(pa.array(who + i)), pa.array(self.k[who + i].astype(np.int32)), *(taken.column(c) for c in self.fields), pa.array(score[who, at])]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "k", *self.fields, "score"])
+        for i in range(0, len(mine), step):
+            who = mine[i : i + step]
+            score = scores(self.vectors[who], vectors)
+            key = score * n + behind
+            key[score < self.floor[who, None]] = _NEVER
+            for j, c in enumerate(self.scope[who].tolist() if self.scopes else ()):
+                if c >= 0:
+                    key[j, outside[c]] = _NEVER
+            for j, w in enumerate(who.tolist() if self.own else ()):
+                if self.own[w] in chunk:
+                    key[j, chunk[self.own[w]]] = _NEVER
+            left = (key > _NEVER).sum(1)
+            if self.most < n and left.max(initial=0) > 2 * self.most:
+                top = np.argpartition(key, n - self.most, 1)[:, n - self.most :]
+                j, at = np.nonzero(np.take_along_axis(key, top, 1) > _NEVER)
+                at = top[j, at]
+            else:
+                j, at = np.nonzero(key > _NEVER)
+            if len(at):
+                taken = batch.take(pa.array(at))
+                self.fresh.append(pa.table({"who": pa.array(who[j].astype(np.int32)), "key": pa.array(score[j, at]), **{c: taken.column(c) for c in IDS}}))
+                self.waiting += len(at)
+        if self.waiting > max(4096, (self.held.num_rows if self.held else 0) // 4):
+            self._merge()
+
+    def add_pairs(self, batch: pa.RecordBatch, pairs: Iterator[tuple[list[int], np.ndarray]]) -> None:
+        """The same for k = 1 and given (queries, rows) alone."""
+        vectors, behind = _matrix(batch.column("vector"), batch.num_rows) if batch.num_rows else None, _behind(batch)
+        for who, at in pairs:
+            if len(at):
+                score = scores(self.vectors[who], vectors[at])
+                j = np.arange(len(who))
+                top = (score * batch.num_rows + behind[at]).argmax(1)
+                better = score[j, top] >= self.floor[who]
+                taken = batch.take(pa.array(at[top[better]]))
+                self.fresh.append(pa.table({"who": pa.array(np.array(who, np.int32)[better]), "key": pa.array(score[j, top][better]), **{c: taken.column(c) for c in IDS}}))
+                self.waiting += int(better.sum())
+        if self.waiting > 4096:
+            self._merge()
+
+    def _merge(self) -> None:
+        rows = pa.concat_tables(([self.held] if self.held else []) + self.fresh)
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("who", "ascending"), ("key", "descending"), ("document_id", "ascending"), ("chunk_index", "ascending")]))
+        who, key = rows["who"].to_numpy(), rows["key"].to_numpy()
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        full = place == self.k[who] - 1
+        self.floor[who[full]] = key[full]
+        self.held, self.fresh, self.waiting = rows.filter(pa.array(place < self.k[who])), [], 0
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.fresh:
+            self._merge()
+        for b in self.held.to_batches() if self.held else ():
+            who = b.column("who").to_numpy()
+            yield pa.RecordBatch.from_arrays([self.ids.take(b.column("who")), pa.array(self.k[who].astype(np.int32)), *(b.column(c) for c in IDS), pa.array(b.column("key").to_numpy() / _UNIT)], names=["query_id", "k", *IDS, "score"])
 
 
 def pool_size(queries: DataFrame, params: Params = Params()) -> DataFrame:
@@ -208,51 +275,72 @@ def vectors_for(ids: DataFrame, chunks: DataFrame) -> DataFrame:
 def dense_rank_of_keyword(queries: DataFrame, chunks: DataFrame, depth: int = 1000) -> DataFrame:
     """(query_id, first_rank) of the first of a query's hits that holds its keyword: null if no chunk does, -1 if none within depth.
 
-    queries: query_id, vector, keyword.
+    queries: query_id, vector, keyword. Two reads of the chunks (whose vectors should be stored): the best chunk with the
+    keyword, found through an index of the keywords, then the number of chunks that come before it. A task sends one row
+    of ids or one count per query, whatever the depth.
     """
-    keys = queries.select("query_id", "keyword")
-    hits = knn(queries.drop("scope"), chunks, depth, keep=("text",))
-    first = hits.join(keys, "query_id").where(contains_ci(F.col("text"), F.col("keyword"))).groupBy("query_id").agg(F.min("rank").alias("r"))
-    present = term_presence(chunks, keys.select(F.col("keyword").alias("term")).distinct()).where("chunks > 0").select(F.col("term").alias("keyword"), F.lit(-1).alias("beyond"))
-    return keys.join(first, "query_id", "left").join(present, "keyword", "left").select("query_id", F.coalesce("r", "beyond").alias("first_rank"))
-
-
-def term_presence(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, chunks): number of chunks that contain each term, ignoring case; terms that are nowhere count 0.
-
-    The terms are probes: blocks of about TERM_BLOCK of them, dealt by hash, are tested one after the other, each against
-    every chunk where it is read.
-    """
-    spark, asked = chunks.sparkSession, terms.select("term").distinct()
-    blocks = max(1, -(-asked.count() // TERM_BLOCK))
-    texts, found = chunks.select(F.lower("text").alias("text")), None
-    for i in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i).collect()  # at most about TERM_BLOCK rows
-        part = texts.mapInArrow(_counter(spark.sparkContext.broadcast([r["term"] for r in rows])), "term string, chunks long")
-        found = part if found is None else found.unionByName(part)
-    found = found.groupBy("term").agg(F.sum("chunks").alias("chunks"))
-    return asked.join(found, "term", "left").select("term", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"))
-
-
-def _counter(listed):
-    def count(batches):
-        lower: dict[str, list[int]] = {}
-        for i, t in enumerate(listed.value):
-            lower.setdefault(t.lower(), []).append(i)
-        found, texts, whole = ahocorasick.Automaton(), 0, [i for t, at in lower.items() if not t for i in at]
-        for t, at in lower.items():
-            if t:
-                found.add_word(t, at)
-        found.make_automaton()
-        n = np.zeros(len(listed.value), np.int64)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if text is not None:
-                    texts += 1
-                    if len(found):
-                        for at in {id(x): x for _, x in found.iter(text)}.values():  # each term once a text
-                            n[at] += 1
-        n[whole] = texts
-        yield pa.RecordBatch.from_arrays([pa.array(listed.value, pa.string()), pa.array(n)], names=["term", "chunks"])
-
-    return count
+    asked = queries.select("query_id", "vector", F.lower("keyword").alias("keyword"), F.lit(1).alias("k")).where("keyword is not null")
+    source = chunks.where("vector is not null").select(*IDS, "vector")
+    kind = asked.schema["query_id"].dataType.simpleString()
+    kinds = ", ".join([f"query_id {kind}", "k int", *(f"{c} {source.schema[c].dataType.simpleString()}" for c in IDS), "score double"])
+    texts = chunks.where("vector is not null").select(*IDS, "vector", F.lower("text").alias("text"))
+    # -score: the least struct is the first in rank
+    first = F.min(F.struct((-F.col("score")).alias("s"), "document_id", "chunk_index"))
+    best = checkpointed(beside_queries(asked, texts, _best_with_keyword, kinds).groupBy("query_id").agg(first.alias("b")))
+    ranked = asked.select("query_id", "vector").join(best, "query_id").select("query_id", "vector", (-F.col("b.s")).alias("score"), F.col("b.document_id").alias("document_id"), F.col("b.chunk_index").alias("chunk_index"))
+    before = beside_queries(ranked, source, _count_before, f"query_id {kind}, n long").groupBy("query_id").agg(F.sum("n").alias("n"))
+    rank = F.coalesce("n", F.lit(0)) + 1
+    places = best.join(before, "query_id", "left").select("query_id", F.when(rank <= depth, rank).otherwise(-1).cast("int").alias("first_rank"))
+    return queries.select("query_id").join(places, "query_id", "left")
+
+
+def _best_with_keyword(table: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each query its best row among those whose text has its keyword."""
+    held, words = _Running(table, False), table["keyword"].to_pylist()
+    listed = sorted(set(words))
+    index, number = TermIndex(listed), {t: i for i, t in enumerate(listed)}
+    of_term = [[] for _ in listed]
+    for q, w in enumerate(words):
+        of_term[number[w]].append(q)
+    for batch in batches:
+        held.add_pairs(batch, _having(index, of_term, batch))
+    yield from held.rows()
+
+
+def _having(index: TermIndex, of_term: list[list[int]], batch: pa.RecordBatch) -> Iterator[tuple[list[int], np.ndarray]]:
+    """(queries, rows) of each keyword in the batch."""
+    found = [np.zeros((2, 0), np.int64)]
+    for begin, column in text_slices(batch.column("text")):
+        term, row = index.find(*bytes_of(column))
+        found.append(np.stack([term, row + begin]))
+    term, row = np.concatenate(found, axis=1)
+    edges = np.searchsorted(term[order := np.argsort(term, kind="stable")], np.arange(len(of_term) + 1))
+    for t in np.flatnonzero(np.diff(edges)).tolist():
+        yield of_term[t], row[order[edges[t] : edges[t + 1]]]
+    everywhere = np.flatnonzero(batch.column("text").is_valid().to_numpy(zero_copy_only=False))
+    for t in index.empty.tolist():
+        yield of_term[t], everywhere
+
+
+def _count_before(table: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each query how many rows rank before the one that it brings."""
+    n = table.num_rows
+    if not n:
+        return
+    vectors, best, count = _matrix(table["vector"], n), np.rint(table["score"].to_numpy() * _UNIT).astype(np.int64), np.zeros(n, np.int64)
+    names = {c: table[c].combine_chunks() for c in IDS[1:]}
+    for batch in batches:
+        m = batch.num_rows
+        if not m:
+            continue
+        # the place of each query's row in the batch's order of ties
+        both = pa.table({c: pa.concat_arrays([names[c].cast(batch.column(c).type), batch.column(c)]) for c in IDS[1:]} | {"mine": pa.array(np.arange(n + m) >= n)})
+        order = pc.sort_indices(both, sort_keys=[*((c, "ascending") for c in IDS[1:]), ("mine", "ascending")]).to_numpy()
+        seen = np.cumsum(order >= n)
+        place = np.empty(n + m, np.int64)
+        place[order] = seen
+        step, v, ahead = max(1, CELLS // m), _matrix(batch.column("vector"), m), place[n:] - 1
+        for i in range(0, n, step):
+            s = scores(vectors[i : i + step], v)
+            count[i : i + step] += ((s > best[i : i + step, None]) | ((s == best[i : i + step, None]) & (ahead < place[i : min(i + step, n), None]))).sum(1)
+    yield pa.RecordBatch.from_arrays([table["query_id"].combine_chunks(), pa.array(count)], names=["query_id", "n"])

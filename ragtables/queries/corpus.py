@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, dedup, evaluate, search
 from ..sources import files, tables
+from ..sources.store import ChunkStore
 from ..sources.tables import shared_folder
 from . import inputs as I
 
@@ -191,3 +192,79 @@ def c8_check_scope(spark, sf_dir):
 @register(f"WITH {I.LINES} SELECT (SELECT count(*) FROM documents) AS documents, count(*) AS chunks, count(DISTINCT document_id) AS chunked_documents FROM lines")
 def c9_corpus_health(spark, sf_dir):
     return catalog.corpus_health(I.catalogue(spark, sf_dir), I.lines(spark, sf_dir))
+
+
+def _stored(spark, sf_dir, chunks=None):
+    """The lines (or other chunks) and the catalogue as a corpus on disk."""
+    store = ChunkStore(spark, shared_folder(spark, "corpus"))
+    store.append(I.lines(spark, sf_dir) if chunks is None else chunks, I.catalogue(spark, sf_dir))
+    return store
+
+
+@register(f"WITH {I.LINES} SELECT chunk_id, document_id, chunk_index, text FROM lines WHERE CAST(document_id AS BIGINT) % 13 <> 0")
+def c3_stored_delete(spark, sf_dir):
+    """Documents taken out of a corpus on disk, and the chunks that are left there."""
+    store = _stored(spark, sf_dir)
+    store.delete(_ids(spark, sf_dir))
+    return store.chunks().select("chunk_id", "document_id", "chunk_index", "text")
+
+
+@register(
+    f"""WITH {I.LINES}, {I.CATALOGUE}, new AS (SELECT 'new' || id AS id, filename FROM catalogue WHERE CAST(id AS BIGINT) % 7 = 0),
+  old AS (SELECT id FROM catalogue WHERE filename IN (SELECT filename FROM new)), kept AS (SELECT document_id, text FROM lines WHERE document_id NOT IN (SELECT id FROM old)),
+  rows AS (SELECT document_id, text FROM kept UNION ALL SELECT id, upper(filename) FROM new), named AS (SELECT id, filename FROM catalogue WHERE id NOT IN (SELECT id FROM old) UNION ALL SELECT * FROM new)
+  SELECT id, filename, count(document_id) AS chunks, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM named LEFT JOIN rows ON document_id = id GROUP BY ALL"""
+)
+def c4_stored_replace(spark, sf_dir):
+    """New documents in place of those of the same file names in a corpus on disk: registry and chunks after it."""
+    store = _stored(spark, sf_dir)
+    new = I.catalogue(spark, sf_dir).where("cast(id as bigint) % 7 = 0").withColumn("id", F.concat(F.lit("new"), "id"))
+    chunks = new.select(F.concat("id", F.lit(":0")).alias("chunk_id"), F.col("id").alias("document_id"), "filename", F.lit(0).alias("chunk_index"), F.upper("filename").alias("text"))
+    empty = [F.lit(None).cast("int").alias("page"), F.lit(None).cast("array<double>").alias("vector")]
+    store.replace(chunks.select("*", *empty), new)
+    held = store.chunks().groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
+    return store.registry().join(held, "id", "left").select("id", "filename", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("chars", F.lit(0)).alias("chars"))
+
+
+@register(
+    f"""WITH {I.LINES}, {I.CATALOGUE}, again AS (SELECT id, 'v2-' || filename AS filename, CAST(id AS BIGINT) % 10 = 0 AS bad FROM catalogue WHERE CAST(id AS BIGINT) % 5 = 0),
+  rows AS (SELECT document_id, text FROM lines WHERE CAST(document_id AS BIGINT) % 5 <> 0 UNION ALL SELECT id, filename FROM again WHERE NOT bad)
+  SELECT c.id, coalesce(a.filename, c.filename) AS filename, coalesce(bad, false) AS rejected, (SELECT count(*) FROM rows WHERE document_id = c.id) AS chunks FROM catalogue c LEFT JOIN again a USING (id)"""
+)
+def c5_stored_upsert(spark, sf_dir):
+    """Documents that come again to a corpus on disk, every other one to be rejected: what stands after two runs are merged."""
+    store = _stored(spark, sf_dir)
+    again = I.catalogue(spark, sf_dir).where("cast(id as bigint) % 5 = 0").withColumn("filename", F.concat(F.lit("v2-"), "filename"))
+    bad = F.col("id").cast("long") % 10 == 0
+    chunks = again.where(~bad).select(F.concat("id", F.lit(":0")).alias("chunk_id"), F.col("id").alias("document_id"), "filename", F.lit(0).alias("chunk_index"), F.col("filename").alias("text"))
+    store.append(chunks, again.where(~bad), again.where(bad).select(F.col("id").alias("document_id"), "filename", F.lit("no text").alias("reason")))
+    store.compact()
+    held = store.chunks().groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("chunks"))
+    known = store.registry().select("id", "filename", F.lit(False).alias("rejected")).union(store.rejects().select("document_id", "filename", F.lit(True)))
+    return known.join(held, "id", "left").select("id", "filename", "rejected", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
+@register(
+    f"""WITH {I.LINES}, {_DOUBLED}, r AS (SELECT document_id, chunk_index, text, row_number() OVER (PARTITION BY {I.ws("text")} ORDER BY document_id, chunk_index) AS n FROM doubled)
+  SELECT document_id, chunk_index, text FROM r WHERE n = 1"""
+)
+def c2_stored_compaction(spark, sf_dir):
+    """Repeats of the whole corpus taken out of it on disk."""
+    rows = _doubled(spark, sf_dir).withColumn("chunk_id", F.concat_ws(":", "document_id", "chunk_index"))
+    store = _stored(spark, sf_dir, rows)
+    store.compact(runs=0, clean=lambda chunks: dedup.compact_corpus(chunks)[0])
+    return store.chunks().select("document_id", "chunk_index", "text")
+
+
+@register(
+    f"""WITH {I.SCORES}, r AS (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, chunk_index) AS INTEGER) AS rank
+  FROM scores WHERE document_id = '1' OR (q % 60 = 0 AND document_id = '4')) SELECT query_id, rank, chunk_id, score FROM r WHERE rank <= 10"""
+)
+def d5_stored_scope(spark, sf_dir):
+    """Search in a corpus on disk of which only the buckets of the asked documents are read."""
+    asked = I.vector_queries(spark, sf_dir)
+    asked = asked.withColumn("scope", F.coalesce("scope", F.array(F.lit("1"))))
+    store = ChunkStore(spark, shared_folder(spark, "corpus"))
+    rows = I.vectors(spark, sf_dir)
+    store.append(rows, rows.select(F.col("document_id").alias("id")).distinct())
+    return search.knn(asked, store.chunks(scopes=asked), 10, not_self=True).select("query_id", "rank", "chunk_id", "score")

@@ -124,7 +124,7 @@ def j13_sweep_mmr(spark, sf_dir):
     q = I.questions(spark, sf_dir)
     own = F.when(F.col("query_id").cast("long") % 5 == 0, 5)
     cases = q.select(F.col("query_id").alias("id"), "query", F.slice(F.split("passage", " "), 1, 4).alias("relevant_keywords"), F.lit(False).alias("should_refuse"), own.alias("top_k"))
-    pool = retrieve.pool(q.select("query_id", "query"), I.embedded_lines(spark, sf_dir), Params(min_score=0.3))
+    pool = retrieve.pool(q.select("query_id", "query"), I.stored_lines(spark, sf_dir), Params(min_score=0.3))
     report = evaluation.sweep_mmr(cases, pool)
     return report.select("lambda", "cap", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "redundancy", "hits")))
 
@@ -146,7 +146,7 @@ def _side(name: str, variants: str) -> str:
 )
 def j14_compare_rewrite(spark, sf_dir):
     q = I.questions(spark, sf_dir).select("query_id", "query", F.split(F.lower("passage"), " ")[1].alias("keyword"))
-    rows = evaluation.compare_rewrite(q, I.embedded_lines(spark, sf_dir), Params(min_score=0.3))
+    rows = evaluation.compare_rewrite(q, I.stored_lines(spark, sf_dir), Params(min_score=0.3))
     return rows.withColumns({c: F.round(c, 6) for c in ("redundancy_off", "redundancy_on")})
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import search
 from ..operators.chunking import with_chunk_id
+from ..operators.numbering import numbered
 from ..params import SPACES
+from ..sources.tables import checkpointed
 
 
 
@@ -46,7 +48,8 @@ PAGES = "pages_in AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, 'doc' || do
 def source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of a source as its pages."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("source").alias("document_id"), F.concat("source", F.lit(".pdf")).alias("filename"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page"), "text")
+    places = numbered(d.select("source", "doc_id"), [F.col("doc_id").asc()], within=("source",), name="before").select("doc_id", (F.col("before") + 1).cast("int").alias("page"))
+    return d.join(places, "doc_id").select(F.col("source").alias("document_id"), F.concat("source", F.lit(".pdf")).alias("filename"), "page", "text")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,6 +166,11 @@ def embedded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.embed(lines(spark, sf_dir))
 
 
+def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, encoded once for searches that read the chunks more than once."""
+    return checkpointed(embedded_lines(spark, sf_dir))
+
+
 #: vec(id, v): normalised hashed words of texts(id, text)
 EMBED = """tok AS (SELECT id, unnest({words}) AS w FROM texts),
   cell AS (SELECT id, CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS INTEGER) AS b, 1 - 2 * (('0x' || substr(md5(w), 9, 1))::BIGINT % 2) AS s FROM tok),

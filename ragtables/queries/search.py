@@ -104,7 +104,7 @@ def d9_dense_rank_of_keyword(spark, sf_dir):
     q = I.questions(spark, sf_dir)
     probe = F.when(F.col("query_id").cast("long") % 5 == 0, "no such thing").otherwise(F.split(F.lower("passage"), " ")[1])
     asked = search.embed_queries(q.select("query_id", F.col("passage").alias("query"), probe.alias("keyword")))
-    return search.dense_rank_of_keyword(asked, I.embedded_lines(spark, sf_dir), 200)
+    return search.dense_rank_of_keyword(asked, I.stored_lines(spark, sf_dir), 200)
 
 
 @register(
@@ -282,7 +282,7 @@ _ONE = "control AS (SELECT query_id, 3 AS k, CAST(0.6 AS DOUBLE) AS w, CAST(0.85
 @register(f"WITH RECURSIVE {_RETRIEVAL}, {_ONE}, {selected('picked', 'pool', 'control')}, {FINAL} SELECT query_id, rank, chunk_id, document_id, chunk_index, round(score, 6) AS score FROM final")
 def f12_retrieve(spark, sf_dir):
     """The whole retrieval of the benchmark questions over all lines."""
-    found = retrieve.retrieve(I.questions(spark, sf_dir).select("query_id", "query"), I.embedded_lines(spark, sf_dir), Params(min_score=0.3))
+    found = retrieve.retrieve(I.questions(spark, sf_dir).select("query_id", "query"), I.stored_lines(spark, sf_dir), Params(min_score=0.3))
     return found.select("query_id", "rank", "chunk_id", "document_id", "chunk_index", F.round("score", 6).alias("score"))
 
 
@@ -290,5 +290,5 @@ def f12_retrieve(spark, sf_dir):
 def multi_query_pool(spark, sf_dir):
     """Fused candidate pools over rewritten queries (E7, D6, F2)."""
     asked = rewrite.rewrite_queries(I.questions(spark, sf_dir).select("query_id", "query")).select("query_id", "variant")
-    pool = retrieve.pool(I.questions(spark, sf_dir).select("query_id", "query"), I.embedded_lines(spark, sf_dir), Params(min_score=0.3, rerank=False))
+    pool = retrieve.pool(I.questions(spark, sf_dir).select("query_id", "query"), I.stored_lines(spark, sf_dir), Params(min_score=0.3, rerank=False))
     return rerank.rerank_over_variants(pool, asked).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import memory
+from ..sources.store import ChunkStore
 from ..sources.tables import shared_folder
 from ..streaming import ingest
 from ..streaming.memory import remember
@@ -28,7 +29,7 @@ def k1_streamed_ingest(spark, sf_dir):
     """The documents as a stream of pages, ingested, and the chunks that arrived."""
     out = shared_folder(spark, "ingested")
     ingest.start_ingest(I.as_pages(_stream(spark, sf_dir, "documents")), out, shared_folder(spark, "progress")).awaitTermination()
-    return ingest.read_ingested(spark, out, "chunks").select("chunk_id", "document_id", "filename", "chunk_index", "page", "text")
+    return ChunkStore(spark, out).chunks().select("chunk_id", "document_id", "filename", "chunk_index", "page", "text")
 
 
 @register(D.CONTEXTUALIZED)

@@ -5,17 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNKS = "chunk_id string, document_id string, filename string, chunk_index int, page int, text string, vector array<double>"
 BUCKETS = 64
 
 
+def bucket_of(document_id: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(document_id), F.lit(buckets)).cast("int")
+
+
 def write_chunks(chunks: DataFrame, path: str, *, mode: str = "append", buckets: int = BUCKETS) -> None:
     """Parquet by a bucket of document_id, so that a change of documents rewrites their buckets only."""
-    bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
-    chunks.withColumn("bucket", bucket).repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(path)
+    chunks.withColumn("bucket", bucket_of(F.col("document_id"), buckets)).repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

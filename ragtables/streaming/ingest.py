@@ -1,4 +1,4 @@
-"""Continuous ingest: new pages become chunks, catalogue rows and rejects."""
+"""Continuous ingest: new pages become chunks, catalogue rows and rejects of a stored corpus."""
 
 from __future__ import annotations
 
@@ -8,25 +8,29 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..params import Params
 from ..plans.ingest import ingest
+from ..sources.store import ChunkStore
 
+COMPACT_EVERY = 16
 
-def start_ingest(pages: DataFrame, path: str, checkpoint: str, params: Params = Params(), *, available_now: bool = True) -> StreamingQuery:
-    """Writes path/chunks, path/registry and path/rejects, each by batch: a batch that is run again replaces its own files."""
+
+def start_ingest(pages: DataFrame, path: str, checkpoint: str, params: Params = Params(), *, available_now: bool = True, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Merges every batch of pages into the store at path, by document: what comes later stands for what came before.
+
+    A batch is one more run of the buckets that it touches, and the table changes at the swap of its manifest, which also
+    names the batch: one that is run again after a failure is left out if it had come that far, and else written whole.
+    Every compact_every batches the buckets of several runs become one run each, so reads stay as they are however many
+    batches have passed. All pages of a document must come in one batch.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        held = batch.persist()
-        chunks, registry, rejects = ingest(held, params)
-        for name, table in (("chunks", chunks), ("registry", registry), ("rejects", rejects)):
-            table.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-        held.unpersist()
+        store = ChunkStore(batch.sparkSession, path)
+        if not store.has_batch(number):
+            held = batch.persist()
+            chunks, registry, rejects = ingest(held, params)
+            store.append(chunks, registry.withColumn("uploaded_at", F.current_timestamp()), rejects, batch=number)
+            held.unpersist()
+        if (number + 1) % compact_every == 0:
+            store.compact()
 
     writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def read_ingested(spark, path: str, name: str) -> DataFrame:
-    """A table of start_ingest; of documents that came twice, the later batch counts."""
-    rows = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}/batch=*")
-    key = "id" if name == "registry" else "document_id"
-    last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
-    return rows.join(last, [key, "batch"], "left_semi").drop("batch")

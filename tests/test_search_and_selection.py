@@ -1,11 +1,16 @@
 from __future__ import annotations
 
+import hashlib
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ragtables.operators import catalog, diversity, promote, rerank, search
+from ragtables.functions import spans
+from ragtables.operators import catalog, diversity, encode, promote, rerank, search
+from ragtables.operators import terms as terms_module
 from ragtables.params import Params
 from ragtables.plans import retrieve
 from ragtables.queries import inputs
@@ -149,6 +154,103 @@ def test_term_presence_equals_brute_force(spark, monkeypatch):
     terms = ["cat", "Cat", "", "at", "dog", "none", "straße", "c"]
     want = {t: sum(x is not None and t.lower() in x.lower() for x in texts) for t in terms}
     chunks, rows = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(t,) for t in terms], "term string")
-    for block in (search.TERM_BLOCK, 2):
-        monkeypatch.setattr(search, "TERM_BLOCK", block)
+    for block in (terms_module.TERM_BLOCK, 2):
+        monkeypatch.setattr(terms_module, "TERM_BLOCK", block)
         assert {r["term"]: r["chunks"] for r in search.term_presence(chunks, rows).collect()} == want
+
+
+def test_top_k_leaves_a_task_once(spark):
+    """However many Arrow batches there are, a task sends its best k rows per query, without the texts and vectors."""
+    r = random.Random(9)
+    rows = [(f"c{i}", f"d{i % 50}", i, [round(r.gauss(0, 1), 1) for _ in range(3)], f"text {i}") for i in range(4000)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, chunk_index int, vector array<double>, text string").repartition(2)
+    asked = spark.createDataFrame([(str(i), [r.gauss(0, 1) for _ in range(3)]) for i in range(7)], "query_id string, vector array<double>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        sent = search.beside_queries(asked.withColumn("k", F.lit(5)), chunks.select("chunk_id", "document_id", "chunk_index", "vector"), lambda t, b: search._best(t, b, False), "query_id string, k int, chunk_id string, document_id string, chunk_index int, score double")
+        assert sent.count() == 2 * 7 * 5
+        got = {}
+        for x in search.knn(asked, chunks, 5, keep=("text", "vector")).collect():
+            got[x["query_id"], x["rank"]] = (x["chunk_id"], x["text"], x["vector"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for q in asked.collect():
+        best = sorted(rows, key=lambda c: (-round(float(np.dot(q["vector"], c[3])), 6), c[1], c[2]))[:5]
+        assert [got[q["query_id"], k + 1] for k in range(5)] == [(c[0], c[4], c[3]) for c in best]
+
+
+def test_repeated_chunk_names(spark):
+    """Rows that share all ids are hits of their own, and do not multiply where columns are fetched."""
+    chunks = spark.createDataFrame([("a", "d", 0, [1.0], "x"), ("a", "d", 0, [1.0], "x"), (None, None, None, [0.5], "y")], "chunk_id string, document_id string, chunk_index int, vector array<double>, text string")
+    got = search.knn(spark.createDataFrame([("q", [1.0])], "query_id string, vector array<double>"), chunks, 9, keep=("text",))
+    assert [(r["rank"], r["chunk_id"], r["text"]) for r in got.orderBy("rank").collect()] == [(1, "a", "x"), (2, "a", "x"), (3, None, "y")]
+    assert search.knn(spark.createDataFrame([], "query_id string, vector array<double>"), chunks, 9, keep=("text",)).count() == 0
+
+
+def test_encoders_see_the_text(spark):
+    """Untouched, with the prefix in front of queries, in portions of texts of like length, and one encoder a worker."""
+    texts = ["Hello, World! C++ is-not C#.", "", None, "x" * 90, "y" * 80, "ab"] * 10
+
+    def seeing(dim):
+        made = [0]
+
+        def encode(column):
+            assert isinstance(column, pa.Array) and len(column) <= 4
+            made[0] += 1
+            size = [len(t) for t in column.to_pylist()]
+            return np.array([[t.count("+"), t.count(">"), len(t), max(size) - min(size)] for t in column.to_pylist()], float) / np.array([[1, 1, 1, 1000]])
+
+        return encode
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1)
+    got = {r["i"]: r["vector"] for r in encode.embed(df, encoder=seeing, dim=4, rows=4).collect()}
+    for i, t in enumerate(texts):
+        raw = np.array(got[i])
+        n = len(t or "")
+        assert n == 0 or abs(raw[0] / raw[2] - (t.count("+") / n)) < 1e-9
+    asked = encode.embed_queries(df.where("i = 0"), "text", lambda dim: (lambda c: np.array([[t.startswith("> Hello, World! C++"), 0.0] for t in c.to_pylist()], float)), prefix="> ", dim=2)
+    assert asked.first()["vector"] == [1.0, 0.0]
+
+
+def test_hash_encoder_equals_plain_words():
+    r = random.Random(5)
+    texts = ["", None, "Ünïcödé — wörds…  and_under 12½ x²", "a\u0301b", "日本語 テスト", "—", "ÀÉ ß ÿ", "🙂 ok🙂ok", *("".join(r.choice("ab é—\n_1,") for _ in range(r.randint(0, 40))) for _ in range(200))]
+    got = encode.hash_encoder(16)(pa.array(texts))
+    import regex
+
+    for t, v in zip(texts, got):
+        want = np.zeros(16)
+        for w in regex.findall(r"[\p{L}\p{N}_]+", (t or "").lower()):
+            d = hashlib.md5(w.encode()).hexdigest()
+            want[int(d[:8], 16) % 16] += 1 - 2 * (int(d[8], 16) % 2)
+        assert (v == want).all(), t
+
+
+def test_term_index_equals_brute_force(monkeypatch):
+    r = random.Random(7)
+    texts = ["".join(r.choice("abé") for _ in range(r.randint(0, 60))) for _ in range(60)] + ["", "prefix-shared-one", "xprefix-shared-two"]
+    listed = sorted({t[i : i + n] for t in texts for n in (1, 2, 7, 8, 9, 15, 16, 17, 40) for i in (0, 3, 11) if len(t[i : i + n]) == n} | {"zz", "prefix-shared-one!", "prefix-shared-"})
+    index = terms_module.TermIndex(listed)
+    for pairs in (1, 1 << 21):
+        monkeypatch.setattr(terms_module, "PAIRS", pairs)
+        term, row = index.find(*spans.bytes_of(pa.array(texts)))
+        assert set(zip(term.tolist(), row.tolist())) == {(i, j) for i, t in enumerate(listed) for j, x in enumerate(texts) if t in x}
+    monkeypatch.setattr(terms_module, "SLICE", 50)
+    assert [x for _, c in terms_module.text_slices(pa.array(texts)) for x in c.to_pylist()] == texts
+
+
+def test_rank_of_keyword_equals_brute_force(spark, monkeypatch):
+    r = random.Random(11)
+    words = ["red", "Green", "blue", "grey", ""]
+    rows = [(f"c{i}", f"d{r.randint(0, 5)}", i, [float(r.randint(-2, 2)) for _ in range(3)], r.choice([None, " ".join(r.choice(words) for _ in range(2))])) for i in range(150)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, chunk_index int, vector array<double>, text string").repartition(3)
+    asked = [(f"q{i}", [r.gauss(0, 1) for _ in range(3)], r.choice(["RED", "green", "lilac", "e", "", None])) for i in range(25)]
+    queries = spark.createDataFrame(asked, "query_id string, vector array<double>, keyword string")
+    for depth, block in ((1000, 8192), (3, 8192), (3, 4)):
+        monkeypatch.setattr(search, "QUERY_BLOCK", block)
+        got = {x["query_id"]: x["first_rank"] for x in search.dense_rank_of_keyword(queries, chunks, depth).collect()}
+        for q, v, w in asked:
+            best = sorted(rows, key=lambda c: (-round(float(np.dot(v, c[3])), 6), c[1], c[2]))
+            at = [i + 1 for i, c in enumerate(best) if w is not None and c[4] is not None and w.lower() in c[4].lower()]
+            assert got[q] == (None if not at else at[0] if at[0] <= depth else -1)

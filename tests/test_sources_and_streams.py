@@ -5,11 +5,12 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from ragtables.operators import memory
 from ragtables.params import Params
 from ragtables.plans.ingest import chunk_table
 from ragtables.queries import inputs
+from ragtables.operators import memory, search
 from ragtables.sources import files, tables
+from ragtables.sources.store import ChunkStore
 from ragtables.streaming import ingest as stream_ingest
 from ragtables.streaming.memory import remember
 
@@ -54,9 +55,84 @@ def test_streamed_ingest_equals_batch(spark, sf_dir):
     pages.repartition(3).write.mode("overwrite").parquet(source)
     stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(source)
     stream_ingest.start_ingest(stream, out, folder(), Params()).awaitTermination()
-    got = {(r["chunk_id"], r["text"]) for r in stream_ingest.read_ingested(spark, out, "chunks").select("chunk_id", "text").collect()}
+    got = {(r["chunk_id"], r["text"]) for r in ChunkStore(spark, out).chunks().select("chunk_id", "text").collect()}
     want = {(r["chunk_id"], r["text"]) for r in chunk_table(pages).select("chunk_id", "text").collect()}
     assert got == want
+    assert ChunkStore(spark, out).registry().count() == pages.select("document_id").distinct().count() - ChunkStore(spark, out).rejects().count()
+
+
+def test_documents_that_come_again(spark):
+    """The later batch stands, also where it rejects the document; compaction and a batch that is run again change nothing."""
+    source, out, marks = folder(), folder(), folder()
+    schema = "document_id string, filename string, page int, text string"
+
+    def send(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        stream_ingest.start_ingest(stream, out, marks, Params(), compact_every=4).awaitTermination()
+
+    def held():
+        return {(r["document_id"], r["text"]) for r in ChunkStore(spark, out).chunks().collect()}
+
+    send(("a", "a.txt", None, "First."), ("b", "b.txt", None, "Second."))
+    send(("a", "a.txt", None, "Other."), ("c", "c.txt", None, "Third."))
+    assert held() == {("a", "Other."), ("b", "Second."), ("c", "Third.")}
+    send(("b", "b.txt", None, " "))
+    store = ChunkStore(spark, out)
+    assert held() == {("a", "Other."), ("c", "Third.")} and {r["document_id"] for r in store.rejects().collect()} == {"b"}
+    assert sorted(r["id"] for r in store.registry().collect()) == ["a", "c"]
+    assert not store.append(store.chunks().limit(0), store.registry().limit(0), batch=2)
+    send(("d", "d.txt", None, "Fourth."))  # the fourth batch compacts
+    assert max(len({e["seq"] for e in store.entries() if e["bucket"] == b}) for b in range(64)) == 1
+    assert held() == {("a", "Other."), ("c", "Third."), ("d", "Fourth.")}
+
+
+def test_store_changes_touched_buckets_only(spark, monkeypatch):
+    rows = [(f"d{i}:0", f"d{i}", f"f{i % 40}.txt", 0, None, f"text {i}", [float(i), 1.0]) for i in range(200)]
+    chunks = spark.createDataFrame(rows, tables.CHUNKS)
+    registry = chunks.select(F.col("document_id").alias("id"), "filename")
+    store = ChunkStore(spark, folder() + "/corpus")
+    assert store.chunks().count() == 0
+    store.append(chunks, registry)
+
+    def files_of():
+        got = {}
+        for f in store.chunks().inputFiles():
+            got.setdefault(f.split("/bucket=")[1].split("/")[0], set()).add(f)
+        return got
+
+    before, ids = files_of(), spark.createDataFrame([("d7",), ("nobody",), (None,)], "document_id string")
+    touched = {str(b) for b in store.buckets_of(ids)}
+    with monkeypatch.context() as m:
+        m.setattr(ChunkStore, "_swap", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        try:
+            store.delete(ids)
+        except RuntimeError:
+            pass
+    assert files_of() == before and store.chunks().count() == 200  # staged, never swapped
+    store.delete(ids)
+    after = files_of()
+    assert {b for b in before if before[b] != after.get(b)} <= touched and store.chunks().count() == 199 and store.registry().count() == 199
+    new = spark.createDataFrame([("n:0", "n", "f3.txt", 0, None, "new", None)], tables.CHUNKS)
+    store.replace(new, new.select(F.col("document_id").alias("id"), "filename"))
+    assert {r["document_id"] for r in store.chunks().collect()} == {f"d{i}" for i in range(200) if i != 7 and i % 40 != 3} | {"n"}
+    assert store.registry().where("filename = 'f3.txt'").count() == 1
+
+
+def test_scoped_reads_take_few_buckets(spark):
+    rows = [(f"d{i}:0", f"d{i}", "f", 0, None, "t", [float(i % 7), 1.0]) for i in range(300)]
+    store = ChunkStore(spark, folder() + "/corpus")
+    chunks = spark.createDataFrame(rows, tables.CHUNKS)
+    store.append(chunks, chunks.select(F.col("document_id").alias("id")))
+    asked = spark.createDataFrame([("x", [1.0, 0.0], ["d5"]), ("y", [1.0, 0.0], ["d5", "d6", "d9"])], "query_id string, vector array<double>, scope array<string>")
+    one = store.chunks(scopes=asked.where("query_id = 'x'"))
+    assert len({f.split("/bucket=")[1].split("/")[0] for f in one.inputFiles()}) == 1
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    pruned, whole = (sorted(map(tuple, search.knn(asked, c, 3).collect())) for c in (store.chunks(scopes=asked), chunks))
+    assert pruned == whole and len(pruned) == 4
+    free = asked.union(spark.createDataFrame([("z", [0.0, 1.0], None)], asked.schema))
+    assert sorted(map(tuple, search.knn(free, store.chunks(scopes=free), 3).collect())) == sorted(map(tuple, search.knn(free, chunks, 3).collect()))
 
 
 def test_streamed_memory_equals_batch(spark, sf_dir):
