@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -65,6 +67,34 @@ def mmr_select(hits: DataFrame, k: int | None = None, lambda_: float = 0.6, dedu
     return _chosen(hits, pools.select("query_id", pick("pool", "k", "weight", "cap").alias("picks")))
 
 
+def mmr_sweep(hits: DataFrame, combos: Sequence[tuple[float, float]], k_col: str = "k") -> DataFrame:
+    """The hits that mmr_select takes under each (lambda, cap), with columns `lambda` and `cap` and the rank among them.
+
+    A pool is gathered once and its similarities are computed once for all combinations.
+    """
+    pools = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "vector"))).alias("pool"), F.max(k_col).alias("k"))
+
+    @F.pandas_udf("array<array<int>>")
+    def pick(pool: pd.Series, k: pd.Series) -> pd.Series:
+        out = []
+        for rows, n in zip(pool, k, strict=True):
+            rows, n = list(rows), int(n)
+            if len(rows) <= 1 or any(r["vector"] is None for r in rows):
+                chosen = [range(min(n, len(rows)))] * len(combos)
+            else:
+                v = np.stack([np.asarray(r["vector"], float) for r in rows])
+                score, similar = np.array([r["score"] for r in rows]), np.round(v @ v.T, 9)
+                chosen = [_greedy(score, similar, w, n, c) for w, c in combos]
+            out.append([[rows[i]["rank"] for i in places] for places in chosen])
+        return pd.Series(out)
+
+    tried = F.array(*(F.struct(F.lit(float(w)).alias("lambda"), F.lit(float(c)).alias("cap")) for w, c in combos))
+    each = pools.select("query_id", F.explode(F.arrays_zip(tried.alias("c"), pick("pool", "k").alias("picks"))).alias("x"))
+    order = each.select(F.col("query_id").alias("__q"), F.col("x.c.lambda").alias("lambda"), F.col("x.c.cap").alias("cap"), F.posexplode("x.picks").alias("__p", "__r"))
+    kept = hits.drop("lambda", "cap").join(order, (F.col("query_id") == F.col("__q")) & (F.col("rank") == F.col("__r")))
+    return kept.withColumn("rank", (F.col("__p") + 1).cast("int")).drop("__q", "__p", "__r")
+
+
 def dedupe_by_text(hits: DataFrame, jaccard: float = 0.85) -> DataFrame:
     """hits in rank order without those whose words equal, or overlap by jaccard with, those of one kept before."""
     pools = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", words(F.col("text")).alias("w")))).alias("pool"))

@@ -56,11 +56,27 @@ def history_block(history: Column) -> Column:
     return F.array_join(F.transform(last, lambda t: F.concat(F.when(t["role"] == "user", "User").otherwise("Assistant"), F.lit(": "), t["text"])), "\n")
 
 
+SALTS = 16
+
+
+def last_messages(turns: DataFrame, n: int) -> DataFrame:
+    """The last n turns of each thread.
+
+    First the last n of each thread and salt, then of these: the limit applies before rows are shuffled, and a thread of
+    any length is many groups.
+    """
+    late = [F.desc("turn"), F.desc("role"), F.desc("text")]
+    salted = turns.withColumn("__salt", F.pmod(F.xxhash64("turn"), F.lit(SALTS)))
+    some = salted.withColumn("__back", F.row_number().over(Window.partitionBy("conv_id", "__salt").orderBy(*late))).where(F.col("__back") <= n)
+    return some.withColumn("__back", F.row_number().over(Window.partitionBy("conv_id").orderBy(*late))).where(F.col("__back") <= n).drop("__salt", "__back")
+
+
 def conversation_state(turns: DataFrame, n: int = 10) -> DataFrame:
-    """(conv_id, turns, created, updated): the last n messages of each thread, first and last turn number."""
-    late = turns.withColumn("__back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))))
-    kept = F.array_sort(F.collect_list(F.when(F.col("__back") <= n, F.struct("turn", "role", "text")) if n > 0 else F.struct("turn", "role", "text")))
-    return late.groupBy("conv_id").agg(kept.alias("turns"), F.min("turn").alias("created"), F.max("turn").alias("updated"))
+    """(conv_id, turns, created, updated): the last n messages of each thread (n <= 0: all), first and last turn number."""
+    kept = last_messages(turns, n) if n > 0 else turns
+    ends = turns.groupBy("conv_id").agg(F.min("turn").alias("created"), F.max("turn").alias("updated"))
+    held = kept.groupBy(F.col("conv_id").alias("__of")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return ends.join(held, F.col("conv_id").eqNullSafe(F.col("__of"))).select("conv_id", "turns", "created", "updated")
 
 
 def get_conversations(turns: DataFrame, ids: DataFrame) -> DataFrame:

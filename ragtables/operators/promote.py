@@ -19,10 +19,11 @@ def family_text(text: Column) -> Column:
     return has("memory optimized") & has("designed") & (has("workload") | has("data sets in memory"))
 
 
-def promote_hits(hits: DataFrame, pool: DataFrame, queries: DataFrame, k: int | None = None, *, k_col: str | None = None) -> DataFrame:
+def promote_hits(hits: DataFrame, pool: DataFrame, queries: DataFrame, k: int | None = None, *, k_col: str | None = None, pool_col: str = "query_id") -> DataFrame:
     """hits cut to the best k; if none of these matches the query's identifiers or family, the best match of pool leads.
 
-    queries: query_id, query (and k_col). hits and pool have the same columns.
+    queries: query_id, query (and k_col). hits and pool have the same columns. pool_col: the column of queries that
+    names their pool, where several share one.
     """
     asked = queries.select("query_id", extract_identifiers(F.col("query")).alias("__ids"), family_query(F.col("query")).alias("__family"), (F.col(k_col) if k_col else F.lit(k)).alias("__k"))
     match = F.exists("__ids", lambda i: F.contains(F.lower("text"), i)) | (F.col("__family") & family_text(F.col("text")))
@@ -30,10 +31,13 @@ def promote_hits(hits: DataFrame, pool: DataFrame, queries: DataFrame, k: int |
     top = flagged(hits).where("rank <= __k")
     settled = top.where("__m").select("query_id").distinct()
     row = F.struct(*hits.columns)
-    first = flagged(pool).where("__m").groupBy("query_id").agg(F.min_by(row, "rank").alias("__r")).join(settled, "query_id", "left_anti")
+    of_pool = queries.select(F.col(pool_col).alias("__pool"), "query").distinct()
+    kinds = of_pool.select("__pool", extract_identifiers(F.col("query")).alias("__ids"), family_query(F.col("query")).alias("__family"))
+    best = pool.join(kinds, F.col("query_id") == F.col("__pool")).where(match).groupBy("__pool").agg(F.min_by(row, "rank").alias("__r"))
+    first = queries.select("query_id", F.col(pool_col).alias("__pool")).join(best, "__pool").join(settled, "query_id", "left_anti").select("query_id", "__r")
     rest = top.join(first.select("query_id", F.col("__r.chunk_id").alias("__lead")), "query_id", "left").where("__lead is null or chunk_id <> __lead")
     moved = rest.withColumn("rank", F.col("rank") + F.col("__lead").isNotNull().cast("int")).where("rank <= __k").select(*hits.columns)
-    led = first.select("__r.*").withColumn("rank", F.lit(1)).select(*hits.columns)
+    led = first.select(F.col("query_id").alias("__q"), "__r.*").withColumns({"rank": F.lit(1), "query_id": F.col("__q")}).select(*hits.columns)
     return moved.unionByName(led)
 
 

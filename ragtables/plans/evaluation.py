@@ -47,17 +47,19 @@ def run_cases(
 def sweep_mmr(cases: DataFrame, candidates: DataFrame, combos: Sequence[tuple[float, float]] = COMBOS, params: Params = Params()) -> DataFrame:
     """Per (lambda, cap): mean precision, recall, redundancy and hits over answerable cases. candidates: pools by query_id = case id.
 
-    The pools are made once; each is repeated for the few combinations and selected from under each. A case may bring its own top_k.
+    Every pool is held once, with one matrix of similarities for all combinations; only what they select is repeated. A
+    case may bring its own top_k.
     """
     own = F.coalesce("top_k", F.lit(params.top_k)) if "top_k" in cases.columns else F.lit(params.top_k)
-    cases = cases.where("not should_refuse").withColumn("k", own)
-    each = F.explode(F.array(*(F.struct(F.lit(w).alias("lambda"), F.lit(c).alias("cap")) for w, c in combos)))
-    key = F.concat_ws("\x1f", "query_id", F.col("c.lambda").cast("string"), F.col("c.cap").cast("string"))
-    asked = cases.select(F.col("id").alias("query_id"), "query", "relevant_keywords", "should_refuse", "k").withColumn("c", each).withColumn("query_id", key)
-    pools = candidates.join(cases.select(F.col("id").alias("query_id"), "k"), "query_id").withColumn("c", each).withColumn("query_id", key).select("*", "c.*").drop("c")
-    pools = checkpointed(pools)
-    hits = checkpointed(diversity.mmr_select(pools, k_col="k", lambda_col="lambda", cap_col="cap").drop("lambda", "cap", "k"))
-    hits = promote.promote_hits(diversity.dedupe_by_text(hits, params.dedupe_jaccard), pools.select(*hits.columns), asked, k_col="k")
+    cases = cases.where("not should_refuse").select(F.col("id").alias("base"), "query", "relevant_keywords", "should_refuse", own.alias("k"))
+    key = F.concat_ws("\x1f", "base", F.col("c.lambda").cast("string"), F.col("c.cap").cast("string"))
+    each = F.explode(F.array(*(F.struct(F.lit(float(w)).alias("lambda"), F.lit(float(c)).alias("cap")) for w, c in combos)))
+    asked = cases.withColumn("c", each).withColumn("query_id", key)
+    pools = checkpointed(candidates)
+    picked = diversity.mmr_sweep(pools.join(cases.select(F.col("base").alias("query_id"), "k"), "query_id"), combos).drop("k")
+    picked = picked.withColumns({"base": F.col("query_id"), "c": F.struct("lambda", "cap")}).withColumn("query_id", key)
+    hits = checkpointed(picked.select(*pools.columns))
+    hits = promote.promote_hits(diversity.dedupe_by_text(hits, params.dedupe_jaccard), pools, asked, k_col="k", pool_col="base")
     got = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text", "vector"))).alias("h"))
     rows = asked.join(got, "query_id", "left")
     texts = F.coalesce(F.transform("h", lambda x: x["text"]), F.array().cast("array<string>"))

@@ -8,7 +8,6 @@ from ..functions import citations as C
 from ..operators import context, promote, validate
 from ..params import DISCLAIMER, INTRO, REFUSAL, SYSTEM, VALIDATION_STOPWORDS
 from ..plans import answer
-from ..streaming.validation import check_stream
 from . import inputs as I
 
 QUERIES, ORACLES, register = I.registry()
@@ -202,10 +201,3 @@ def batch_answers(spark, sf_dir):
     queries = hits.groupBy("query_id").agg(F.min_by("text", "rank").alias("query"))
     none = queries.select("query_id", F.lit("openai").alias("provider"), F.lit(None).cast("string").alias("answer"))
     return answer.answer(queries, hits, none)
-
-
-@register(f"{_CHECK} SELECT query_id, answer || CASE WHEN passed THEN '' ELSE chr(10) || chr(10) || {_DISC} END AS answer, passed AS grounded FROM checked JOIN cnt USING (query_id)")
-def k3_checked_answers(spark, sf_dir):
-    """The stateless stream form, applied to a table."""
-    rows = validate.with_texts(I.answers(spark, sf_dir), I.hits(spark, sf_dir)).where("texts is not null").withColumn("best", F.lit(1.0))
-    return check_stream(rows).select("query_id", "answer", "grounded")

@@ -205,3 +205,30 @@ def test_conversation_run(spark):
     assert a[1]["answer"].startswith("Zones are isolated") and a[1]["grounded"] and (a[2]["answer"], a[2]["provider"]) == (REFUSAL, "none")
     assert [(r["turn"], r["role"]) for r in after.where("conv_id = 1").orderBy("turn").collect()][-2:] == [(3, "user"), (4, "assistant")]
     assert [r["text"] for r in after.where("conv_id = 2").orderBy("turn").collect()] == [q[2]["query"], REFUSAL]
+
+
+def test_last_messages(spark):
+    """The last n of each thread, also of one that holds most rows, and of repeated turn numbers."""
+    import random
+
+    r = random.Random(5)
+    rows = [(r.choice([1, 1, 1, 2, 3]), r.randint(0, 400), r.choice(["user", "assistant"]), str(i)) for i in range(900)] + [(None, 1, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    for n in (1, 7, 0):
+        got = {x["conv_id"]: ([tuple(t) for t in x["turns"]], x["created"], x["updated"]) for x in memory.conversation_state(df, n).collect()}
+        for c in (1, 2, 3, None):
+            mine = sorted(t[1:] for t in rows if t[0] == c)
+            assert got[c] == (mine[-n:] if n else mine, mine[0][0], mine[-1][0])
+    assert "WindowGroupLimit" in memory.last_messages(df, 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sweep_equals_single_selections(spark):
+    from ragtables.operators import diversity
+    from ragtables.queries import inputs
+
+    pool = inputs.vectors(spark, "/root/testdata/sf0.001").where("chunk_index < 60").select(F.floor(F.col("chunk_index") / 12).cast("string").alias("query_id"), (F.col("chunk_index") % 12 + 1).cast("int").alias("rank"), "chunk_id", (1.0 / (F.col("chunk_index") % 12 + 1)).alias("score"), "vector")
+    pool = pool.withColumn("vector", F.when((F.col("query_id") != "2") | (F.col("rank") != 3), F.col("vector"))).withColumn("k", F.lit(5))
+    swept = diversity.mmr_sweep(pool, evaluation.COMBOS).collect()
+    for w, c in evaluation.COMBOS:
+        one = diversity.mmr_select(pool, lambda_=w, dedup_threshold=c, k_col="k").collect()
+        assert {(r["query_id"], r["rank"], r["chunk_id"]) for r in swept if (r["lambda"], r["cap"]) == (w, c)} == {(r["query_id"], r["rank"], r["chunk_id"]) for r in one}

@@ -137,12 +137,77 @@ def test_scoped_reads_take_few_buckets(spark):
 
 def test_streamed_memory_equals_batch(spark, sf_dir):
     source = folder()
-    turns = memory.dialogue(inputs.table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "text")
+    turns = inputs.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     for part in range(3):  # in order of turns
         turns.where(F.least(F.floor(F.col("turn") / 3), F.lit(2)) == part).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(source)
     query = remember(stream, 4).writeStream.format("memory").queryName("remembered").outputMode("append").option("checkpointLocation", folder()).trigger(availableNow=True).start()
     query.awaitTermination()
     got = {(r["conv_id"], r["turn"]): (r["standalone"], r["needs_context"], len(r["history"])) for r in spark.table("remembered").collect()}
-    want = memory.contextualize(memory.recent_turns(turns, 4), 4)
+    want = memory.contextualize(memory.recent_turns(memory.dialogue(turns), 4), 4)
     assert got == {(r["conv_id"], r["turn"]): (r["standalone"], r["needs_context"], len(r["history"])) for r in want.collect()}
+
+
+def heard(spark, rows, parts, n):
+    """rows (conv_id, turn, role, text) dealt to so many batches of a stream; what came out, and how many rows."""
+    source, marks, out = folder(), folder(), folder()
+    schema = "conv_id long, turn long, role string, text string"
+    for part in range(parts):
+        spark.createDataFrame(rows[part::parts], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        remember(stream, n).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema("conv_id long, turn long, standalone string, needs_context boolean, history array<struct<turn:bigint,role:string,text:string>>").parquet(out).collect()
+    return {(r["conv_id"], r["turn"]): (r["standalone"], r["needs_context"], [tuple(t) for t in r["history"]]) for r in got}, len(got)
+
+
+def test_turns_out_of_order(spark):
+    """Turns that come early wait over batches, repeated ones are passed over: the result is that of the batch."""
+    import random
+
+    r = random.Random(3)
+    rows = [(c, t, r.choice(["user", "assistant", "system", "user"]), r.choice(["tell me about the price of it", "zones", "", None])) for c in range(4) for t in range(12)]
+    mixed = rows[:]
+    r.shuffle(mixed)
+    got, n = heard(spark, mixed + mixed[:9], 3, 3)
+    turns = memory.dialogue(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = memory.contextualize(memory.recent_turns(turns, 3), 3).collect()
+    assert n == len(want) and got == {(x["conv_id"], x["turn"]): (x["standalone"], x["needs_context"], [tuple(t) for t in x["history"]]) for x in want}
+
+
+def test_long_thread_in_one_batch(spark):
+    """A thread of many messages goes through the state by portions, and backwards through the waiting ones."""
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"message {t}") for t in range(30_000)]
+    got, n = heard(spark, rows, 1, 2)
+    assert n == 15_000 and got[1, 29_998][2] == [(29_996, "user", "message 29996"), (29_997, "assistant", "message 29997")]
+
+
+def test_streamed_checks_equal_batch(spark):
+    """Hits in other batches than their answers, hits that come too late, and answers without any."""
+    from ragtables.operators import validate
+    from ragtables.params import REFUSAL
+    from ragtables.streaming.validation import check_answers
+
+    said, found, out, marks = (folder() for _ in range(4))
+    text = "Instances have four virtual processors and memory."
+    answers = "query_id string, answer string, sent_at timestamp"
+    hits = "query_id string, texts array<string>, best double, found_at timestamp"
+    t = lambda s: f"2024-01-01 00:{s:02d}:00"
+
+    def send(a, h):
+        cast = lambda rows, schema, at: spark.createDataFrame(rows, schema.replace(f"{at} timestamp", f"{at} string")).withColumn(at, F.to_timestamp(at))
+        cast(a, answers, "sent_at").coalesce(1).write.mode("append").parquet(said)
+        cast(h, hits, "found_at").coalesce(1).write.mode("append").parquet(found)
+        streams = (spark.readStream.schema(s).parquet(p) for s, p in ((answers, said), (hits, found)))
+        check_answers(*streams, wait="5 minutes", delay="1 minute").writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+        return {r["query_id"]: (r["answer"], r["grounded"]) for r in spark.read.schema("query_id string, answer string, grounded boolean").parquet(out).collect() if r["query_id"][0] != "-"}
+
+    ok = "Instances have four processors [1]."
+    got = send([("a", ok, t(1)), ("b", ok, t(1)), ("late", ok, t(1)), ("bad", "x [9].", t(1))], [("b", [text], 1.0, t(1)), ("low", [text], 1.0, t(1))])
+    assert set(got) == {"b"}
+    got = send([("low", ok, t(2))], [("a", [text], 1.0, t(3)), ("bad", [text], 1.0, t(2))])
+    assert set(got) == {"a", "b", "bad", "low"}
+    send([("-x", "", t(40))], [("-x", [text], 1.0, t(40))])
+    got = send([("-y", "", t(41))], [("late", [text], 1.0, t(2)), ("-y", [text], 1.0, t(41))])
+    assert got["late"] == (REFUSAL, False) and len(got) == 5
+    checked = validate.apply_validation(validate.validated(spark.createDataFrame([(q, a, [text]) for q, a in (("a", ok), ("b", ok), ("low", ok), ("bad", "x [9]."))], "query_id string, answer string, texts array<string>")))
+    assert {r["query_id"]: (r["answer"], r["grounded"]) for r in checked.collect()} == {k: v for k, v in got.items() if k != "late"}
