@@ -9,7 +9,10 @@ takes it. The plan says which ranks of each length go where, and a join with it
 places every piece, however many there are.
 
 Defined results: a null text is an empty one (only the end token); a null id is
-carried through; repeated rows are packed once each; an empty table gives no rows.
+carried through; repeated rows are packed once each; pieces of equal length are
+interchangeable, so ties only decide which of them goes where; a text of any length
+is tokenised whole and cut; an empty table gives no rows; only id and text are read,
+so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections import Counter
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -187,19 +191,23 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, c
     return frame.mapInArrow(run, f"`{id_col}` {kind}, {_PIECES}" + ", ids array<int>" * with_ids)
 
 
+#: Share of the capacity from which a beginning is filled exactly, and whether short beginnings come first.
+FILLED = ((Fraction(1, 3), True), (Fraction(7, 8), False), (Fraction(2, 3), False), (Fraction(5, 6), True))
 Plan = list[tuple[tuple[int, ...], int]]  # lengths that share a sequence, and how many such sequences there are
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """Which lengths share a sequence: of several plans the one with the fewest sequences.
 
-    They differ in how many pieces may fill a gap exactly (up to three), how long a piece begins a sequence, and whether
-    long or short ones come first. The last of them fills nothing exactly and is plain best-fit decreasing.
+    All of them fill gaps exactly by one, two or three pieces where counts allow, and only the rest by best fit. They
+    differ in which sequences are filled so: those begun by a third of the capacity or more, or only by longer pieces,
+    whose gaps are small; what is spared of the short pieces keeps the others fillable. And in whether the gaps of short
+    or of long beginnings are filled first.
     """
     least = -(-sum(n * k for n, k in counts.items()) // capacity)
     best, fewest = [], None
-    for most, part, upward in ((3, 3, True), (3, 2, True), (3, 2, False), (3, capacity, True), (2, 2, False), (1, 2, False), (0, 2, False)):
-        made = _plan(counts, capacity, most, -(-capacity // part), upward)
+    for share, upward in FILLED:
+        made = _plan(counts, capacity, -(-capacity * share.numerator // share.denominator), upward)
         used = sum(times for _, times in made)
         if fewest is None or used < fewest:
             best, fewest = made, used
@@ -208,8 +216,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return best
 
 
-def _plan(counts: dict[int, int], capacity: int, most: int, begun: int, upward: bool) -> Plan:
-    """Exact fills by up to `most` pieces of sequences begun by lengths from `begun` on, then best fit."""
+def _plan(counts: dict[int, int], capacity: int, begun: int, upward: bool) -> Plan:
+    """Exact fills by up to three pieces of sequences begun by lengths from `begun` on, then best fit."""
     c = np.zeros(capacity + 1, np.int64)
     for n, k in counts.items():
         c[n] += k
@@ -243,7 +251,7 @@ def _plan(counts: dict[int, int], capacity: int, most: int, begun: int, upward:
                 break
 
     use(capacity)
-    for others in range(1, most + 1):  # fills by fewer pieces first: they spare the small ones
+    for others in (1, 2, 3):  # fills by fewer pieces first: they spare the small ones
         for big in range(begun, capacity) if upward else range(capacity - 1, begun - 1, -1):
             if c[big]:
                 fill(big, capacity - big, others)

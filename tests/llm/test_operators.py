@@ -126,6 +126,54 @@ def test_outliers(spark, odd, empty, sf_dir):
     assert kept[1] > 0.97 and kept.get(0, 0) < kept[1]
 
 
+def dense_estimate(x, starts):
+    """The least determinant over many starts of plain concentration steps on one group (whose pooled moments are its own)."""
+    best, scale = None, outliers.core_scale(outliers.core_edge())
+    h = math.ceil(outliers.CORE * len(x))
+    for core in starts:
+        fell = math.inf
+        while True:
+            m, c = x[core].mean(0), scale * np.cov(x[core].T, bias=True) + np.diag(np.square(outliers.FLOOR))
+            now = np.linalg.slogdet(c)[1]
+            if best is None or now < best[0]:
+                best = (now, m, c)
+            if now > fell - 1e-9:
+                break
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            core, fell = np.flatnonzero(d <= np.sort(d)[h - 1]), now
+    return best
+
+
+def test_least_determinant_equals_dense_search(spark):
+    """A quarter of the rows lie elsewhere, and the estimate is that of the rest."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(420, outliers.D)), r.normal(size=(140, outliers.D)) + 5.0])
+    rows = spark.createDataFrame([("g", [float(v) for v in row]) for row in x], "__g0 string, x array<double>").repartition(3)
+    got = outliers.estimates(rows, ["__g0"]).first()
+    w = np.zeros((outliers.D, outliers.D))
+    w[np.triu_indices(outliers.D)] = got["w"]
+    inside = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m) <= outliers.chi_square(outliers.REWEIGHT)
+    starts = [np.arange(420)] + [r.choice(len(x), len(x) // 4, replace=False) for _ in range(40)]
+    least = dense_estimate(x, starts)
+    near = inside(least[1], least[2])
+    assert near[:420].mean() > 0.97 and not near[420:].any()
+    mine = np.linalg.inv(w.T @ w)
+    cut = outliers.chi_square(outliers.TAIL)
+    d = ((x - np.array(got["m"])) @ w.T) ** 2
+    assert (d.sum(1)[420:] > cut).all() and (d.sum(1)[:420] <= cut).mean() > 0.99
+    want = np.cov(x[near].T, bias=True) * outliers.core_scale(outliers.chi_square(outliers.REWEIGHT)) + np.diag(np.square(outliers.FLOOR))
+    assert abs(np.linalg.slogdet(mine)[1] - np.linalg.slogdet(want)[1]) < 0.25 and np.abs(np.array(got["m"]) - x[near].mean(0)).max() < 0.1
+
+
+def test_scale_of_the_core():
+    r = np.random.default_rng(1)
+    z = r.normal(size=(400_000, outliers.D))
+    d = (z * z).sum(1)
+    edge = outliers.core_edge()
+    assert abs((d <= edge).mean() - outliers.CORE) < 0.005
+    assert abs(1 / (z[d <= edge] ** 2).mean() - outliers.core_scale(edge)) < 0.01
+
+
 def test_outliers_of_one_dimension(spark):
     r = random.Random(6)
     new = lambda low=3, high=8: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(low, high)))
@@ -195,6 +243,8 @@ def test_packing_takes_no_more_sequences_than_best_fit(spark, sf_dir):
                 open_rooms.remove(min(fits))
             open_rooms.append((min(fits) if fits else 1024) - n)
         assert -(-sum(full.values()) // 1024) <= len(full) <= len(open_rooms)
+        shared = Counter(r["sequence_id"] for r in rows)
+        assert sum(full[i] == 1024 and n > 2 for i, n in shared.items()) >= 5  # filled exactly by pairs and triples behind a beginning
         own = {}
         for r in rows:
             own.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
