@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, corpus, dialogue, evaluation, search, streams, text
+from . import answers, corpus, dialogue, evaluation, runs, search, streams, text
 
-_MODULES = (text, corpus, search, answers, dialogue, evaluation, streams)
+_MODULES = (text, corpus, search, answers, dialogue, evaluation, runs, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
