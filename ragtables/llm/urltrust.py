@@ -21,6 +21,8 @@ equal verdicts; an empty table gives no rows; other input columns are ignored.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,7 @@ from .session import checkpointed, salted_join
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
-ROUNDS = 40  # at most
-GROWTH = 1e-3  # of all scores in four rounds, below which the walk ends
+GROWTH = 1e-3  # of all scores in four rounds, below which the walk ends; what is left falls by the damping every round
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)\shref\s*=\s*["']?(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>]+)"""
 
@@ -51,10 +52,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
-def _spread(edges: DataFrame, base: DataFrame, rounds: int, damping: float) -> DataFrame:
+def _spread(edges: DataFrame, base: DataFrame, rounds: int | None, damping: float) -> DataFrame:
     """(kind, host, score, plain): both walks, from the seeds and from all hosts; edges: kind, src, dst, share; base: kind, host, score, plain."""
     now, before = base, None
-    for step in range(rounds):
+    for step in count() if rounds is None else range(rounds):
         # a busy host's links are dealt to several tasks
         met = salted_join(edges, now.withColumnRenamed("host", "src"), ["kind", "src"], "dst")
         sent = met.select("kind", F.col("dst").alias("host"), *((F.lit(damping) * F.col(c) * F.col("share")).alias(c) for c in ("score", "plain")))
@@ -68,7 +69,7 @@ def _spread(edges: DataFrame, base: DataFrame, rounds: int, damping: float) -> D
     return now
 
 
-def host_scores(urls: DataFrame, links: DataFrame, *, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def host_scores(urls: DataFrame, links: DataFrame, *, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust, trusted, distrusted): scores, and shares of what could arrive or the host's own share of urls.
 
     urls: host, ruled (verdict or null); links: src, dst, both hosts.
@@ -95,7 +96,7 @@ def host_scores(urls: DataFrame, links: DataFrame, *, rounds: int = ROUNDS, damp
     return now.groupBy("host").agg(one("trust", "score").alias("trust"), one("distrust", "score").alias("distrust"), one("trust", "share").alias("trusted"), one("distrust", "share").alias("distrusted"))
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, rules=RULES, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust, trusted, distrusted) of every row."""
     host, path = host_and_path(F.col(url_col).cast("string"))
     urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
