@@ -31,7 +31,7 @@ from .session import beside_group, checkpointed
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 BLOCK = 16
-SHARD_WORDS, SHARD_DOCS = 1 << 22, 1 << 17
+SHARD_WORDS, SHARD_DOCS = 1 << 20, 1 << 12
 SEED = 7
 #: Primes below 2^31, beyond the number of blocks of any shard.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563)

@@ -122,7 +122,7 @@ _OP12 = r"""WITH sized AS (SELECT doc_id, coalesce('s' || source, 'n') AS key, s
     UNION ALL SELECT (total - capped) / open, capped FROM levels WHERE open > 0 AND (total - capped) / open >= r AND (total - capped) / open < next),
   level AS (SELECT coalesce((SELECT level FROM found ORDER BY capped LIMIT 1), 'infinity'::DOUBLE) AS level),
   targets AS (SELECT key, source_size, n_docs, least((2 * source_size)::DOUBLE, level * weight) AS target,
-    greatest(1, ceil(source_size / 4194304), ceil(n_docs / 131072))::BIGINT AS shards FROM weighed, level),
+    greatest(1, ceil(source_size / 1048576), ceil(n_docs / 4096))::BIGINT AS shards FROM weighed, level),
   dealt AS (SELECT sized.*, source_size, target, ('0x' || substr(h, 1, 8))::BIGINT % shards AS shard, ('0x' || substr(h, 9, 8))::BIGINT AS seat FROM sized JOIN targets USING (key)),
   held AS (SELECT key, shard, sum(size)::BIGINT AS words, CASE WHEN sum(size) > 0 THEN greatest(1, (sum(size) + 8) // 16) ELSE 0 END::BIGINT AS blocks FROM dealt GROUP BY ALL),
   owned AS (SELECT key, sum(blocks)::BIGINT AS owned FROM held GROUP BY key),
