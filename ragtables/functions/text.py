@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,17 +15,27 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE_CHARACTERS))
 
 
+def _where(c: Column, marks: tuple[str, ...], pattern: str, by: str) -> Column:
+    """c with the pattern replaced, if it has any of the marks without which the pattern fits nowhere.
+
+    Most texts have none, and looking for a mark is much cheaper than running the pattern. c is made once: it is the
+    variable of the function.
+    """
+    marked = lambda x: reduce(lambda a, b: a | b, (F.contains(x, F.lit(m)) for m in marks))
+    return F.transform(F.array(c), lambda x: F.when(marked(x), F.regexp_replace(x, pattern, by)).otherwise(x))[0]
+
+
 def clean_text(c: Column) -> Column:
     """Words broken by a hyphen joined, line ends unified, runs of blanks and empty lines collapsed.
 
     The hyphen rule looks at line feeds only and comes first, so a break by CR LF stays.
     """
     w = r"[\p{L}\p{N}_]"
-    c = F.regexp_replace(c, rf"({w})-\n({w})", "$1$2")
-    c = F.regexp_replace(c, r"\r\n?", "\n")
-    c = F.regexp_replace(c, r"[ \t]+\n", "\n")
-    c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    return strip(F.regexp_replace(c, r"[ \t]{2,}", " "))
+    c = _where(c, ("-\n",), rf"({w})-\n({w})", "$1$2")
+    c = _where(c, ("\r",), r"\r\n?", "\n")
+    c = _where(c, (" \n", "\t\n"), r"[ \t]+\n", "\n")
+    c = _where(c, ("\n\n\n",), r"\n{3,}", "\n\n")
+    return strip(_where(c, ("  ", "\t"), r"[ \t]{2,}", " "))
 
 
 def normalize_ws(c: Column) -> Column:
