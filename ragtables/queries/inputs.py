@@ -29,8 +29,16 @@ def registry() -> tuple[dict, dict, object]:
     return found, sql, register
 
 
+#: A table of so few files may have one row group in all, which one task reads and works on alone.
+FEW_FILES = 8
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Texts of few files are dealt to all cores once; tables of many files are read as they lie."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "documents" and len(df.inputFiles()) <= FEW_FILES:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
