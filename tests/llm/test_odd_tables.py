@@ -98,3 +98,37 @@ def test_crowded_cell(spark):
     for q in (0, 700):
         best = sorted((float(np.sqrt(((fine[q] - v) ** 2).sum())), i) for i, v in fine.items() if i != q)[:10]
         assert [x["vec_id"] for x in sorted(got, key=lambda x: x["rank"]) if x["query_id"] == q] == [i for _, i in best]
+
+
+def plain_strength(groups):
+    """groups: (values, centre) each; noise within over variance between, by moments."""
+    noise = sum(((x - x.mean()) ** 2).sum() for x, _ in groups) / max(sum(len(x) - 1 for x, _ in groups), 1)
+    n = np.array([len(x) for x, _ in groups], float)
+    between = sum(len(x) * (x.mean() - c) ** 2 for x, c in groups) - noise * (len(groups) - 1)
+    between /= max(n.sum() - (n * n).sum() / n.sum(), 1)
+    return min(max(noise / max(between, 1e-9), 1.0), 1e6)
+
+
+@pytest.mark.parametrize("kind", ["odd", "repeated"])
+def test_site_posteriors_equal_a_plain_loop(spark, tables, labels, kind):
+    """Posteriors of hosts and of their paths, and the score of each row, from the rows' own evidence."""
+    docs = tables[kind].drop("id").withColumn("key_", F.monotonically_increasing_id())
+    judged = {}
+    for r in sitequality._judged(docs, labels.withColumnRenamed("doc_id", "key_"), "key_", "text", "source", "lang").collect():
+        judged[r["__id"]] = r
+    rows = [(r["key_"], r["source"], r["lang"]) for r in docs.collect()]
+    p = {k: judged[k]["p"] for k, _, _ in rows}
+    prior = float(np.mean(list(p.values())))
+    hosts = {h: np.array([p[k] for k, s, _ in rows if s == h]) for _, h, _ in rows}
+    k1 = plain_strength([(x, prior) for x in hosts.values()])
+    host = {h: (x.sum() + k1 * prior) / (len(x) + k1) for h, x in hosts.items()}
+    paths = {(h, g): np.array([p[k] for k, s, t in rows if (s, t) == (h, g)]) for _, h, g in rows}
+    k2 = plain_strength([(x, host[h]) for (h, _), x in paths.items()])
+    logit = lambda v: np.log(v / (1 - v))
+    for k, h, g in rows:
+        x = paths[h, g]
+        mean = (x.sum() + k2 * host[h]) / (len(x) + k2)
+        want = 1 / (1 + np.exp(-(logit(p[k]) + logit(mean) - logit(prior))))
+        got = judged[k]
+        assert np.allclose([got["host_mean"], got["path_mean"], got["score"]], [host[h], mean, want], atol=1e-9)
+        assert got["predicted"] == int(want >= sitequality.THRESHOLD)
