@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: How a citation is written, and what stands before it.
 _GROUP = r"(?s)(.+?)(?:\[\s*(\d+(?:\s*,\s*\d+)*)\s*\]|\z)"
 MARKS = r"\[\s*\d+(?:\s*,\s*\d+)*\s*\]"
 
