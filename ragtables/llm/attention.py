@@ -9,6 +9,7 @@ SPAN = CONTEXT + FRESH
 GROUPS, MEMBERS = 32, 64  # a class is a member of a group: its probability is that of the group times its own in there
 SMALL, LARGE, SMALL_STEPS = 16, 64, 200  # windows a step, and how many steps are small
 RATE = 0.015
+SAFE = 60.0  # exp(-60) to 64 * exp(60) are single-precision numbers, with room for products
 _LATER = np.triu(np.full((SPAN, SPAN), -1e9, np.float32), 1)
 
 
@@ -34,107 +35,135 @@ def gather(flat: np.ndarray, begin: np.ndarray, lengths: np.ndarray, seq: np.nda
     return np.where(real, flat[np.where(real, begin[seq][:, None] + place, 0)], 0), real
 
 
-def forward(p: dict, ids: np.ndarray, real: np.ndarray):
-    x = p["E"][ids] + p["P"]
-    q, k, v = x @ p["Q"], x @ p["K"], x @ p["V"]
+def forward(p: dict, ids: np.ndarray, real: np.ndarray, since: int = 0):
+    """Inputs, queries (scaled, of the places from `since` on), keys and values, attention weights (each row times its sum),
+    these sums, and what is read by them."""
+    x = p["E"].take(ids, 0) + p["P"]
+    y = (x.reshape(-1, WIDTH) @ _projections(p)).reshape(*ids.shape, 3 * WIDTH)
+    q, k, v = y[:, since:, :WIDTH], y[:, :, WIDTH : 2 * WIDTH], y[:, :, 2 * WIDTH :]
     s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(WIDTH**-0.5)
-    s += _LATER
+    steep = _steep(s)
+    s += _LATER[since:]
     if not real[:, 0].all():  # the first window of a text has nothing in front
         s += np.where(real[:, None, :], np.float32(0), np.float32(-1e9))
-    s -= s.max(2, keepdims=True)
+        steep |= since < CONTEXT  # places in front of a text see nothing: shifted, they still have a sum
+    if steep:
+        s -= s.max(2, keepdims=True)
     np.exp(s, out=s)
-    s /= s.sum(2, keepdims=True)
-    h = x + s @ v
-    return x, q, k, v, s, h
+    total = (s.reshape(-1, SPAN) @ np.ones(SPAN, s.dtype)).reshape(*s.shape[:2], 1)
+    c = s @ v
+    c /= total
+    return x, q, k, v, s, total, c
 
 
-def score(p: dict, flat: np.ndarray, begin: np.ndarray, lengths: np.ndarray, targets: np.ndarray, block: int = 256) -> np.ndarray:
+def _steep(z: np.ndarray) -> bool:
+    """Whether exponentials could leave the range of single precision, so that each row has to be shifted by its maximum."""
+    return z.size > 0 and not -SAFE < z.min() <= z.max() < SAFE
+
+
+def _projections(p: dict) -> np.ndarray:
+    return np.hstack([p["Q"] * np.float32(WIDTH**-0.5), p["K"], p["V"]])
+
+
+def score(p: dict, flat: np.ndarray, begin: np.ndarray, lengths: np.ndarray, targets: np.ndarray, block: int = 64) -> np.ndarray:
     """Natural log-probability of each target given the inputs up to its place; all sequences one after the other."""
     out = np.zeros(len(flat), np.float64)
     seq, first = window_starts(lengths)
     for i in range(0, len(seq), block):
         w, f = seq[i : i + block], first[i : i + block]
         ids, real = gather(flat, begin, lengths, w, f)
-        h = forward(p, ids, real)[-1][:, CONTEXT:]
+        x, *_, c = forward(p, ids, real, CONTEXT)
+        h = x[:, CONTEXT:] + c
         fresh = real[:, CONTEXT:]
         at = ((begin[w] + f)[:, None] + np.arange(FRESH))[fresh]
         out[at] = log_probabilities(p, h[fresh], targets[at])
     return out
 
 
-def _chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-probability of one entry of each row of z, which then holds the exponentials."""
-    z -= z.max(1, keepdims=True)
+def _chosen(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of one entry of each row of z, which then holds the exponentials; and their sums."""
+    if _steep(z):
+        z -= z.max(1, keepdims=True)
     chosen = z[np.arange(len(z)), at]
     np.exp(z, out=z)
-    return chosen - np.log(z.sum(1))
+    total = z @ np.ones(z.shape[1], z.dtype)
+    return chosen - np.log(total), total
 
 
-def _by_group(targets: np.ndarray):
-    """Groups and the rows whose class is in each."""
-    group = targets // MEMBERS
+def _by_group(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Order of the rows by the group of their class; groups that occur and their rows in that order."""
+    group = (targets // MEMBERS).astype(np.int16)  # 16 bits are sorted by digits
     order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    for g in range(GROUPS):
-        if edges[g] < edges[g + 1]:
-            yield g, order[edges[g] : edges[g + 1]]
+    edges = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
+    return order, [(g, slice(edges[g], edges[g + 1])) for g in range(GROUPS) if edges[g] < edges[g + 1]]
+
+
+def _members(p: dict, h: np.ndarray, groups: list[tuple[int, slice]]) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in order of their groups: what speaks for each member of the group, and the rows with a one behind (for the bias)."""
+    h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], 1)
+    weights = np.concatenate([p["M"], p["C"][:, None]], 1)
+    z = np.empty((len(h), MEMBERS), np.result_type(h, weights))
+    for g, rows in groups:
+        np.matmul(h[rows], weights[g], out=z[rows])
+    return z, h
 
 
 def log_probabilities(p: dict, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    order, groups = _by_group(targets)
+    h, own = h.take(order, 0), targets[order]
     z = h @ p["O"]
     z += p["B"]
-    out = _chosen(z, targets // MEMBERS).astype(np.float64)
-    for g, rows in _by_group(targets):
-        z = h[rows] @ p["M"][g]
-        z += p["C"][g]
-        out[rows] += _chosen(z, targets[rows] % MEMBERS)
+    out = np.empty(len(h), np.float64)
+    out[order] = _chosen(z, own // MEMBERS)[0].astype(np.float64) + _chosen(_members(p, h, groups)[0], own % MEMBERS)[0]
     return out
 
 
 def gradients(p: dict, ids: np.ndarray, real: np.ndarray, targets: np.ndarray) -> tuple[dict, float]:
     """Gradients of the mean loss over all places."""
-    x, q, k, v, a, h = forward(p, ids, real)
+    x, q, k, v, a, total, c = forward(p, ids, real)
     n = np.float32(max(1, int(real.sum())))
-    hf, tf = h[real], targets[real]
+    rows = np.flatnonzero(real)
+    order, groups = _by_group(targets.ravel()[rows])
+    rows = rows[order]
+    hf, tf = (x + c).reshape(-1, WIDTH).take(rows, 0), targets.ravel()[rows]
+
+    def slope(z: np.ndarray, at: np.ndarray) -> float:
+        """Sum of the log-probabilities; z becomes the gradient of the mean loss."""
+        chosen, sums = _chosen(z, at)
+        z *= (1 / (n * sums))[:, None]
+        z[np.arange(len(z)), at] -= 1 / n
+        return float(chosen.sum())
+
     z = hf @ p["O"]
     z += p["B"]
-    loss = -float(_chosen(z, tf // MEMBERS).sum())
-
-    def slope(z: np.ndarray, at: np.ndarray) -> None:
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(len(z)), at] -= 1
-        z /= n
-
-    slope(z, tf // MEMBERS)
-    g = {"O": hf.T @ z, "B": z.sum(0), "M": np.zeros_like(p["M"]), "C": np.zeros_like(p["C"])}
+    loss = -slope(z, tf // MEMBERS)
+    g = {"O": hf.T @ z, "B": z.sum(0)}
     df = z @ p["O"].T
-    for i, rows in _by_group(tf):
-        own = hf[rows]
-        z = own @ p["M"][i]
-        z += p["C"][i]
-        loss -= float(_chosen(z, tf[rows] % MEMBERS).sum())
-        slope(z, tf[rows] % MEMBERS)
-        g["M"][i], g["C"][i] = own.T @ z, z.sum(0)
-        df[rows] += z @ p["M"][i].T
-    dh = np.zeros_like(h)
-    dh[real] = df
-    dv, da = a.transpose(0, 2, 1) @ dh, dh @ v.transpose(0, 2, 1)
-    da -= (da * a).sum(2, keepdims=True)
+    z, hf = _members(p, hf, groups)
+    loss -= slope(z, tf % MEMBERS)
+    both = np.zeros((GROUPS, WIDTH + 1, MEMBERS), z.dtype)
+    for i, own in groups:
+        np.matmul(hf[own].T, z[own], out=both[i])
+        df[own] += z[own] @ p["M"][i].T
+    g["M"], g["C"] = both[:, :WIDTH], both[:, WIDTH]
+    dh = np.zeros_like(x)
+    dh.reshape(-1, WIDTH)[rows] = df
+    part = dh / total  # as the rows of a are not divided by their sums
+    dv, da = a.transpose(0, 2, 1) @ part, part @ v.transpose(0, 2, 1)
+    da -= (part * c).sum(2, keepdims=True)  # the sum of da times the weights: c is what they read from v
     da *= a
-    da *= np.float32(WIDTH**-0.5)
-    dq, dk, dx = da @ k, da.transpose(0, 2, 1) @ q, dh
-    flat = x.reshape(-1, WIDTH)
-    for name, d in (("Q", dq), ("K", dk), ("V", dv)):
-        g[name] = flat.T @ d.reshape(-1, WIDTH)
-        dx = dx + d @ p[name].T
+    d = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, dv], 2).reshape(-1, 3 * WIDTH)
+    g["Q"], g["K"], g["V"] = np.hsplit(x.reshape(-1, WIDTH).T @ d, 3)
+    g["Q"] = g["Q"] * np.float32(WIDTH**-0.5)
+    dx = dh + (d @ _projections(p).T).reshape(x.shape)
     dx *= real[:, :, None]
     g["P"] = dx.sum(0)
-    order = np.argsort(ids.ravel(), kind="stable")
-    own = ids.ravel()[order]
+    flat = ids.ravel().astype(np.int16 if len(p["E"]) <= 1 << 15 else np.int64)
+    order = np.argsort(flat, kind="stable")
+    own = flat[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     g["E"] = np.zeros_like(p["E"])
-    g["E"][own[first]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], first, axis=0)
+    g["E"][own[first]] = np.add.reduceat(dx.reshape(-1, WIDTH).take(order, 0), first, axis=0)
     return g, loss / float(n)
 
 
@@ -142,8 +171,10 @@ class Training:
     """Adam over windows that come piece by piece; small steps first, so that little text is enough to begin with."""
 
     def __init__(self, p: dict[str, np.ndarray], seed: int = 5):
-        self.p = {k: v.copy() for k, v in p.items()}
-        self.m, self.s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+        self.flat = np.concatenate([v.ravel() for v in p.values()])  # all parameters, which p shows by name
+        ends = np.cumsum([v.size for v in p.values()])
+        self.p = {k: x.reshape(v.shape) for (k, v), x in zip(p.items(), np.split(self.flat, ends[:-1]), strict=True)}
+        self.m, self.s = np.zeros_like(self.flat), np.zeros_like(self.flat)
         self.random, self.step, self.seen = np.random.default_rng(seed), 0, 0
 
     def windows(self, flat: np.ndarray, targets: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> None:
@@ -164,8 +195,15 @@ class Training:
         g, _ = gradients(self.p, ids, real, targets)
         self.step += 1
         self.seen += len(ids)
-        rate = RATE / (1 + self.step / 400)
-        for k in self.p:
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.s[k] += 0.01 * (g[k] * g[k] - self.s[k])
-            self.p[k] -= (rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.s[k] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+        rate, small = RATE / (1 + self.step / 400), (1 - 0.99**self.step) ** 0.5
+        d = np.concatenate([g[k].ravel() for k in self.p])
+        square = d * d
+        for mean, new, keep in ((self.m, d, 0.9), (self.s, square, 0.99)):
+            mean *= keep
+            new *= 1 - keep
+            mean += new
+        np.sqrt(self.s, out=d)
+        d += 1e-8 * small
+        np.divide(self.m, d, out=d)
+        d *= rate * small / (1 - 0.9**self.step)
+        self.flat -= d

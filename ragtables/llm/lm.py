@@ -37,12 +37,12 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .packing import default_tokenizer, encoder
-from .textkit import Words, buffers, pack, ragged, slices, spread, sum_by, unpack
+from .textkit import Words, buffers, distinct, pack, ragged, slices, spread, sum_by, unpack
 
 INPUTS, CLASSES = 4096, attention.GROUPS * attention.MEMBERS  # ids with an embedding of their own; classes to predict
 SHARD = 32 << 20  # bytes of training text that one model sees before the models are averaged
 _LONGEST = 8
-_CONTEXTS = (16384, 4096, 256, 1)  # rows of the spelling tables
+_CONTEXTS = (16384, 4096, 256, 1)  # rows of the spelling tables: powers of two
 _BACK = 10.0  # weight of the shorter context
 _END = np.uint64(0xE0DE0DE0DE0DE0D1)
 _REGISTERS, _RANKS = 64, 59  # of the distinct-word sketch of each class, and how many leading zeros a 58-bit rest can have, plus one
@@ -67,7 +67,7 @@ class Vocabulary:
     def __init__(self, column: pa.Array, path: str):
         data, offsets = buffers(column)
         self.words = w = Words(data, offsets)
-        self.keys, first, self.code = np.unique(w.hashes(lower=True), return_index=True, return_inverse=True)
+        self.keys, first, self.code = distinct(w.hashes(lower=True))
         size = (w.ends - w.starts)[first]
         self.size, self.stop = size, np.cumsum(size)
         self.start = self.stop - size
@@ -109,7 +109,7 @@ class Vocabulary:
             return np.where(p >= self.start[word], self.bytes[np.maximum(p, 0)] if len(self.bytes) else 0, 0).astype(np.int64)
 
         one, two, three = before(1), before(2), before(3)
-        return [c * 256 + byte for c in ((three * 5077 + two * 67 + one * 3) % _CONTEXTS[0], (two * 67 + one * 3) % _CONTEXTS[1], one, np.zeros_like(one))], word
+        return [c * 256 + byte for c in ((three * 5077 + two * 67 + one * 3) & (_CONTEXTS[0] - 1), (two * 67 + one * 3) & (_CONTEXTS[1] - 1), one, np.zeros_like(one))], word
 
 
 @dataclass
@@ -143,7 +143,7 @@ class Model:
         cells, word = v.spelling()
         p = np.full(len(word), 1 / 256)
         for cell, counts_of, rows in zip(cells[::-1], self.spell[::-1], self.seen[::-1], strict=True):
-            p = (counts_of[cell] + _BACK * p) / (rows[cell // 256] + _BACK)
+            p = (counts_of[cell] + _BACK * p) / (rows[cell >> 8] + _BACK)
         spelled = self.within[v.ids] + sum_by(word, np.log(p), len(v.keys))
         total, new = np.maximum(self.totals[self.classes[v.ids]], 1), self.novel[self.classes[v.ids]]
         return np.logaddexp(np.log(np.maximum((1 - new) * counts / total, 1e-300)), np.log(new) + spelled)
@@ -279,7 +279,7 @@ def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col:
         home, keys, counts = table["home"][0].as_py(), [np.array([_END])], [np.array([pc.sum(table["__train"]).as_py() or 0])]
         for batch in slices(table.to_batches(), "__text", 4 << 20):
             w = Words(*buffers(batch.column("__text")))
-            k, code = np.unique(w.hashes(lower=True), return_inverse=True)
+            k, _, code = distinct(w.hashes(lower=True))
             keys.append(k)
             counts.append(np.bincount(code, np.repeat(batch.column("__train").to_numpy(zero_copy_only=False), w.counts), len(k)).astype(np.int64))
         keys, code = np.unique(np.concatenate(keys), return_inverse=True)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -191,6 +192,14 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order of appearance, where each appears first, and which one each entry is; by hashing, not by a sort."""
+    code, own = pd.factorize(keys)
+    first = np.empty(len(own), np.int64)
+    first[code[::-1]] = np.arange(len(keys))[::-1]  # the last one written stays: the first of its key
+    return own, first, code
+
+
 def pack(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 

@@ -257,3 +257,60 @@ def test_attention_scores_each_place_once():
     every = np.arange(classes)
     total = attention.log_probabilities(p, np.repeat(r.normal(size=(1, attention.WIDTH)), classes, 0), every)
     assert abs(np.exp(total).sum() - 1) < 1e-6
+
+
+def _plain_score(p: dict, ids: np.ndarray, targets: np.ndarray) -> list[float]:
+    """Place by place, by dense softmaxes in double precision; the sequence is one text."""
+    p, out = {k: v.astype(np.float64) for k, v in p.items()}, []
+    for t, c in enumerate(targets):
+        start = t // attention.FRESH * attention.FRESH - attention.CONTEXT
+        seen = np.arange(max(start, 0), t + 1)
+        x = p["E"][ids[seen]] + p["P"][seen - start]
+        s = (x @ p["K"]) @ (x[-1] @ p["Q"]) / attention.WIDTH**0.5
+        a = np.exp(s - s.max())
+        h = x[-1] + a @ (x @ p["V"]) / a.sum()
+        g, m = divmod(int(c), attention.MEMBERS)
+        upper, lower = h @ p["O"] + p["B"], h @ p["M"][g] + p["C"][g]
+        out.append(upper[g] - np.logaddexp.reduce(upper) + lower[m] - np.logaddexp.reduce(lower))
+    return out
+
+
+def test_attention_scores_do_no_more_work_than_the_scored_places_need(monkeypatch):
+    """Attention rows of the scored places only, and the softmaxes of group and member; flat and steep weights give plain results."""
+    r = np.random.default_rng(6)
+    classes = attention.GROUPS * attention.MEMBERS
+    n = 4 * attention.FRESH
+    ids, targets = r.integers(0, 30, n), r.integers(0, classes, n)
+    made, exp = [], np.exp
+
+    def counted(z, **more):
+        made.append(np.size(z))
+        return exp(z, **more)
+
+    for scale in (1, 12):  # the second leaves single precision unless rows are shifted by their maxima
+        p = attention.initial(30, r.integers(0, 9, classes))
+        p |= {k: p[k] * np.float32(scale) for k in "EQKOM"}
+        with monkeypatch.context() as m:
+            m.setattr(np, "exp", counted)
+            got = attention.score(p, ids, np.array([0]), np.array([n]), targets)
+        want = _plain_score(p, ids, targets)
+        assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-4, atol=1e-3)
+    assert sum(made) <= 2 * n * (attention.SPAN + attention.GROUPS + attention.MEMBERS)
+
+
+def test_attention_gradients_do_not_depend_on_the_shift(monkeypatch):
+    r = np.random.default_rng(8)
+    classes = attention.GROUPS * attention.MEMBERS
+    p = attention.initial(30, r.integers(0, 9, classes))
+    ids, targets = r.integers(0, 30, (5, attention.SPAN)), r.integers(0, classes, (5, attention.SPAN))
+    real = np.arange(attention.SPAN) < np.array([[attention.SPAN], [20], [1], [attention.SPAN], [47]])
+    (free, loss), _ = attention.gradients(p, ids, real, targets), monkeypatch.setattr(attention, "SAFE", 0.0)
+    shifted, same = attention.gradients(p, ids, real, targets)
+    assert abs(loss - same) < 1e-4 and all(free[k].shape == p[k].shape and np.allclose(free[k], shifted[k], rtol=1e-3, atol=1e-6) for k in p)
+
+
+def test_distinct():
+    for keys in (np.zeros(0, np.uint64), np.array([2**64 - 1, 5, 0, 5, 2**63, 2**64 - 1], np.uint64)):
+        own, first, code = textkit.distinct(keys)
+        assert own.dtype == np.uint64 and (own[code] == keys).all() and (keys[first] == own).all()
+        assert sorted(first) == sorted(np.unique(keys, return_index=True)[1])
