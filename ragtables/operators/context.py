@@ -56,15 +56,16 @@ def trim_overlap(grouped: DataFrame) -> DataFrame:
 
     w = Window.partitionBy("query_id", "document_id").orderBy("pos")
     rows = grouped.withColumn("__prev", F.lag("text").over(w)).withColumn("__index", F.lag("chunk_index").over(w))
-    last = F.slice(_sentences(F.col("__prev")), -5, 5)
-    last = F.when(F.size(_sentences(F.col("__prev"))) < 5, _sentences(F.col("__prev"))).otherwise(last)
-    mine = _sentences(F.col("text"))
+    # held in columns: what looks at them does so for each sentence
+    rows = rows.withColumns({"__said": _sentences(F.col("__prev")), "__mine": _sentences(F.col("text"))})
+    rows = rows.withColumn("__last", F.when(F.size("__said") < 5, F.col("__said")).otherwise(F.slice("__said", -5, 5)))
+    last, mine = F.col("__last"), F.col("__mine")
     fresh = F.filter(mine, lambda s, i: F.exists(F.slice(mine, F.lit(1), i + 1), lambda t: ~F.array_contains(last, t)))
     rest = strip(F.array_join(fresh, " "))
     follows = (F.col("chunk_index") == F.col("__index") + 1) & (F.size(last) > 0) & (F.size(mine) > 0) & (rest != "")
     start = F.when(follows, rest).otherwise(F.col("text"))
     shown = F.when(F.col("__prev").isNull(), F.col("text")).when(normalize_ws(F.col("__prev")) == normalize_ws(F.col("text")), "").otherwise(trim_boundary(F.col("__prev"), start))
-    return rows.withColumn("shown", shown).drop("__prev", "__index")
+    return rows.withColumn("shown", shown).drop("__prev", "__index", "__said", "__mine", "__last")
 
 
 def _place() -> Column:

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..sources.tables import checkpointed
+
+FEW = 50_000  # queries whose picks are broadcast once they are counted
 
 
 def minmax_relevance(hits: DataFrame) -> DataFrame:
@@ -37,19 +40,24 @@ def _greedy(score: np.ndarray, similar: np.ndarray, weight: float, k: int, cap:
 
 def _chosen(hits: DataFrame, picks: DataFrame) -> DataFrame:
     """The picked hits (query_id, picks: ranks in the new order) with new ranks."""
+    picks = checkpointed(picks)
     order = picks.select(F.col("query_id").alias("__q"), F.posexplode("picks").alias("__p", "__r"))
+    order = F.broadcast(order) if picks.count() <= FEW else order  # the hits, with texts and vectors, stay where they are
     kept = hits.join(order, (F.col("query_id") == F.col("__q")) & (F.col("rank") == F.col("__r")))
     return kept.select(*((F.col("__p") + 1).cast("int").alias("rank") if c == "rank" else F.col(c) for c in hits.columns))
 
 
-def mmr_select(hits: DataFrame, k: int | None = None, lambda_: float = 0.6, dedup_threshold: float = 0.85, *, k_col: str | None = None, lambda_col: str | None = None, cap_col: str | None = None) -> DataFrame:
+def mmr_select(hits: DataFrame, k: int | None = None, lambda_: float = 0.6, dedup_threshold: float = 0.85, *, k_col: str | None = None, k_of: DataFrame | None = None, lambda_col: str | None = None, cap_col: str | None = None) -> DataFrame:
     """Maximal marginal relevance: hits (with `vector`) chosen greedily by lambda * relevance - (1 - lambda) * similarity.
 
     A candidate as similar as the threshold to one already chosen is never taken, so fewer than k may remain. A single
-    hit, or a pool in which any vector is missing, keeps its order. k, lambda and the threshold may come from columns.
+    hit, or a pool in which any vector is missing, keeps its order. k, lambda and the threshold may come from columns, k
+    also from a table of its own, k_of (query_id, k).
     """
     given = lambda c, v: F.max(c) if c else F.max(F.lit(v))
-    pools = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "vector"))).alias("pool"), given(k_col, k).alias("k"), given(lambda_col, lambda_).cast("double").alias("weight"), given(cap_col, dedup_threshold).cast("double").alias("cap"))
+    pools = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "score", "vector"))).alias("pool"), given(k_col, 0 if k is None else k).alias("k"), given(lambda_col, lambda_).cast("double").alias("weight"), given(cap_col, dedup_threshold).cast("double").alias("cap"))
+    if k_of is not None:
+        pools = pools.drop("k").join(k_of.select("query_id", "k"), "query_id")
 
     @F.pandas_udf("array<int>")
     def pick(pool: pd.Series, k: pd.Series, weight: pd.Series, cap: pd.Series) -> pd.Series:

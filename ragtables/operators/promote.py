@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.queries import extract_identifiers
 from ..params import AFTER, BEFORE, FAMILY
 
+FEW = 20_000  # queries of a kind that are broadcast once they are counted
+
 
 def family_query(query: Column) -> Column:
     return F.rlike(query, F.lit(f"(?i){BEFORE}{FAMILY}{AFTER}"))
@@ -33,6 +35,8 @@ def promote_hits(hits: DataFrame, pool: DataFrame, queries: DataFrame, k: int |
     row = F.struct(*hits.columns)
     of_pool = queries.select(F.col(pool_col).alias("__pool"), "query").distinct()
     kinds = of_pool.select("__pool", extract_identifiers(F.col("query")).alias("__ids"), family_query(F.col("query")).alias("__family"))
+    kinds = kinds.where((F.size("__ids") > 0) | F.col("__family"))  # nothing matches the others
+    kinds = F.broadcast(kinds) if kinds.count() <= FEW else kinds
     best = pool.join(kinds, F.col("query_id") == F.col("__pool")).where(match).groupBy("__pool").agg(F.min_by(row, "rank").alias("__r"))
     first = queries.select("query_id", F.col(pool_col).alias("__pool")).join(best, "__pool").join(settled, "query_id", "left_anti").select("query_id", "__r")
     rest = top.join(first.select("query_id", F.col("__r.chunk_id").alias("__lead")), "query_id", "left").where("__lead is null or chunk_id <> __lead")

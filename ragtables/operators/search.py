@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +17,14 @@ from ..sources.tables import BUCKETS, bucket_of, checkpointed
 from .encode import check_dimension, embed, embed_queries, hash_encoder  # noqa: F401  (search includes how vectors are made)
 from .terms import TermIndex, term_presence, text_slices  # noqa: F401
 
-#: Queries whose vectors are held by every task at once; more are packed and joined.
+#: Queries whose vectors are sent to every task by a broadcast; more are packed in groups, each of which meets all chunks.
 QUERY_BLOCK = 8192
 SCOPE_BLOCK = 1 << 20  # document ids in the scopes of these queries, in all
-PACKED = 1024  # rows of a packed block
+GROUP = 1 << 14  # queries of a group
+PACKED = 8 << 20  # bytes of a packed block of chunks, and of an Arrow batch of such blocks, about
 CELLS = 1 << 21  # scores held at once
-FEW = 100_000  # ids of hits that are broadcast once they are counted
+FIRST = 1024  # rows that are scored in full, before there is a score to beat
+FEW = 500_000  # hashes of hits' ids that are broadcast once they are counted
 DIGITS = 6  # scores are rounded to this, so that equal texts tie however they were summed
 _UNIT = 10**DIGITS
 _NEVER = np.iinfo(np.int64).min
@@ -35,8 +37,8 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int | None = None, *, k_col: s
     queries: query_id, vector, optional scope (array of document ids; null or empty: all) and k_col. Scopes are
     applied before ranking. Every task holds up to QUERY_BLOCK queries and, for each, the ids of its best k chunks so far;
     they are merged batch by batch and leave the task once, at its end, so at most tasks x queries x k slim rows are
-    shuffled, however many batches there are. More queries are packed into blocks, as the chunks are, and meet them in a
-    join; they do not pass through the driver. The columns in `keep` are fetched for the final hits alone, in a second
+    shuffled, however many batches there are. More queries are dealt to groups that meet every part of the chunks in a
+    task of their own; they do not pass through the driver, and the chunks are not shuffled but packed once and read once a group. The columns in `keep` are fetched for the final hits alone, in a second
     read of the chunks: if their vectors are computed, they should be stored first. A chunk is named by chunk_id,
     document_id and chunk_index; of rows that share all three, each is a hit, with what one of them has in `keep`.
     Ties: document_id, then chunk_index. Chunks read with their bucket (sources.tables) are only scored for the queries
@@ -57,15 +59,19 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int | None = None, *, k_col: s
 
 
 def fetched(hits: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:
-    """hits with further columns of their chunks. Only the chunks of hits are shuffled or computed upon."""
+    """hits with further columns of their chunks. Only the chunks of hits are shuffled or computed upon.
+
+    They are found by the hash of their ids; the join with the hits leaves out what merely has the same hash.
+    """
     hits = checkpointed(hits)
-    names = hits.select(*IDS).distinct()
+    named = F.xxhash64(*IDS).alias("__named")
+    names = hits.select(named).distinct()
     small = (lambda df: F.broadcast(df)) if names.count() <= FEW else (lambda df: df)
 
     def same(a: str, b: str) -> F.Column:
         return F.expr(" and ".join(f"{a}.{c} <=> {b}.{c}" for c in IDS))
 
-    rows = chunks.select(*IDS, *columns).alias("c").join(small(names.alias("n")), same("c", "n"), "left_semi")
+    rows = chunks.select(*IDS, *columns, named).join(small(names), "__named", "left_semi")
     rows = rows.groupBy(*IDS).agg(F.first(F.struct(*columns)).alias("__kept"))
     return hits.alias("h").join(rows.alias("r"), same("h", "r")).select("h.*", "r.__kept.*")
 
@@ -82,21 +88,30 @@ def _scope(queries: DataFrame, chunks: DataFrame) -> list:
 def beside_queries(asked: DataFrame, source: DataFrame, work: Callable[[pa.Table, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kinds: str) -> DataFrame:
     """work(queries, batches of the source) in tasks that cover every query and row of the source together exactly once.
 
-    Few queries with few ids in their scopes are held by every task; others meet the source block by block.
+    Few queries with few ids in their scopes are held by every task; others meet the source group by group.
     """
     size = asked.agg(F.count("*").alias("n"), F.sum(F.size("scope") if "scope" in asked.columns else F.lit(0)).alias("scoped")).first()
-    if size["n"] <= QUERY_BLOCK and (size["scoped"] or 0) <= SCOPE_BLOCK:
+    scoped = max(size["scoped"] or 0, 0)
+    if size["n"] <= QUERY_BLOCK and scoped <= SCOPE_BLOCK:
         held = source.sparkSession.sparkContext.broadcast(_packed(asked.toArrow()))
         return source.mapInArrow(lambda batches: work(_unpacked(held.value), batches), kinds)
 
     def meet(batches):
-        rows = ((n, q, c) for b in batches for n, q, c in zip(*(b.column(x) for x in ("n", "q", "c")), strict=True))
-        for _, run in groupby(rows, lambda r: r[0].as_py()):  # blocks of chunks that meet the same queries
-            first = next(run)
-            chunks = (part for c in ([first[2]], (r[2] for r in run)) for x in c for part in _unpacked(x.as_buffer()).to_batches())
-            yield from work(_unpacked(first[1].as_buffer()), chunks)
-
-    return _in_blocks(asked, source).mapInArrow(meet, kinds)
+        filled = (b for b in batches if b.num_rows)
+        if (first := next(filled, None)) is not None:
+            queries = _unpacked(first.column("q")[0].as_py())  # a copy, as the batch is large
+            blocks, first = _opened(chain([first], filled)), None
+            yield from work(queries, blocks)
+
+    met = _in_groups(asked, source, max(-(-size["n"] // GROUP), -(-scoped // SCOPE_BLOCK))).mapInArrow(meet, kinds)
+    # a batch of the usual 64 MB would be held several times over by the task and its worker; the setting counts when the plan is run
+    conf, name = source.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = conf.get(name, None)
+    conf.set(name, str(PACKED))
+    try:
+        return checkpointed(met)
+    finally:
+        conf.unset(name) if usual is None else conf.set(name, usual)
 
 
 def _packed(table: pa.Table) -> bytes:
@@ -110,20 +125,38 @@ def _unpacked(raw) -> pa.Table:
     return pa.ipc.open_stream(raw).read_all()
 
 
-def _in_blocks(asked: DataFrame, source: DataFrame) -> DataFrame:
-    """Rows (n, q, c): every block q of packed queries, by number, beside every block of packed chunks. The chunks are shuffled once."""
-    shards = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed blocks c, one at a time; a batch of them is let go before the next one is read."""
+    while (batch := next(batches, None)) is not None:
+        for i in range(batch.num_rows):
+            yield from _unpacked(batch.column("c")[i].as_buffer()).to_batches()
+        batch = None
+
+
+def _in_groups(asked: DataFrame, source: DataFrame, groups: int) -> DataFrame:
+    """Rows (q, c): a task for every group of queries and part of the source, whose blocks are c; q is the packed group in its first row.
+
+    A group is one row and a partition of its own, and a product makes a task of each pair of partitions. The source is
+    cut into few parts, as each sends k rows for each query: about a quarter as many tasks as shuffle partitions. Its blocks
+    are packed once, before, so that a task has one worker and not two.
+    """
+    spark = asked.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 4, 2 * spark.sparkContext.defaultParallelism)
+
+    def group(batches):
+        if held := list(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([_packed(pa.Table.from_batches(held).combine_chunks())], pa.binary())], names=["q"])
 
     def blocks(batches):
-        for n, batch in enumerate(batches):
-            for i in range(0, batch.num_rows, PACKED):
-                yield pa.RecordBatch.from_arrays([pa.array([(n * 31 + i // PACKED) % shards], pa.int32()), pa.array([_packed(pa.Table.from_batches([batch.slice(i, PACKED)]))], pa.binary())], names=["shard", "packed"])
+        for batch in batches:
+            step = max(1, batch.num_rows // max(1, -(-batch.nbytes // PACKED)))
+            for i in range(0, batch.num_rows, step):
+                yield pa.RecordBatch.from_arrays([pa.array([_packed(pa.Table.from_batches([batch.slice(i, step)]))], pa.binary())], names=["c"])
 
-    packed = "shard int, packed binary"
-    left = checkpointed(asked.mapInArrow(blocks, packed).select(F.monotonically_increasing_id().alias("n"), F.col("packed").alias("q")))
-    left = left.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "n", "q")
-    right = source.mapInArrow(blocks, packed).select("shard", F.col("packed").alias("c"))
-    return left.join(right, "shard").select("n", "q", "c")
+    packed = checkpointed(asked.repartition(groups).mapInArrow(group, "q binary"))
+    parts = checkpointed(source.mapInArrow(blocks, "c binary")).coalesce(max(1, tasks // groups))
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    return parts.crossJoin(packed.hint("shuffle_replicate_nl")).select(F.when(first, F.col("q")).alias("q"), "c")
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
@@ -140,9 +173,13 @@ def _behind(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
-def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+def _units(products: np.ndarray) -> np.ndarray:
     """Inner products in units of the last digit that counts."""
-    return np.rint(np.round(q @ v.T, DIGITS) * _UNIT).astype(np.int64)
+    return np.rint(np.round(products, DIGITS) * _UNIT).astype(np.int64)
+
+
+def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return _units(q @ v.T)
 
 
 def _best(table: pa.Table, batches: Iterator[pa.RecordBatch], not_self: bool) -> Iterator[pa.RecordBatch]:
@@ -162,7 +199,9 @@ class _Running:
         self.vectors = _matrix(table["vector"], n) if n else np.zeros((0, 0))
         self.most = int(self.k.max(initial=0))
         self.floor = np.full(n, _NEVER)  # the score of the k-th row, once k are held
-        self.held, self.fresh, self.waiting = None, [], 0
+        self.held, self.fresh, self.waiting, self.seen = None, [], 0, 0
+        self.small = self.vectors.astype(np.float32)
+        self.norm = np.sqrt((self.vectors**2).sum(1))
         self.own = pc.cast(self.ids, pa.string()).to_pylist() if not_self else []
         self.scope, self.scopes, self.buckets = np.full(n, -1), [], None
         if "scope" in table.column_names:
@@ -178,40 +217,72 @@ class _Running:
                     self.buckets[i] = np.isin(np.arange(BUCKETS), b)
 
     def add(self, batch: pa.RecordBatch) -> None:
+        """In parts of as many rows as were seen before, so that most rows meet a score to beat that is nearly the last one."""
+        begin = 0
+        while begin < batch.num_rows:
+            part = batch.slice(begin, max(FIRST, self.seen))
+            self._add(part)
+            begin += part.num_rows
+            self.seen += part.num_rows
+            if self.waiting > max(4096, self.held.num_rows if self.held else 0):
+                self._merge()
+
+    def _add(self, batch: pa.RecordBatch) -> None:
         n = batch.num_rows
         mine = np.arange(len(self.k))
-        if self.buckets is not None and n:
+        if self.buckets is not None:
             mine = np.flatnonzero(self.buckets[:, np.unique(batch.column("bucket").to_numpy(zero_copy_only=False))].any(1))
-        if not n or not self.most or not len(mine):
+        if not self.most or not len(mine):
             return
         vectors, behind = _matrix(batch.column("vector"), n), _behind(batch)
         outside = {c: ~pc.is_in(batch.column("document_id"), value_set=self.scopes[c].cast(batch.column("document_id").type)).to_numpy(zero_copy_only=False) for c in np.unique(self.scope[mine]).tolist() if c >= 0}
         chunk = {c: i for i, c in enumerate(batch.column("chunk_id").to_pylist())} if self.own else {}
+        found = []
+        # what the scores of half the digits may be off by, and whether they hold these numbers
+        off = (vectors.shape[1] + 8) * 2.0**-23 * self.norm * (longest := np.sqrt((vectors**2).sum(1)).max())
+        warm = (self.floor[mine] > _NEVER) & (self.norm[mine] * longest < 1e30) & (longest < 1e30) & (self.norm[mine] < 1e30)
         step = max(1, CELLS // n)
-        for i in range(0, len(mine), step):
-            who = mine[i : i + step]
-            score = scores(self.vectors[who], vectors)
-            key = score * n + behind
-            key[score < self.floor[who, None]] = _NEVER
-            for j, c in enumerate(self.scope[who].tolist() if self.scopes else ()):
-                if c >= 0:
-                    key[j, outside[c]] = _NEVER
-            for j, w in enumerate(who.tolist() if self.own else ()):
-                if self.own[w] in chunk:
-                    key[j, chunk[self.own[w]]] = _NEVER
-            left = (key > _NEVER).sum(1)
-            if self.most < n and left.max(initial=0) > 2 * self.most:
-                top = np.argpartition(key, n - self.most, 1)[:, n - self.most :]
-                j, at = np.nonzero(np.take_along_axis(key, top, 1) > _NEVER)
-                at = top[j, at]
-            else:
-                j, at = np.nonzero(key > _NEVER)
-            if len(at):
-                taken = batch.take(pa.array(at))
-                self.fresh.append(pa.table({"who": pa.array(who[j].astype(np.int32)), "key": pa.array(score[j, at]), **{c: taken.column(c) for c in IDS}}))
-                self.waiting += len(at)
-        if self.waiting > max(4096, (self.held.num_rows if self.held else 0) // 4):
-            self._merge()
+        for some, rough in ((mine[warm], True), (mine[~warm], False)):
+            few = np.ascontiguousarray(vectors.T, np.float32) if rough and len(some) else None
+            for i in range(0, len(some), step):
+                who = some[i : i + step]
+                if rough:
+                    floor = self.floor[who] / _UNIT
+                    live = self.small[who] @ few >= (floor - 1.0 / _UNIT - off[who] - 1e-7 * np.abs(floor)).astype(np.float32)[:, None]
+                else:
+                    score = scores(self.vectors[who], vectors)
+                    live = score >= self.floor[who, None]
+                for j, c in enumerate(self.scope[who].tolist() if self.scopes else ()):
+                    if c >= 0:
+                        live[j, outside[c]] = False
+                for j, w in enumerate(who.tolist() if self.own else ()):
+                    if self.own[w] in chunk:
+                        live[j, chunk[self.own[w]]] = False
+                if rough:
+                    j, at = np.divmod(np.flatnonzero(live), n)
+                    key = np.concatenate([np.zeros(0, np.int64), *(_units(np.einsum("ij,ij->i", self.vectors[who[j[a : a + CELLS // 16]]], vectors[at[a : a + CELLS // 16]])) for a in range(0, len(j), CELLS // 16))])
+                    fits = key >= self.floor[who[j]]
+                    j, at, key = j[fits], at[fits], key[fits]
+                else:
+                    if self.most < n and live.sum(1).max(initial=0) > 2 * self.most:
+                        rank = np.where(live, score * n + behind, _NEVER)
+                        top = np.argpartition(rank, n - self.most, 1)[:, n - self.most :]
+                        j, at = np.nonzero(np.take_along_axis(rank, top, 1) > _NEVER)
+                        at = top[j, at]
+                    else:
+                        j, at = np.nonzero(live)
+                    key = score[j, at]
+                if len(j) and np.bincount(j).max() > self.most:
+                    order = np.lexsort((-behind[at], -key, j))
+                    j, at, key = j[order], at[order], key[order]
+                    first = np.arange(len(j)) - np.searchsorted(j, j) < self.most
+                    j, at, key = j[first], at[first], key[first]
+                found.append((who[j].astype(np.int32), key, at))
+        who, key, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(at):
+            taken = batch.select(list(IDS)).take(pa.array(at))
+            self.fresh.append(pa.table({"who": pa.array(who), "key": pa.array(key), **{c: taken.column(c) for c in IDS}}))
+            self.waiting += len(at)
 
     def add_pairs(self, batch: pa.RecordBatch, pairs: Iterator[tuple[list[int], np.ndarray]]) -> None:
         """The same for k = 1 and given (queries, rows) alone."""
@@ -230,12 +301,18 @@ class _Running:
 
     def _merge(self) -> None:
         rows = pa.concat_tables(([self.held] if self.held else []) + self.fresh)
-        rows = rows.take(pc.sort_indices(rows, sort_keys=[("who", "ascending"), ("key", "descending"), ("document_id", "ascending"), ("chunk_index", "ascending")]))
         who, key = rows["who"].to_numpy(), rows["key"].to_numpy()
+        order = np.lexsort((-key, who))
+        who, key = who[order], key[order]
         place = np.arange(len(who)) - np.searchsorted(who, who)
         full = place == self.k[who] - 1
         self.floor[who[full]] = key[full]
-        self.held, self.fresh, self.waiting = rows.filter(pa.array(place < self.k[who])), [], 0
+        beyond = (place >= self.k[who]) & (key == self.floor[who])
+        if beyond.any():  # of those that tie for the last places, the first by document and index
+            tied = np.flatnonzero((key == self.floor[who]) & np.isin(who, who[beyond]))
+            names = rows.select(["who", *IDS[1:]]).take(pa.array(order[tied]))
+            order[tied] = order[tied[pc.sort_indices(names, sort_keys=[(c, "ascending") for c in names.column_names]).to_numpy()]]
+        self.held, self.fresh, self.waiting = rows.take(pa.array(order[place < self.k[who]])), [], 0
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         if self.fresh:

@@ -16,13 +16,15 @@ def pool(queries: DataFrame, chunks: DataFrame, params: Params = Params(), *, en
     """Ranked candidates of every query (query_id, query, optional top_k, scope): fused over its variants and reranked."""
     fields = ("filename", "page", "text", "vector")
     sized = search.pool_size(queries.withColumn("top_k", F.coalesce("top_k", F.lit(params.top_k)) if "top_k" in queries.columns else F.lit(params.top_k)), params)
-    asked = rewrite.rewrite_queries(sized, params.num_variants, params.rules, enabled=params.rewrite)
+    asked = checkpointed(rewrite.rewrite_queries(sized, params.num_variants, params.rules, enabled=params.rewrite))  # read many times
     keyed = asked.withColumn("original", F.col("query_id")).withColumn("query_id", F.concat_ws("\x1f", F.col("query_id").cast("string"), "variant_no"))
     vectors = search.embed_queries(keyed, "variant", encoder, prefix=prefix, dim=params.dim)
-    hits = search.knn(vectors, chunks, k_col="pool_k", keep=fields)
+    hits = search.knn(vectors, chunks, k_col="pool_k")
     back = keyed.select(F.col("query_id").alias("__k"), F.col("original"))
     hits = hits.join(back, F.col("query_id") == F.col("__k")).drop("query_id", "__k").withColumnRenamed("original", "query_id")
-    fused = search.fuse_variants(hits, params.min_score)
+    # texts and vectors are fetched for what is left of all variants
+    fused = search.fetched(search.fuse_variants(hits, params.min_score), chunks, list(fields))
+    fused = fused.select("query_id", "rank", *search.IDS, *fields, "score")
     return rerank.rerank_over_variants(fused, asked, scorer) if params.rerank else fused
 
 
@@ -34,7 +36,7 @@ def select(candidates: DataFrame, queries: DataFrame, params: Params = Params(),
     asked = queries.select("query_id", "query", (F.coalesce("top_k", F.lit(params.top_k)) if "top_k" in queries.columns else F.lit(params.top_k)).alias("k"))
     hits = candidates
     if diverse and params.mmr:
-        hits = diversity.mmr_select(hits.join(asked.select("query_id", "k"), "query_id"), lambda_=params.mmr_lambda, dedup_threshold=params.mmr_cap, k_col="k").select(*candidates.columns)
+        hits = diversity.mmr_select(hits, lambda_=params.mmr_lambda, dedup_threshold=params.mmr_cap, k_of=asked)
     if diverse:
         hits = diversity.dedupe_by_text(checkpointed(hits), params.dedupe_jaccard)
     return promote.promote_hits(hits, candidates, asked, k_col="k")

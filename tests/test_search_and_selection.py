@@ -149,6 +149,54 @@ def test_blocks_of_queries_find_the_same(spark, sf_dir, monkeypatch):
     assert found[0] == found[1] and len(found[0]) > 50
 
 
+def test_groups_of_queries_meet_all_chunks(spark, sf_dir, monkeypatch):
+    """Every group meets every chunk once, in several tasks though a task has few chunks, and is sent once a task, not beside each block."""
+    monkeypatch.setattr(search, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(search, "GROUP", 13)
+    monkeypatch.setattr(search, "PACKED", 1)
+    chunks = inputs.vectors(spark, sf_dir).repartition(8)
+    asked = inputs.vector_queries(spark, sf_dir).select("query_id", "vector")
+
+    def work(queries, batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        for b in batches:
+            ids = [(q, c) for c in b.column("chunk_id").to_pylist() for q in queries["query_id"].to_pylist()]
+            yield pa.RecordBatch.from_pydict({"q": [q for q, _ in ids], "c": [c for _, c in ids], "task": pa.array([task] * len(ids), pa.int32())})
+
+    met = search.beside_queries(asked, chunks, work, "q string, c string, task int").collect()
+    n, m = asked.count(), chunks.count()
+    assert n > 13 and len({(r["q"], r["c"]) for r in met}) == len(met) == n * m
+    tasks = {r["task"] for r in met}
+    assert len(tasks) > -(-n // 13)  # not one task a group, as the chunks are in several parts
+    rows = search._in_groups(asked, chunks.select(*search.IDS, "vector"), -(-n // 13)).select(F.col("q").isNotNull().alias("q")).groupBy("q").count().collect()
+    assert {r["q"]: r["count"] for r in rows} == {True: len(tasks), False: m * -(-n // 13) - len(tasks)}
+
+
+def test_best_rows_equal_a_plain_sort(monkeypatch):
+    """Rough scores only rule out: vectors of any length, many copies, scopes and own k give the rows of a full sort."""
+    r = np.random.default_rng(3)
+    vectors = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel()))
+    for trial in range(20):
+        n, m, d = int(r.integers(1, 40)), int(r.integers(1, 2500)), int(r.integers(2, 9))
+        monkeypatch.setattr(search, "FIRST", int(r.integers(1, 300)))
+        monkeypatch.setattr(search, "CELLS", int(r.integers(100, 100_000)))
+        q, v, k = r.normal(size=(n, d)) * 10.0 ** r.integers(-3, 4), r.integers(-3, 4, (m, d)).astype(float), r.integers(0, 8, n)
+        v = v[r.integers(0, min(m, 20), m)] if trial % 2 else v
+        documents, index = [str(x) for x in r.integers(0, 30, m)], r.permutation(m).astype(np.int32)
+        scopes = [sorted({str(x) for x in r.integers(0, 30, 3)}) if r.random() < 0.4 else None for _ in range(n)]
+        table = pa.table({"query_id": pa.array(range(n)), "vector": vectors(q), "k": pa.array(k.astype(np.int32)), "scope": pa.array(scopes, pa.list_(pa.string()))})
+        batch = pa.RecordBatch.from_arrays([pa.array(documents), pa.array(documents), pa.array(index), vectors(v)], names=["chunk_id", "document_id", "chunk_index", "vector"])
+        held, step = search._Running(table, False), int(r.integers(1, m + 1))
+        for i in range(0, m, step):
+            held.add(batch.slice(i, step))
+        got = sorted((x["query_id"], -x["score"], x["document_id"], x["chunk_index"]) for b in held.rows() for x in b.to_pylist())
+        score = search.scores(q, v)
+        want = [(i, *x) for i in range(n) for x in sorted((-score[i, j] / 10**6, documents[j], int(index[j])) for j in range(m) if scopes[i] is None or documents[j] in scopes[i])[: k[i]]]
+        assert got == want
+
+
 def test_term_presence_equals_brute_force(spark, monkeypatch):
     texts = ["The cat sat", "a CATALOGUE of cats", "", None, "dog", "Straße und straße"]
     terms = ["cat", "Cat", "", "at", "dog", "none", "straße", "c"]
